@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _LOADED: dict[str, Callable] = {}
 
@@ -34,6 +33,14 @@ def _call(scorer: Callable, batch: pd.DataFrame) -> list[tuple[str | None, str |
         return [_call(scorer, batch.iloc[i : i + 1])[0] for i in range(len(batch))]
 
 
+def _group_rows(frame: pd.DataFrame, settings: Sequence[str]) -> list[pd.DataFrame]:
+    """Rows with equal settings, in order of appearance."""
+    if not settings or frame.empty:
+        return [frame]
+    equal = frame[list(settings)].map(lambda v: repr(v.tolist() if hasattr(v, "tolist") else v))
+    return [group for _, group in frame.groupby(equal.agg("|".join, axis=1), sort=False)]
+
+
 def score(
     df: DataFrame,
     make_fn: Callable[[], Callable[[pd.DataFrame], Sequence[str]]],
@@ -49,43 +56,33 @@ def score(
     ``make_fn()`` loads the model; the callable it returns takes a frame with the
     columns ``inputs`` and ``settings`` and returns one text per row. Each call sees at
     most ``batch_size`` rows with equal settings. Rows whose ``skip`` column is not
-    NULL get that note as output and are never sent. Only the named columns are handed
-    to the callable, but every column is kept, so nothing has to be joined back.
+    NULL get that note as output and are never sent. Only the named columns travel to
+    Python; the others wait on the JVM side, so nothing has to be joined back.
     ``partitions`` spreads few rows over all slots of an expensive scorer.
     """
     token = uuid.uuid4().hex
-    columns = list(df.columns)
-    shown = [*inputs, *[s for s in settings if s not in inputs]]
-    fields = [f for f in df.schema.fields if f.name not in (output, "error")]
-    schema = T.StructType(
-        [*fields, T.StructField(output, T.StringType()), T.StructField("error", T.StringType())]
-    )
+    shown = list(dict.fromkeys([*inputs, *settings]))
 
+    @F.pandas_udf("struct<output: string, error: string>")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _load_once(token, make_fn)
         for frame in batches:
             frame = frame.reset_index(drop=True)
-            outputs: list[tuple[str | None, str | None]] = [(None, None)] * len(frame)
-            send = frame.index
-            if skip is not None:
-                marked = frame[skip].notna()
-                for i in frame.index[marked]:
-                    outputs[i] = (frame.at[i, skip], None)
-                send = frame.index[~marked]
-            todo = frame.loc[send, shown]
-            if settings:
-                equal = todo[list(settings)].map(repr).agg("|".join, axis=1) if len(todo) else []
-                groups = [g for _, g in todo.groupby(equal, sort=False)] if len(todo) else []
-            else:
-                groups = [todo]
-            for group in groups:
+            found: list[tuple[str | None, str | None]] = [(None, None)] * len(frame)
+            for group in _group_rows(frame.loc[frame["_send"], shown], settings):
                 for start in range(0, len(group), batch_size):
                     batch = group.iloc[start : start + batch_size]
                     for i, result in zip(batch.index, _call(scorer, batch)):
-                        outputs[i] = result
-            frame[output] = pd.Series([o for o, _ in outputs], dtype=object)
-            frame["error"] = pd.Series([e for _, e in outputs], dtype=object)
-            yield frame[[f.name for f in schema.fields]]
+                        found[i] = result
+            yield pd.DataFrame(found, columns=["output", "error"], dtype=object)
 
+    # A call may be expensive and need not repeat exactly: the plan must hold it once.
+    run = run.asNondeterministic()
+    send = F.lit(True) if skip is None else F.col(skip).isNull()
+    sent = [F.when(send, F.col(c)).alias(c) for c in shown]
     source = df.repartition(partitions) if partitions else df
-    return source.select(*[F.col(c) for c in columns]).mapInPandas(run, schema)
+    scored = source.withColumn("_scored", run(F.struct(send.alias("_send"), *sent)))
+    text = F.col("_scored.output")
+    if skip is not None:
+        text = F.coalesce(F.col(skip), text)
+    return scored.withColumns({output: text, "error": F.col("_scored.error")}).drop("_scored")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,14 +96,12 @@ def _hash_picks(slots: DataFrame, seed: int, counts: Mapping[str, int]) -> DataF
             F.get(spare, F.array_position(ambiguous, d).cast("int") - 1),
         ).otherwise(d),
     )
-    picks = F.struct(
-        pick(seed, table, "cell", F.col("_slots"), counts["cell_lookup"]).alias("cells"),
-        F.filter(replaced, lambda d: d.isNotNull()).alias("values"),
-        pick(seed, table, "row", indexes(F.col("n_rows")), counts["row_retrieval"]).alias("rows"),
-        pick(seed, table, "col", indexes(F.col("n_cols")), counts["col_retrieval"]).alias("cols"),
-    )
     return with_spares.select(
-        "table_id", "header", "rows", "n_rows", "n_cols", picks.alias("picks")
+        "table_id", "header", "rows", "n_rows", "n_cols",
+        pick(seed, table, "cell", F.col("_slots"), counts["cell_lookup"]).alias("_cells"),
+        F.filter(replaced, lambda d: d.isNotNull()).alias("_values"),
+        pick(seed, table, "row", indexes(F.col("n_rows")), counts["row_retrieval"]).alias("_rows"),
+        pick(seed, table, "col", indexes(F.col("n_cols")), counts["col_retrieval"]).alias("_cols"),
     )
 
 
@@ -146,7 +144,10 @@ def _mt_picks(slots: DataFrame, seed: int, counts: Mapping[str, int]) -> DataFra
         return pd.DataFrame(picks, columns=["cells", "values", "rows", "cols"])
 
     picks = draw("table_id", "_slots", "_firsts", "_uniques", "n_rows", "n_cols")
-    return slots.select("table_id", "header", "rows", "n_rows", "n_cols", picks.alias("picks"))
+    return slots.withColumn("_p", picks).select(
+        "table_id", "header", "rows", "n_rows", "n_cols",
+        *[F.col(f"_p.{name}").alias(f"_{name}") for name in ("cells", "values", "rows", "cols")],
+    )
 
 
 def generate_tasks(
@@ -154,13 +155,15 @@ def generate_tasks(
     seed: int = 42,
     counts: Mapping[str, int] = fixed.TASKS_PER_TABLE,
     sampler: str = "hash",
+    kinds: Sequence[str] = tuple(fixed.TASKS_PER_TABLE),
 ) -> DataFrame:
     """(table_id, task_seq, task, question, gold, n_rows, n_cols); no shuffle.
 
     A table is one bounded row, so sampling and uniqueness run inside the row.
     ``hash`` ranks by md5(seed:table:kind:item), all on the JVM side; ``mt19937``
     draws the same number of items with the standard library's generator, in the
-    order cells, values, rows, columns, to reproduce earlier runs.
+    order cells, values, rows, columns, to reproduce earlier runs. ``kinds`` restricts
+    the output; what the other kinds need is not computed.
     """
     if sampler not in ("hash", "mt19937"):
         raise ValueError(f"Unknown sampler: {sampler}")
@@ -203,13 +206,14 @@ def generate_tasks(
         F.lit(fixed.SIZE_QUESTION),
         fill(fixed.SIZE_GOLD, rows=F.col("n_rows"), columns=n_cols),
     )
-    repeated = F.concat(
-        F.slice(F.array(size), 1, counts["size_detection"]),
-        F.transform("picks.cells", cell_task),
-        F.transform("picks.values", reverse_task),
-        F.transform("picks.rows", row_task),
-        F.transform("picks.cols", column_task),
-    )
+    by_kind = {
+        "size_detection": F.slice(F.array(size), 1, counts["size_detection"]),
+        "cell_lookup": F.transform("_cells", cell_task),
+        "reverse_lookup": F.transform("_values", reverse_task),
+        "row_retrieval": F.transform("_rows", row_task),
+        "col_retrieval": F.transform("_cols", column_task),
+    }
+    repeated = F.concat(*[tasks for kind, tasks in by_kind.items() if kind in kinds])
     return picked.select(
         "table_id", "n_rows", "n_cols", F.posexplode(repeated).alias("task_seq", "t")
     ).select("table_id", "task_seq", "t.task", "t.question", "t.gold", "n_rows", "n_cols")
