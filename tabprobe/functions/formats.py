@@ -116,14 +116,20 @@ def json_string(value: Column) -> Column:
     escaped = value
     for raw, out in _COMMON_ESCAPES.items():
         escaped = F.replace(escaped, F.lit(raw), F.lit(out))
-    rare = escaped
-    for code in range(32):
-        if chr(code) not in _COMMON_ESCAPES:
-            rare = F.replace(rare, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
+    # Control characters without a short escape are rare enough to go char by char.
+    spelled = F.array_join(
+        F.transform(
+            F.split(escaped, ""),
+            lambda c: F.when(
+                c.rlike(_RARE_CONTROL), F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.ascii(c)), 4, "0")))
+            ).otherwise(c),
+        ),
+        "",
+    )
     body = (
         F.when(~value.rlike(_NEEDS_ESCAPE), value)
         .when(~value.rlike(_RARE_CONTROL), escaped)
-        .otherwise(rare)
+        .otherwise(spelled)
     )
     return _text('"', body, '"')
 
@@ -131,28 +137,32 @@ def json_string(value: Column) -> Column:
 def to_json(header: Column, rows: Column) -> Column:
     """Array of objects, two-space indent; a repeated name keeps its first place and last value."""
 
-    def field(name: Column, value: Column) -> Column:
-        return _text("    ", json_string(name), ": ", json_string(value))
-
-    def record(row: Column) -> Column:
-        paired = F.least(F.size(header), F.size(row))
-        names = F.slice(header, F.lit(1), paired)
-        distinct = F.array_distinct(names)
-        plain = _pairs(header, row, lambda h, v, _: field(h, v))
-        merged = F.transform(
-            distinct,
-            lambda name: field(
-                name, F.get(row, paired - F.array_position(F.reverse(names), name).cast("int"))
-            ),
-        )
-        fields = F.when(F.size(distinct) == paired, plain).otherwise(merged)
-        return F.when(paired == 0, F.lit("  {}")).otherwise(
-            _text("  {\n", F.array_join(fields, ",\n"), "\n  }")
-        )
+    def render(keys: Column) -> Column:
+        def record(row: Column, fields: Column) -> Column:
+            return F.when((F.size(row) == 0) | (F.size(keys) == 0), F.lit("  {}")).otherwise(
+                _text("  {\n", F.array_join(fields, ",\n"), "\n  }")
+            )
 
-    return F.when(F.size(rows) == 0, F.lit("[]")).otherwise(
-        _text("[\n", F.array_join(F.transform(rows, record), ",\n"), "\n]")
-    )
+        def plain(row: Column) -> Column:
+            return record(row, _pairs(keys, row, lambda k, v, _: _text(k, json_string(v))))
+
+        def merged(row: Column) -> Column:
+            paired = F.least(F.size(keys), F.size(row))
+            names = F.slice(keys, F.lit(1), paired)
+            last = F.transform(
+                F.array_distinct(names),
+                lambda k: _text(
+                    k, json_string(F.get(row, paired - F.array_position(F.reverse(names), k).cast("int")))
+                ),
+            )
+            return record(row, last)
+
+        repeated = F.size(F.array_distinct(keys)) < F.size(keys)
+        records = F.when(repeated, F.transform(rows, merged)).otherwise(F.transform(rows, plain))
+        return _text("[\n", F.array_join(records, ",\n"), "\n]")
+
+    keys = F.transform(header, lambda h: _text("    ", json_string(h), ": "))
+    return F.when(F.size(rows) == 0, F.lit("[]")).otherwise(let(keys, render))
 
 
 def to_html(header: Column, rows: Column) -> Column:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
-from tabprobe.functions.text import TOKEN_PATTERN
 
 SPAN_TYPE = "array<struct<start:int,end:int>>"
 MARKUP_FORMATS = ("col_sep", "html", "json")
@@ -40,16 +44,30 @@ def markup_length(text: Column, fmt: str) -> Column:
     return F.length(text) - F.length(content)
 
 
-def _spans(fmt: str, text: str) -> list[dict[str, int]]:
+def _spans(fmt: str, text: str) -> list[tuple[int, int]]:
     if fmt == "html":
-        found = [m.span() for m in re.finditer(fixed.HTML_MARKUP, text, re.MULTILINE)]
-    elif fmt == "col_sep":
-        found = [m.span() for m in re.finditer(re.escape(fixed.COL_SEPARATOR) + r"|\n", text)]
-    else:
-        inner = [m.span(1) for m in re.finditer(fixed.JSON_STRING, text)]
-        edges = [0, *[edge for span in inner for edge in span], len(text)]
-        found = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b > a]
-    return [{"start": a, "end": b} for a, b in found]
+        return [m.span() for m in re.finditer(fixed.HTML_MARKUP, text, re.MULTILINE)]
+    if fmt == "col_sep":
+        return [m.span() for m in re.finditer(re.escape(fixed.COL_SEPARATOR) + r"|\n", text)]
+    inner = [m.span(1) for m in re.finditer(fixed.JSON_STRING, text)]
+    edges = [0, *[edge for span in inner for edge in span], len(text)]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b > a]
+
+
+def _span_lists(lengths: np.ndarray, bounds: np.ndarray, missing: np.ndarray) -> pa.Array:
+    """Arrow lists of (start, end) from flat bounds and the number of spans per row."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    flat = bounds.reshape(-1, 2).astype(np.int32)
+    values = pa.StructArray.from_arrays(
+        [pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["start", "end"]
+    )
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(missing))
+
+
+def _pack(rows: list[Sequence[tuple[int, int]] | None]) -> pa.Array:
+    lengths = np.array([0 if r is None else len(r) for r in rows], dtype=np.int64)
+    flat = [edge for r in rows if r is not None for span in r for edge in span]
+    return _span_lists(lengths, np.array(flat, dtype=np.int64), np.array([r is None for r in rows], dtype=bool))
 
 
 def markup_spans(text: Column, fmt: str) -> Column:
@@ -60,9 +78,9 @@ def markup_spans(text: Column, fmt: str) -> Column:
     """
     _check(fmt)
 
-    @F.pandas_udf(SPAN_TYPE)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _spans(fmt, t))
+    @F.arrow_udf(SPAN_TYPE)
+    def spans(texts: pa.Array) -> pa.Array:
+        return _pack([None if t is None else _spans(fmt, t) for t in texts.to_pylist()])
 
     return spans(text)
 
@@ -79,37 +97,90 @@ def shift_spans(spans: Column, prompt: Column, table_text: Column) -> Column:
     )
 
 
-def regex_offsets(texts: pd.Series) -> Iterator[list[tuple[int, int]]]:
-    """Default tokenizer: offsets of words and single other visible characters."""
-    word = re.compile(r"\w+|[^\w \t\n\x0b\f\r]")
-    return (None if t is None else [m.span() for m in word.finditer(t)] for t in texts)
+_OTHER, _WORD, _BLANK = 0, 1, 2
 
 
-def token_offsets(
-    text: Column, make_tokenizer: Callable[[], Callable] = lambda: regex_offsets
-) -> Column:
-    """Token offsets by a pluggable tokenizer, built once per Python worker task.
+@cache
+def _character_classes() -> np.ndarray:
+    """Word, blank or other for every code point, as ``TOKEN_PATTERN`` sees it."""
+    classes = np.zeros(0x110000, dtype=np.int8)
+    classes[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] in "LN"]] = _WORD
+    classes[ord("_")] = _WORD
+    classes[[ord(c) for c in " \t\n\x0b\f\r"]] = _BLANK
+    return classes
 
-    ``make_tokenizer()`` returns a callable from a Series of texts to one list of
-    (start, end) pairs per text.
+
+def word_offsets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Default tokenizer for a batch: (tokens per text, flat start/end pairs).
+
+    The batch is laid on one character axis, a blank after each text; tokens begin and
+    end where the character class changes, other characters stand alone.
+    """
+    codes = np.frombuffer("".join(t + " " for t in texts).encode("utf-32-le"), dtype=np.uint32)
+    kinds = _character_classes()[codes]
+    before = np.concatenate([[_BLANK], kinds[:-1]])
+    after = np.concatenate([kinds[1:], [_BLANK]])
+    begins = np.flatnonzero((kinds == _OTHER) | ((kinds == _WORD) & (before != _WORD)))
+    ends = np.flatnonzero((kinds == _OTHER) | ((kinds == _WORD) & (after != _WORD))) + 1
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    row = np.searchsorted(first, begins, side="right") - 1
+    bounds = np.stack([begins - first[row], ends - first[row]], axis=1)
+    return np.bincount(row, minlength=len(texts)), bounds
+
+
+def token_offsets(text: Column, make_tokenizer: Callable[[], Callable] | None = None) -> Column:
+    """Token offsets by ``TOKEN_PATTERN``, or by a pluggable tokenizer.
+
+    ``make_tokenizer()`` runs once per worker task and returns a callable from a list
+    of texts to one list of (start, end) pairs per text.
     """
 
-    @F.pandas_udf(SPAN_TYPE)
-    def offsets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenize = make_tokenizer()
-        for texts in batches:
-            yield pd.Series(
-                [
-                    None if pairs is None else [{"start": int(a), "end": int(b)} for a, b in pairs]
-                    for pairs in tokenize(texts)
-                ],
-                index=texts.index,
-                dtype=object,
-            )
+    @F.arrow_udf(SPAN_TYPE)
+    def offsets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokenize = make_tokenizer() if make_tokenizer else None
+        for batch in batches:
+            texts = batch.to_pylist()
+            known = [t for t in texts if t is not None]
+            if tokenize:
+                found = iter(tokenize(known))
+                yield _pack([None if t is None else next(found) for t in texts])
+            else:
+                missing = np.array([t is None for t in texts], dtype=bool)
+                lengths = np.zeros(len(texts), dtype=np.int64)
+                lengths[~missing], bounds = word_offsets(known)
+                yield _span_lists(lengths, bounds, missing)
 
     return offsets(text)
 
 
+def overlapping(tokens: pa.ListArray, spans: pa.ListArray) -> pa.Array:
+    """Per row, the indexes of tokens that touch a span; spans sorted and disjoint.
+
+    Rows are laid on one axis, far enough apart, so that two binary searches answer
+    for the whole batch.
+    """
+    missing = np.asarray(tokens.is_null()) | np.asarray(spans.is_null())
+
+    def axis(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.asarray(pa.compute.fill_null(lists.value_lengths(), 0))
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), lengths)
+        return lengths, row, np.asarray(flat.field("start")).astype(np.int64), np.asarray(flat.field("end")).astype(np.int64)
+
+    lengths, token_row, starts, ends = axis(tokens)
+    _, span_row, span_starts, span_ends = axis(spans)
+    gap = int(max(ends.max(initial=0), span_ends.max(initial=0))) + 1
+    begun = np.searchsorted(span_starts + span_row * gap, ends + token_row * gap, side="left")
+    over = np.searchsorted(span_ends + span_row * gap, starts + token_row * gap, side="right")
+    hit = (begun > over) & (ends > starts) & ~missing[token_row]
+    index = np.arange(len(starts)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    counts = np.bincount(token_row[hit], minlength=len(tokens))
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(index[hit].astype(np.int32)), mask=pa.array(missing)
+    )
+
+
 def counted_tokens(text: Column, make_counter: Callable[[], Callable]) -> Column:
     """Token counts by a pluggable tokenizer; ``make_counter()`` runs once per worker task."""
 
@@ -125,11 +196,11 @@ def counted_tokens(text: Column, make_counter: Callable[[], Callable]) -> Column
 __all__ = [
     "MARKUP_FORMATS",
     "SPAN_TYPE",
-    "TOKEN_PATTERN",
     "counted_tokens",
     "markup_length",
     "markup_spans",
-    "regex_offsets",
+    "overlapping",
     "shift_spans",
     "token_offsets",
+    "word_offsets",
 ]

@@ -14,6 +14,7 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 # A word (letters, digits, underscore) or one other visible character. Means the
 # same in java.util.regex and in RE2.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+_NOT_TOKEN_START = r"(?<=[\p{L}\p{N}_])[\p{L}\p{N}_]+|\s+"
 
 
 def strip(text: Column, chars: str = UNICODE_SPACE) -> Column:
@@ -76,8 +77,12 @@ def fill_dynamic(template: Column, **values: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Number of tokens by the built-in pattern, on the JVM side."""
-    return F.regexp_count(text, F.lit(TOKEN_PATTERN))
+    """Number of tokens by ``TOKEN_PATTERN``.
+
+    Counted as what is left of the text when all that does not start a token is
+    removed: the rest of each word, and blanks. No list of tokens is built.
+    """
+    return F.length(F.regexp_replace(text, _NOT_TOKEN_START, ""))
 
 
 def row_key(*columns: Column) -> Column:

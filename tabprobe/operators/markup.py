@@ -6,8 +6,8 @@ import hashlib
 import random
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,22 +82,9 @@ def overlapping_tokens(
 def markup_token_positions(tokens: Column, spans: Column) -> Column:
     """Indexes of the tokens that touch a span, both sides sorted by start; map-only."""
 
-    @F.pandas_udf("array<int>")
-    def positions(token_lists: pd.Series, span_lists: pd.Series) -> pd.Series:
-        def one(toks, marks):
-            if toks is None or marks is None:
-                return None
-            starts = np.fromiter((t["start"] for t in toks), np.int64, len(toks))
-            ends = np.fromiter((t["end"] for t in toks), np.int64, len(toks))
-            mark_starts = np.fromiter((m["start"] for m in marks), np.int64, len(marks))
-            mark_ends = np.fromiter((m["end"] for m in marks), np.int64, len(marks))
-            begun = np.searchsorted(mark_starts, ends, side="left")
-            over = np.searchsorted(mark_ends, starts, side="right")
-            return np.flatnonzero((begun > over) & (ends > starts)).astype(np.int32)
-
-        return pd.Series(
-            [one(t, m) for t, m in zip(token_lists, span_lists)], index=token_lists.index, dtype=object
-        )
+    @F.arrow_udf("array<int>")
+    def positions(token_lists: pa.Array, span_lists: pa.Array) -> pa.Array:
+        return M.overlapping(token_lists, span_lists)
 
     return positions(tokens, spans)
 
@@ -176,7 +163,7 @@ def control_positions(
     prompts: DataFrame,
     fmt: str,
     jobs: Callable[[DataFrame], DataFrame] = control_jobs,
-    make_tokenizer: Callable[[], Callable] = lambda: M.regex_offsets,
+    make_tokenizer: Callable[[], Callable] | None = None,
     sampler: str = "hash",
 ) -> DataFrame:
     """Token positions of the markup and of its random controls, per prompt and job.

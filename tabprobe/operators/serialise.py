@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
 from tabprobe.functions.formats import FORMATS, format_table
+from tabprobe.operators.tasks import generate_tasks
 
 
 def _texts(formats: Sequence[str]) -> Column:
@@ -21,9 +22,15 @@ def _texts(formats: Sequence[str]) -> Column:
     )
 
 
+def _each_text(texts: Column | str) -> Column:
+    # The array always has one element per format. A plain explode would add a filter
+    # on its size, and that filter builds every text a second time.
+    return F.explode_outer(texts).alias("s")
+
+
 def serialise_tables(tables: DataFrame, formats: Sequence[str] = tuple(FORMATS)) -> DataFrame:
     """(table_id, fmt, table_text): every text is built once; map-only."""
-    return tables.select("table_id", F.explode(_texts(formats)).alias("s")).select(
+    return tables.select("table_id", _each_text(_texts(formats))).select(
         "table_id", "s.fmt", "s.table_text"
     )
 
@@ -40,11 +47,22 @@ def build_instances(
     placed = tables if co_located else tables.repartition("table_id")
     texts = placed.select("table_id", _texts(formats).alias("_texts"))
     joined = tasks.join(texts, "table_id")
-    return joined.select(*tasks.columns, F.explode("_texts").alias("s")).select(
+    return joined.select(*tasks.columns, _each_text("_texts")).select(
         *tasks.columns, "s.fmt", "s.table_text"
     )
 
 
+def generate_instances(tables: DataFrame, formats: Sequence[str], **task_options) -> DataFrame:
+    """Tasks of the tables times formats, straight from the table rows: no join, no shuffle.
+
+    ``task_options`` as in ``tasks.generate_tasks``.
+    """
+    with_texts = tables.withColumn("_texts", _texts(formats))
+    tasks = generate_tasks(with_texts, keep=["_texts"], **task_options)
+    columns = [c for c in tasks.columns if c != "_texts"]
+    return tasks.select(*columns, _each_text("_texts")).select(*columns, "s.fmt", "s.table_text")
+
+
 def question_instances(tables: DataFrame, formats: Sequence[str]) -> DataFrame:
     """One instance per table and format for the tables' own questions; map-only."""
     return tables.select(
@@ -55,7 +73,7 @@ def question_instances(tables: DataFrame, formats: Sequence[str]) -> DataFrame:
         "answers",
         F.size("rows").alias("n_rows"),
         F.size("header").alias("n_cols"),
-        F.explode(_texts(formats)).alias("s"),
+        _each_text(_texts(formats)),
     ).select(
         "table_id", "task", "s.fmt", "question", "gold", "answers", "n_rows", "n_cols", "s.table_text"
     )

@@ -34,7 +34,10 @@ def unique_values(cells: DataFrame) -> DataFrame:
     return value_positions(cells).filter(F.col("n_pos") == 1).drop("n_pos")
 
 
-def _with_cells(tables: DataFrame) -> DataFrame:
+_BASE = ["table_id", "header", "rows", "n_rows", "n_cols"]
+
+
+def _with_cells(tables: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Slots (row * n_cols + col) that exist, and which of them start or are a value.
 
     Sorting (value, slot) puts equal values side by side, so first and only
@@ -60,12 +63,12 @@ def _with_cells(tables: DataFrame) -> DataFrame:
     uniques = F.filter(by_value, lambda x, j: differs(x, j - 1) & differs(x, j + 1))
     return (
         tables.select(
-            "table_id", "header", "rows",
+            *keep, "table_id", "header", "rows",
             F.size("rows").alias("n_rows"), F.size("header").alias("n_cols"),
         )
         .withColumn("_by_value", F.sort_array(grid))
         .select(
-            "table_id", "header", "rows", "n_rows", "n_cols",
+            *keep, *_BASE,
             F.sort_array(F.col("_by_value.slot")).alias("_slots"),
             F.sort_array(F.transform(firsts, lambda x: x["slot"])).alias("_firsts"),
             F.sort_array(F.transform(uniques, lambda x: x["slot"])).alias("_uniques"),
@@ -73,7 +76,9 @@ def _with_cells(tables: DataFrame) -> DataFrame:
     )
 
 
-def _hash_picks(slots: DataFrame, seed: int, counts: Mapping[str, int]) -> DataFrame:
+def _hash_picks(
+    slots: DataFrame, seed: int, counts: Mapping[str, int], keep: Sequence[str]
+) -> DataFrame:
     table = F.col("table_id")
     drawn, uniques = F.col("_drawn"), F.col("_uniques")
     ambiguous = F.col("_ambiguous")
@@ -97,7 +102,7 @@ def _hash_picks(slots: DataFrame, seed: int, counts: Mapping[str, int]) -> DataF
         ).otherwise(d),
     )
     return with_spares.select(
-        "table_id", "header", "rows", "n_rows", "n_cols",
+        *keep, *_BASE,
         pick(seed, table, "cell", F.col("_slots"), counts["cell_lookup"]).alias("_cells"),
         F.filter(replaced, lambda d: d.isNotNull()).alias("_values"),
         pick(seed, table, "row", indexes(F.col("n_rows")), counts["row_retrieval"]).alias("_rows"),
@@ -129,7 +134,9 @@ def _draw(
     }
 
 
-def _mt_picks(slots: DataFrame, seed: int, counts: Mapping[str, int]) -> DataFrame:
+def _mt_picks(
+    slots: DataFrame, seed: int, counts: Mapping[str, int], keep: Sequence[str]
+) -> DataFrame:
     counts = dict(counts)
 
     @F.pandas_udf(_PICKS)
@@ -145,7 +152,7 @@ def _mt_picks(slots: DataFrame, seed: int, counts: Mapping[str, int]) -> DataFra
 
     picks = draw("table_id", "_slots", "_firsts", "_uniques", "n_rows", "n_cols")
     return slots.withColumn("_p", picks).select(
-        "table_id", "header", "rows", "n_rows", "n_cols",
+        *keep, *_BASE,
         *[F.col(f"_p.{name}").alias(f"_{name}") for name in ("cells", "values", "rows", "cols")],
     )
 
@@ -156,6 +163,7 @@ def generate_tasks(
     counts: Mapping[str, int] = fixed.TASKS_PER_TABLE,
     sampler: str = "hash",
     kinds: Sequence[str] = tuple(fixed.TASKS_PER_TABLE),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """(table_id, task_seq, task, question, gold, n_rows, n_cols); no shuffle.
 
@@ -163,11 +171,13 @@ def generate_tasks(
     ``hash`` ranks by md5(seed:table:kind:item), all on the JVM side; ``mt19937``
     draws the same number of items with the standard library's generator, in the
     order cells, values, rows, columns, to reproduce earlier runs. ``kinds`` restricts
-    the output; what the other kinds need is not computed.
+    the output; what the other kinds need is not computed. ``keep`` names further table
+    columns to carry along.
     """
     if sampler not in ("hash", "mt19937"):
         raise ValueError(f"Unknown sampler: {sampler}")
-    picked = (_hash_picks if sampler == "hash" else _mt_picks)(_with_cells(tables), seed, counts)
+    choose = _hash_picks if sampler == "hash" else _mt_picks
+    picked = choose(_with_cells(tables, keep), seed, counts, keep)
     header, rows, n_cols = F.col("header"), F.col("rows"), F.col("n_cols")
 
     def row_of(slot: Column) -> Column:
@@ -214,9 +224,15 @@ def generate_tasks(
         "col_retrieval": F.transform("_cols", column_task),
     }
     repeated = F.concat(*[tasks for kind, tasks in by_kind.items() if kind in kinds])
-    return picked.select(
-        "table_id", "n_rows", "n_cols", F.posexplode(repeated).alias("task_seq", "t")
-    ).select("table_id", "task_seq", "t.task", "t.question", "t.gold", "n_rows", "n_cols")
+    # Outer, then without the empty ones: a plain explode adds a filter on the array's
+    # size, which would run all of the above a second time.
+    return (
+        picked.select(
+            *keep, "table_id", "n_rows", "n_cols", F.posexplode_outer(repeated).alias("task_seq", "t")
+        )
+        .filter(F.col("t").isNotNull())
+        .select("table_id", "task_seq", "t.task", "t.question", "t.gold", "n_rows", "n_cols", *keep)
+    )
 
 
 def tasks_by_table(tasks: DataFrame) -> DataFrame:

@@ -27,7 +27,12 @@ from tabprobe.operators import markup as marks
 from tabprobe.operators import summary as summaries
 from tabprobe.operators.conversations import render_conversations
 from tabprobe.operators.numbering import number_rows
-from tabprobe.operators.serialise import build_instances, question_instances, serialise_tables
+from tabprobe.operators.serialise import (
+    build_instances,
+    generate_instances,
+    question_instances,
+    serialise_tables,
+)
 from tabprobe.operators.tasks import generate_tasks, unique_values, value_positions
 from tabprobe.plans.jobs import judge
 from tabprobe.session import shared_folder
@@ -234,15 +239,16 @@ def _prompt_digest(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _order_prompts(spark, sf_dir, kinds, formats, **options) -> DataFrame:
-    tables = order_tables(spark, sf_dir)
-    tasks = generate_tasks(tables, kinds=kinds)
-    return prompts.build_prompts(
-        build_instances(tasks, tables, formats, co_located=True), formats=formats, **options
-    )
+    instances = generate_instances(order_tables(spark, sf_dir), formats, kinds=kinds)
+    return prompts.build_prompts(instances, formats=formats, **options)
 
 
 def prompts_zero_shot(spark, sf_dir):
-    built = _order_prompts(spark, sf_dir, ["size_detection", "row_retrieval"], ZERO_SHOT_FORMATS)
+    """Stored tasks joined to their tables."""
+    tables = order_tables(spark, sf_dir)
+    tasks = generate_tasks(tables, kinds=["size_detection", "row_retrieval"])
+    instances = build_instances(tasks, tables, ZERO_SHOT_FORMATS, co_located=True)
+    built = prompts.build_prompts(instances, formats=ZERO_SHOT_FORMATS)
     return _prompt_digest(built, "table_id", "task_seq", "fmt")
 
 
@@ -350,9 +356,8 @@ SELECT_N = 150
 def select_until_n(spark, sf_dir):
     """Tables scanned until 150 fit 700 tokens, with their report."""
     tables = order_tables(spark, sf_dir)
-    tasks = generate_tasks(tables, kinds=["size_detection"])
     sized = prompts.build_prompts(
-        build_instances(tasks, tables, ["html", "col_sep"], co_located=True)
+        generate_instances(tables, ["html", "col_sep"], kinds=["size_detection"])
     )
     report = selection.budget_report(sized, SELECT_BUDGET, tables)
     return selection.scanned_until(report, SELECT_N)
