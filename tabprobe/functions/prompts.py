@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import partial
 
 from pyspark.sql import Column
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
 from tabprobe.functions.formats import format_table
-from tabprobe.functions.text import fill, strip
+from tabprobe.functions.text import fill, fill_count, strip, token_count
 
 
 def is_list_task(task: Column) -> Column:
@@ -32,29 +32,39 @@ def max_new_tokens(is_list: Column) -> Column:
     )
 
 
+def _by_kind(is_list: Column, make: Callable[..., Column], **values: Column) -> Column:
+    return F.when(is_list, make(fixed.LIST_TEMPLATE, **values)).otherwise(
+        make(fixed.QA_TEMPLATE, **values)
+    )
+
+
 def zero_shot_body(table_text: Column, question: Column, is_list: Column) -> Column:
-    return F.when(
-        is_list, fill(fixed.LIST_TEMPLATE, table_text=table_text, question=question)
-    ).otherwise(fill(fixed.QA_TEMPLATE, table_text=table_text, question=question))
+    return _by_kind(is_list, fill, table_text=table_text, question=question)
+
+
+def zero_shot_tokens(text_tokens: Column, question: Column, is_list: Column) -> Column:
+    """Tokens of ``zero_shot_body`` by the built-in pattern, given those of the table."""
+    return _by_kind(is_list, fill_count, table_text=text_tokens, question=token_count(question))
+
+
+def _cases(value: Column, results: Mapping[str, Column], default: str | None = None) -> Column:
+    names = list(results)
+    chain = F.when(value == names[0], results[names[0]])
+    for name in names[1:]:
+        chain = chain.when(value == name, results[name])
+    return chain.otherwise(results[default]) if default else chain
 
 
 def example_table(fmt: Column, formats: Sequence[str]) -> Column:
     """The worked example's table in the row's own format; only that branch runs."""
     header = F.array(*[F.lit(h) for h in fixed.EXAMPLE_HEADER])
     rows = F.array(*[F.array(*[F.lit(v) for v in row]) for row in fixed.EXAMPLE_ROWS])
-    chain: Column | None = None
-    for name in formats:
-        text = format_table(name, header, rows)
-        chain = F.when(fmt == name, text) if chain is None else chain.when(fmt == name, text)
-    return chain
+    return _cases(fmt, {name: format_table(name, header, rows) for name in formats})
 
 
-def _example_part(task: Column, part: int) -> Column:
-    chain: Column | None = None
-    for name, qa in fixed.EXAMPLE_QA.items():
-        value = F.lit(qa[part])
-        chain = F.when(task == name, value) if chain is None else chain.when(task == name, value)
-    return chain.otherwise(F.lit(fixed.EXAMPLE_QA[fixed.EXAMPLE_DEFAULT_TASK][part]))
+def _example_part(task: Column, part: int, shape: Callable[[Column], Column] = lambda c: c) -> Column:
+    values = {name: shape(F.lit(qa[part])) for name, qa in fixed.EXAMPLE_QA.items()}
+    return _cases(task, values, default=fixed.EXAMPLE_DEFAULT_TASK)
 
 
 def one_shot_body(
@@ -80,6 +90,24 @@ def one_shot_body(
     )
 
 
+def one_shot_tokens(
+    text_tokens: Column,
+    question: Column,
+    task: Column,
+    fmt: Column,
+    is_list: Column,
+    formats: Sequence[str],
+) -> Column:
+    example = _by_kind(
+        is_list,
+        fill_count,
+        table_text=token_count(example_table(fmt, formats)),
+        question=_example_part(task, 0, token_count),
+    )
+    answer = _example_part(task, 1, token_count)
+    return example + answer + zero_shot_tokens(text_tokens, question, is_list)
+
+
 def with_system(system: Column, content: Column) -> Column:
     return F.concat(F.lit("<<SYS>>\n"), system, F.lit("\n<</SYS>>\n\n"), content)
 
@@ -107,6 +135,11 @@ def plain_chat(body: Column, system: str | None = fixed.SYSTEM_PROMPT) -> Column
 CHAT_LAYOUTS: dict[str, Callable[..., Column]] = {"bracket": bracket_chat, "plain": plain_chat}
 
 
+def layout_tokens(chat: str) -> Column:
+    """Tokens that a chat layout adds to a body: a constant."""
+    return token_count(CHAT_LAYOUTS[chat](F.lit("")))
+
+
 def _judge_template(template: str, task: Column, question: Column, gold: Column, prediction: Column) -> Column:
     return fill(template, task=task, question=question, gold=gold, prediction=prediction)
 

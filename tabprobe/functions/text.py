@@ -55,6 +55,21 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*pieces)
 
 
+def fill_count(template: str, **counts: Column) -> Column:
+    """Token count of a filled template from the counts of its values.
+
+    Holds for templates whose literal text separates the values by blanks or
+    punctuation, so that no token spans a seam. The literals' counts fold to a constant.
+    """
+    total = F.lit(0)
+    for literal, field, _spec, _conversion in Formatter().parse(template):
+        if literal:
+            total = total + token_count(F.lit(literal))
+        if field is not None:
+            total = total + counts[field]
+    return total
+
+
 def fill_dynamic(template: Column, **values: Column) -> Column:
     """Fill templates that come from the data, one template per row.
 

@@ -20,22 +20,35 @@ def build_prompts(
     chat: str | Callable[[Column], Column] = "bracket",
     count_tokens: Callable[[Column], Column] = token_count,
 ) -> DataFrame:
-    """Add is_list, stop_strings, max_new_tokens, prompt, prompt_tokens; map-only."""
+    """Add is_list, stop_strings, max_new_tokens, prompt, prompt_tokens; map-only.
+
+    With the built-in token count and instances that carry ``text_tokens``, the count is
+    the sum of the parts' counts: a table's text is then measured once, not once per task.
+    """
     render = P.CHAT_LAYOUTS[chat] if isinstance(chat, str) else chat
     is_list = P.is_list_task(F.col("task"))
-    text, question = F.col("table_text"), F.col("question")
+    text, question, measured = F.col("table_text"), F.col("question"), F.col("text_tokens")
+    shot = (F.col("task"), F.col("fmt"), is_list, formats)
     if one_shot:
-        body = P.one_shot_body(text, question, F.col("task"), F.col("fmt"), is_list, formats)
+        body = P.one_shot_body(text, question, *shot)
     else:
         body = P.zero_shot_body(text, question, is_list)
-    return instances.withColumns(
+    built = instances.withColumns(
         {
             "is_list": is_list,
             "stop_strings": P.stop_strings(is_list),
             "max_new_tokens": P.max_new_tokens(is_list),
             "prompt": render(body),
         }
-    ).withColumn("prompt_tokens", count_tokens(F.col("prompt")))
+    )
+    additive = count_tokens is token_count and isinstance(chat, str)
+    if not (additive and "text_tokens" in instances.columns):
+        return built.withColumn("prompt_tokens", count_tokens(F.col("prompt")))
+    if one_shot:
+        tokens = P.one_shot_tokens(measured, question, *shot)
+    else:
+        tokens = P.zero_shot_tokens(measured, question, is_list)
+    return built.withColumn("prompt_tokens", tokens + P.layout_tokens(chat)).drop("text_tokens")
 
 
 def judge_prompts(

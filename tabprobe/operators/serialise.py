@@ -9,17 +9,27 @@ from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
 from tabprobe.functions.formats import FORMATS, format_table
+from tabprobe.functions.text import token_count
 from tabprobe.operators.tasks import generate_tasks
 
 
-def _texts(formats: Sequence[str]) -> Column:
+def _texts(formats: Sequence[str], measure: bool = False) -> Column:
     header, rows = F.col("header"), F.col("rows")
-    return F.array(
+    texts = F.array(
         *[
             F.struct(F.lit(f).alias("fmt"), format_table(f, header, rows).alias("table_text"))
             for f in formats
         ]
     )
+    if not measure:
+        return texts
+    return F.transform(
+        texts, lambda s: s.withField("text_tokens", token_count(s["table_text"]))
+    )
+
+
+def _text_columns(measure: bool) -> list[str]:
+    return ["s.fmt", "s.table_text", *(["s.text_tokens"] if measure else [])]
 
 
 def _each_text(texts: Column | str) -> Column:
@@ -36,34 +46,43 @@ def serialise_tables(tables: DataFrame, formats: Sequence[str] = tuple(FORMATS))
 
 
 def build_instances(
-    tasks: DataFrame, tables: DataFrame, formats: Sequence[str], co_located: bool = False
+    tasks: DataFrame,
+    tables: DataFrame,
+    formats: Sequence[str],
+    co_located: bool = False,
+    measure: bool = True,
 ) -> DataFrame:
     """Tasks x formats with the table text; tasks of unknown tables drop out.
 
     Raw tables are shuffled by id and turned into text after that, so the network
     carries each table once instead of once per format. ``co_located`` says that the
     tables already lie by table_id (bucketed table, or the result of a group by).
+    ``measure`` adds ``text_tokens``, the built-in token count, once per text.
     """
     placed = tables if co_located else tables.repartition("table_id")
-    texts = placed.select("table_id", _texts(formats).alias("_texts"))
+    texts = placed.select("table_id", _texts(formats, measure).alias("_texts"))
     joined = tasks.join(texts, "table_id")
     return joined.select(*tasks.columns, _each_text("_texts")).select(
-        *tasks.columns, "s.fmt", "s.table_text"
+        *tasks.columns, *_text_columns(measure)
     )
 
 
-def generate_instances(tables: DataFrame, formats: Sequence[str], **task_options) -> DataFrame:
+def generate_instances(
+    tables: DataFrame, formats: Sequence[str], measure: bool = True, **task_options
+) -> DataFrame:
     """Tasks of the tables times formats, straight from the table rows: no join, no shuffle.
 
     ``task_options`` as in ``tasks.generate_tasks``.
     """
-    with_texts = tables.withColumn("_texts", _texts(formats))
+    with_texts = tables.withColumn("_texts", _texts(formats, measure))
     tasks = generate_tasks(with_texts, keep=["_texts"], **task_options)
     columns = [c for c in tasks.columns if c != "_texts"]
-    return tasks.select(*columns, _each_text("_texts")).select(*columns, "s.fmt", "s.table_text")
+    return tasks.select(*columns, _each_text("_texts")).select(*columns, *_text_columns(measure))
 
 
-def question_instances(tables: DataFrame, formats: Sequence[str]) -> DataFrame:
+def question_instances(
+    tables: DataFrame, formats: Sequence[str], measure: bool = True
+) -> DataFrame:
     """One instance per table and format for the tables' own questions; map-only."""
     return tables.select(
         "table_id",
@@ -73,9 +92,9 @@ def question_instances(tables: DataFrame, formats: Sequence[str]) -> DataFrame:
         "answers",
         F.size("rows").alias("n_rows"),
         F.size("header").alias("n_cols"),
-        _each_text(_texts(formats)),
+        _each_text(_texts(formats, measure)),
     ).select(
-        "table_id", "task", "s.fmt", "question", "gold", "answers", "n_rows", "n_cols", "s.table_text"
+        "table_id", "task", "question", "gold", "answers", "n_rows", "n_cols", *_text_columns(measure)
     )
 
 

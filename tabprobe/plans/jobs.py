@@ -85,9 +85,10 @@ def select_tables(
     count_tokens: Callable[[Column], Column] = token_count,
 ) -> tuple[DataFrame, DataFrame]:
     """(selected, diagnostics): the first tables all of whose prompts fit."""
-    sized = prompts.build_prompts(
-        serialise.build_instances(tasks, tables, formats), count_tokens=count_tokens
-    ).select("table_id", "task", "fmt", "prompt_tokens")
+    instances = serialise.build_instances(
+        tasks, tables, formats, measure=count_tokens is token_count
+    )
+    sized = prompts.build_prompts(instances, count_tokens=count_tokens).select("table_id", "task", "fmt", "prompt_tokens")
     report = selection.budget_report(sized, max_tokens, tables)
     scanned = selection.diagnostics(selection.scanned_until(report, n_tables), sized, max_tokens)
     return selection.first_complete(report, n_tables), scanned
@@ -111,10 +112,11 @@ def target_prompts(
         kept = selection.keep_listed(tables, selected)
     else:
         kept = ingest.first_tables(tables, n_tables)
+    measure = count_tokens is token_count
     if tasks is None:
-        instances = serialise.question_instances(kept, formats)
+        instances = serialise.question_instances(kept, formats, measure)
     else:
-        instances = serialise.build_instances(tasks, kept, formats)
+        instances = serialise.build_instances(tasks, kept, formats, measure=measure)
     return prompts.build_prompts(instances, one_shot, formats, chat, count_tokens)
 
 
