@@ -128,6 +128,17 @@ def word_offsets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(row, minlength=len(texts)), bounds
 
 
+def _tokenised(texts: list[str | None], tokenize: Callable | None) -> pa.Array:
+    known = [t for t in texts if t is not None]
+    if tokenize:
+        found = iter(tokenize(known))
+        return _pack([None if t is None else next(found) for t in texts])
+    missing = np.array([t is None for t in texts], dtype=bool)
+    lengths = np.zeros(len(texts), dtype=np.int64)
+    lengths[~missing], bounds = word_offsets(known)
+    return _span_lists(lengths, bounds, missing)
+
+
 def token_offsets(text: Column, make_tokenizer: Callable[[], Callable] | None = None) -> Column:
     """Token offsets by ``TOKEN_PATTERN``, or by a pluggable tokenizer.
 
@@ -139,16 +150,7 @@ def token_offsets(text: Column, make_tokenizer: Callable[[], Callable] | None =
     def offsets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenize = make_tokenizer() if make_tokenizer else None
         for batch in batches:
-            texts = batch.to_pylist()
-            known = [t for t in texts if t is not None]
-            if tokenize:
-                found = iter(tokenize(known))
-                yield _pack([None if t is None else next(found) for t in texts])
-            else:
-                missing = np.array([t is None for t in texts], dtype=bool)
-                lengths = np.zeros(len(texts), dtype=np.int64)
-                lengths[~missing], bounds = word_offsets(known)
-                yield _span_lists(lengths, bounds, missing)
+            yield _tokenised(batch.to_pylist(), tokenize)
 
     return offsets(text)
 
@@ -181,6 +183,38 @@ def overlapping(tokens: pa.ListArray, spans: pa.ListArray) -> pa.Array:
     )
 
 
+def markup_tokens(
+    prompt: Column, start: Column, length: Column, fmt: str,
+    make_tokenizer: Callable[[], Callable] | None = None,
+) -> Column:
+    """struct<n_tokens, positions>: the tokens of a prompt, and which of them are markup.
+
+    The table's text is the ``length`` characters from ``start``; a negative start gives
+    NULL positions. Tokens and spans stay inside the worker: only the positions return.
+    """
+    _check(fmt)
+
+    @F.arrow_udf("struct<n_tokens:int,positions:array<int>>")
+    def locate(
+        batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]],
+    ) -> Iterator[pa.Array]:
+        tokenize = make_tokenizer() if make_tokenizer else None
+        for prompts, starts, lengths in batches:
+            texts = prompts.to_pylist()
+            spans = [
+                None
+                if text is None or at is None or at < 0
+                else [(a + at, b + at) for a, b in _spans(fmt, text[at : at + n])]
+                for text, at, n in zip(texts, starts.to_pylist(), lengths.to_pylist())
+            ]
+            tokens = _tokenised(texts, tokenize)
+            yield pa.StructArray.from_arrays(
+                [tokens.value_lengths(), overlapping(tokens, _pack(spans))], names=["n_tokens", "positions"]
+            )
+
+    return locate(prompt, start, length)
+
+
 def counted_tokens(text: Column, make_counter: Callable[[], Callable]) -> Column:
     """Token counts by a pluggable tokenizer; ``make_counter()`` runs once per worker task."""
 
@@ -199,6 +233,7 @@ __all__ = [
     "counted_tokens",
     "markup_length",
     "markup_spans",
+    "markup_tokens",
     "overlapping",
     "shift_spans",
     "token_offsets",

@@ -17,6 +17,7 @@ from tabprobe.functions.picks import indexes
 from tabprobe.functions.text import pipe_key, seeded_digest
 
 SEGMENT = 64
+ABSENT = "Serialized table was not found in the rendered prompt"
 
 
 def markup_sizes(texts: DataFrame, fmt: str, text: str = "table_text") -> DataFrame:
@@ -34,7 +35,7 @@ def prompt_markup(prompts: DataFrame, fmt: str) -> DataFrame:
     )
     missing = F.when(
         F.instr(F.col("prompt"), F.col("table_text")) == 0,
-        F.lit("Serialized table was not found in the rendered prompt"),
+        F.lit(ABSENT),
     )
     return prompts.withColumns({"spans": spans, "error": missing})
 
@@ -168,16 +169,22 @@ def control_positions(
 ) -> DataFrame:
     """Token positions of the markup and of its random controls, per prompt and job.
 
-    Tokens, spans and their overlap are computed once per prompt, before the jobs
+    Tokens and their overlap with the markup are found once per prompt, before the jobs
     multiply the rows.
     """
-    marked = prompt_markup(prompts, fmt).withColumn(
-        "_tokens", M.token_offsets(F.col("prompt"), make_tokenizer)
+    start = F.instr(F.col("prompt"), F.col("table_text")) - 1
+    located = prompts.select(
+        *fixed.INSTANCE_KEY,
+        M.markup_tokens(
+            F.col("prompt"), start, F.length("table_text"), fmt, make_tokenizer
+        ).alias("_found"),
+    )
+    slim = located.select(
+        *fixed.INSTANCE_KEY,
+        F.col("_found.positions").alias("_marked"),
+        F.col("_found.n_tokens").alias("_length"),
+        F.when(F.col("_found.positions").isNull(), F.lit(ABSENT)).alias("error"),
     )
-    located = marked.withColumn(
-        "_marked", markup_token_positions(F.col("_tokens"), F.col("spans"))
-    ).withColumn("_length", F.size("_tokens"))
-    slim = located.select(*fixed.INSTANCE_KEY, "_marked", "_length", "error")
     expanded = jobs(slim)
     drawn = random_positions(
         F.col("_length"), F.size("_marked"), F.coalesce("random_seed", F.lit(0)), instance_key(), sampler

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
+from tabprobe.session import ensure_checkpoints
 
 UNLISTED = 10**9
 
@@ -72,6 +73,16 @@ def budget_report(prompts: DataFrame, max_tokens: int, tables: DataFrame | None
     ).withColumn("all_complete", F.col("n_failing_instances") == 0)
 
 
+def settle(report: DataFrame) -> DataFrame:
+    """The report, computed once: one slim row per table in the shared checkpoint folder.
+
+    Finding the n-th complete table and listing what was scanned both read it; without
+    this, every prompt would be built twice.
+    """
+    ensure_checkpoints(report.sparkSession)
+    return report.checkpoint()
+
+
 def first_complete(report: DataFrame, n: int) -> DataFrame:
     """The first n tables, by pos, whose prompts all fit."""
     return report.filter("all_complete").orderBy("pos").limit(max(n, 0))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.extract import extract_list, extract_scalar
 from tabprobe.functions.formats import FORMATS
-from tabprobe.functions.markup import markup_spans, token_offsets
+from tabprobe.functions.markup import markup_length, markup_spans, markup_tokens, token_offsets
 from tabprobe.functions.text import (
     escape_newlines,
     fill_dynamic,
@@ -359,7 +359,7 @@ def select_until_n(spark, sf_dir):
     sized = prompts.build_prompts(
         generate_instances(tables, ["html", "col_sep"], kinds=["size_detection"])
     )
-    report = selection.budget_report(sized, SELECT_BUDGET, tables)
+    report = selection.settle(selection.budget_report(sized, SELECT_BUDGET, tables))
     return selection.scanned_until(report, SELECT_N)
 
 
@@ -560,8 +560,6 @@ def markup_html(spark, sf_dir):
 def markup_json_colsep(spark, sf_dir):
     texts = serialise_tables(order_tables(spark, sf_dir), ["json", "col_sep"])
     column = F.col("table_text")
-    from tabprobe.functions.markup import markup_length
-
     size = F.when(F.col("fmt") == "json", markup_length(column, "json")).otherwise(
         markup_length(column, "col_sep")
     )
@@ -597,10 +595,11 @@ def token_overlap(spark, sf_dir):
 def token_positions(spark, sf_dir):
     """The same tokens without a join, inside each text."""
     texts = serialise_tables(order_tables(spark, sf_dir), ["col_sep"])
-    positions = marks.markup_token_positions(
-        token_offsets(F.col("table_text")), markup_spans(F.col("table_text"), "col_sep")
+    text = F.col("table_text")
+    found = texts.select(
+        "table_id", markup_tokens(text, F.lit(0), F.length(text), "col_sep")["positions"].alias("p")
     )
-    return texts.withColumn("p", positions).select(
+    return found.select(
         "table_id",
         F.size("p").cast("bigint").alias("n_markup_tokens"),
         F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_token_idx"),

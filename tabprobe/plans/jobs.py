@@ -89,7 +89,7 @@ def select_tables(
         tasks, tables, formats, measure=count_tokens is token_count
     )
     sized = prompts.build_prompts(instances, count_tokens=count_tokens).select("table_id", "task", "fmt", "prompt_tokens")
-    report = selection.budget_report(sized, max_tokens, tables)
+    report = selection.settle(selection.budget_report(sized, max_tokens, tables))
     scanned = selection.diagnostics(selection.scanned_until(report, n_tables), sized, max_tokens)
     return selection.first_complete(report, n_tables), scanned
 
