@@ -189,7 +189,9 @@ def control_positions(
     drawn = random_positions(
         F.col("_length"), F.size("_marked"), F.coalesce("random_seed", F.lit(0)), instance_key(), sampler
     )
-    positions = F.when(F.col("patch_group") == fixed.FORMAT_GROUP, F.col("_marked")).otherwise(drawn)
+    positions = F.when(F.col("patch_group") == fixed.FORMAT_GROUP, F.col("_marked")).when(
+        F.col("_marked").isNotNull(), drawn
+    )
     return expanded.withColumn("positions", positions).select(
         *fixed.INSTANCE_KEY, "patch_group", "random_seed", "positions",
         F.size("positions").alias("patch_positions"), "error",

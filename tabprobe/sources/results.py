@@ -23,11 +23,10 @@ VERDICT_COLUMNS = [
     "table_id", "task", "fmt", "question", "gold", "target_field", "prediction_sent_to_judge",
     *fixed.VERDICT_FLAGS, "score", "reason", "raw_judge", *fixed.PASSTHROUGH_COLUMNS,
 ]
-_EMPTY = '""'
 _CSV = {
     "header": "true", "multiLine": "true", "quote": '"', "escape": '"',
-    # An empty string is written quoted and a NULL as nothing, so that both come back.
-    "emptyValue": _EMPTY, "nullValue": "",
+    # Empty strings are written quoted; NULL has its own mark, as in database dumps.
+    "emptyValue": "", "nullValue": "\\N",
 }
 
 
@@ -73,9 +72,8 @@ def read_predictions_csv(
 
 def write_predictions_csv(predictions: DataFrame, path: str) -> None:
     present = [c for c in PREDICTION_COLUMNS if c in predictions.columns]
-    predictions.select(*present).withColumn("raw", escape_newlines(F.col("raw"))).write.options(
-        **_CSV
-    ).mode("overwrite").csv(path)
+    rows = predictions.select(*present).withColumn("raw", escape_newlines(F.col("raw")))
+    rows.write.options(**_CSV).option("emptyValue", '""').mode("overwrite").csv(path)
 
 
 def append_predictions(
