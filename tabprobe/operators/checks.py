@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
+from tabprobe.operators.resume import pending
 
 
 def duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -30,7 +31,7 @@ def check_contract(df: DataFrame, id_column: str, rules: Mapping[str, Column]) -
 
 def missing_rows(expected: DataFrame, produced: DataFrame, key: Sequence[str]) -> DataFrame:
     """Expected keys without an output row."""
-    return expected.join(produced.select(*key).distinct(), list(key), "left_anti")
+    return pending(expected, produced, key)
 
 
 def enforce(report: DataFrame, expected_rows: int | None = None) -> None:

@@ -9,38 +9,47 @@ from pyspark.sql import functions as F
 
 from tabprobe.session import ensure_checkpoints
 
+_ROW_BITS = (1 << 33) - 1
+
 
 def number_rows(
     df: DataFrame, order_by: Sequence[str], key: Sequence[str] = (), name: str = "pos"
 ) -> DataFrame:
     """Add a zero-based position per key (or overall) in the order of ``order_by``.
 
-    The rows are range-partitioned by key and order, so one key may span many
-    partitions. Each partition numbers its own rows, and a running sum of the
-    per-partition counts (one slim row per key and partition) gives the offset.
-    The range layout is checkpointed: partition numbers must not change between
-    the two passes, also when an executor is lost.
+    A distributed sort by key and order, in which one key may span many partitions. A
+    row's place within its partition is known there; running sums of the partitions'
+    counts, one slim row per key and partition, supply the offset. The sorted rows are
+    checkpointed with their places, which therefore hold for both passes, also when an
+    executor is lost.
     """
     ensure_checkpoints(df.sparkSession)
     key = list(key)
-    laid_out = (
-        df.repartitionByRange(*[F.col(c) for c in [*key, *order_by]])
-        .withColumn("_part", F.spark_partition_id())
+    order = [F.col(c) for c in [*key, *order_by]]
+    placed = (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id())
+        .withColumns(
+            {"_part": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit(_ROW_BITS))}
+        )
+        .drop("_at", name)
         .checkpoint()
     )
     group = [*key, "_part"]
-    counts = laid_out.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    counts = placed.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")
+    )
     before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    local = Window.partitionBy(*group).orderBy(*order_by)
-    numbered = laid_out.withColumn("_local", F.row_number().over(local) - 1)
-    joined = numbered.alias("r").join(
-        offsets.alias("o"),
-        [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in group],
+        *[F.col(c).alias(f"_g_{c}") for c in group],
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"),
     )
-    return joined.select(
-        *[F.col(f"r.{c}") for c in df.columns if c != name],
-        (F.col("r._local") + F.col("o._offset")).alias(name),
+    if not key:
+        # One row per partition of the sort.
+        offsets = F.broadcast(offsets)
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]
+    return placed.join(offsets, same).select(
+        *[c for c in df.columns if c != name],
+        (F.col("_place") + F.col("_offset")).alias(name),
     )

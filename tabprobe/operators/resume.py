@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
-from tabprobe.functions.text import row_key
+from tabprobe.functions.text import row_key, unescape_newlines
+from tabprobe.operators.skew import join_unique
 
 
 def _keyed(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -16,8 +17,7 @@ def _keyed(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def _keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    # distinct() combines map-side, so a key repeated millions of times is sent once per
-    # task, and the join reuses its partitioning.
+    # distinct() combines map-side, so a key repeated millions of times is sent once per task.
     return _keyed(df, key).select("_key").distinct()
 
 
@@ -25,14 +25,14 @@ def pending(
     target: DataFrame, done: DataFrame, key: Sequence[str] = tuple(fixed.INSTANCE_KEY)
 ) -> DataFrame:
     """Target rows whose key is not done yet (null-safe)."""
-    return _keyed(target, key).join(_keys(done, key), "_key", "left_anti").drop("_key")
+    return join_unique(_keyed(target, key), _keys(done, key), "_key", "left_anti").drop("_key")
 
 
 def keep_wanted(
     existing: DataFrame, target: DataFrame, key: Sequence[str] = tuple(fixed.INSTANCE_KEY)
 ) -> DataFrame:
     """Existing rows that are still in the target set."""
-    return _keyed(existing, key).join(_keys(target, key), "_key", "left_semi").drop("_key")
+    return join_unique(_keyed(existing, key), _keys(target, key), "_key", "left_semi").drop("_key")
 
 
 def carry_over(
@@ -67,8 +67,6 @@ def merge_latest(versions: DataFrame, key: Sequence[str], version: Sequence[str]
 
 def judgeable(predictions: DataFrame, target_field: str = "raw", unescape: bool = False) -> DataFrame:
     """Rows a judge should see: everything but those marked as skipped."""
-    from tabprobe.functions.text import unescape_newlines
-
     column = F.col(target_field).cast("string")
     if unescape:
         predictions = predictions.withColumn(target_field, unescape_newlines(column))
@@ -77,8 +75,8 @@ def judgeable(predictions: DataFrame, target_field: str = "raw", unescape: bool
 
 def run_counts(target: DataFrame, done: DataFrame, key: Sequence[str], target_field: str = "raw") -> DataFrame:
     """One row: total, pending and skipped rows of the target."""
-    counted = _keyed(target, key).join(
-        _keys(done, key).withColumn("_done", F.lit(True)), "_key", "left"
+    counted = join_unique(
+        _keyed(target, key), _keys(done, key).withColumn("_done", F.lit(True)), "_key", "left"
     )
     is_pending = F.col("_done").isNull()
     skipped = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabprobe import fixed_values as fixed
 from tabprobe.functions.formats import FORMATS, format_table
 from tabprobe.functions.text import token_count
+from tabprobe.operators.skew import join_unique
 from tabprobe.operators.tasks import generate_tasks
 
 
@@ -55,13 +56,18 @@ def build_instances(
     """Tasks x formats with the table text; tasks of unknown tables drop out.
 
     Raw tables are shuffled by id and turned into text after that, so the network
-    carries each table once instead of once per format. ``co_located`` says that the
-    tables already lie by table_id (bucketed table, or the result of a group by).
+    carries each table once instead of once per format. A table with very many tasks is
+    joined in several pieces. ``co_located`` says that both sides already lie by table_id
+    with a handful of tasks per table (bucketed tables, or tasks just generated).
     ``measure`` adds ``text_tokens``, the built-in token count, once per text.
     """
-    placed = tables if co_located else tables.repartition("table_id")
-    texts = placed.select("table_id", _texts(formats, measure).alias("_texts"))
-    joined = tasks.join(texts, "table_id")
+    if co_located:
+        texts = tables.select("table_id", _texts(formats, measure).alias("_texts"))
+        joined = tasks.join(texts, "table_id")
+    else:
+        placed = tables.repartition("table_id")
+        texts = placed.select("table_id", _texts(formats, measure).alias("_texts"))
+        joined = join_unique(tasks, texts, "table_id")
     return joined.select(*tasks.columns, _each_text("_texts")).select(
         *tasks.columns, *_text_columns(measure)
     )

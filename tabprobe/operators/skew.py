@@ -1,0 +1,48 @@
+"""Joins in which one key may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 200_000
+_TRACKED = 100
+
+
+def hot_values(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> dict[int, int]:
+    """Hashes of the most frequent keys, with their row counts, if above ``hot_rows``.
+
+    One pass over the key column with a frequent-items sketch: it combines map-side and
+    returns at most a hundred items, whatever the size of the data. The counts are
+    approximate, which can only change how evenly rows are spread, never the result.
+    """
+    frequent = F.call_function("approx_top_k", F.xxhash64(key), F.lit(_TRACKED))
+    top = df.agg(frequent.alias("top")).first()["top"] or []
+    return {entry["item"]: entry["count"] for entry in top if entry["count"] > hot_rows}
+
+
+def _pieces(key: str, hot: dict[int, int], hot_rows: int) -> Column:
+    """Number of pieces a key is split into: one, unless it is hot."""
+    entries = [F.lit(x) for item, n in hot.items() for x in (item, -(-n // hot_rows))]
+    return F.coalesce(F.try_element_at(F.create_map(*entries), F.xxhash64(key)), F.lit(1)).cast("int")
+
+
+def join_unique(
+    many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``many.join(one, key, how)`` for a right side with at most one row per key.
+
+    Rows of hot keys are dealt out over several pieces and the single right row is
+    repeated for each of them, so no task receives a whole hot key. ``how`` may be inner,
+    left, left_semi or left_anti. Without hot keys this is the plain join.
+    """
+    hot = hot_values(many, key, hot_rows)
+    if not hot:
+        return many.join(one, key, how)
+    pieces = _pieces(key, hot, hot_rows)
+    # Partition number plus row content: the same when a task is repeated, and it also
+    # spreads rows that are copies of each other.
+    dealt = F.pmod(F.spark_partition_id() + F.xxhash64(*many.columns), pieces).cast("int")
+    left = many.withColumn("_piece", dealt)
+    right = one.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return left.join(right, [key, "_piece"], how).drop("_piece")

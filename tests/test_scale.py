@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.formats import FORMATS
 from tabprobe.functions.markup import markup_length, markup_spans, markup_tokens, token_offsets
-from tabprobe.operators import ingest, longform, markup, sampling
+from tabprobe.operators import ingest, longform, markup, resume, sampling
 from tabprobe.operators.numbering import number_rows
 from tabprobe.operators.serialise import serialise_tables
+from tabprobe.operators.skew import hot_values, join_unique
 from tests.test_prompts import HEAD
 
 
@@ -77,6 +78,27 @@ def test_long_form_of_one_column(spark):
     assert csv == 'v\r\n""\r\nx\r\nNone'
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_unique_splits_hot_keys(spark, skewed, how):
+    one = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 200, 2)], "k string, v int")
+    plain = skewed.join(one, "k", how)
+    split = join_unique(skewed, one, "k", how, hot_rows=50)
+    assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert "_piece" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert "_piece" not in join_unique(skewed, one, "k", how)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_copies_of_one_row_are_spread(spark):
+    copies = spark.range(0, 4000, 1, 8).select(F.lit("same").alias("k"))
+    hot = hot_values(copies, "k", 500)
+    assert list(hot.values()) == [4000]
+    one = spark.createDataFrame([("same", 1)], "k string, v int")
+    joined = join_unique(copies, one.hint("merge"), "k", hot_rows=500)
+    assert joined.count() == 4000
+    pending = resume.pending(copies, one.filter("v = 2").select("k"), ["k"])
+    assert pending.count() == 4000
+
+
 def test_samples(spark):
     tables = spark.createDataFrame([(f"t{i}", i) for i in range(100)], "table_id string, pos long").repartition(4)
     digest = sorted((hashlib.md5(f"7:t{i}".encode()).hexdigest(), f"t{i}") for i in range(100))[:10]
