@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tabprobe.functions.formats import FORMATS, format_table, json_string
+from tabprobe.functions.sql_functions import register_formats
 from tabprobe.operators.serialise import serialise_tables
 
 SCHEMA = "table_id string, pos long, header array<string>, rows array<array<string>>"
@@ -114,3 +115,23 @@ def test_text_formats_match_the_standard_library(spark, table):
     expected = [dict(zip(header, row)) for row in rows]
     assert found["json"] == json.dumps(expected, indent=2, ensure_ascii=False)
     assert len(found["md"]) >= len(rows) + 2
+
+
+SQL_CASES = [
+    (HEADER, ROWS),
+    (["a", "longer"], []),
+    (["a", "b"], [["1"], ["1", "2", "3"], []]),
+    (["x", "y", "x", ""], [["1", "2", "3", "4"], ["5", "6"]]),
+    (["a"], [[""], ["b"], [""]]),
+    (["année-1", "__", 'q"u'], [["é\\", 'b"\n\r\t', "c,\x0b\x1f\x0c"]]),
+]
+
+
+def test_sql_functions_give_the_same_texts(spark):
+    assert register_formats(spark) == [f"fmt_{f}" for f in FORMATS]
+    df = spark.createDataFrame([(str(i), i, h, r) for i, (h, r) in enumerate(SQL_CASES)], SCHEMA)
+    df.createOrReplaceTempView("some_tables")
+    for fmt in FORMATS:
+        sql = spark.sql(f"SELECT table_id, fmt_{fmt}(header, rows) AS t FROM some_tables").collect()
+        built = df.select("table_id", format_table(fmt, F.col("header"), F.col("rows"))).collect()
+        assert [tuple(r) for r in sql] == [tuple(r) for r in built], fmt
