@@ -132,14 +132,18 @@ def _md_format(columns: Sequence[str]) -> RowFormat:
     )
 
 
-def column_widths(df: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """Longest header or cell per key and column, at least three; maxima combine map-side."""
-    return df.groupBy(key).agg(
-        *[
+def _key_facts(numbered: DataFrame, columns: dict[str, Column], widths: bool) -> DataFrame:
+    """Per key: its last part and, for md, the longest header or cell per column (at least 3).
+
+    Maxima combine map-side, so one slim row per key and task is shuffled.
+    """
+    facts = [F.max("part").alias("_last")]
+    if widths:
+        facts += [
             F.greatest(F.lit(max(len(name), 3)), F.max(F.length(cell))).alias(f"_w{i}")
             for i, (name, cell) in enumerate(columns.items())
         ]
-    )
+    return numbered.groupBy("table_id").agg(*facts)
 
 
 def serialise_rows(
@@ -170,9 +174,7 @@ def serialise_rows(
         flat, [f"_o{i}" for i in range(len(order_by))], key=["table_id"], name="_n"
     ).withColumn("part", F.floor(F.col("_n") / part_rows))
     cells = {n: F.col(f"_c{i}") for i, n in enumerate(names)}
-    per_key = numbered.groupBy("table_id").agg(F.max("part").alias("_last"))
-    if "md" in formats:
-        per_key = per_key.join(column_widths(numbered, "table_id", cells), "table_id")
+    per_key = _key_facts(numbered, cells, widths="md" in formats)
 
     # One bounded group per part; the row texts need the widths only for md, so cells
     # travel once and every format is rendered from the collected part.

@@ -42,11 +42,15 @@ def prompt_markup(prompts: DataFrame, fmt: str) -> DataFrame:
 
 def explode_spans(df: DataFrame, key: Sequence[str], spans: str, index: str | None = None) -> DataFrame:
     """Array of spans to rows (key, [index,] start, end)."""
+    # Outer, then without the empty ones: a plain explode would first filter on the
+    # array's size, and compute the spans once more for it.
     if index is None:
-        rows = df.select(*key, F.explode(spans).alias("s"))
-        return rows.select(*key, F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    rows = df.select(*key, F.posexplode(spans).alias(index, "s"))
-    return rows.select(*key, index, F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+        rows = df.select(*key, F.explode_outer(spans).alias("s"))
+    else:
+        rows = df.select(*key, F.posexplode_outer(spans).alias(index, "s"))
+    return rows.filter(F.col("s").isNotNull()).select(
+        *[c for c in rows.columns if c != "s"], F.col("s.start").alias("start"), F.col("s.end").alias("end")
+    )
 
 
 def overlapping_tokens(
@@ -71,13 +75,7 @@ def overlapping_tokens(
     ).alias("m")
     condition = [F.col(f"t.{c}") == F.col(f"m.{c}") for c in [*key, "_segment"]]
     condition += [F.col("t.start") < F.col("m._end"), F.col("t.end") > F.col("m._start")]
-    touched = pieces.join(marks, condition, "left_semi")
-    # The first segment in which a token is found reports it; only crossing tokens need
-    # a comparison, the others lie in one segment.
-    inside = F.floor(F.col("start") / segment) == F.floor((F.col("end") - 1) / segment)
-    whole = touched.filter(inside).select(*tokens.columns)
-    crossing = touched.filter(~inside).select(*tokens.columns).distinct()
-    return whole.unionByName(crossing)
+    return pieces.join(marks, condition, "left_semi").select(*tokens.columns).distinct()
 
 
 def markup_token_positions(tokens: Column, spans: Column) -> Column:

@@ -112,13 +112,14 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _shown(tables: DataFrame) -> DataFrame:
+def _shown(tables: DataFrame, *more: Column) -> DataFrame:
     return tables.select(
         "table_id",
         F.size("rows").alias("n_rows"),
         F.size("header").alias("n_cols"),
         F.to_json("header").alias("header"),
         F.to_json("rows").alias("rows"),
+        *more,
     )
 
 
@@ -150,13 +151,8 @@ def parse_tables(spark, sf_dir):
         F.when(kind == 4, F.array(F.lit(" "))).otherwise(empty).alias("answer_text"),
         F.when(kind != 4, F.col("rows")[0][0]).alias("answer"),
     )
-    return _shown_records(ingest.parse_tables(raw, ["seq"], max_rows=3, max_cols=4))
-
-
-def _shown_records(tables: DataFrame) -> DataFrame:
-    return _shown(tables).join(
-        tables.select("table_id", "pos", "question", F.to_json("answers").alias("answers")), "table_id"
-    )
+    parsed = ingest.parse_tables(raw, ["seq"], max_rows=3, max_cols=4)
+    return _shown(parsed, F.col("pos"), F.col("question"), F.to_json("answers").alias("answers"))
 
 
 def cells(spark, sf_dir):
