@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabprobe.functions.text import let
+
 
 def ranked(seed: int, table_id: Column, kind: str, items: Column) -> Column:
     """``items`` (integers) in the order of md5(seed:table:kind:item), ties by item."""
-    digests = F.transform(
-        items,
-        lambda i: F.struct(
-            F.md5(F.concat_ws(":", F.lit(str(seed)), table_id, F.lit(kind), i.cast("string"))).alias("h"),
-            i.alias("i"),
-        ),
-    )
-    return F.transform(F.sort_array(digests), lambda x: x["i"])
+    def rank(prefix: Column) -> Column:
+        digests = F.transform(
+            items,
+            lambda i: F.struct(F.md5(F.concat(prefix, i.cast("string"))).alias("h"), i.alias("i")),
+        )
+        return F.transform(F.sort_array(digests), lambda x: x["i"])
+
+    return let(F.concat(F.lit(f"{seed}:"), table_id, F.lit(f":{kind}:")), rank)
 
 
 def pick(seed: int, table_id: Column, kind: str, items: Column, k: int) -> Column:

@@ -46,12 +46,13 @@ def _json_value(text: Column) -> Column:
 
 def parse_object(text: Column) -> Column:
     """Whole text, else first brace to last brace; other JSON values do not count."""
-    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     starts_object = F.ltrim(text, F.lit(_JSON_SPACE)).startswith("{")
-    return (
-        F.when(braces == "", F.lit(None).cast(_OBJECT))
-        .when(~starts_object & F.coalesce(_json_value(text), F.lit(False)), F.lit(None).cast(_OBJECT))
-        .otherwise(_strict_object(braces))
+    nothing = F.lit(None).cast(_OBJECT)
+    return let(
+        F.regexp_extract(text, r"(?s)\{.*\}", 0),
+        lambda braces: F.when(braces == "", nothing)
+        .when(~starts_object & F.coalesce(_json_value(text), F.lit(False)), nothing)
+        .otherwise(_strict_object(braces)),
     )
 
 

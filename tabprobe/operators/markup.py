@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabprobe import fixed_values as fixed
 from tabprobe.functions import markup as M
 from tabprobe.functions.picks import indexes
-from tabprobe.functions.text import pipe_key, seeded_digest
+from tabprobe.functions.text import let, pipe_key
 
 SEGMENT = 64
 ABSENT = "Serialized table was not found in the rendered prompt"
@@ -128,14 +128,15 @@ def random_positions(
     ``mt19937`` seeds the standard library's generator with the head of sha256(seed:key).
     """
     if sampler == "hash":
-        digests = F.transform(
-            indexes(n),
-            lambda p: F.struct(
-                seeded_digest(seed, F.concat(key, F.lit(":"), p.cast("string"))).alias("h"), p.alias("p")
-            ),
-        )
-        kept = F.slice(F.sort_array(digests), F.lit(1), F.greatest(count, F.lit(0)))
-        return F.sort_array(F.transform(kept, lambda x: x["p"]))
+        def chosen(prefix: Column) -> Column:
+            digests = F.transform(
+                indexes(n),
+                lambda p: F.struct(F.sha2(F.concat(prefix, p.cast("string")), 256).alias("h"), p.alias("p")),
+            )
+            kept = F.slice(F.sort_array(digests), F.lit(1), F.greatest(count, F.lit(0)))
+            return F.sort_array(F.transform(kept, lambda x: x["p"]))
+
+        return let(F.concat(seed.cast("string"), F.lit(":"), key, F.lit(":")), chosen)
     if sampler != "mt19937":
         raise ValueError(f"Unknown sampler: {sampler}")
 
