@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.prompts import assistant_turn, user_turn, with_system
+from tabprobe.operators.numbering import number_rows
 
 PART_TURNS = 1024
 
@@ -19,6 +20,7 @@ def render_conversations(
     bos: str = "<s>",
     eos: str = "</s>",
     part_turns: int = PART_TURNS,
+    renumber: bool = False,
 ) -> DataFrame:
     """(conv, part, prompt): the turns of a conversation, rendered and joined.
 
@@ -27,7 +29,12 @@ def render_conversations(
     conversation. Parts hold the turns with the same ``order div part_turns``, so no
     group exceeds that many turns; the prompt of a longer conversation is its parts
     in order. Ordinary conversations have the single part 0.
+
+    ``renumber`` counts the turns first, for orders that are no integers, leave large gaps
+    or repeat (copied turns are rendered as often as they occur).
     """
+    if renumber:
+        turns, order = number_rows(turns, [order, role, text], key=[conv], name="_turn"), "_turn"
     part = F.floor(F.col(order) / part_turns).alias("part")
     # The two first turns of each conversation; row_number() <= 2 is cut before the shuffle.
     first_two = Window.partitionBy(conv).orderBy(order)

@@ -235,9 +235,13 @@ def generate_tasks(
     )
 
 
-def tasks_by_table(tasks: DataFrame) -> DataFrame:
-    """One row per table with its tasks in order (their number per table is fixed)."""
+def tasks_by_table(tasks: DataFrame, part_tasks: int = 1000) -> DataFrame:
+    """(table_id, part, tasks): a table's tasks in order, at most ``part_tasks`` per row.
+
+    Generated tasks fit part 0; a table with very many stored tasks has more parts.
+    """
     fields = ["task_seq", "task", "question", "gold", "n_rows", "n_cols"]
-    return tasks.groupBy("table_id").agg(
+    part = F.floor(F.col("task_seq") / part_tasks).alias("part")
+    return tasks.groupBy("table_id", part).agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("tasks")
     )

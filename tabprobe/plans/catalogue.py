@@ -469,13 +469,15 @@ def run_counts(spark, sf_dir):
 
 
 def merge_last_wins(spark, sf_dir):
-    """Events twice, the second time with new values for two thirds of them."""
+    """Events twice: new values that are later for two thirds and stale for the rest."""
     e = read(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    again = e.filter(F.col("event_id") % 3 != 0).select(
-        "event_id", F.upper("event_type").alias("event_type"), (F.col("value") * 2).alias("value")
+    again = e.select(
+        "event_id",
+        F.upper("event_type").alias("event_type"),
+        (F.col("value") * 2).alias("value"),
+        F.when(F.col("event_id") % 3 != 0, 1).otherwise(-1).alias("version"),
     )
-    versions = e.withColumn("version", F.lit(0)).unionByName(again.withColumn("version", F.lit(1)))
-    return resume.merge_latest(versions, ["event_id"], ["version"])
+    return resume.merge_latest(e.withColumn("version", F.lit(0)).unionByName(again), ["event_id"], ["version"])
 
 
 def contract_checks(spark, sf_dir):

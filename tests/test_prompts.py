@@ -128,11 +128,20 @@ RENDERED = {
 }
 
 
-@pytest.mark.parametrize("part_turns", [1024, 3, 1])
-def test_conversations(spark, part_turns):
+@pytest.mark.parametrize("part_turns, renumber", [(1024, False), (3, False), (1, False), (1, True), (2, True)])
+def test_conversations(spark, part_turns, renumber):
     turns = spark.createDataFrame(CHAT, "conv_id long, turn long, role string, text string")
-    parts = render_conversations(turns, part_turns=part_turns).orderBy("conv_id", "part").collect()
+    rendered = render_conversations(turns, part_turns=part_turns, renumber=renumber)
+    parts = rendered.orderBy("conv_id", "part").collect()
     joined = {}
     for p in parts:
         joined[p.conv_id] = joined.get(p.conv_id, "") + p.prompt
     assert joined == RENDERED
+
+
+def test_copied_turns(spark):
+    turns = spark.range(0, 5000, 1, 8).select(
+        F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text")
+    )
+    parts = render_conversations(turns, renumber=True).orderBy("part").collect()
+    assert len(parts) == 5 and "".join(p.prompt for p in parts) == "<s>[INST] x [/INST]" * 5000
