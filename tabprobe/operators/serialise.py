@@ -14,13 +14,16 @@ from tabprobe.operators.skew import join_unique
 from tabprobe.operators.tasks import generate_tasks
 
 
-def _texts(formats: Sequence[str], measure: bool = False) -> Column:
+def _texts(formats: Sequence[str], measure: bool = False, wanted: Column | None = None) -> Column:
+    """Array of (fmt, table_text[, text_tokens]); formats that are not wanted stay NULL."""
     header, rows = F.col("header"), F.col("rows")
+
+    def text(fmt: str) -> Column:
+        built = format_table(fmt, header, rows)
+        return built if wanted is None else F.when(F.array_contains(wanted, fmt), built)
+
     texts = F.array(
-        *[
-            F.struct(F.lit(f).alias("fmt"), format_table(f, header, rows).alias("table_text"))
-            for f in formats
-        ]
+        *[F.struct(F.lit(f).alias("fmt"), text(f).alias("table_text")) for f in formats]
     )
     if not measure:
         return texts
@@ -29,6 +32,10 @@ def _texts(formats: Sequence[str], measure: bool = False) -> Column:
     )
 
 
+PACK = 64
+HOT_PACKS = 5000
+
+
 def _text_columns(measure: bool) -> list[str]:
     return ["s.fmt", "s.table_text", *(["s.text_tokens"] if measure else [])]
 
@@ -46,6 +53,11 @@ def serialise_tables(tables: DataFrame, formats: Sequence[str] = tuple(FORMATS))
     )
 
 
+def plan_instances(tasks: DataFrame, formats: Sequence[str]) -> DataFrame:
+    """Tasks times formats without any text: what a run wants, in slim rows."""
+    return tasks.withColumn("fmt", F.explode(F.array(*[F.lit(f) for f in formats])))
+
+
 def build_instances(
     tasks: DataFrame,
     tables: DataFrame,
@@ -55,22 +67,38 @@ def build_instances(
 ) -> DataFrame:
     """Tasks x formats with the table text; tasks of unknown tables drop out.
 
-    Raw tables are shuffled by id and turned into text after that, so the network
-    carries each table once instead of once per format. A table with very many tasks is
-    joined in several pieces. ``co_located`` says that both sides already lie by table_id
-    with a handful of tasks per table (bucketed tables, or tasks just generated).
-    ``measure`` adds ``text_tokens``, the built-in token count, once per text.
+    ``tasks`` (with task_seq) may already be planned instances, with ``fmt``; then only
+    those are built. The tasks of a table are packed, at most 64 numbers to a row, and
+    joined to the raw tables; texts are made after that, once per pack and format. So no
+    text is ever shuffled or sorted. A table with very many packs is joined in pieces.
+    ``co_located`` says that both sides already lie by table_id with a handful of tasks
+    per table (bucketed tables, or tasks just generated). ``measure`` adds
+    ``text_tokens``, the built-in token count, once per text.
     """
-    if co_located:
-        texts = tables.select("table_id", _texts(formats, measure).alias("_texts"))
-        joined = tasks.join(texts, "table_id")
-    else:
-        placed = tables.repartition("table_id")
-        texts = placed.select("table_id", _texts(formats, measure).alias("_texts"))
-        joined = join_unique(tasks, texts, "table_id")
-    return joined.select(*tasks.columns, _each_text("_texts")).select(
-        *tasks.columns, *_text_columns(measure)
+    planned = "fmt" in tasks.columns
+    columns = list(tasks.columns)
+    # With the input partition in the group, a pack stays bounded whatever is repeated.
+    packs = (
+        tasks.withColumns(
+            {"_part": F.floor(F.col("task_seq") / PACK), "_source": F.spark_partition_id()}
+        )
+        .groupBy("table_id", "_part", "_source")
+        .agg(F.collect_list(F.struct(*[c for c in columns if c != "table_id"])).alias("_wanted"))
+        .select("table_id", "_wanted")
+    )
+    raw = tables.select("table_id", F.col("header"), F.col("rows"))
+    joined = join_unique(packs, raw, "table_id", hot_rows=None if co_located else HOT_PACKS)
+    texts = _texts(formats, measure, F.col("_wanted.fmt") if planned else None)
+    each = joined.select("table_id", "_wanted", texts.alias("_texts")).select(
+        "table_id", F.explode_outer("_wanted").alias("w"), "_texts"
     )
+    if planned:
+        matching = F.filter("_texts", lambda s: s["fmt"] == F.col("w.fmt"))
+        each = each.withColumn("s", F.get(matching, F.lit(0)))
+    else:
+        each = each.select("table_id", "w", _each_text("_texts"))
+    kept = ["table_id" if c == "table_id" else f"w.{c}" for c in columns if c != "fmt"]
+    return each.select(*kept, *_text_columns(measure))
 
 
 def generate_instances(
@@ -86,22 +114,30 @@ def generate_instances(
     return tasks.select(*columns, _each_text("_texts")).select(*columns, *_text_columns(measure))
 
 
-def question_instances(
-    tables: DataFrame, formats: Sequence[str], measure: bool = True
-) -> DataFrame:
-    """One instance per table and format for the tables' own questions; map-only."""
-    return tables.select(
-        "table_id",
+def _question_columns() -> list[Column]:
+    return [
+        F.col("table_id"),
+        F.lit(0).alias("task_seq"),
         F.lit(fixed.QA_TASK).alias("task"),
-        "question",
+        F.col("question"),
         F.array_join("answers", "\n").alias("gold"),
-        "answers",
+        F.col("answers"),
         F.size("rows").alias("n_rows"),
         F.size("header").alias("n_cols"),
-        _each_text(_texts(formats, measure)),
-    ).select(
-        "table_id", "task", "question", "gold", "answers", "n_rows", "n_cols", *_text_columns(measure)
-    )
+    ]
+
+
+def question_tasks(tables: DataFrame) -> DataFrame:
+    """The tables' own questions in the form of tasks, several answers joined as gold."""
+    return tables.select(*_question_columns())
+
+
+def question_instances(
+    tables: DataFrame, formats: Sequence[str], measure: bool = True
+) -> DataFrame:
+    """One instance per table and format for the tables' own questions; map-only."""
+    each = tables.select(*_question_columns(), _each_text(_texts(formats, measure)))
+    return each.select(*each.columns[:-1], *_text_columns(measure))
 
 
 def encode_answers(df: DataFrame) -> DataFrame:

@@ -28,15 +28,16 @@ def _pieces(key: str, hot: dict[int, int], hot_rows: int) -> Column:
 
 
 def join_unique(
-    many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS
+    many: DataFrame, one: DataFrame, key: str, how: str = "inner", hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
     """``many.join(one, key, how)`` for a right side with at most one row per key.
 
     Rows of hot keys are dealt out over several pieces and the single right row is
     repeated for each of them, so no task receives a whole hot key. ``how`` may be inner,
-    left, left_semi or left_anti. Without hot keys this is the plain join.
+    left, left_semi or left_anti. Without hot keys this is the plain join; ``hot_rows=None``
+    says that there are none and spares the look.
     """
-    hot = hot_values(many, key, hot_rows)
+    hot = hot_values(many, key, hot_rows) if hot_rows else {}
     if not hot:
         return many.join(one, key, how)
     pieces = _pieces(key, hot, hot_rows)

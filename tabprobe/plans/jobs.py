@@ -94,37 +94,27 @@ def select_tables(
     return selection.first_complete(report, n_tables), scanned
 
 
-def target_prompts(
-    tables: DataFrame,
-    formats: Sequence[str],
-    tasks: DataFrame | None = None,
-    selected: DataFrame | None = None,
-    n_tables: int | None = None,
-    one_shot: bool = False,
-    chat: str | Callable[..., Column] = "bracket",
-    count_tokens: Callable[[Column], Column] = token_count,
+def wanted_instances(
+    tables: DataFrame, formats: Sequence[str], tasks: DataFrame | None = None
 ) -> DataFrame:
-    """Prompts of a run: structural tasks, or the tables' own questions without ``tasks``.
-
-    A selection wins over ``n_tables``.
-    """
-    if selected is not None:
-        kept = selection.keep_listed(tables, selected)
-    else:
-        kept = ingest.first_tables(tables, n_tables)
-    measure = count_tokens is token_count
+    """What a run wants, without texts: structural tasks, or the tables' own questions."""
     if tasks is None:
-        instances = serialise.question_instances(kept, formats, measure)
-    else:
-        instances = serialise.build_instances(tasks, kept, formats, measure=measure)
-    return prompts.build_prompts(instances, one_shot, formats, chat, count_tokens)
+        return serialise.plan_instances(serialise.question_tasks(tables), formats)
+    return serialise.plan_instances(selection.keep_listed(tasks, tables), formats)
 
 
 def run_predictions(
-    target: DataFrame,
+    tables: DataFrame,
+    formats: Sequence[str],
     make_model: Maker,
     output: str,
     run_id: str,
+    tasks: DataFrame | None = None,
+    selected: DataFrame | None = None,
+    n_tables: int | None = None,
+    one_shot: bool = False,
+    chat: str | Callable[..., Column] = "bracket",
+    count_tokens: Callable[[Column], Column] = token_count,
     seed_path: str | None = None,
     max_tokens: int = fixed.MAX_PROMPT_TOKENS,
     batch_size: int = 32,
@@ -133,19 +123,30 @@ def run_predictions(
 ) -> DataFrame:
     """Score what is not done yet and append it; returns the run's wanted rows.
 
-    ``seed_path`` (an earlier run's rows) is used only while this run has none.
+    Finished work is subtracted from slim instances first; texts and prompts are built
+    only for the rest. A selection wins over ``n_tables``. ``seed_path`` (an earlier
+    run's rows) is used only while this run has none.
     """
-    spark = target.sparkSession
+    spark = tables.sparkSession
     run_folder = f"{output}/run_id={run_id}"
 
     def rows() -> DataFrame:
         return spark.read.option("basePath", output).parquet(run_folder)
 
+    if selected is not None:
+        kept_tables = selection.keep_listed(tables, selected)
+    else:
+        kept_tables = ingest.first_tables(tables, n_tables)
+    wanted = wanted_instances(kept_tables, formats, tasks)
     if not results.exists(spark, run_folder) and seed_path and results.exists(spark, seed_path):
-        seeded = resume.keep_wanted(spark.read.parquet(seed_path), target)
+        seeded = resume.keep_wanted(spark.read.parquet(seed_path), wanted)
         results.append_predictions(seeded, output, run_id)
-    todo = resume.pending(target, rows()) if results.exists(spark, run_folder) else target
-    marked = selection.mark_long_prompts(todo.drop("table_text"), max_tokens)
+    todo = resume.pending(wanted, rows()) if results.exists(spark, run_folder) else wanted
+    built = prompts.build_prompts(
+        serialise.build_instances(todo, kept_tables, formats, measure=count_tokens is token_count),
+        one_shot, formats, chat, count_tokens,
+    )
+    marked = selection.mark_long_prompts(built.drop("table_text"), max_tokens)
     scored = scoring.score(
         marked, make_model, settings=("is_list", "max_new_tokens", "stop_strings"),
         batch_size=batch_size, skip="skip_note", partitions=partitions,
@@ -155,7 +156,7 @@ def run_predictions(
         answered = serialise.encode_answers(answered)
     results.append_predictions(answered, output, run_id)
     finished = rows()
-    kept = resume.carry_over(finished, target, keep_stale=keep_stale)
+    kept = resume.carry_over(finished, wanted, keep_stale=keep_stale)
     counts = kept.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("raw").startswith(fixed.SKIP_PREFIX)).alias("skipped"),

@@ -159,20 +159,32 @@ def test_whole_run(spark, raw_folder, tmp_path):
     again = corpus.read_selection(spark, str(tmp_path / "sel" / "selection"))
     assert [(r.ord, r.table_id) for r in again.collect()] == [(0, "1")]
 
-    target = jobs.target_prompts(tables, ["tsv", "json"], tasks)
+    target = jobs.wanted_instances(tables, ["tsv", "json"], tasks)
     output = str(tmp_path / "predictions")
-    half = jobs.run_predictions(target.filter("fmt = 'tsv'"), echo, output, "run1", max_tokens=300)
-    full = jobs.run_predictions(target, echo, output, "run1", max_tokens=300)
+
+    def run(formats, name, model=echo, **options):
+        return jobs.run_predictions(
+            tables, formats, model, output, name, tasks=tasks, max_tokens=300, **options
+        )
+
+    half = run(["tsv"], "run1")
+    full = run(["tsv", "json"], "run1")
     assert full.count() == target.count() == 2 * half.count()
+    assert full.select(*fixed.INSTANCE_KEY).distinct().count() == full.count()
     skipped = full.filter(F.col("raw").startswith("[SKIPPED:"))
     assert skipped.count() > 0 and skipped.filter("pred <> ''").count() == 0
     assert full.filter("pred = question").count() > 0
-    third = jobs.run_predictions(target, echo, output, "run1", max_tokens=300)
-    assert third.count() == target.count()
+    assert run(["tsv", "json"], "run1").count() == target.count()
+    assert run(["json"], "run1").count() == half.count()
+    assert run(["json"], "run1", keep_stale=True).count() == target.count()
+    chosen = spark.createDataFrame([("1",)], "table_id string")
+    only = run(["tsv"], "run3", selected=chosen, one_shot=True)
+    assert {r.table_id for r in only.collect()} == {"1"}
 
-    seeded = jobs.run_predictions(
-        target, lambda: (lambda b: 1 / 0), output, "run2", seed_path=f"{output}/run_id=run1", max_tokens=300
-    )
+    def broken():
+        return lambda batch: 1 / 0
+
+    seeded = run(["tsv", "json"], "run2", broken, seed_path=f"{output}/run_id=run1")
     assert seeded.count() == target.count() and seeded.filter("raw like '%zero%'").count() == 0
 
     paths = [f"{output}/run_id=run1", f"{output}/run_id=run2"]
@@ -188,8 +200,7 @@ def test_whole_run(spark, raw_folder, tmp_path):
 def test_own_questions(spark, raw_folder, tmp_path):
     tables = jobs.prepare_corpus(spark, raw_folder, str(tmp_path / "c"), n_samples=1, sort_by_size=True)
     assert [t.table_id for t in tables.collect()] == ["nt-2"]
-    target = jobs.target_prompts(tables, ["md"])
-    rows = jobs.run_predictions(target, echo, str(tmp_path / "p"), "r").collect()
+    rows = jobs.run_predictions(tables, ["md"], echo, str(tmp_path / "p"), "r").collect()
     assert [(r.gold, r.answers, r.pred) for r in rows] == [("x", '["x"]', "which?")]
 
 

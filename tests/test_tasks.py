@@ -1,8 +1,10 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tabprobe.fixed_values import TASKS_PER_TABLE
 from tabprobe.operators.ingest import cells
-from tabprobe.operators.serialise import build_instances, generate_instances
+from tabprobe.operators.serialise import build_instances, generate_instances, plan_instances
 from tabprobe.operators.tasks import generate_tasks, tasks_by_table, unique_values, value_positions
 
 SCHEMA = "table_id string, pos long, header array<string>, rows array<array<string>>"
@@ -102,6 +104,11 @@ def test_joined_and_direct_instances_agree(spark):
     joined = build_instances(tasks, tables, ["tsv", "json"]).select(columns)
     direct = generate_instances(tables, ["tsv", "json"]).select(columns)
     assert sorted(joined.collect()) == sorted(direct.collect())
+    planned = plan_instances(tasks, ["tsv", "json"]).filter("not (fmt = 'json' and task_seq > 2)")
+    some = build_instances(planned, tables, ["tsv", "json"]).select(columns)
+    assert sorted(some.collect()) == sorted(
+        r for r in direct.collect() if not (r.fmt == "json" and r.task_seq > 2)
+    )
     stray = build_instances(tasks, tables.filter("table_id = 'a'"), ["tsv"])
     assert stray.filter("table_id <> 'a'").count() == 0
 
@@ -109,3 +116,15 @@ def test_joined_and_direct_instances_agree(spark):
 def test_grouped_tasks_keep_their_order(spark):
     grouped = tasks_by_table(generate_tasks(frame(spark, a=CLUBS))).first()
     assert [t.task_seq for t in grouped.tasks] == list(range(11))
+
+
+def test_many_tasks_of_one_table(spark):
+    tables = frame(spark, a=CLUBS, b=CLUBS)
+    tasks = spark.range(0, 20000, 1, 4).select(
+        F.when(F.col("id") < 19000, "a").otherwise("b").alias("table_id"), F.col("id").cast("int").alias("task_seq"),
+        F.concat(F.lit("q"), "id").alias("question"),
+    )
+    built = build_instances(tasks, tables, ["tsv"])
+    assert built.count() == 20000 and built.select("table_text").distinct().count() == 1
+    copies = tasks.withColumn("task_seq", F.lit(1))
+    assert build_instances(copies, tables, ["tsv"], measure=False).count() == 20000
