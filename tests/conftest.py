@@ -13,7 +13,13 @@ from tabprobe.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g"}
+        "tests",
+        "local[8]",
+        **{
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "6g",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="run-"),
+        },
     )
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))

@@ -12,8 +12,11 @@ from tabprobe.functions.formats import FORMATS
 from tabprobe.functions.markup import markup_length, markup_spans, markup_tokens, token_offsets
 from tabprobe.operators import ingest, longform, markup, resume, sampling
 from tabprobe.operators.numbering import number_rows
-from tabprobe.operators.serialise import serialise_tables
+from tabprobe.operators.prompts import build_prompts
+from tabprobe.operators.serialise import build_instances, generate_instances, serialise_tables
 from tabprobe.operators.skew import hot_values, join_unique
+from tabprobe.operators.tasks import generate_tasks
+from tabprobe.sources.corpus import save_bucketed
 from tests.test_prompts import HEAD
 
 
@@ -217,3 +220,31 @@ def test_controls(spark):
 def test_unsupported_markup(spark):
     with pytest.raises(ValueError):
         markup_length(F.lit("x"), "tsv")
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, skewed):
+    tables = ingest.tables_from_rows(skewed, "k", ["n"], columns())
+    save_bucketed(tables, "bucketed_tables", 4)
+    save_bucketed(generate_tasks(tables), "bucketed_tasks", 4)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = build_instances(
+            spark.table("bucketed_tasks"), spark.table("bucketed_tables"), ["tsv"], co_located=True
+        )
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert built.count() == spark.table("bucketed_tasks").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.sql("DROP TABLE bucketed_tables")
+        spark.sql("DROP TABLE bucketed_tasks")
+
+
+def test_no_python_and_one_exchange_from_rows_to_prompts(spark, skewed):
+    tables = ingest.tables_from_rows(skewed, "k", ["n"], columns())
+    built = build_prompts(generate_instances(tables, ["html", "json"]))
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    # The fixture itself is dealt out round-robin; the only other exchange is by table.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+    assert plan.count("[<table>]") == 1
