@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from tabprobe.plans.catalogue import QUERIES
+from tabprobe.plans.oracle import ORACLE
 from tests.compare import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,14 +19,14 @@ def database():
 
 
 def test_every_query_but_the_library_generator_has_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"generate_tasks_mt19937"}
+    assert set(QUERIES) - set(ORACLE) == {"generate_tasks_mt19937"}
 
 
 def test_entry(spark):
     assert driver.entry(spark).columns == ["table_id", "fmt", "table_text", "n_chars"]
 
 
-@pytest.mark.parametrize("name", list(driver.oracle_sql()))
+@pytest.mark.parametrize("name", list(ORACLE))
 def test_query(spark, database, name):
-    found = driver.queries()[name](spark, SF_DIR).toPandas()
-    assert differences(found, database.execute(driver.oracle_sql()[name]).df()) is None
+    found = QUERIES[name](spark, SF_DIR).toPandas()
+    assert differences(found, database.execute(ORACLE[name]).df()) is None
