@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import bpe, exact_dedup
+from tabprobe.llm import bpe, exact_dedup, mixing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,19 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = mixing.with_quality(docs, read(spark, sf_dir, "labels"))
+    return mixing.mix(rows, quality_col="quality_weight", carry=["doc_id"])
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, fold=~toxicity.held_out(F.col("doc_id")))
+    found = toxicity.score(docs, model, carry=["doc_id"])
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), vocabulary_path(), carry=["doc_id"], digests=True)
 
@@ -31,6 +44,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_mixing": op2_mixing,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
