@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import bpe, exact_dedup, mixing, ngram_jaccard, toxicity
+from tabprobe.llm import bpe, exact_dedup, mixing, ngram_jaccard, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, quality_col="quality_weight", carry=["doc_id"])
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, fold=~toxicity.held_out(F.col("doc_id")))
@@ -51,6 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
@@ -74,6 +80,22 @@ ORACLE: dict[str, str] = {
         comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
         SELECT doc_id, len(grams)::BIGINT AS n_shingles, component_id, count(*) OVER (PARTITION BY component_id) AS component_size
         FROM s JOIN comp USING (doc_id)""",
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
+        p AS (SELECT doc_id, unnest(range(0, n_bytes - 49)) AS i, h FROM n WHERE n_bytes >= 50),
+        s AS (SELECT doc_id, i, md5_number(h[2 * i + 1 : 2 * i + 100]) AS w FROM p),
+        hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first FROM s) WHERE first < doc_id),
+        edge AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 50 THEN 0 ELSE 1 END AS new FROM hit WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+        span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+        per AS (
+            SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends
+            FROM span GROUP BY doc_id)
+        SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(starts) + 2),
+                   lambda k: h[(CASE WHEN k = 1 THEN 0 ELSE 2 * ends[k - 1] END) + 1 : (CASE WHEN k > len(starts) THEN length(h) ELSE 2 * starts[k] END)]), '') END)) AS kept_sha256
+        FROM n LEFT JOIN per USING (doc_id)""",
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {LOWERED} AS n FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
