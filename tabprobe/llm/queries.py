@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import bpe, exact_dedup, language, mixing, ngram_jaccard, suffix_dedup, toxicity
+from tabprobe.llm import bpe, exact_dedup, language, mixing, ngram_jaccard, spotsigs, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, quality_col="quality_weight", carry=["doc_id"])
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.edit_likeness(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.array_join("signatures", " ").alias("fingerprint"),
+        F.array_join("edited_signatures", " ").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language.fit(docs, fold=~language.held_out(F.col("doc_id")))
@@ -63,6 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
+    "op4_spotsigs": op4_spotsigs,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_toxicity": op8_toxicity,
@@ -72,6 +81,45 @@ QUERIES: dict[str, Query] = {
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def spotsigs_sql(anchors: list[str]) -> str:
+    """SpotSigs by joins over numbered words."""
+    common = ", ".join(f"'{a}'" for a in dict.fromkeys(anchors))
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        e AS (
+            SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER o, first_value(text) OVER o) AS next_text,
+                   coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id
+            FROM d WINDOW o AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        t AS (
+            SELECT doc_id, 0 AS kind, text FROM e UNION ALL
+            SELECT doc_id, 1, substr(text, 1, n - n // 3) || substr(next_text, 1, n // 3) FROM e),
+        w AS (SELECT doc_id, kind, text, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS ws FROM t),
+        u AS (SELECT doc_id, kind, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w),
+        m AS (SELECT *, w IN ({common}) AS anchor FROM u),
+        k AS (
+            SELECT *, sum(CASE WHEN anchor THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, kind ORDER BY i) AS r,
+                   lead(anchor) OVER (PARTITION BY doc_id, kind ORDER BY i) AS next_anchor FROM m),
+        c AS (SELECT doc_id, kind, r, w FROM k WHERE NOT anchor),
+        s AS (
+            SELECT k.doc_id, k.kind, k.w || ' ' || c1.w || ' ' || c2.w AS s FROM k
+            JOIN c c1 ON c1.doc_id = k.doc_id AND c1.kind = k.kind AND c1.r = k.r + 1
+            JOIN c c2 ON c2.doc_id = k.doc_id AND c2.kind = k.kind AND c2.r = k.r + 2
+            WHERE k.anchor AND NOT k.next_anchor),
+        g AS (SELECT doc_id, kind, list(s) AS chains FROM s GROUP BY 1, 2),
+        f AS (
+            SELECT w.doc_id, w.kind, w.text,
+                   list_sort(list_distinct(list_transform(CASE WHEN g.chains IS NOT NULL THEN g.chains WHEN w.text = '' THEN [] WHEN len(ws) > 0 THEN ws ELSE [w.text] END,
+                       lambda x: substr(md5(x), 1, 16)))) AS p
+            FROM w LEFT JOIN g USING (doc_id, kind)),
+        a AS (
+            SELECT e.doc_id, e.n AS n_chars, sha256(y.text) AS edited_sha256, x.p AS p, y.p AS q, z.p AS r FROM e
+            JOIN f x ON x.doc_id = e.doc_id AND x.kind = 0 JOIN f y ON y.doc_id = e.doc_id AND y.kind = 1 JOIN f z ON z.doc_id = e.next_id AND z.kind = 0)
+        SELECT doc_id, n_chars, edited_sha256, array_to_string(p, ' ') AS fingerprint, array_to_string(q, ' ') AS edited_fingerprint,
+               CASE WHEN len(p) + len(q) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(p, q))::DOUBLE / (len(p) + len(q) - len(list_intersect(p, q))) END AS near_edited,
+               CASE WHEN len(p) + len(r) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(p, r))::DOUBLE / (len(p) + len(r) - len(list_intersect(p, r))) END AS near_next
+        FROM a"""
+
+
 ORACLE: dict[str, str] = {
     "op1_ngram_jaccard": f"""
         WITH RECURSIVE w AS (
@@ -88,6 +136,7 @@ ORACLE: dict[str, str] = {
         comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
         SELECT doc_id, len(grams)::BIGINT AS n_shingles, component_id, count(*) OVER (PARTITION BY component_id) AS component_size
         FROM s JOIN comp USING (doc_id)""",
+    "op4_spotsigs": spotsigs_sql(spotsigs.ANCHORS),
     "op6_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
         n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
