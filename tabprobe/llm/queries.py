@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import bpe, exact_dedup, language, mixing, ngram_jaccard, spotsigs, suffix_dedup, toxicity
+from tabprobe.llm import bpe, context_mixing, exact_dedup, language, mixing, ngram_jaccard, spotsigs, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,12 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = context_mixing.held_out(F.col("doc_id"))
+    found = context_mixing.scores(read(spark, sf_dir, "documents"), ~held_out)
+    return found.withColumnRenamed("id", "doc_id").withColumn("held_out", held_out)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, fold=~toxicity.held_out(F.col("doc_id")))
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op4_spotsigs": op4_spotsigs,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
