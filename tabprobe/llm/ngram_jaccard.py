@@ -42,7 +42,11 @@ COUNTER_BITS = 20
 #: Largest set that may count as light.
 LIGHT_MOST = 14
 #: Bytes of text that are hashed in one go.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch that are unpacked in one go.
+SLICE_ROWS = 1000
+#: Bits of the table that tells which lists still matter: its size is fixed, and only the amount shuffled depends on it.
+OPEN_BITS = 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -123,6 +127,12 @@ def best_boundary(sizes: dict[int, int], scanned: dict[int, float]) -> int:
     return min(range(LIGHT_MOST + 1), key=lambda limit: (cost(limit), limit))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 class GramTable:
     """Sets of n-grams by a unique number, in a table bucketed by that number, so that joins on it move only the other side."""
 
@@ -134,7 +144,7 @@ class GramTable:
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[bytes] = set()
-            for batch in batches:
+            for batch in slices(batches):
                 texts = [t.encode().lower() if t else b"" for t in batch.column("text").to_pylist()]
                 sets, at = [], 0
                 while at < len(texts):
@@ -191,23 +201,49 @@ def gram_counters(classes: DataFrame) -> np.ndarray:
     blocks, width = 64, (1 << COUNTER_BITS) // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
+        total = np.zeros(1 << COUNTER_BITS, np.uint32)
+        for batch in slices(batches):
             every = np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint64)
-            total += np.bincount((every >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
+            total += np.bincount((every >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS).astype(np.uint32)
         parts = total.reshape(blocks, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.int64) for c in frame["counts"])
-        return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [total.tobytes()]})
+        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in frame["counts"])
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     kinds = "block int, counts binary"
     rows = classes.select("grams").mapInArrow(count, kinds).groupBy("block").applyInPandas(add, kinds).collect()
-    out = np.zeros((blocks, width), np.int64)
+    out = np.zeros((blocks, width), np.uint32)
     for row in rows:
-        out[row["block"]] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(out.reshape(-1), np.iinfo(np.uint32).max).astype(np.uint32)
+        out[row["block"]] = np.frombuffer(row["counts"], np.uint32)
+    return out.reshape(-1)
+
+
+def open_places(keys: DataFrame) -> np.ndarray:
+    """A table of bits in which those of all ``keys`` are set; ready to be held by every task, being of fixed size."""
+    blocks, width = 64, (1 << OPEN_BITS) // 64
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << OPEN_BITS, bool)
+        for batch in batches:
+            bits[place_of(batch.column("key").to_numpy())] = True
+        parts = [(b, p) for b, p in enumerate(bits.reshape(blocks, width)) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([np.packbits(p).tobytes() for _, p in parts], pa.binary())], names=["block", "bits"])
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        every = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in frame["bits"]])
+        return pd.DataFrame({"block": frame["block"].iloc[:1], "bits": [every.tobytes()]})
+
+    kinds = "block int, bits binary"
+    out = np.zeros((blocks, width // 8), np.uint8)
+    for row in keys.mapInArrow(mark, kinds).groupBy("block").applyInPandas(join, kinds).collect():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def place_of(keys: np.ndarray) -> np.ndarray:
+    return (mix64(keys.astype(np.int64).view(np.uint64)) >> np.uint64(64 - OPEN_BITS)).astype(np.int64)
 
 
 def ordered(grams: bytes, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,11 +254,17 @@ def ordered(grams: bytes, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return values[order], counts[order]
 
 
-def postings(classes: DataFrame, counters: np.ndarray, boundary: int) -> DataFrame:
-    """List entries (key, tag, root, n, place) of classes (tag, root, n, grams); place -1 marks a subset of a light set."""
+def postings(classes: DataFrame, counters: np.ndarray, boundary: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """List entries (key, tag, root, n, place) of classes (tag, root, n, grams); place -1 marks a subset of a light set.
+
+    ``wanted``: a table of bits; entries whose key has none there are left out.
+    """
+    spark = classes.sparkSession.sparkContext
+    held = spark.broadcast((counters, wanted))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        counters, wanted = held.value
+        for batch in slices(batches):
             keys, lengths, places = [], [], []
             for grams, n in zip(batch.column("grams").to_pylist(), batch.column("n").to_pylist()):
                 values, _ = ordered(grams, counters)
@@ -237,9 +279,14 @@ def postings(classes: DataFrame, counters: np.ndarray, boundary: int) -> DataFra
                     front = n - overlap_needed(n, -(-n * NUMERATOR // DENOMINATOR)) + 1
                     mine.append(values[:front])
                     place.append(np.arange(front, dtype=np.int32))
-                keys.append(np.concatenate(mine))
-                places.append(np.concatenate(place))
-                lengths.append(len(keys[-1]))
+                mine, place = np.concatenate(mine), np.concatenate(place)
+                if wanted is not None:
+                    at = place_of(mine.view(np.int64))
+                    some = (wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                    mine, place = mine[some], place[some]
+                keys.append(mine)
+                places.append(place)
+                lengths.append(len(mine))
             if not keys:
                 continue
             rows = np.repeat(np.arange(len(keys)), lengths)
@@ -287,7 +334,8 @@ def link_edges(classes: DataFrame, table: DataFrame) -> DataFrame:
     boundary = boundary_of(classes, counters)
     entries = postings(rooted, counters, boundary)
     open_keys = cut(entries.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"))
-    some = cut(entries.join(small(open_keys, open_keys.count()), "key"))
+    some = postings(rooted, counters, boundary, open_places(open_keys))
+    some = cut(some.join(small(open_keys, open_keys.count()), "key"))
     x, y = some.alias("x"), some.alias("y")
     needed = F.ceil((F.col("x.n") + F.col("y.n")).cast("long") * NUMERATOR / (NUMERATOR + DENOMINATOR))
     enough = (F.col("x.place") + needed <= F.col("x.n")) & (F.col("y.place") + needed <= F.col("y.n"))
