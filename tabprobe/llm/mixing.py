@@ -19,7 +19,7 @@ from tabprobe.llm.common import cut, named, packed, small, unpacked, whole_text,
 
 OWN = ["size", "source_size", "target", "taken", "copies"]
 #: Documents per bucket, about.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 
 
 def exponential_key(doc_id: Column, quality: Column, seed: int) -> Column:
@@ -70,7 +70,7 @@ def bucket(key: Column, docs: Column) -> Column:
 
 
 def mix(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality_col: str | None = None,
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, source_col: str = "source", quality_col: str | None = None,
     share: float = 1.5, cycle: tuple[float, ...] = (3.0, 1.0, 2.0), most: float = 2.0, seed: int = 42, carry: list[str] | None = None,
 ) -> DataFrame:
     """Say how many words of each document the mix takes.
@@ -79,15 +79,19 @@ def mix(
     ``copies`` (whole repeats nearest to it); they replace input columns of the same name. Taken words of a source come to its
     target but for less than a word per document at the threshold. A null source is a source of its own. Documents without words
     take none, and are copied as their place among the keys says. Rows that tie in key and id share what is left evenly, so
-    repeated rows have equal results and reruns agree. An empty table gives an empty table.
+    repeated rows have equal results and reruns agree. An empty table gives an empty table. Rows whose words are counted already
+    (``size_col``) are slim, and are kept in the shared folder instead of being computed again.
     """
     carry = df.columns if carry is None else carry
     rows = df.select(
         packed(df, carry).alias("row"), named(id_col).alias("id"), named(source_col).alias("source"),
-        word_count(whole_text(named(text_col))).alias("size"),
+        (word_count(whole_text(named(text_col))) if size_col is None else named(size_col)).alias("size"),
         exponential_key(named(id_col), F.lit(None).cast("double") if quality_col is None else named(quality_col), seed).alias("key"),
     )
-    slim = cut(rows.select("id", "source", "size", "key"))
+    if size_col is not None:
+        rows = slim = cut(rows)
+    else:
+        slim = cut(rows.select("id", "source", "size", "key"))
     sources = cut(slim.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size")))
     n_sources = sources.count()
     targets = source_targets(sources, share, list(cycle), most)
@@ -127,17 +131,24 @@ def mix(
     return marked.select(*unpacked("row", carry, OWN), "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
-    """Add ``quality_weight`` from quality labels: ``good`` for 1, ``poor`` for 0, 1 without a label; the best of several labels counts."""
-    best = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("best_quality"))
-    rows = docs.select(packed(docs).alias("docs_row"), F.col("doc_id")).join(best, "doc_id", "left")
-    weight = F.when(F.col("best_quality") > 0, good).when(F.col("best_quality") <= 0, poor).otherwise(1.0)
-    return rows.select(*unpacked("docs_row", docs.columns, ["quality_weight"]), weight.alias("quality_weight"))
+def sized(docs: DataFrame, labels: DataFrame, good: float = 2.0, poor: float = 0.5) -> DataFrame:
+    """(doc_id, text_hash, source, size, quality) of documents, without their texts.
+
+    The quality weight comes from labels: ``good`` for 1, ``poor`` for 0, 1 without a label; the best of several labels counts.
+    """
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(whole_text(F.col("text"))).alias("size"))
+    best = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("best"))
+    weight = F.when(F.col("best") > 0, good).when(F.col("best") <= 0, poor).otherwise(1.0)
+    return rows.join(best, "doc_id", "left").select("doc_id", "text_hash", "source", "size", weight.alias("quality"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The mix itself: every document as often as it is taken whole, with the columns it came with."""
-    rows = with_quality(docs.select(packed(docs).alias("mixed_row"), "doc_id", "text", "source"), labels)
-    marked = mix(rows, quality_col="quality_weight", carry=["mixed_row"], **how)
-    repeated = marked.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*unpacked("mixed_row", docs.columns, []))
+    def key(id_col, text_hash):
+        return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("null")), text_hash.cast("string")).alias("key")
+
+    marked = mix(sized(docs, labels), size_col="size", quality_col="quality", carry=["doc_id", "text_hash"], **how)
+    copies = marked.groupBy(key(F.col("doc_id"), F.col("text_hash"))).agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.select(packed(docs).alias("row"), key(F.col("doc_id"), F.xxhash64("text")))
+    repeated = rows.join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*unpacked("row", docs.columns, []))

@@ -28,9 +28,8 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = mixing.with_quality(docs, read(spark, sf_dir, "labels"))
-    return mixing.mix(rows, quality_col="quality_weight", carry=["doc_id"])
+    rows = mixing.sized(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return mixing.mix(rows, size_col="size", quality_col="quality", carry=["doc_id"])
 
 
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
