@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import bpe, context_mixing, exact_dedup, language, mixing, ngram_jaccard, spotsigs, suffix_dedup, toxicity
+from tabprobe.llm import bpe, context_mixing, exact_dedup, html_extraction, language, mixing, ngram_jaccard, spotsigs, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, size_col="size", quality_col="quality", carry=["doc_id"])
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    found = html_extraction.extract(pages, html_extraction.fit(pages), carry=["page_id", "url"])
+    return found.select("page_id", "url", "text", "n_chars", "n_blocks.chosen", "n_blocks.all")
+
+
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spotsigs.edit_likeness(read(spark, sf_dir, "documents"))
     return found.select(
@@ -76,6 +82,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_spotsigs": op4_spotsigs,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
