@@ -132,9 +132,9 @@ def fit(docs: DataFrame, *, fold: Column | None = None, per_language: int = 600,
     sample = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).drop("place")
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = pd.concat(list(batches), ignore_index=True)
-        if len(found):
-            found = found.sort_values(["lang", "doc_id", "text"])
+        frames = [b for b in batches if len(b)]
+        if frames:
+            found = pd.concat(frames, ignore_index=True).sort_values(["lang", "doc_id", "text"])
             model = fit_codes(found["text"].tolist(), found["lang"].tolist())
             yield pd.DataFrame({"languages": [model.languages], "weights": [model.weights.tobytes()], "trust": [model.trust.tobytes()]})
 
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, *, fold: Column | None = None, per_language: int = 600,
         return CodeModel([], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros((0, 0)))
     names = list(row[0]["languages"])
     bits = codewords(len(names)).shape[1]
-    return CodeModel(names, np.frombuffer(row[0]["weights"], np.float32).reshape(-1, bits), np.frombuffer(row[0]["trust"], np.float64).reshape(len(names), bits))
+    return CodeModel(names, np.frombuffer(row[0]["weights"], np.float32).reshape((1 << BITS) + 1, bits), np.frombuffer(row[0]["trust"], np.float64).reshape(len(names), bits))
 
 
 def identify(df: DataFrame, model: CodeModel, text_col: str = "text", *, carry: list[str] | None = None, margin: float = 0.6) -> DataFrame:

@@ -175,9 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, fold: Column | None = None, per_l
     )
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).drop_duplicates()
-        if not rows["toxic"].nunique() == 2:
-            model = NoisyOr(-5.0, np.zeros(1 << BITS, np.float32))
+        found = list(batches)
+        rows = pd.concat(found, ignore_index=True).drop_duplicates() if found else None
+        if rows is None or rows["toxic"].nunique() < 2:
+            # the labels' documents are missing: the labels' own share
+            model = NoisyOr(float(np.log(shares[True] / shares[False])), np.zeros(1 << BITS, np.float32))
         else:
             rows = rows.sort_values(["doc_id", "text"])
             labels_of = rows["toxic"].to_numpy(bool)
