@@ -153,7 +153,7 @@ def judge_prompt(
     task: Column, question: Column, gold: Column, prediction: Column, version: str = "current"
 ) -> Column:
     if version not in JUDGE_BUILDERS:
-        raise ValueError(f"Unsupported judge prompt version: {version}")
+        raise ValueError(f"no judge prompt is called {version}; known: {sorted(JUDGE_BUILDERS)}")
     return JUDGE_BUILDERS[version](task, question, gold, prediction)
 
 

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tabprobe.functions.prompts import assistant_turn, user_turn, with_system
 from tabprobe.operators.numbering import number_rows
 
-PART_TURNS = 1024
-
 
 def render_conversations(
     turns: DataFrame,
@@ -19,23 +17,25 @@ def render_conversations(
     text: str = "text",
     bos: str = "<s>",
     eos: str = "</s>",
-    part_turns: int = PART_TURNS,
+    part_turns: int | None = None,
     renumber: bool = False,
 ) -> DataFrame:
     """(conv, part, prompt): the turns of a conversation, rendered and joined.
 
     A leading system message is folded into the next message; other system messages
     and unknown roles are left out. ``order`` must be an integer, unique within the
-    conversation. Parts hold the turns with the same ``order div part_turns``, so no
-    group exceeds that many turns; the prompt of a longer conversation is its parts
-    in order. Ordinary conversations have the single part 0.
+    conversation. A conversation is one prompt, part 0, unless ``part_turns`` is given: then
+    parts hold the turns with the same ``order div part_turns``, and the prompt is its parts in order.
 
     ``renumber`` counts the turns first, for orders that are no integers, leave large gaps
     or repeat (copied turns are rendered as often as they occur).
     """
     if renumber:
         turns, order = number_rows(turns, [order, role, text], key=[conv], name="_turn"), "_turn"
-    part = F.floor(F.col(order) / part_turns).alias("part")
+    def part_of(number: Column) -> Column:
+        return (F.lit(0).cast("long") if part_turns is None else F.floor(number / part_turns)).alias("part")
+
+    part = part_of(F.col(order))
     # The two first turns of each conversation; row_number() <= 2 is cut before the shuffle.
     first_two = Window.partitionBy(conv).orderBy(order)
     heads = (
@@ -47,7 +47,7 @@ def render_conversations(
             F.max(F.when(F.col("_rn") == 2, F.col(order))).alias("_second"),
         )
         .filter(F.col("_system").isNotNull() & F.col("_second").isNotNull())
-        .select(conv, F.floor(F.col("_second") / part_turns).alias("part"), "_second", "_system")
+        .select(conv, part_of(F.col("_second")), "_second", "_system")
     )
     parts = turns.groupBy(conv, part).agg(
         F.sort_array(

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,8 +10,6 @@ from pyspark.sql import types as T
 from tabprobe.functions.text import UNICODE_SPACE, strip
 from tabprobe.operators.numbering import number_rows
 
-MAX_ROWS = 25
-MAX_COLS = 12
 _GRID = "array<array<string>>"
 
 
@@ -31,9 +27,9 @@ def _text_list(values: Column) -> Column:
 
 
 def truncate_tables(
-    tables: DataFrame, max_rows: int | None = MAX_ROWS, max_cols: int | None = MAX_COLS
+    tables: DataFrame, max_rows: int | None = None, max_cols: int | None = None
 ) -> DataFrame:
-    """First columns, then first rows; map-only."""
+    """First columns, then first rows, where a limit is given; map-only."""
     max_rows, max_cols = limit_of(max_rows), limit_of(max_cols)
     header, rows = F.col("header"), F.col("rows")
     if max_rows:
@@ -44,10 +40,6 @@ def truncate_tables(
     return tables.withColumns({"header": header, "rows": rows})
 
 
-def with_shape(tables: DataFrame) -> DataFrame:
-    return tables.withColumns({"n_rows": F.size("rows"), "n_cols": F.size("header")})
-
-
 def _field(schema: T.StructType, name: str) -> T.DataType | None:
     return schema[name].dataType if name in schema.names else None
 
@@ -84,10 +76,10 @@ def _answers(schema: T.StructType) -> Column:
 def parse_tables(
     raw: DataFrame,
     order_by: Sequence[str] = ("_file", "_block", "_seq"),
-    max_rows: int | None = MAX_ROWS,
-    max_cols: int | None = MAX_COLS,
+    max_rows: int | None = None,
+    max_cols: int | None = None,
 ) -> DataFrame:
-    """Heterogeneous records to canonical tables, truncated and cleaned.
+    """Heterogeneous records to canonical tables, cleaned, and truncated where a limit is given.
 
     The nested ``table`` wins over top-level fields; empty lists fall through to the
     next alternative; records without header, rows or answers are dropped. ``pos`` is
@@ -133,25 +125,23 @@ def tables_from_rows(
     key: str,
     order_by: Sequence[str | Column],
     columns: dict[str, Column],
-    max_rows: int = MAX_ROWS,
-    max_cols: int | None = MAX_COLS,
+    max_rows: int | None = None,
+    max_cols: int | None = None,
 ) -> DataFrame:
-    """Any row table to one canonical table per key.
+    """Any row table to one canonical table per key, with all its rows unless ``max_rows`` is given.
 
-    ``row_number() <= max_rows`` is applied before anything is collected, and Spark
-    also applies it before the shuffle, so each map task sends at most ``max_rows``
-    rows of a hot key. Window and aggregate share one exchange on the key. For keys
-    that must keep all their rows see ``operators.longform``.
+    With a limit, ``row_number() <= max_rows`` is applied before anything is collected, and up to Spark's
+    threshold for limits per group also before the shuffle. Window and aggregate share one exchange on the key.
+    A table is one row, so a key of unbounded size needs a limit, a finer key, or ``operators.longform``.
     """
-    if limit_of(max_rows) is None:
-        raise ValueError("tables_from_rows needs max_rows; longform.serialise_rows takes whole keys")
+    max_rows = limit_of(max_rows)
     kept = dict(list(columns.items())[: limit_of(max_cols)])
     window = Window.partitionBy("table_id").orderBy(*order_by)
     cells = F.array(*[_as_text(c) for c in kept.values()])
     top = (
         df.withColumn("table_id", F.col(key).cast("string"))
         .withColumn("_rn", F.row_number().over(window))
-        .filter(F.col("_rn") <= max_rows)
+        .filter(F.lit(True) if max_rows is None else F.col("_rn") <= max_rows)
         .select("table_id", F.col(key).alias("_key"), "_rn", cells.alias("_cells"))
     )
     pos = F.min(F.col("_key")) if _integral(df, key) else F.min(F.xxhash64("_key"))
@@ -182,15 +172,11 @@ def cells(tables: DataFrame) -> DataFrame:
 
 def largest_tables(tables: DataFrame, n: int | None) -> DataFrame:
     """The n tables with most rows, then most columns, in that order."""
-    keys = [F.size("rows").desc(), F.size("header").desc(), F.col("pos").asc()]
+    keys = [F.size("rows").desc(), F.size("header").desc(), F.col("pos").asc(), F.col("table_id").asc()]
     ordered = tables.orderBy(*keys)
     return ordered.limit(n) if limit_of(n) else ordered
 
 
 def first_tables(tables: DataFrame, n: int | None) -> DataFrame:
     """The first n tables in corpus order; all of them, unsorted, without a limit."""
-    return tables.orderBy("pos").limit(n) if limit_of(n) else tables
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return tables.orderBy("pos", "table_id").limit(n) if limit_of(n) else tables

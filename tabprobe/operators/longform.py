@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from tabprobe.fixed_values import COL_SEPARATOR, SECTION_SEPARATOR
 from tabprobe.functions.formats import csv_cell, csv_quote, json_string, xml_tag
 from tabprobe.operators.numbering import number_rows
-from tabprobe.operators.skew import join_unique
 
 PART_ROWS = 1000
-HOT_PARTS = 200
 
 Names = Sequence[Column]
 Cells = Sequence[Column]
@@ -158,7 +156,7 @@ def serialise_rows(
 
     ``order_by`` names columns of ``df``. A key with a third of all rows is numbered by
     many tasks (``number_rows``) and written as many parts. What a part must know of its
-    key (last part, column widths) is one slim row, joined with hot keys split.
+    key (last part, column widths) is one slim row.
     """
     unknown = [f for f in formats if f not in LONG_FORMATS]
     if unknown:
@@ -181,8 +179,8 @@ def serialise_rows(
     collected = numbered.groupBy("table_id", "part").agg(
         F.sort_array(F.collect_list(F.struct("_n", *[f"_c{i}" for i in range(len(names))]))).alias("_rows")
     )
-    # A hot key has very many parts; they must not meet in one task again.
-    collected = join_unique(collected, per_key, "table_id", hot_rows=HOT_PARTS)
+    # A hot key has very many parts; the adaptive skew join splits them.
+    collected = collected.join(per_key, "table_id")
 
     headers = [F.lit(n) for n in names]
 

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import random
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +14,7 @@ from tabprobe.functions.picks import indexes
 from tabprobe.functions.text import let, pipe_key
 
 SEGMENT = 64
-ABSENT = "Serialized table was not found in the rendered prompt"
+ABSENT = "the prompt does not hold the table's text"
 
 
 def markup_sizes(texts: DataFrame, fmt: str, text: str = "table_text") -> DataFrame:
@@ -119,40 +116,18 @@ def control_jobs(
     ).drop("_job")
 
 
-def random_positions(
-    n: Column, count: Column, seed: Column, key: Column, sampler: str = "hash"
-) -> Column:
-    """Sorted positions: ``min(count, n)`` of 0 .. n-1, seeded per instance.
+def random_positions(n: Column, count: Column, seed: Column, key: Column) -> Column:
+    """Sorted positions: ``min(count, n)`` of 0 .. n-1, seeded per instance: those with the smallest sha256(seed:key:position)."""
 
-    ``hash`` keeps the positions with the smallest sha256(seed:key:position);
-    ``mt19937`` seeds the standard library's generator with the head of sha256(seed:key).
-    """
-    if sampler == "hash":
-        def chosen(prefix: Column) -> Column:
-            digests = F.transform(
-                indexes(n),
-                lambda p: F.struct(F.sha2(F.concat(prefix, p.cast("string")), 256).alias("h"), p.alias("p")),
-            )
-            kept = F.slice(F.sort_array(digests), F.lit(1), F.greatest(count, F.lit(0)))
-            return F.sort_array(F.transform(kept, lambda x: x["p"]))
-
-        return let(F.concat(seed.cast("string"), F.lit(":"), key, F.lit(":")), chosen)
-    if sampler != "mt19937":
-        raise ValueError(f"Unknown sampler: {sampler}")
-
-    @F.pandas_udf("array<int>")
-    def draw(lengths: pd.Series, counts: pd.Series, seeds: pd.Series, keys: pd.Series) -> pd.Series:
-        def one(length: int, k: int, s: int, instance: str) -> list[int]:
-            head = hashlib.sha256(f"{s}:{instance}".encode()).digest()[:8]
-            generator = random.Random(int.from_bytes(head, "big"))
-            return sorted(generator.sample(range(length), min(k, length)))
-
-        return pd.Series(
-            [one(int(a), int(b), int(c), d) for a, b, c, d in zip(lengths, counts, seeds, keys)],
-            dtype=object,
+    def chosen(prefix: Column) -> Column:
+        digests = F.transform(
+            indexes(n),
+            lambda p: F.struct(F.sha2(F.concat(prefix, p.cast("string")), 256).alias("h"), p.alias("p")),
         )
+        kept = F.slice(F.sort_array(digests), F.lit(1), F.greatest(count, F.lit(0)))
+        return F.sort_array(F.transform(kept, lambda x: x["p"]))
 
-    return draw(n, count, seed, key)
+    return let(F.concat(seed.cast("string"), F.lit(":"), key, F.lit(":")), chosen)
 
 
 def instance_key() -> Column:
@@ -164,7 +139,6 @@ def control_positions(
     fmt: str,
     jobs: Callable[[DataFrame], DataFrame] = control_jobs,
     make_tokenizer: Callable[[], Callable] | None = None,
-    sampler: str = "hash",
 ) -> DataFrame:
     """Token positions of the markup and of its random controls, per prompt and job.
 
@@ -186,7 +160,7 @@ def control_positions(
     )
     expanded = jobs(slim)
     drawn = random_positions(
-        F.col("_length"), F.size("_marked"), F.coalesce("random_seed", F.lit(0)), instance_key(), sampler
+        F.col("_length"), F.size("_marked"), F.coalesce("random_seed", F.lit(0)), instance_key()
     )
     positions = F.when(F.col("patch_group") == fixed.FORMAT_GROUP, F.col("_marked")).when(
         F.col("_marked").isNotNull(), drawn

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
 from tabprobe.functions.text import row_key, unescape_newlines
-from tabprobe.operators.skew import join_unique
 
 
 def _keyed(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -25,14 +24,14 @@ def pending(
     target: DataFrame, done: DataFrame, key: Sequence[str] = tuple(fixed.INSTANCE_KEY)
 ) -> DataFrame:
     """Target rows whose key is not done yet (null-safe)."""
-    return join_unique(_keyed(target, key), _keys(done, key), "_key", "left_anti").drop("_key")
+    return _keyed(target, key).join(_keys(done, key), "_key", "left_anti").drop("_key")
 
 
 def keep_wanted(
     existing: DataFrame, target: DataFrame, key: Sequence[str] = tuple(fixed.INSTANCE_KEY)
 ) -> DataFrame:
     """Existing rows that are still in the target set."""
-    return join_unique(_keyed(existing, key), _keys(target, key), "_key", "left_semi").drop("_key")
+    return _keyed(existing, key).join(_keys(target, key), "_key", "left_semi").drop("_key")
 
 
 def carry_over(
@@ -65,19 +64,32 @@ def merge_latest(versions: DataFrame, key: Sequence[str], version: Sequence[str]
     )
 
 
+def succeeded(rows: DataFrame) -> DataFrame:
+    """Rows whose call did not fail: what counts as done."""
+    return rows.filter(F.col("error").isNull()) if "error" in rows.columns else rows
+
+
+def settled(rows: DataFrame, key: Sequence[str] = tuple(fixed.INSTANCE_KEY)) -> DataFrame:
+    """A run's rows with failures that were made good left out; of repeated failures, one row stays."""
+    if "error" not in rows.columns:
+        return rows
+    failed = merge_latest(rows.filter(F.col("error").isNotNull()), key, ["error"])
+    return succeeded(rows).unionByName(pending(failed, succeeded(rows), key))
+
+
 def judgeable(predictions: DataFrame, target_field: str = "raw", unescape: bool = False) -> DataFrame:
-    """Rows a judge should see: everything but those marked as skipped."""
+    """Rows a judge should see: everything but those marked as skipped and those whose call failed."""
     column = F.col(target_field).cast("string")
     if unescape:
         predictions = predictions.withColumn(target_field, unescape_newlines(column))
+    if "error" in predictions.columns:
+        predictions = predictions.filter(F.col("error").isNull())
     return predictions.filter(~F.coalesce(column.startswith(fixed.SKIP_PREFIX), F.lit(False)))
 
 
 def run_counts(target: DataFrame, done: DataFrame, key: Sequence[str], target_field: str = "raw") -> DataFrame:
     """One row: total, pending and skipped rows of the target."""
-    counted = join_unique(
-        _keyed(target, key), _keys(done, key).withColumn("_done", F.lit(True)), "_key", "left"
-    )
+    counted = _keyed(target, key).join(_keys(done, key).withColumn("_done", F.lit(True)), "_key", "left")
     is_pending = F.col("_done").isNull()
     skipped = (
         F.col(target_field).startswith(fixed.SKIP_PREFIX) if target_field in target.columns else F.lit(False)

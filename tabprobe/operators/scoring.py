@@ -21,7 +21,7 @@ def _load_once(token: str, make_fn: Callable[[], Callable]) -> Callable:
 
 
 def _call(scorer: Callable, batch: pd.DataFrame) -> list[tuple[str | None, str | None]]:
-    """(output, error) per row. A failing batch is retried row by row: failure is data."""
+    """(output, error) per row. A failing batch is retried by halves, down to the rows that fail: failure is data."""
     try:
         outputs = list(scorer(batch))
         if len(outputs) != len(batch):
@@ -29,16 +29,9 @@ def _call(scorer: Callable, batch: pd.DataFrame) -> list[tuple[str | None, str |
         return [(None if o is None else str(o), None) for o in outputs]
     except Exception as error:
         if len(batch) == 1:
-            return [(str(error), str(error))]
-        return [_call(scorer, batch.iloc[i : i + 1])[0] for i in range(len(batch))]
-
-
-def _group_rows(frame: pd.DataFrame, settings: Sequence[str]) -> list[pd.DataFrame]:
-    """Rows with equal settings, in order of appearance."""
-    if not settings or frame.empty:
-        return [frame]
-    equal = frame[list(settings)].map(lambda v: repr(v.tolist() if hasattr(v, "tolist") else v))
-    return [group for _, group in frame.groupby(equal.agg("|".join, axis=1), sort=False)]
+            return [(None, str(error) or type(error).__name__)]
+        half = len(batch) // 2
+        return _call(scorer, batch.iloc[:half]) + _call(scorer, batch.iloc[half:])
 
 
 def score(
@@ -50,9 +43,13 @@ def score(
     output: str = "raw",
     skip: str | None = None,
     partitions: int | None = None,
+    error_as_output: bool = False,
 ) -> DataFrame:
     """Add ``output`` and ``error`` by a batch callable.
 
+    A row whose call fails has a NULL output and the reason in ``error``, so that it can be told from an answer and tried
+    again; ``error_as_output`` puts the reason into the output as well, as records of judging have it.
+
     ``make_fn()`` loads the model; the callable it returns takes a frame with the
     columns ``inputs`` and ``settings`` and returns one text per row. Each call sees at
     most ``batch_size`` rows with equal settings. Rows whose ``skip`` column is not
@@ -69,7 +66,9 @@ def score(
         for frame in batches:
             frame = frame.reset_index(drop=True)
             found: list[tuple[str | None, str | None]] = [(None, None)] * len(frame)
-            for group in _group_rows(frame.loc[frame["_send"], shown], settings):
+            # equal settings have equal keys, made on the JVM side
+            for _, group in frame.loc[frame["_send"]].groupby("_settings", sort=False):
+                group = group[shown]
                 for start in range(0, len(group), batch_size):
                     batch = group.iloc[start : start + batch_size]
                     for i, result in zip(batch.index, _call(scorer, batch)):
@@ -81,8 +80,11 @@ def score(
     send = F.lit(True) if skip is None else F.col(skip).isNull()
     sent = [F.when(send, F.col(c)).alias(c) for c in shown]
     source = df.repartition(partitions) if partitions else df
-    scored = source.withColumn("_scored", run(F.struct(send.alias("_send"), *sent)))
+    alike = F.to_json(F.struct(*[F.col(c) for c in settings])) if settings else F.lit("")
+    scored = source.withColumn("_scored", run(F.struct(send.alias("_send"), alike.alias("_settings"), *sent)))
     text = F.col("_scored.output")
+    if error_as_output:
+        text = F.coalesce(text, F.col("_scored.error"))
     if skip is not None:
         text = F.coalesce(F.col(skip), text)
     return scored.withColumns({output: text, "error": F.col("_scored.error")}).drop("_scored")

@@ -85,7 +85,7 @@ def settle(report: DataFrame) -> DataFrame:
 
 def first_complete(report: DataFrame, n: int) -> DataFrame:
     """The first n tables, by pos, whose prompts all fit."""
-    return report.filter("all_complete").orderBy("pos").limit(max(n, 0))
+    return report.filter("all_complete").orderBy("pos", "table_id").limit(max(n, 0))
 
 
 def scanned_until(report: DataFrame, n: int) -> DataFrame:
@@ -100,15 +100,13 @@ def scanned_until(report: DataFrame, n: int) -> DataFrame:
     return report.filter(F.coalesce(F.col("pos") <= cut, F.lit(True)))
 
 
-def diagnostics(report: DataFrame, prompts: DataFrame, max_tokens: int, listed: int = 1000) -> DataFrame:
-    """Report with the failing instances nested per table.
+def diagnostics(report: DataFrame, prompts: DataFrame, max_tokens: int) -> DataFrame:
+    """Report with the failing instances nested per table, for every table alike, ordered by task, format and size.
 
-    Tables with more than ``listed`` failures get NULL here; ``failing_instances``
-    holds their rows. The list is ordered by task, format and size.
+    For tables with more instances than fit in a row, ``failing_instances`` gives them as rows.
     """
-    bounded = report.filter(F.col("n_failing_instances").between(1, listed)).select("table_id")
     nested = (
-        keep_listed(failing_instances(prompts, max_tokens), bounded)
+        failing_instances(prompts, max_tokens)
         .groupBy("table_id")
         .agg(
             F.sort_array(F.collect_list(F.struct("task", "fmt", "prompt_tokens"))).alias(

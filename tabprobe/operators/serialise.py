@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tabprobe import fixed_values as fixed
 from tabprobe.functions.formats import FORMATS, format_table
 from tabprobe.functions.text import token_count
-from tabprobe.operators.skew import join_unique
 from tabprobe.operators.tasks import generate_tasks
 
 
@@ -33,7 +32,6 @@ def _texts(formats: Sequence[str], measure: bool = False, wanted: Column | None
 
 
 PACK = 64
-HOT_PACKS = 5000
 
 
 def _text_columns(measure: bool) -> list[str]:
@@ -62,7 +60,6 @@ def build_instances(
     tasks: DataFrame,
     tables: DataFrame,
     formats: Sequence[str],
-    co_located: bool = False,
     measure: bool = True,
 ) -> DataFrame:
     """Tasks x formats with the table text; tasks of unknown tables drop out.
@@ -70,9 +67,8 @@ def build_instances(
     ``tasks`` (with task_seq) may already be planned instances, with ``fmt``; then only
     those are built. The tasks of a table are packed, at most 64 numbers to a row, and
     joined to the raw tables; texts are made after that, once per pack and format. So no
-    text is ever shuffled or sorted. A table with very many packs is joined in pieces.
-    ``co_located`` says that both sides already lie by table_id with a handful of tasks
-    per table (bucketed tables, or tasks just generated). ``measure`` adds
+    text is ever shuffled or sorted. A table with very many packs is left to the adaptive
+    skew join; bucketed tables and tasks join without an exchange. ``measure`` adds
     ``text_tokens``, the built-in token count, once per text.
     """
     planned = "fmt" in tasks.columns
@@ -87,7 +83,7 @@ def build_instances(
         .select("table_id", "_wanted")
     )
     raw = tables.select("table_id", F.col("header"), F.col("rows"))
-    joined = join_unique(packs, raw, "table_id", hot_rows=None if co_located else HOT_PACKS)
+    joined = packs.join(raw, "table_id")
     texts = _texts(formats, measure, F.col("_wanted.fmt") if planned else None)
     each = joined.select("table_id", "_wanted", texts.alias("_texts")).select(
         "table_id", F.explode_outer("_wanted").alias("w"), "_texts"

@@ -235,13 +235,10 @@ def generate_tasks(
     )
 
 
-def tasks_by_table(tasks: DataFrame, part_tasks: int = 1000) -> DataFrame:
-    """(table_id, part, tasks): a table's tasks in order, at most ``part_tasks`` per row.
-
-    Generated tasks fit part 0; a table with very many stored tasks has more parts.
-    """
+def tasks_by_table(tasks: DataFrame, part_tasks: int | None = None) -> DataFrame:
+    """(table_id, part, tasks): a table's tasks in order, in part 0; or, if ``part_tasks`` is given, at most so many per part."""
     fields = ["task_seq", "task", "question", "gold", "n_rows", "n_cols"]
-    part = F.floor(F.col("task_seq") / part_tasks).alias("part")
+    part = (F.lit(0).cast("long") if part_tasks is None else F.floor(F.col("task_seq") / part_tasks)).alias("part")
     return tasks.groupBy("table_id", part).agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("tasks")
     )

@@ -84,10 +84,15 @@ def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def nation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.tables_from_rows(
-        read(spark, sf_dir, "customer"), "c_nationkey", ["c_custkey"], customer_columns()
-    )
+def customer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers, twenty consecutive keys to a table."""
+    customers = read(spark, sf_dir, "customer").withColumn("block", F.expr("c_custkey div 20"))
+    return ingest.tables_from_rows(customers, "block", ["c_custkey"], customer_columns())
+
+
+def region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {"nation": F.col("n_nationkey"), "name": F.col("n_name")}
+    return ingest.tables_from_rows(read(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey"], columns)
 
 
 def conversation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +134,7 @@ def tables_from_rows(spark, sf_dir):
 
 
 def truncate_tables(spark, sf_dir):
-    return _shown(ingest.truncate_tables(nation_tables(spark, sf_dir), max_rows=20, max_cols=3))
+    return _shown(ingest.truncate_tables(customer_tables(spark, sf_dir), max_rows=15, max_cols=3))
 
 
 def parse_tables(spark, sf_dir):
@@ -151,7 +156,7 @@ def parse_tables(spark, sf_dir):
         F.when(kind == 4, F.array(F.lit(" "))).otherwise(empty).alias("answer_text"),
         F.when(kind != 4, F.col("rows")[0][0]).alias("answer"),
     )
-    parsed = ingest.parse_tables(raw, ["seq"], max_rows=3, max_cols=4)
+    parsed = ingest.parse_tables(raw, ["seq"])
     return _shown(parsed, F.col("pos"), F.col("question"), F.to_json("answers").alias("answers"))
 
 
@@ -243,7 +248,7 @@ def prompts_zero_shot(spark, sf_dir):
     """Stored tasks joined to their tables."""
     tables = order_tables(spark, sf_dir)
     tasks = generate_tasks(tables, kinds=["size_detection", "row_retrieval"])
-    instances = build_instances(tasks, tables, ZERO_SHOT_FORMATS, co_located=True)
+    instances = build_instances(tasks, tables, ZERO_SHOT_FORMATS)
     built = prompts.build_prompts(instances, formats=ZERO_SHOT_FORMATS)
     return _prompt_digest(built, "table_id", "task_seq", "fmt")
 
@@ -286,11 +291,10 @@ def template_fill(spark, sf_dir):
 
 
 def mcq_prompt(spark, sf_dir):
-    """Customers of a nation as choices; the first 30 nations in order."""
-    tables = nation_tables(spark, sf_dir)
-    records = ingest.truncate_tables(tables, max_rows=4).select(
+    """The nations of a region as choices."""
+    records = region_tables(spark, sf_dir).select(
         "pos",
-        F.concat(F.lit("Who lives in nation "), F.col("table_id"), F.lit("?")).alias("question"),
+        F.concat(F.lit("Which nation is in region "), F.col("table_id"), F.lit("?")).alias("question"),
         F.transform("rows", lambda r: r[1]).alias("choices"),
     )
     return prompts.choice_prompts(records)
@@ -520,6 +524,24 @@ def score_batches(spark, sf_dir):
     return scored.select("doc_id", "raw", "error")
 
 
+def _fussy_scorer():
+    def scorer(batch):
+        if (batch["text"].str.len() % 7 == 0).any():
+            raise ValueError("a multiple of seven")
+        return batch["text"].str.len()
+
+    return scorer
+
+
+def retry_failed(spark, sf_dir):
+    """A run in which some calls fail, and the next one, which tries only those again."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    first = scoring.score(documents, _fussy_scorer, inputs=["text"])
+    todo = resume.pending(documents, resume.succeeded(first), ["doc_id"])
+    second = scoring.score(todo, lambda: (lambda batch: batch["text"].str.len()), inputs=["text"])
+    return resume.settled(first.unionByName(second), ["doc_id"]).select("doc_id", "raw", "error")
+
+
 def _quality_judge():
     def scorer(batch):
         return ['{"content_correct": %s}' % str(len(p) % 2 == 0).lower() for p in batch["judge_prompt"]]
@@ -655,10 +677,10 @@ QUERIES: dict[str, Query] = {
     "serialise_long": serialise_long,
     "value_positions": value_positions_query,
     "unique_values": unique_values_query,
-    "task_size_detection": task_query(nation_tables, ["size_detection"]),
+    "task_size_detection": task_query(customer_tables, ["size_detection"]),
     "task_cell_lookup": task_query(order_tables, ["cell_lookup"]),
     "task_reverse_lookup": task_query(order_tables, ["reverse_lookup"]),
-    "task_row_col_retrieval": task_query(nation_tables, ["row_retrieval", "col_retrieval"]),
+    "task_row_col_retrieval": task_query(customer_tables, ["row_retrieval", "col_retrieval"]),
     "generate_tasks": generate_tasks_query,
     "generate_tasks_mt19937": generate_tasks_mt19937,
     "prompts_zero_shot": prompts_zero_shot,
@@ -692,6 +714,7 @@ QUERIES: dict[str, Query] = {
     "missing_rows": missing_rows,
     "duplicate_ids": duplicate_ids,
     "score_batches": score_batches,
+    "retry_failed": retry_failed,
     "judge_pending": judge_pending,
     "stream_score": stream_score,
     "markup_html": markup_html,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
 from tabprobe.functions.extract import extract_answer
-from tabprobe.functions.text import token_count
+from tabprobe.functions.text import strip, token_count
 from tabprobe.operators import checks, ingest, prompts, resume, sampling, scoring, selection, serialise
 from tabprobe.operators import summary as summaries
 from tabprobe.operators.tasks import generate_tasks
@@ -27,10 +27,10 @@ def prepare_corpus(
     source: str,
     output: str,
     split: str = "test",
-    n_samples: int | None = 300,
+    n_samples: int | None = None,
     seed: int = 42,
-    max_rows: int | None = ingest.MAX_ROWS,
-    max_cols: int | None = ingest.MAX_COLS,
+    max_rows: int | None = None,
+    max_cols: int | None = None,
     sort_by_size: bool = False,
     sampler: str = "hash",
     fmt: str = "json",
@@ -90,7 +90,8 @@ def select_tables(
     )
     sized = prompts.build_prompts(instances, count_tokens=count_tokens).select("table_id", "task", "fmt", "prompt_tokens")
     report = selection.settle(selection.budget_report(sized, max_tokens, tables))
-    scanned = selection.diagnostics(selection.scanned_until(report, n_tables), sized, max_tokens)
+    scanned = selection.scanned_until(report, n_tables)
+    scanned = selection.diagnostics(scanned, selection.keep_listed(sized, scanned), max_tokens)
     return selection.first_complete(report, n_tables), scanned
 
 
@@ -131,7 +132,7 @@ def run_predictions(
     run_folder = f"{output}/run_id={run_id}"
 
     def rows() -> DataFrame:
-        return spark.read.option("basePath", output).parquet(run_folder)
+        return spark.read.option("basePath", output).parquet(run_folder).withColumn("run_id", F.lit(run_id))
 
     if selected is not None:
         kept_tables = selection.keep_listed(tables, selected)
@@ -141,7 +142,8 @@ def run_predictions(
     if not results.exists(spark, run_folder) and seed_path and results.exists(spark, seed_path):
         seeded = resume.keep_wanted(spark.read.parquet(seed_path), wanted)
         results.append_predictions(seeded, output, run_id)
-    todo = resume.pending(wanted, rows()) if results.exists(spark, run_folder) else wanted
+    # A failed call is not done: its row is tried again, and gives way once another attempt succeeds.
+    todo = resume.pending(wanted, resume.succeeded(rows())) if results.exists(spark, run_folder) else wanted
     built = prompts.build_prompts(
         serialise.build_instances(todo, kept_tables, formats, measure=count_tokens is token_count),
         one_shot, formats, chat, count_tokens,
@@ -151,21 +153,30 @@ def run_predictions(
         marked, make_model, settings=("is_list", "max_new_tokens", "stop_strings"),
         batch_size=batch_size, skip="skip_note", partitions=partitions,
     )
-    answered = scored.withColumn("pred", extract_answer(F.col("raw"), F.col("is_list")))
+    answered = scored.withColumn(
+        "pred", F.when(F.col("error").isNull(), extract_answer(F.col("raw"), F.col("is_list")))
+    )
     if "answers" in answered.columns:
         answered = serialise.encode_answers(answered)
     results.append_predictions(answered, output, run_id)
-    finished = rows()
+    if results.exists(spark, run_folder):
+        finished = resume.settled(rows())
+    else:
+        # Nothing was wanted, and an empty append leaves no folder.
+        present = [c for c in results.PREDICTION_COLUMNS if c in answered.columns]
+        empty = answered.select(*present, F.lit(run_id).alias("run_id")).schema
+        finished = spark.createDataFrame([], empty)
     kept = resume.carry_over(finished, wanted, keep_stale=keep_stale)
     counts = kept.agg(
         F.count(F.lit(1)).alias("rows"),
+        F.count("error").alias("failed"),
         F.count_if(F.col("raw").startswith(fixed.SKIP_PREFIX)).alias("skipped"),
     ).first()
     corpus.write_manifest(
         spark,
         f"{output}_manifest/{run_id}",
         {
-            "model": run_id, "n_rows": counts["rows"], "skipped_long_prompts": counts["skipped"],
+            "model": run_id, "n_rows": counts["rows"], "skipped_long_prompts": counts["skipped"], "failed": counts["failed"],
             "max_prompt_tokens": max_tokens, "judge_target_field": "raw",
         },
     )
@@ -187,9 +198,9 @@ def judge(
         resume.judgeable(todo, target_field), target_field, version
     ).withColumn("prediction_sent_to_judge", F.col(target_field))
     scored = scoring.score(
-        asked, make_judge, inputs=("judge_prompt",), batch_size=batch_size, output="raw_judge"
+        asked, make_judge, inputs=("judge_prompt",), batch_size=batch_size, output="raw_judge", error_as_output=True
     )
-    return summaries.parse_verdicts(scored.withColumn("raw_judge", F.trim("raw_judge")))
+    return summaries.parse_verdicts(scored.withColumn("raw_judge", strip(F.col("raw_judge"))))
 
 
 def run_judge(
@@ -222,7 +233,10 @@ def run_external(
     formats: Sequence[str] = tuple(fixed.EXTERNAL_CONTEXTS),
     batch_size: int = 8,
 ) -> DataFrame:
-    """Predictions for the external set, per context form, resumable by id."""
+    """Predictions for the external set, per context form, resumable by id.
+
+    What succeeded is stored; if any call failed, the job says so, and the next run tries only the rest.
+    """
     spark = records.sparkSession
     contexts = {f: fixed.EXTERNAL_CONTEXTS[f] for f in formats}
     target = prompts.external_prompts(records, contexts)
@@ -230,7 +244,7 @@ def run_external(
     done = spark.read.parquet(output) if results.exists(spark, output) else None
     todo = resume.pending(target, done, key) if done is not None else target
     scored = scoring.score(todo, make_model, batch_size=batch_size)
-    scored.select(
+    resume.succeeded(scored).select(
         "fmt", "id", "task_name", "sub_task_name", "golden_answer_list",
         F.array("raw").alias("prediction_list"),
     ).write.mode("append").parquet(output)

@@ -43,18 +43,20 @@ lines AS (SELECT CAST({key} AS VARCHAR) AS table_id, CAST({key} AS BIGINT) AS po
     row_number() OVER (PARTITION BY {key} ORDER BY {sort}) AS rn, {cells} AS line FROM {table}),
 t AS (SELECT table_id, min(pos) AS pos, {names(header)} AS header,
     list(line ORDER BY rn) AS rows, count(*) AS n_rows, {len(header)} AS n_cols
-    FROM lines WHERE rn <= 25 GROUP BY table_id)"""
+    FROM lines GROUP BY table_id)"""
 
 
 T_ORD = _corpus("l_orderkey", "lineitem", ORDER_SORT, ORDER_CELLS, ORDER_HEADER)
 T_NAT = _corpus("c_nationkey", "customer", "c_custkey", CUSTOMER_CELLS, CUSTOMER_HEADER)
+T_CUST = _corpus("c_custkey // 20", "customer", "c_custkey", CUSTOMER_CELLS, CUSTOMER_HEADER)
+T_REG = _corpus("n_regionkey", "nation", "n_nationkey", "[CAST(n_nationkey AS VARCHAR), n_name]", ["nation", "name"])
 T_CONV = _corpus(
     "conv_id", "conversations", "turn", "[CAST(turn AS VARCHAR), role, text]", CONVERSATION_HEADER
 )
 
 CELLS = """
 cells AS (SELECT table_id, n_cols, rn - 1 AS r, unnest(range(len(line))) AS c, unnest(line) AS v
-    FROM lines JOIN t USING (table_id) WHERE rn <= 25)"""
+    FROM lines JOIN t USING (table_id))"""
 
 
 # --- formats ----------------------------------------------------------------
@@ -194,7 +196,7 @@ spare AS (SELECT table_id, v, slot, {_rank('replacement', 'slot')} AS a FROM val
     WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM drawn d WHERE d.table_id = vals.table_id AND d.slot = vals.slot)),
 value_picks AS (SELECT table_id, k, v, slot FROM drawn WHERE n = 1
     UNION ALL SELECT s.table_id, m.k, s.v, s.slot FROM ambiguous m JOIN spare s USING (table_id, a)),
-row_picks AS (SELECT * FROM (SELECT table_id, rn - 1 AS r, line, {_rank('row', '(rn - 1)')} AS k FROM lines WHERE rn <= 25) WHERE k <= 2),
+row_picks AS (SELECT * FROM (SELECT table_id, rn - 1 AS r, line, {_rank('row', '(rn - 1)')} AS k FROM lines) WHERE k <= 2),
 col_ids AS (SELECT table_id, unnest(range(n_cols)) AS c FROM t),
 col_picks AS (SELECT * FROM (SELECT table_id, c, {_rank('col', 'c')} AS k FROM col_ids) WHERE k <= 2),
 all_tasks AS (
@@ -298,18 +300,18 @@ WITH n AS (SELECT *, row_number() OVER w AS rn, lag(role) OVER w AS before, lag(
     FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 m AS (SELECT conv_id, turn, role, CASE WHEN rn = 2 AND before = 'system'
     THEN '<<SYS>>' || chr(10) || before_text || chr(10) || '<</SYS>>' || chr(10) || chr(10) || text ELSE text END AS content FROM n)
-SELECT conv_id, turn // 1024 AS part, string_agg(CASE role
+SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(CASE role
     WHEN 'user' THEN '<s>[INST] ' || trim(content, ' ' || chr(9) || chr(10) || chr(13)) || ' [/INST]'
     WHEN 'assistant' THEN ' ' || trim(content, ' ' || chr(9) || chr(10) || chr(13)) || ' </s>' ELSE '' END, '' ORDER BY turn) AS prompt
-FROM m GROUP BY conv_id, turn // 1024"""
+FROM m GROUP BY conv_id"""
 
 TEMPLATE_FILL = """
 SELECT doc_id, md5(text || chr(10) || '{' || source || '} what does {context} ' || doc_id || ' say? {' || lang || '}') AS prompt_md5
 FROM documents"""
 
-MCQ = f"""WITH {T_NAT}
-SELECT pos, 'Question: Who lives in nation ' || table_id || '?' || chr(10) || array_to_string(
-    list_transform(rows[1:4], lambda r, i: chr(CAST(64 + i AS INT)) || '. ' || r[2]), chr(10)) || chr(10) || 'Answer:' AS text
+MCQ = f"""WITH {T_REG}
+SELECT pos, 'Question: Which nation is in region ' || table_id || '?' || chr(10) || array_to_string(
+    list_transform(rows, lambda r, i: chr(CAST(64 + i AS INT)) || '. ' || r[2]), chr(10)) || chr(10) || 'Answer:' AS text
 FROM t ORDER BY pos LIMIT 30"""
 
 _DOC_PREDICTIONS = """
@@ -492,13 +494,12 @@ _SHOWN = "table_id, CAST(len(rows) AS INT) AS n_rows, CAST(len(header) AS INT) A
 
 ORACLE: dict[str, str] = {
     "tables_from_rows": f"WITH {T_ORD} SELECT {_SHOWN} FROM t",
-    "truncate_tables": f"""WITH {T_NAT}, s AS (SELECT table_id, header[1:3] AS header,
-        list_transform(rows[1:20], lambda r: r[1:3]) AS rows FROM t) SELECT {_SHOWN} FROM s""",
+    "truncate_tables": f"""WITH {T_CUST}, s AS (SELECT table_id, header[1:3] AS header,
+        list_transform(rows[1:15], lambda r: r[1:3]) AS rows FROM t) SELECT {_SHOWN} FROM s""",
     "parse_tables": f"""WITH {T_ORD},
         a AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS n FROM t WHERE pos % 5 <> 4),
         s AS (SELECT CASE WHEN pos % 5 = 3 THEN CAST(n AS VARCHAR) ELSE 't' || table_id END AS table_id, n AS pos,
-            'order ' || table_id || '?' AS question, [rows[1][1]] AS answers, header[1:4] AS header,
-            list_transform(rows[1:3], lambda r: r[1:4]) AS rows FROM a)
+            'order ' || table_id || '?' AS question, [rows[1][1]] AS answers, header, rows FROM a)
         SELECT {_SHOWN}, pos, question, CAST(to_json(answers) AS VARCHAR) AS answers FROM s""",
     "cells": f"""WITH {T_ORD}, {CELLS} SELECT table_id, CAST(r AS INT) AS row_idx, CAST(c AS INT) AS col_idx,
         {names(ORDER_HEADER)}[c + 1] AS col_name, v AS value FROM cells""",
@@ -516,10 +517,10 @@ ORACLE: dict[str, str] = {
         SELECT table_id, v AS value, CAST(slot // n_cols AS INT) AS row_idx, CAST(slot % n_cols AS INT) AS col_idx, n_pos FROM g""",
     "unique_values": f"""WITH {T_ORD}, {CELLS} SELECT table_id, v AS value, CAST(min(r) AS INT) AS row_idx, CAST(min(c) AS INT) AS col_idx
         FROM cells GROUP BY table_id, v HAVING count(*) = 1""",
-    "task_size_detection": task_query(T_NAT, ["size_detection"]),
+    "task_size_detection": task_query(T_CUST, ["size_detection"]),
     "task_cell_lookup": task_query(T_ORD, ["cell_lookup"]),
     "task_reverse_lookup": task_query(T_ORD, ["reverse_lookup"]),
-    "task_row_col_retrieval": task_query(T_NAT, ["row_retrieval", "col_retrieval"]),
+    "task_row_col_retrieval": task_query(T_CUST, ["row_retrieval", "col_retrieval"]),
     "generate_tasks": task_query(T_ORD),
     "prompts_zero_shot": _prompt_query(
         T_ORD, ["size_detection", "row_retrieval"], ["html", "json", "col_sep"], _ZERO_SHOT
@@ -563,8 +564,9 @@ ORACLE: dict[str, str] = {
     "duplicate_ids": """SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
         GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
     "score_batches": """SELECT doc_id, CASE WHEN n_chars > 5000 THEN '[SKIPPED: ' || n_chars || ']'
-        WHEN length(text) = 7 THEN 'seven characters' ELSE CAST(length(text) AS VARCHAR) END AS raw,
+        WHEN length(text) = 7 THEN NULL ELSE CAST(length(text) AS VARCHAR) END AS raw,
         CASE WHEN n_chars <= 5000 AND length(text) = 7 THEN 'seven characters' END AS error FROM documents""",
+    "retry_failed": "SELECT doc_id, CAST(length(text) AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS error FROM documents",
     "judge_pending": judge_pending(),
     "stream_score": "SELECT doc_id, CAST(length(text) AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS error FROM documents",
     "markup_html": f"""SELECT page_id, CAST(length(html) AS INT) AS n_chars,

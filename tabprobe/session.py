@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -29,7 +27,7 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for a local master."""
+    """The folder that ``spark.checkpoint.dir`` names; where none is named, one in the warehouse, which executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
@@ -37,9 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="tabprobe-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:

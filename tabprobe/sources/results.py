@@ -16,7 +16,7 @@ from tabprobe.operators.summary import summarise, summarise_pivot
 
 PREDICTION_COLUMNS = [
     "table_id", "task", "fmt", "question", "gold", "answers", "n_rows", "n_cols", "prompt",
-    "prompt_tokens", "pred", "raw", "patch_group", "patch_layer", "base_model", "quant_model",
+    "prompt_tokens", "pred", "raw", "error", "patch_group", "patch_layer", "base_model", "quant_model",
     "patch_positions", "random_seed",
 ]
 VERDICT_COLUMNS = [
@@ -47,12 +47,12 @@ def read_predictions(
 ) -> DataFrame:
     """All prediction data sets in one read; ``run_id`` tells the runs apart.
 
-    Without ``run_ids`` the last path element names the run.
+    Without ``run_ids`` the last path element names the run, without the ``run_id=`` of a partition folder.
     """
     _require(spark, paths)
     if run_ids is not None and len(run_ids) != len(paths):
         raise ValueError("run_ids must have the same length as paths")
-    names = list(run_ids) if run_ids is not None else [p.rstrip("/").split("/")[-1] for p in paths]
+    names = list(run_ids) if run_ids is not None else [p.rstrip("/").split("/")[-1].removeprefix("run_id=") for p in paths]
     frames = [
         spark.read.parquet(path).withColumn("run_id", F.lit(name)) for path, name in zip(paths, names)
     ]

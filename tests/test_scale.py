@@ -14,7 +14,6 @@ from tabprobe.operators import ingest, longform, markup, resume, sampling
 from tabprobe.operators.numbering import number_rows
 from tabprobe.operators.prompts import build_prompts
 from tabprobe.operators.serialise import build_instances, generate_instances, serialise_tables
-from tabprobe.operators.skew import hot_values, join_unique
 from tabprobe.operators.tasks import generate_tasks
 from tabprobe.sources.corpus import save_bucketed
 from tests.test_prompts import HEAD
@@ -48,17 +47,17 @@ def test_number_rows_with_null_keys(spark):
 
 
 def test_tables_from_rows_truncates(spark, skewed):
-    tables = {t.table_id: t for t in ingest.tables_from_rows(skewed, "k", ["n"], columns()).collect()}
+    tables = {t.table_id: t for t in ingest.tables_from_rows(skewed, "k", ["n"], columns(), max_rows=25).collect()}
     assert len(tables) == 201 and [r[0] for r in tables["hot"].rows] == [str(i) for i in range(25)]
     assert [r[0] for r in tables["k7"].rows] == [str(i) for i in range(7, 2000, 200)]
     narrow = ingest.tables_from_rows(skewed, "k", ["n"], columns(), max_cols=1).first()
     assert narrow.header == ["n"]
-    with pytest.raises(ValueError):
-        ingest.tables_from_rows(skewed, "k", ["n"], columns(), max_rows=0)
+    whole = {t.table_id: len(t.rows) for t in ingest.tables_from_rows(skewed, "k", ["n"], columns()).collect()}
+    assert whole["hot"] == 1000 and sum(whole.values()) == 3000
 
 
 def test_group_limit_is_before_the_shuffle(spark, skewed):
-    plan = ingest.tables_from_rows(skewed, "k", ["n"], columns())._jdf.queryExecution().executedPlan().toString()
+    plan = ingest.tables_from_rows(skewed, "k", ["n"], columns(), max_rows=25)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(table_id") == 1
     assert plan.index("Exchange hashpartitioning(table_id") < plan.rindex("Partial")
 
@@ -81,25 +80,12 @@ def test_long_form_of_one_column(spark):
     assert csv == 'v\r\n""\r\nx\r\nNone'
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_join_unique_splits_hot_keys(spark, skewed, how):
+def test_hot_keys_resume(spark, skewed):
     one = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 200, 2)], "k string, v int")
-    plain = skewed.join(one, "k", how)
-    split = join_unique(skewed, one, "k", how, hot_rows=50)
-    assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
-    assert "_piece" in split._jdf.queryExecution().optimizedPlan().toString()
-    assert "_piece" not in join_unique(skewed, one, "k", how)._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_copies_of_one_row_are_spread(spark):
-    copies = spark.range(0, 4000, 1, 8).select(F.lit("same").alias("k"))
-    hot = hot_values(copies, "k", 500)
-    assert list(hot.values()) == [4000]
-    one = spark.createDataFrame([("same", 1)], "k string, v int")
-    joined = join_unique(copies, one.hint("merge"), "k", hot_rows=500)
-    assert joined.count() == 4000
-    pending = resume.pending(copies, one.filter("v = 2").select("k"), ["k"])
-    assert pending.count() == 4000
+    done = {r.k for r in one.collect()}
+    rows = skewed.collect()
+    assert sorted(map(tuple, resume.pending(skewed, one, ["k"]).collect())) == sorted((r.k, r.n) for r in rows if r.k not in done)
+    assert sorted(map(tuple, resume.keep_wanted(skewed, one, ["k"]).collect())) == sorted((r.k, r.n) for r in rows if r.k in done)
 
 
 def test_samples(spark):
@@ -201,16 +187,10 @@ def test_controls(spark):
         [("t", "k", "col_sep", "q", text, f"{HEAD}{text} end"), ("u", "k", "col_sep", "q", text, "elsewhere")],
         "table_id string, task string, fmt string, question string, table_text string, prompt string",
     )
-    for sampler in ("hash", "mt19937"):
-        rows = markup.control_positions(df.filter("table_id = 't'"), "col_sep", sampler=sampler).collect()
-        assert len(rows) == 21 and {r.patch_positions for r in rows} == {6}
-        masks = {tuple(r.positions) for r in rows if r.patch_group == "random10pct"}
-        assert len(masks) > 15 and all(list(m) == sorted(set(m)) for m in masks)
-        if sampler == "mt19937":
-            head = hashlib.sha256(b"45:t|k|col_sep|q").digest()[:8]
-            n = len(re.findall(r"\w+|[^\w\s]", f"{HEAD}{text} end"))
-            drawn = sorted(random.Random(int.from_bytes(head, "big")).sample(range(n), 6))
-            assert [list(r.positions) for r in rows if r.random_seed == 45] == [drawn]
+    rows = markup.control_positions(df.filter("table_id = 't'"), "col_sep").collect()
+    assert len(rows) == 21 and {r.patch_positions for r in rows} == {6}
+    masks = {tuple(r.positions) for r in rows if r.patch_group == "random10pct"}
+    assert len(masks) > 15 and all(list(m) == sorted(set(m)) for m in masks)
     absent = markup.control_positions(df.filter("table_id = 'u'"), "col_sep").collect()
     assert all(r.positions is None and r.error for r in absent)
     few = df.select(markup.random_positions(F.lit(3), F.lit(9), F.lit(1), F.lit("k")).alias("p"))
@@ -230,7 +210,7 @@ def test_bucketed_tables_join_without_an_exchange(spark, skewed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         built = build_instances(
-            spark.table("bucketed_tasks"), spark.table("bucketed_tables"), ["tsv"], co_located=True
+            spark.table("bucketed_tasks"), spark.table("bucketed_tables"), ["tsv"]
         )
         plan = built._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan
