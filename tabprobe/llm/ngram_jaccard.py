@@ -205,11 +205,12 @@ def gram_counters(classes: DataFrame) -> np.ndarray:
         for batch in slices(batches):
             every = np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint64)
             total += np.bincount((every >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS).astype(np.uint32)
-        parts = total.reshape(blocks, width)
+        # what a task counts beyond 65,535 changes nothing in the order
+        parts = np.minimum(total, 65_535).astype(np.uint16).reshape(blocks, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in frame["counts"])
+        total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in frame["counts"])
         return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     kinds = "block int, counts binary"
@@ -302,15 +303,19 @@ def postings(classes: DataFrame, counters: np.ndarray, boundary: int, wanted: np
 
 
 def boundary_of(classes: DataFrame, counters: np.ndarray) -> int:
-    """The boundary by cost, from the number of small sets by size and the lists they would scan."""
+    """The boundary by cost, from the number of small sets by size and the lists they would scan.
+
+    A counter holds other n-grams as well, as many as the mean counter; so much is taken off.
+    """
+    mean = float(counters.mean())
 
     @F.pandas_udf("double")
     def scan(grams: pd.Series, n: pd.Series) -> pd.Series:
         out = []
         for g, k in zip(grams, n):
             counts = ordered(g, counters)[1]
-            out.append(float(counts[: k - overlap_needed(k, -(-k * NUMERATOR // DENOMINATOR)) + 1].astype(float).sum()))
-        return pd.Series(out)
+            out.append(float(counts[: k - overlap_needed(k, -(-k * NUMERATOR // DENOMINATOR)) + 1].astype(float).clip(mean).sum() - mean * (k - overlap_needed(k, -(-k * NUMERATOR // DENOMINATOR)) + 1)))
+        return pd.Series(out, dtype=float)
 
     found = classes.where(F.col("n") <= 2 * LIGHT_MOST).withColumn("s", scan("grams", "n")).groupBy("n").agg(F.count("*").alias("k"), F.avg("s").alias("s")).collect()
     return best_boundary({r["n"]: r["k"] for r in found}, {r["n"]: r["s"] for r in found})
