@@ -33,7 +33,7 @@ from tabprobe.llm.ngram_jaccard import mix64, word_hashes
 ORDER_BITS = (8, 16, 18, 18, 19, 19)
 START, END = 0xFF, 0xFF  # a byte that no UTF-8 text has
 #: Bytes scored, or documents' bytes turned into a chunk, in one go.
-BATCH_BYTES, CHUNK_BYTES = 6 << 20, 4 << 20
+BATCH_BYTES, CHUNK_BYTES = 2 << 20, 2 << 20
 STEPS = 33
 FRONT = len(ORDER_BITS) - 1
 
@@ -53,13 +53,18 @@ def squash(x: np.ndarray) -> np.ndarray:
 def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Six-byte strings that end at each byte, and at the end, of lower-cased texts, and the number of them per text."""
     front = bytes([START]) * FRONT
-    data = np.frombuffer(b"".join(front + t + bytes([END]) for t in texts), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(front + t + bytes([END]) for t in texts), np.uint8)
     keys = np.zeros(max(0, len(data) - FRONT), np.uint64)
     for i in range(FRONT + 1):
-        keys = (keys << np.uint64(8)) | data[i : len(data) - FRONT + i]
+        keys <<= np.uint64(8)
+        keys |= data[i : len(data) - FRONT + i]
     counts = np.array([len(t) + 1 for t in texts], np.int64)
-    starts = np.cumsum(counts + FRONT) - (counts + FRONT)
-    return keys[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())], counts
+    # strings that would end in the next text's front are left out
+    inside = np.ones(len(keys), bool)
+    ends = np.cumsum(counts + FRONT) - FRONT
+    for i in range(FRONT):
+        inside[ends[:-1] + i] = False
+    return keys[inside], counts
 
 
 def slots(keys: np.ndarray, bit: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -239,12 +244,11 @@ def mixing_scores(df: DataFrame, mixer: Mixer, id_col: str = "doc_id", text_col:
                 for i in range(0, len(fresh), 1 << 16):
                     some = fresh[i : i + (1 << 16)]
                     cost[some] = model.bits(unique[some])
-                if len(known) > 3_000_000:
+                if len(known) > 2_000_000:
                     known, costs = unique, cost
                 elif len(fresh):
-                    known, costs = np.concatenate((known, unique[fresh])), np.concatenate((costs, cost[fresh]))
-                    order = np.argsort(known, kind="stable")
-                    known, costs = known[order], costs[order]
+                    spot = np.searchsorted(known, unique[fresh])
+                    known, costs = np.insert(known, spot, unique[fresh]), np.insert(costs, spot, cost[fresh])
                 out.append(np.add.reduceat(cost[back], np.cumsum(counts) - counts))
             yield pd.DataFrame({"bits": np.concatenate(out) if out else np.zeros(0), "n_bytes": [len(t) for t in raw]})
 
