@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +24,6 @@ def markup_sizes(texts: DataFrame, fmt: str, text: str = "table_text") -> DataFr
     )
 
 
-def prompt_markup(prompts: DataFrame, fmt: str) -> DataFrame:
-    """Add ``spans`` in the prompt and ``error`` where the table text is not in it."""
-    spans = M.shift_spans(
-        M.markup_spans(F.col("table_text"), fmt), F.col("prompt"), F.col("table_text")
-    )
-    missing = F.when(
-        F.instr(F.col("prompt"), F.col("table_text")) == 0,
-        F.lit(ABSENT),
-    )
-    return prompts.withColumns({"spans": spans, "error": missing})
-
-
 def explode_spans(df: DataFrame, key: Sequence[str], spans: str, index: str | None = None) -> DataFrame:
     """Array of spans to rows (key, [index,] start, end)."""
     # Outer, then without the empty ones: a plain explode would first filter on the
@@ -75,16 +62,6 @@ def overlapping_tokens(
     return pieces.join(marks, condition, "left_semi").select(*tokens.columns).distinct()
 
 
-def markup_token_positions(tokens: Column, spans: Column) -> Column:
-    """Indexes of the tokens that touch a span, both sides sorted by start; map-only."""
-
-    @F.arrow_udf("array<int>")
-    def positions(token_lists: pa.Array, span_lists: pa.Array) -> pa.Array:
-        return M.overlapping(token_lists, span_lists)
-
-    return positions(tokens, spans)
-
-
 def markup_budgets(touched: DataFrame, key: Sequence[str]) -> DataFrame:
     """Number of markup tokens per text: the size of a matching random control."""
     return touched.groupBy(*key).agg(F.count(F.lit(1)).alias("n_markup_tokens"))

@@ -68,12 +68,6 @@ def judge_prompts(
     ).withColumn("judge_prompt_tokens", count_tokens(F.col("judge_prompt")))
 
 
-def judge_prompt_lengths(predictions: DataFrame, **options) -> DataFrame:
-    return judge_prompts(predictions, **options).select(
-        "table_id", "task", "fmt", "target_field", "judge_prompt_tokens"
-    )
-
-
 def external_prompts(
     records: DataFrame,
     contexts: dict[str, str] = fixed.EXTERNAL_CONTEXTS,

@@ -68,21 +68,28 @@ def summarise_all(verdicts: DataFrame, digits: int | None = 4) -> DataFrame:
     )
 
 
+#: Stands for a missing format in the names of pivoted columns.
+NO_FORMAT = "null"
+
+
 def formats_of(verdicts: DataFrame) -> list[str]:
     """Distinct formats, sorted; a handful, and refused beyond the session's pivot limit."""
     limit = int(verdicts.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     found = [r.fmt for r in verdicts.select("fmt").distinct().limit(limit + 1).collect()]
     if len(found) > limit:
         raise ValueError(f"More than {limit} formats; pass the list to pivot on")
-    return sorted(f for f in found if f is not None)
+    return sorted({NO_FORMAT if f is None else f for f in found})
 
 
 def summarise_pivot(
     verdicts: DataFrame, formats: Sequence[str] | None = None, digits: int | None = 4
 ) -> DataFrame:
-    """task, then {fmt}_{metric} metric by metric, formats sorted; absent pairs are NULL."""
+    """task, then {fmt}_{metric} metric by metric, formats sorted; absent pairs are NULL.
+
+    Rows without a format have columns of their own, named ``null_{metric}``.
+    """
     formats = sorted(formats) if formats is not None else formats_of(verdicts)
-    per_pair = summarise(verdicts, ["task", "fmt"], digits)
+    per_pair = summarise(verdicts, ["task", "fmt"], digits).withColumn("fmt", F.coalesce("fmt", F.lit(NO_FORMAT)))
     wide = per_pair.groupBy("task").pivot("fmt", list(formats)).agg(
         F.first("n").alias("n"), *[F.first(m).alias(m) for m in METRICS]
     )

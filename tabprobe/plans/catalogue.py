@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabprobe.functions.extract import extract_list, extract_scalar
@@ -36,6 +36,7 @@ from tabprobe.operators.serialise import (
 from tabprobe.operators.tasks import generate_tasks, unique_values, value_positions
 from tabprobe.plans.jobs import judge
 from tabprobe.session import shared_folder
+from tabprobe.sources import corpus, results
 from tabprobe.streaming.incremental import arriving, incremental_score
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,10 +186,10 @@ def number_tables(spark, sf_dir):
 
 # --- formats ----------------------------------------------------------------
 def format_query(fmt: str) -> Query:
-    corpus = conversation_tables if fmt in ("csv", "csv_q", "json") else order_tables
+    tables = conversation_tables if fmt in ("csv", "csv_q", "json") else order_tables
 
     def query(spark, sf_dir):
-        return serialise_tables(corpus(spark, sf_dir), [fmt])
+        return serialise_tables(tables(spark, sf_dir), [fmt])
 
     return query
 
@@ -213,9 +214,9 @@ def unique_values_query(spark, sf_dir):
     return unique_values(ingest.cells(order_tables(spark, sf_dir)))
 
 
-def task_query(corpus: Query, kinds: Sequence[str]) -> Query:
+def task_query(tables: Query, kinds: Sequence[str]) -> Query:
     def query(spark, sf_dir):
-        return generate_tasks(corpus(spark, sf_dir), kinds=kinds)
+        return generate_tasks(tables(spark, sf_dir), kinds=kinds)
 
     return query
 
@@ -664,7 +665,115 @@ def seeded_keys(spark, sf_dir):
     )
 
 
+# --- sources and sinks: written to the shared folder and read back -----------
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_tables(spark, sf_dir):
+    """Tables written with their manifest, and loaded again."""
+    folder = _folder(spark, "tables")
+    tables = order_tables(spark, sf_dir).withColumns({"question": F.lit("q"), "answers": F.array(F.lit("a"))})
+    corpus.write_tables(tables, folder, {"seed": 42, "max_rows": None})
+    manifest = spark.read.json(f"{folder}/manifest").select(F.col("n_tables").alias("n_stored"), "seed")
+    return _shown(corpus.load_tables(spark, folder), F.col("pos"), F.col("question")).join(F.broadcast(manifest), how="cross")
+
+
+def stored_tasks(spark, sf_dir):
+    """Tasks written as rows and as one object per table; the objects, read back."""
+    folder = _folder(spark, "tasks")
+    corpus.write_tasks(generate_tasks(order_tables(spark, sf_dir)), folder, 42, sf_dir)
+    schema = "table_id STRING, part BIGINT, tasks ARRAY<STRUCT<task_seq: INT, task: STRING, question: STRING, gold: STRING, n_rows: INT, n_cols: INT>>"
+    objects = spark.read.schema(schema).json(f"{folder}/tasks_by_table")
+    return objects.select(
+        "table_id", "part", F.size("tasks").alias("n_tasks"), F.md5(F.array_join(F.transform("tasks", lambda t: F.concat(t["task"], F.lit("|"), t["gold"])), "\n")).alias("tasks_md5")
+    )
+
+
+def stored_selection(spark, sf_dir):
+    """A list of urgent orders, written and read back, then used to keep and order their tables."""
+    folder = _folder(spark, "selection")
+    urgent = read(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    chosen = urgent.select(F.col("o_orderkey").cast("string").alias("table_id"), F.col("o_orderkey").alias("pos"))
+    corpus.write_selection(chosen, chosen.select("table_id"), folder, "m", ["tsv"], 100, 10)
+    listed = corpus.read_selection(spark, f"{folder}/selection")
+    tables = selection.keep_listed(order_tables(spark, sf_dir).select("table_id", F.size("rows").alias("n_rows")), listed)
+    return selection.with_list_order(tables, listed)
+
+
+def stored_predictions(spark, sf_dir):
+    """Predictions of two runs, appended, read together, one of them with failed calls."""
+    folder = _folder(spark, "predictions")
+    rows = _document_predictions(spark, sf_dir).withColumn("error", F.when(F.length("raw") % 5 == 0, F.lit("failed")))
+    results.append_predictions(rows, folder, "first")
+    results.append_predictions(rows.withColumn("error", F.lit(None).cast("string")), folder, "second")
+    found = results.read_predictions(spark, [f"{folder}/run_id=first", f"{folder}/run_id=second"])
+    return resume.judgeable(found).select("run_id", "table_id", "task", "fmt", F.md5("raw").alias("raw_md5"))
+
+
+def csv_predictions(spark, sf_dir):
+    """Predictions as interchange CSV and back, line ends and quotes included."""
+    folder = _folder(spark, "csv")
+    rows = _document_predictions(spark, sf_dir).select(
+        "table_id", "task", "fmt", "question", "gold", F.lit(1).alias("n_rows"), F.lit(2).alias("n_cols"), F.lit('p"p\n,').alias("prompt"),
+        F.lit(3).alias("prompt_tokens"), F.lit(None).cast("string").alias("pred"), "raw", F.lit(None).cast("string").alias("error"),
+    )
+    results.write_predictions_csv(rows, folder)
+    found = results.read_predictions_csv(spark, folder)
+    return found.select("table_id", "task", "fmt", "question", "gold", "prompt", "pred", F.md5("raw").alias("raw_md5"))
+
+
+def stored_verdicts(spark, sf_dir):
+    """Verdicts appended, read back as texts, and parsed to nullable booleans again."""
+    folder = _folder(spark, "verdicts")
+    results.append_verdicts(verdicts(spark, sf_dir).withColumn("table_id", F.col("doc_id").cast("string")), folder)
+    found = spark.read.parquet(folder)
+    texts = found.select("table_id", "task", "fmt", *[F.initcap(F.col(c).cast("string")).alias(c) for c in ("content_correct", "content_partial", "overinclusive")])
+    return summaries.verdicts_from_text(texts)
+
+
+def stored_summaries(spark, sf_dir):
+    """The three summaries as CSV; the one by format, read back."""
+    folder = _folder(spark, "summaries")
+    written = results.write_summaries(verdicts(spark, sf_dir), folder)
+    found = spark.read.option("header", True).csv(written["fmt"])
+    return found.select("fmt", F.col("n").cast("bigint").alias("n"), *[F.col(m).cast("double").alias(m) for m in summaries.METRICS])
+
+
+def stored_external(spark, sf_dir):
+    """Results merged by id, new ones winning, written in the order of the ids as numbers."""
+    folder = _folder(spark, "external")
+    documents = read(spark, sf_dir, "documents")
+    old = documents.select(F.col("doc_id").cast("string").alias("id"), F.array("lang").alias("prediction_list"))
+    new = documents.filter(F.col("doc_id") % 3 == 0).select(F.col("doc_id").cast("string").alias("id"), F.array("source").alias("prediction_list"))
+    results.write_external(results.merge_external(old, new), folder)
+    found = spark.read.schema("id STRING, prediction_list ARRAY<STRING>").json(folder)
+    order = Window.partitionBy(F.input_file_name()).orderBy(F.monotonically_increasing_id())
+    placed = found.withColumn("before", F.lag(F.col("id").cast("bigint")).over(order))
+    return placed.select("id", F.col("prediction_list")[0].alias("prediction"), F.coalesce(F.col("before") < F.col("id").cast("bigint"), F.lit(True)).alias("in_order"))
+
+
+def sql_formats(spark, sf_dir):
+    """All twelve formats as SQL functions."""
+    from tabprobe.functions.sql_functions import register_formats
+
+    names = register_formats(spark)
+    view = f"tables_{uuid.uuid4().hex}"
+    order_tables(spark, sf_dir).createOrReplaceTempView(view)
+    each = ", ".join(f"md5({name}(header, rows)) AS {name}" for name in names)
+    return spark.sql(f"SELECT table_id, {each} FROM {view}")
+
+
 QUERIES: dict[str, Query] = {
+    "stored_tables": stored_tables,
+    "stored_tasks": stored_tasks,
+    "stored_selection": stored_selection,
+    "stored_predictions": stored_predictions,
+    "csv_predictions": csv_predictions,
+    "stored_verdicts": stored_verdicts,
+    "stored_summaries": stored_summaries,
+    "stored_external": stored_external,
+    "sql_formats": sql_formats,
     "tables_from_rows": tables_from_rows,
     "truncate_tables": truncate_tables,
     "parse_tables": parse_tables,

@@ -493,6 +493,22 @@ FROM z GROUP BY table_id, patch_group"""
 _SHOWN = "table_id, CAST(len(rows) AS INT) AS n_rows, CAST(len(header) AS INT) AS n_cols, CAST(to_json(header) AS VARCHAR) AS header, CAST(to_json(rows) AS VARCHAR) AS rows"
 
 ORACLE: dict[str, str] = {
+    "stored_tables": f"WITH {T_ORD} SELECT {_SHOWN}, pos, 'q' AS question, count(*) OVER () AS n_stored, CAST(42 AS BIGINT) AS seed FROM t",
+    "stored_tasks": f"""WITH {T_ORD}, {tasks()} SELECT table_id, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INT) AS n_tasks,
+        md5(string_agg(task || '|' || gold, chr(10) ORDER BY task_seq)) AS tasks_md5 FROM tasks GROUP BY table_id""",
+    "stored_selection": f"""WITH {T_ORD}, u AS (SELECT CAST(o_orderkey AS VARCHAR) AS table_id,
+        CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS ord FROM orders WHERE o_orderpriority = '1-URGENT')
+        SELECT table_id, CAST(n_rows AS INT) AS n_rows, ord FROM t JOIN u USING (table_id)""",
+    "stored_predictions": f"""WITH {_DOC_PREDICTIONS} SELECT run_id, table_id, task, fmt, md5(raw) AS raw_md5
+        FROM p, (VALUES ('first'), ('second')) r(run_id) WHERE run_id = 'second' OR length(raw) % 5 <> 0""",
+    "csv_predictions": f"""WITH {_DOC_PREDICTIONS} SELECT table_id, task, fmt, question, gold, 'p"p' || chr(10) || ',' AS prompt,
+        CAST(NULL AS VARCHAR) AS pred, md5(raw) AS raw_md5 FROM p""",
+    "stored_verdicts": """SELECT CAST(doc_id AS VARCHAR) AS table_id, lang AS task, source AS fmt, quality = 1 AS content_correct,
+        quality = 0 AS content_partial, toxic = 1 AS overinclusive FROM documents LEFT JOIN labels USING (doc_id)""",
+    "stored_summaries": f"WITH {_V} SELECT fmt, {_averages(True)} FROM m GROUP BY fmt",
+    "stored_external": """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS prediction,
+        TRUE AS in_order FROM documents""",
+    "sql_formats": f"WITH {T_ORD} SELECT table_id, " + ", ".join(f"md5({sql}) AS fmt_{fmt}" for fmt, sql in FORMAT_SQL.items()) + " FROM t",
     "tables_from_rows": f"WITH {T_ORD} SELECT {_SHOWN} FROM t",
     "truncate_tables": f"""WITH {T_CUST}, s AS (SELECT table_id, header[1:3] AS header,
         list_transform(rows[1:15], lambda r: r[1:3]) AS rows FROM t) SELECT {_SHOWN} FROM s""",

@@ -13,12 +13,7 @@ TASKS = (
 )
 PREDICTIONS = (
     "table_id STRING, task STRING, fmt STRING, question STRING, gold STRING, "
-    "n_rows INT, n_cols INT, prompt STRING, prompt_tokens INT, pred STRING, raw STRING"
-)
-QA_PREDICTIONS = PREDICTIONS.replace("gold STRING,", "gold STRING, answers STRING,")
-CONTROL_PREDICTIONS = PREDICTIONS + (
-    ", patch_group STRING, patch_layer STRING, base_model STRING, quant_model STRING, "
-    "patch_positions INT, random_seed INT"
+    "n_rows INT, n_cols INT, prompt STRING, prompt_tokens INT, pred STRING, raw STRING, error STRING"
 )
 VERDICTS = (
     "table_id STRING, task STRING, fmt STRING, question STRING, gold STRING, "
@@ -31,8 +26,4 @@ EXTERNAL = (
     "question_list ARRAY<STRING>, golden_answer_list ARRAY<STRING>, "
     "context STRUCT<context_html: STRING, context_latex: STRING, context_markdown: STRING>"
 )
-EXTERNAL_PREDICTIONS = (
-    "id STRING, task_name STRING, sub_task_name STRING, golden_answer_list ARRAY<STRING>, "
-    "prediction_list ARRAY<STRING>"
-)
 CHOICES = "question STRING, choices ARRAY<STRING>"
