@@ -40,21 +40,37 @@ def tree_pattern(words: list[str]) -> str:
     return f"(?:{inner})?" if "" in branches and parts else inner
 
 
-def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
-    """Sorted distinct signatures, as hash prefixes in hexadecimal.
+def plain_words(text: Column) -> Column:
+    """Lower-cased words between single blanks."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), OTHER, " ")), F.lit(" "))
 
-    Words are lower-cased. Of several anchors in a row only the last counts; its chain is the next two content words, whatever
-    anchors stand between them. A text without any chain has its words as signatures, and without words itself; an empty text has none.
+
+def chains(text: Column, anchors: list[str] = ANCHORS) -> Column:
+    """Every "anchor content content" of a text.
+
+    Of several anchors in a row only the last counts; its chain is the next two content words, whatever anchors stand between them.
     """
     anchor = tree_pattern(list(dict.fromkeys(anchors)))
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), OTHER, " ")), F.lit(" "))
-    single = F.regexp_replace(plain, f"(?<= ){anchor} (?={anchor} )", "")
+    single = F.regexp_replace(plain_words(text), f"(?<= ){anchor} (?={anchor} )", "")
     content = rf"(?!{anchor} )[^ ]++"
     chained = F.regexp_replace(single, f"(?<= )({anchor})(?= ({content})(?: {anchor})? ({content}) )", "\n$1 $2 $3\r")
-    chains = F.regexp_extract_all(chained, F.lit("\n([^\r]*)\r"), F.lit(1))
+    return F.regexp_extract_all(chained, F.lit("\n([^\r]*)\r"), F.lit(1))
+
+
+def with_signatures(df: DataFrame, text_col: str, out: str, anchors: list[str] = ANCHORS) -> DataFrame:
+    """Add a text's sorted distinct signatures, as hash prefixes in hexadecimal.
+
+    A text without any chain has its words as signatures, and without words itself; an empty text has none. Chains are a column
+    of their own, as a plan would else find them anew wherever they are named.
+    """
+    text, plain = F.col(text_col), plain_words(F.col(text_col))
     words = F.filter(F.split(plain, " "), lambda w: w != "")
-    found = F.when(F.size(chains) > 0, chains).when(text == "", F.array().cast("array<string>")).when(F.trim(plain) != "", words).otherwise(F.array(text))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda s: F.substring(F.md5(s), 1, DIGITS))))
+    found = (
+        F.when(F.size("_chains") > 0, F.col("_chains")).when(text == "", F.array().cast("array<string>"))
+        .when(F.trim(plain) != "", words).otherwise(F.array(text))
+    )
+    hashed = F.array_sort(F.array_distinct(F.transform(found, lambda s: F.substring(F.md5(s), 1, DIGITS))))
+    return df.withColumn("_chains", chains(text, anchors)).withColumn(out, hashed).drop("_chains")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -106,7 +122,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, anchors: list[str] = ANCHORS) -> DataFrame:
     """(id, text, signatures) of every row. Null texts count as empty."""
-    return df.select(named(id_col).alias("id"), whole_text(named(text_col)).alias("text")).withColumn("signatures", signatures(F.col("text"), anchors))
+    return df.select(named(id_col).alias("id"), whole_text(named(text_col)).alias("text")).transform(with_signatures, "text", "signatures", anchors)
 
 
 def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, anchors: list[str] = ANCHORS) -> DataFrame:
@@ -120,10 +136,10 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     order = Window.partitionBy("stretch").orderBy("far", F.col("key").desc(), "mark")
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    seen = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("signatures", signatures(F.col("text"), anchors))
+    seen = with_signatures(rows.withColumn("next_text", F.lead("text").over(order)), "text", "signatures", anchors)
     seen = seen.withColumn("next_signatures", F.lead("signatures").over(order)).where("NOT ghost")
     seen = seen.withColumn("edited", F.concat(F.substring("text", 1, n - third), F.substring("next_text", F.lit(1), third)))
-    seen = seen.withColumn("edited_signatures", signatures(F.col("edited"), anchors))
+    seen = with_signatures(seen, "edited", "edited_signatures", anchors)
     return seen.select(
         "id", n.cast("long").alias("n_chars"), "edited", "signatures", "edited_signatures",
         likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"), likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
