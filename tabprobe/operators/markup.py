@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
 from tabprobe.functions import markup as M
-from tabprobe.functions.picks import indexes
 from tabprobe.functions.text import let, pipe_key
 
 SEGMENT = 64
@@ -94,17 +93,28 @@ def control_jobs(
 
 
 def random_positions(n: Column, count: Column, seed: Column, key: Column) -> Column:
-    """Sorted positions: ``min(count, n)`` of 0 .. n-1, seeded per instance: those with the smallest sha256(seed:key:position)."""
+    """Sorted positions: ``min(count, n)`` of 0 .. n-1, every choice as likely as any other, seeded per instance.
+
+    Only as many numbers are drawn as positions are wanted. For each of the last ``count`` places p in turn, a place up to p
+    is drawn by sha256(seed:key:p); if it is taken already, p itself is.
+    """
+    wanted = F.least(count, n).cast("int")
 
     def chosen(prefix: Column) -> Column:
-        digests = F.transform(
-            indexes(n),
-            lambda p: F.struct(F.sha2(F.concat(prefix, p.cast("string")), 256).alias("h"), p.alias("p")),
+        drawn = F.transform(
+            F.sequence((n - wanted).cast("int"), (n - 1).cast("int")),
+            lambda p: F.struct(
+                p.alias("p"),
+                (F.conv(F.substring(F.sha2(F.concat(prefix, p.cast("string")), 256), 1, 12), 16, 10).cast("long") % (p + 1)).cast("int").alias("t"),
+            ),
+        )
+        kept = F.aggregate(
+            drawn, F.array().cast("array<int>"), lambda s, d: F.array_append(s, F.when(F.array_contains(s, d["t"]), d["p"]).otherwise(d["t"]))
         )
-        kept = F.slice(F.sort_array(digests), F.lit(1), F.greatest(count, F.lit(0)))
-        return F.sort_array(F.transform(kept, lambda x: x["p"]))
+        return F.sort_array(kept)
 
-    return let(F.concat(seed.cast("string"), F.lit(":"), key, F.lit(":")), chosen)
+    some = let(F.concat(seed.cast("string"), F.lit(":"), key, F.lit(":")), chosen)
+    return F.when(wanted > 0, some).when(wanted <= 0, F.array().cast("array<int>"))
 
 
 def instance_key() -> Column:

@@ -628,19 +628,20 @@ def token_positions(spark, sf_dir):
 
 
 def random_positions(spark, sf_dir):
-    """Two random controls per table, as many positions as the table has lines."""
+    """Both controls of every table: the markup one, and twenty random masks of as many positions as the table has lines."""
     texts = serialise_tables(order_tables(spark, sf_dir), ["col_sep"])
     sized = texts.select(
         "table_id",
         token_count(F.col("table_text")).alias("n_tokens"),
         F.regexp_count("table_text", F.lit("\n")).alias("budget"),
     )
-    jobs = marks.control_jobs(sized, groups=["random10pct"], masks=2)
+    jobs = marks.control_jobs(sized)
     drawn = marks.random_positions(
         F.col("n_tokens"), F.col("budget"), F.col("random_seed"), F.col("table_id")
     )
+    drawn = F.when(F.col("random_seed").isNotNull(), drawn)
     return jobs.select(
-        "table_id", "patch_group", "random_seed",
+        "table_id", "patch_group", F.col("random_seed").cast("string").alias("random_seed"),
         F.array_join(F.transform(drawn, lambda p: p.cast("string")), ",").alias("positions"),
     )
 

@@ -465,17 +465,25 @@ SELECT table_id, count(*) AS n_markup_tokens, CAST(sum(i) AS BIGINT) AS sum_toke
 WHERE token IN ('<', 'COL', '>') GROUP BY table_id"""
 
 
+#: Positions drawn one by one from jobs q (table_id, key, random_seed, n, k), by recursion over the draws.
+_DRAWS = """
+f AS (SELECT table_id, key, random_seed, n, k, 0 AS i, CAST([] AS BIGINT[]) AS s FROM q
+    UNION ALL SELECT table_id, key, random_seed, n, k, i + 1, list_append(s, CASE WHEN list_contains(s, d) THEN n - k + i ELSE d END)
+    FROM (SELECT *, CAST('0x' || substr(sha256(random_seed || ':' || key || ':' || (n - k + i)), 1, 12) AS BIGINT) % (n - k + i + 1) AS d
+        FROM f WHERE i < k)),
+settled AS (SELECT * FROM f WHERE i = k)"""
+
+
 def random_positions() -> str:
-    return f"""WITH {T_ORD}, {_COL_SEP_TOKENS},
-j AS (SELECT table_id, len(tokens) AS n, n_rows AS budget, unnest([42, 43]) AS random_seed FROM tok JOIN t USING (table_id)),
-x AS (SELECT table_id, random_seed, budget, unnest(range(n)) AS p FROM j),
-r AS (SELECT *, row_number() OVER (PARTITION BY table_id, random_seed ORDER BY sha256(random_seed || ':' || table_id || ':' || p), p) AS k FROM x)
-SELECT table_id, 'random10pct' AS patch_group, random_seed, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS positions
-FROM r WHERE k <= budget GROUP BY table_id, random_seed"""
+    return f"""WITH RECURSIVE {T_ORD}, {_COL_SEP_TOKENS},
+q AS (SELECT table_id, table_id AS key, CAST(len(tokens) AS BIGINT) AS n, least(n_rows, len(tokens)) AS k, CAST(unnest(range(42, 62)) AS INT) AS random_seed
+    FROM tok JOIN t USING (table_id)), {_DRAWS},
+c AS (SELECT table_id, 'random10pct' AS patch_group, CAST(random_seed AS VARCHAR) AS random_seed, array_to_string(list_sort(s), ',') AS positions FROM settled)
+SELECT * FROM c UNION ALL SELECT table_id, 'format_late', NULL, NULL FROM t"""
 
 
 def control_positions() -> str:
-    return f"""WITH {T_ORD}, {tasks(['size_detection'])}, {texts(['col_sep'])},
+    return f"""WITH RECURSIVE {T_ORD}, {tasks(['size_detection'])}, {texts(['col_sep'])},
 p AS (SELECT table_id, task, fmt, question, {_ZERO_SHOT} AS prompt FROM tasks JOIN texts USING (table_id)),
 tok AS (SELECT table_id, table_id || '|' || task || '|' || fmt || '|' || question AS key, regexp_extract_all(prompt, '{_TOKEN}') AS tokens FROM p),
 x AS (SELECT table_id, key, unnest(range(len(tokens))) AS i, unnest(tokens) AS token, len(tokens) AS n FROM tok),
@@ -483,9 +491,9 @@ x AS (SELECT table_id, key, unnest(range(len(tokens))) AS i, unnest(tokens) AS t
 y AS (SELECT *, token = 'COL' OR (token = '<' AND lead(token) OVER w = 'COL') OR (token = '>' AND lag(token) OVER w = 'COL') AS mark
     FROM x WINDOW w AS (PARTITION BY table_id ORDER BY i)),
 b AS (SELECT table_id, count(*) FILTER (WHERE mark) AS budget FROM y GROUP BY table_id),
-r AS (SELECT table_id, i, row_number() OVER (PARTITION BY table_id ORDER BY sha256('42:' || key || ':' || i), i) AS k FROM y),
+q AS (SELECT table_id, key, 42 AS random_seed, CAST(len(tokens) AS BIGINT) AS n, budget AS k FROM tok JOIN b USING (table_id)), {_DRAWS},
 z AS (SELECT table_id, 'format_late' AS patch_group, i FROM y WHERE mark
-    UNION ALL SELECT table_id, 'random10pct', i FROM r JOIN b USING (table_id) WHERE k <= budget)
+    UNION ALL SELECT table_id, 'random10pct', unnest(s) FROM settled)
 SELECT table_id, patch_group, CAST(count(*) AS INT) AS patch_positions, md5(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i)) AS positions_md5
 FROM z GROUP BY table_id, patch_group"""
 
