@@ -82,9 +82,10 @@ def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n-grams; a text of fewer words has one, all its words; without words, none."""
     words, counts = word_hashes(texts)
     factors = powers(np.uint64(0xD6E8FEB86659FD93), n)
-    grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    m = max(0, len(words) - n + 1)
+    grams = np.zeros(m, np.uint64)
     for i in range(n):
-        grams += words[i : len(words) - n + 1 + i] * factors[i]
+        grams += words[i : i + m] * factors[i]
     grams = mix64(grams)
     out, start = [], 0
     for count in counts.tolist():

@@ -185,3 +185,11 @@ def test_suffix_sort_and_collisions(monkeypatch):
     monkeypatch.setattr(suffix_dedup.PrefixHash, "of", lambda self, s, n: np.zeros(np.broadcast(s, n).shape, np.uint64))
     assert (suffix_dedup.repeats(data, starts, groups, owners, 20) == right).all()
     assert right.any() and not right.all()
+
+
+def test_gram_sets_of_few_words():
+    for texts in ([b""], [b"one"], [b"one two", b"", b"three"], [b"a b c d"], [b"a b c d e"], [b" a  b c d e f\n", b"x"]):
+        found = ngram_jaccard.gram_sets(texts, 5)
+        assert [len(s) for s in found] == [max(min(1, len(t.split())), len(t.split()) - 4) for t in texts]
+    a, b = ngram_jaccard.gram_sets([b"one two", b"x one two"], 5)
+    assert (a == ngram_jaccard.gram_sets([b"one  two"], 5)[0]).all() and (a != b).all()
