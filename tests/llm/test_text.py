@@ -295,6 +295,29 @@ def test_bits_are_probabilities():
     assert bits(b"the cat sat on the mat") < bits(b"xqz jkw vvp qq zzz kkk") / 3
 
 
+def test_counts_of_contexts_are_exact_and_wide():
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)).encode() for _ in range(50)]
+    every = context_mixing.strings(texts)[0]
+    keys, times = np.unique(every, return_counts=True)
+    times = times * (1 << 31)  # sums beyond 31 bits
+    counts = context_mixing.Contexts(keys, times, *context_mixing.summed(context_mixing.tail(keys, 3), times))
+    for bit in (7, 3, 0):
+        some = keys[:: len(keys) // 40]
+        for order, found in enumerate(counts.counts(some, bit)):
+            for k, (zeros, ones) in zip(some.tolist(), found.tolist()):
+                mask = (1 << 8 * (order + 1)) - 1
+                fits = [(int(e) & mask) >> bit & 1 for e in every if (int(e) & mask) >> (bit + 1) == (k & mask) >> (bit + 1)]
+                assert (zeros, ones) == ((len(fits) - sum(fits)) << 31, sum(fits) << 31)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(60)], "doc_id long, text string")
+    rows = [{r.id: r for r in context_mixing.scores(d, F.col("doc_id") < 50).collect()} for d in (docs, docs.repartition(5))]
+    assert set(rows[0]) == set(range(60)) and all(rows[0][i].score == pytest.approx(rows[1][i].score, rel=1e-6) for i in range(60))
+    assert sum(r.score for i, r in rows[0].items() if i >= 50) > -60 * 40 * 10 * math.log10(9) / 6
+
+
 # web pages
 
 def test_blocks_of_broken_pages():
