@@ -183,7 +183,7 @@ class Mixer:
         """One online pass of the weights over strings that occurred ``times`` times; returns the bits that each gate saw."""
         seen = np.zeros(len(self.weights))
         for at in range(0, len(keys), batch):
-            k, t = keys[at : at + batch], np.minimum(times[at : at + batch], 64).astype(float)
+            k, t = keys[at : at + batch], times[at : at + batch].astype(float)
             for bit in range(7, -1, -1):
                 x, gate, one = self.inputs(k, bit, True)
                 wrong = (one - squash((x * self.weights[gate]).sum(axis=1))) * t
@@ -364,7 +364,7 @@ def fit(counts: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarr
         def learn(batches: Iterator[pa.RecordBatch], weights=weights, rate=rate) -> np.ndarray:
             out = np.zeros((len(weights), weights.shape[1] + 1))
             for mixer, keys, times, part in mixers(batches, weights):
-                order = np.random.default_rng(part).permutation(len(keys))[:8_000]
+                order = np.random.default_rng(part).permutation(len(keys))
                 seen = mixer.learn(keys[order], times[order], rate)
                 out += np.column_stack((mixer.weights * seen[:, None], seen))
             return out

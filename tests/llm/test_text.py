@@ -310,6 +310,21 @@ def test_counts_of_contexts_are_exact_and_wide():
                 assert (zeros, ones) == ((len(fits) - sum(fits)) << 31, sum(fits) << 31)
 
 
+def test_weights_learn_from_all_occurrences(spark):
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 48, 30_000).astype(np.uint64))
+    times = np.full(len(keys), 1000)
+    one_part = (1, context_mixing.packed_keys(keys), context_mixing.deflated(times))
+    counts = spark.createDataFrame([one_part], "part int, part_keys binary, part_times binary")
+    passes = []
+    mixer = context_mixing.Mixer.fresh(context_mixing.Contexts(keys, times, *context_mixing.summed(context_mixing.tail(keys, 3), times)))
+    order = np.random.default_rng(1).permutation(len(keys))
+    for rate in context_mixing.RATES:
+        passes.append(mixer.learn(keys[order], times[order], rate).sum())
+    assert passes == [8 * times.sum()] * 3
+    weights, _ = context_mixing.fit(counts, context_mixing.summed(context_mixing.tail(keys, 3), times))
+    assert np.allclose(weights, mixer.weights)
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
     docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(60)], "doc_id long, text string")
