@@ -6,8 +6,11 @@ import re
 from dataclasses import dataclass
 from html import unescape
 
-#: Elements whose content is no text, elements that flow inside a line, and elements without content.
-RAW = "script style template noscript textarea iframe object svg math select title".split()
+#: Elements whose content is characters up to their end, elements whose blocks are dropped, elements that flow inside a line, and elements without content.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style textarea title".split()}
+DROPPED = frozenset("template noscript iframe object svg math select".split())
+#: Dropped elements that a block of the page ends, unless it is inside an element of the second kind.
+FOREIGN, WITHIN = frozenset("svg math".split()), frozenset("foreignobject desc annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -21,8 +24,7 @@ CLOSES_P = frozenset(
 )
 SCOPES = frozenset("table ul ol dl article section div main body td th".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|data-main)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -49,6 +51,54 @@ def names_of(rest: str) -> tuple[tuple[str, ...], bool]:
     return tuple(names), marked
 
 
+def empty(tag: re.Match) -> bool:
+    return tag["rest"].rstrip().endswith("/")
+
+
+def tokens(html: str) -> list[tuple[int, int, str, re.Match]]:
+    """Tags and comments in page order: start, end, lower-cased name ("" for comments) and match. Raw text belongs to its opening tag."""
+    out, at, foreign = [], 0, False
+    while m := TOKEN.search(html, at):
+        name, at = (m["tag"] or "").lower(), m.end()
+        if name in FOREIGN:
+            foreign = not m["end"] and not empty(m)
+        elif name in CLOSES_P and not m["end"]:
+            foreign = False
+        if name in RAW and not m["end"] and not (foreign and empty(m)):
+            close = RAW[name].search(html, at)
+            at = close.end() if close else len(html)
+        out.append((m.start(), at, name, m))
+    return out
+
+
+def dropped(found: list[tuple[int, int, str, re.Match]]) -> dict[int, tuple[int, int]]:
+    """For tokens that open a dropped element, the token and the place with which the page goes on.
+
+    An element counts from its opening tag to its own end. One that never ends, or only with an element around it, drops no block.
+    """
+    out: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[str, int]] = []
+    for i, (start, end, name, m) in enumerate(found):
+        if not name or name in RAW or name in VOID or (not m["end"] and empty(m)):
+            continue
+        if not m["end"]:
+            if name in CLOSES_P:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in FOREIGN or stack[k][0] in WITHIN), None)
+                if k is not None and stack[k][0] in FOREIGN:
+                    out[stack[k][1]] = i, start
+                    del stack[k:]
+            if name not in INLINE:
+                stack.append((name, i))
+            continue
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                if name in DROPPED:
+                    out[stack[k][1]] = i + 1, end
+                del stack[k:]
+                break
+    return out
+
+
 def blocks(html: str) -> list[Block]:
     """Blocks in page order, white space as single spaces, character references decoded; empty ones left out."""
     out: list[Block] = []
@@ -66,19 +116,25 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            part = html[at : m.start()]
+    found = tokens(html)
+    ends = dropped(found) if any(name in DROPPED for _, _, name, _ in found) else {}
+    resume = 0
+    for i, (start, end, tag, m) in enumerate(found):
+        if i < resume:
+            continue
+        if start > at:
+            part = html[at:start]
             text.append(part)
             if in_link:
                 linked += len(part.strip())
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"] is not None and m["raw"].lower() not in INLINE:
-                text.append(" ")
+        at = end
+        if not tag:
+            continue
+        if not m["end"] and (tag in RAW or tag in DROPPED):
+            text.append(" ")
+            if i in ends:
+                resume, at = ends[i]
             continue
-        tag = tag.lower()
         if tag == "a":
             in_link = not m["end"]
             continue

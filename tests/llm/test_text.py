@@ -345,6 +345,17 @@ def test_blocks_of_broken_pages():
     assert blocks("") == [] and blocks("plain") [0].text == "plain" and blocks("<p") == []
 
 
+@pytest.mark.parametrize("icon, inside", [
+    ("<svg class='i'/>", ""), ("<math/>", ""), ("<svg viewBox='0 0 1 1'><path d='M0'/><title/></svg>", ""), ("<svg><svg><text>x</text></svg><text>y</text></svg>", ""), ("<svg><text>x", ""),
+    ("<div><noscript>x</div>", "x"), ("<template>x", "x"), ("<object>x", "x"), ("<select><option>x", "x"), ("<template><template><p>x</template><p>y</template>", ""),
+    ("<svg><foreignObject><div>x</div></foreignObject><text>y</text></svg>", ""), ("<noscript><p>x</p></noscript>", ""), ("<iframe src=x></iframe>", ""),
+])
+def test_article_after_an_embedded_element(icon, inside):
+    page = blocks(f"<body>{icon}<p>first</p><article><p>second <svg><text>no</text></svg> half</p></article></body>")
+    assert [b.text for b in page] == [*inside.split(), "first", "second half"]
+    assert blocks("<p>a<script>var s = '<p>no'")[0].text == "a" and len(blocks("<p>a<style/>b<p>c")) == 1
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     model = html_extraction.Labeller.fresh()
