@@ -29,6 +29,8 @@ from tabprobe.llm.html_blocks import Block, blocks
 OWN = ["text", "n_chars", "n_blocks"]
 PATH, WORDS, MEASURES, HIDDEN = 64, 24, 10, 20
 SIZE = PATH + WORDS + MEASURES
+#: Blocks, padding included, of a batch of pages in the fit.
+BATCH_STEPS = 32 * 400
 #: Element names, and parts of class and id names, that stand for what is no article text. Used for the sample's own pages only.
 OUTSIDE = set("nav header footer aside form menu dialog button fieldset head".split())
 NAMED = {
@@ -75,8 +77,7 @@ def page_vectors(page: list[Block], drop: float = 0.0, rng: random.Random | None
             if name not in gone:
                 row[PATH_SLOTS[name]] = 1.0
         words = b.text.lower().split()
-        few = words if len(words) <= 60 else words[:: len(words) // 60 + 1]
-        counts = np.bincount([WORD_SLOTS[w] for w in few], minlength=WORDS) if few else np.zeros(WORDS)
+        counts = np.bincount([WORD_SLOTS[w] for w in words], minlength=WORDS) if words else np.zeros(WORDS)
         row[PATH : PATH + WORDS] = counts / max(1.0, float(np.sqrt((counts**2).sum())))
         n, text = len(b.text), b.text
         marks = text.count(".") + text.count(",") + text.count("!") + text.count("?")
@@ -275,18 +276,30 @@ def made_page(main: list[str], others: list[str], rng: random.Random) -> str:
     return f"<html><head><title>{short(2, 6)}</title></head><body>{''.join(before)}{core}{''.join(after)}</body></html>"
 
 
-def fit_pages(htmls: list[str], *, layouts: int = 5, rounds: int = 10, longest: int = 400, seed: int = 5) -> Labeller:
-    """Adam over pages built from the given ones, and over these themselves."""
+def case_batches(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Up to 32 pages in one step, fewer where they are long, so that a padded batch stays below BATCH_STEPS or is one page."""
+    at = 0
+    while at < len(lengths):
+        end, longest = at, 0
+        while end < len(lengths) and end - at < 32 and (end == at or max(longest, lengths[end]) * (end + 1 - at) <= BATCH_STEPS):
+            longest = max(longest, lengths[end])
+            end += 1
+        yield at, end
+        at = end
+
+
+def fit_pages(htmls: list[str], *, layouts: int = 5, rounds: int = 10, seed: int = 5) -> Labeller:
+    """Adam over pages built from the given ones, and over these themselves; all their blocks are cases."""
     rng = random.Random(seed)
     own = [p for p in map(blocks, htmls) if p]
     articles = [[b.text for b, y in zip(p, by_names(p)) if y] for p in own]
     texts = [t for a in articles for t in a]
-    cases = [(page_vectors(p[:longest]), by_names(p[:longest])) for p in own]
+    cases = [(page_vectors(p), by_names(p)) for p in own]
     for article in articles:
         for _ in range(layouts):
             main = article if rng.random() < 0.7 else rng.sample(article, len(article)) if article else []
             main = (main * rng.choice([1, 1, 1, 1, 4]))[: rng.choice([6, 30, 300])]
-            page = blocks(made_page(main, texts, rng))[:longest]
+            page = blocks(made_page(main, texts, rng))
             if page:
                 cases.append((page_vectors(page, rng.choice([0.0, 0.2, 0.6]), rng), np.array([b.marked for b in page], np.float32)))
     model = Labeller.fresh()
@@ -294,17 +307,16 @@ def fit_pages(htmls: list[str], *, layouts: int = 5, rounds: int = 10, longest:
         return model
     moments = [(np.zeros_like(a), np.zeros_like(a)) for a in model.arrays()]
     step = 0
-    total = rounds * -(-len(cases) // 32)
-    for _ in range(rounds):
+    for turn in range(rounds):
         rng.shuffle(cases)
-        for at in range(0, len(cases), 32):
-            some = cases[at : at + 32]
+        for at, end in case_batches([len(c[1]) for c in cases]):
+            some = cases[at:end]
             x, lengths = padded([c[0] for c in some])
             y = np.zeros(x.shape[:2], np.float32)
             for i, (_, label) in enumerate(some):
                 y[i, : len(label)] = label
             step += 1
-            rate = 0.01 * (1 - 0.9 * step / total)
+            rate = 0.01 * (1 - 0.9 * (turn + end / len(cases)) / rounds)
             for a, g, (m, v) in zip(model.arrays(), model.gradients(x, lengths, y), moments):
                 g = np.clip(g, -1, 1)
                 m += 0.1 * (g - m)

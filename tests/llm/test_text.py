@@ -356,6 +356,19 @@ def test_article_after_an_embedded_element(icon, inside):
     assert blocks("<p>a<script>var s = '<p>no'")[0].text == "a" and len(blocks("<p>a<style/>b<p>c")) == 1
 
 
+def test_all_words_and_blocks_count(monkeypatch):
+    one, other = (html_extraction.page_vectors(blocks("<p>" + " ".join(["w"] * 200 + [x] + ["w"] * 100))) for x in ("w", "zebra"))
+    assert (one != other)[0, html_extraction.PATH : html_extraction.PATH + html_extraction.WORDS].any()
+    seen = []
+    monkeypatch.setattr(html_extraction, "page_vectors", lambda page, *_: seen.append(len(page)) or np.zeros((len(page), html_extraction.SIZE), np.float32))
+    html_extraction.fit_pages(["<p>word" * 500], rounds=0)
+    assert seen[0] == 500
+    lengths = [3, 20_000, 700, *[10] * 100]
+    cuts = list(html_extraction.case_batches(lengths))
+    assert [i for a, b in cuts for i in range(a, b)] == list(range(len(lengths)))
+    assert all(b - a == 1 or (b - a) * max(lengths[a:b]) <= html_extraction.BATCH_STEPS for a, b in cuts)
+
+
 def test_gradients():
     r = np.random.default_rng(0)
     model = html_extraction.Labeller.fresh()
