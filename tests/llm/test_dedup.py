@@ -2,11 +2,12 @@
 
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabprobe.llm import exact_dedup, graph, ngram_jaccard, suffix_dedup
 from tests.llm.conftest import TEXTS
@@ -193,3 +194,28 @@ def test_gram_sets_of_few_words():
         assert [len(s) for s in found] == [max(min(1, len(t.split())), len(t.split()) - 4) for t in texts]
     a, b = ngram_jaccard.gram_sets([b"one two", b"x one two"], 5)
     assert (a == ngram_jaccard.gram_sets([b"one  two"], 5)[0]).all() and (a != b).all()
+
+
+def test_copies_and_common_passages_are_handled_once(spark):
+    text = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    hashed = [F.xxhash64("text").alias("th"), F.sha2("text", 256).alias("name"), "text"]
+    docs = spark.createDataFrame([(text,)] * 80 + [(text[:500] + "x" * 60,)] * 3, "text string").repartition(2).select(*hashed)
+    found = suffix_dedup.repeated_anchors(docs, 50, 24).collect()
+    per_text = Counter(r.th for r in found for _ in suffix_dedup.unpack(r.places, np.int32))
+    assert len(per_text) == 2 and max(per_text.values()) <= 2 * 600 / 8
+    lead, owner = np.array([3, 3, 4, 3, 3]), np.array([7, 2, 9, 2, 5])
+    assert suffix_dedup.repeated_here([b"one", b"one", b"one", b"one", b"two"], lead, owner).tolist() == [True, False, False, False, False]
+    # copies without ids, repeated rows, and a passage in most texts
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rows = [(i, "".join(rng.choice("ijklmnop") for _ in range(40)) + passage + "".join(rng.choice("ijklmnop") for _ in range(40))) for i in range(40)]
+    rows += [(None, text)] * 5 + [(50, text[:300])] * 2
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    windows = defaultdict(list)
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            windows[t[k : k + 50]].append(2**63 - 1 if i is None else i)
+    for r in out:
+        t = dict(rows)[r.id]
+        gone = {k + j for k in range(len(t) - 49) if min(windows[t[k : k + 50]]) < (2**63 - 1 if r.id is None else r.id) for j in range(50)}
+        assert r.n_removed == len(gone) and bytes(r.kept) == "".join(c for k, c in enumerate(t) if k not in gone).encode()
