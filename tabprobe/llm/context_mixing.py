@@ -11,7 +11,7 @@ chunk's distinct strings of six bytes, with their training counts, to the partit
 orders 3 to 5 lie there whole; those of orders 0 to 2, at most 2**24 strings, are summed over the partitions and go to all of them. Weights are
 learnt in each partition and averaged; each chunk gets back the costs of its strings.
 
-The baseline counts words. Tasks turn documents into chunks: pairs of document and word, written once, and distinct words with their
+The baseline counts words. Tasks turn documents into chunks: the texts, written once, and distinct words with their
 training counts, which go to the partition of the word's hash and come back with the totals. However common a word
 is, it crosses the network once per chunk each way.
 """
@@ -243,6 +243,12 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(inflated(data, np.uint64), dtype=np.uint64)
 
 
+def parted(sizes: bytes, texts: bytes) -> list[bytes]:
+    """The texts of a chunk."""
+    ends, whole = np.cumsum(np.frombuffer(sizes, np.int64)).tolist(), zlib.decompress(texts)
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def model_chunks(rows: DataFrame, parts: int) -> DataFrame:
     """Rows (id, text, text_hash, training) as chunks: the texts, and by partition the distinct strings with their training counts."""
     spark = rows.sparkSession
@@ -415,8 +421,7 @@ def mixing_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, hashes, sizes, texts, found in zip(*(c.to_pylist() for c in batch.columns)):
-                ends, whole = np.cumsum(np.frombuffer(sizes, np.int64)).tolist(), zlib.decompress(texts)
-                keys, counts = strings([whole[a:b] for a, b in zip([0, *ends], ends)])
+                keys, counts = strings(parted(sizes, texts))
                 distinct, back = np.unique(keys, return_inverse=True)
                 cost = np.empty(len(distinct))
                 cost[np.argsort(part_of(distinct, parts), kind="stable")] = np.concatenate([np.frombuffer(a["costs"], np.float32) for a in found])
@@ -430,6 +435,17 @@ def mixing_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_
     return joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(finish, f"id {id_type}, text_hash long, bits double, n_bytes long")
 
 
+def numbered_words(texts: list[bytes], parts: int) -> tuple[np.ndarray, ...]:
+    """Tokens per text; each token's text and number; distinct words by number; their numbers in the order of their parts, and where parts begin."""
+    words, counts = word_hashes(texts)
+    n = len(texts)
+    # the end of a text has a hash that no word has
+    distinct, word = np.unique(np.concatenate((np.maximum(words, np.uint64(1)), np.zeros(n, np.uint64))), return_inverse=True)
+    part = (distinct % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return counts + 1, np.concatenate((np.repeat(np.arange(n), counts), np.arange(n))), word, distinct, order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
 def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Word-count scores: (id, text_hash, n_tokens, n_known, train_tokens, base_score) of every row.
 
@@ -441,41 +457,28 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(named(id_col).alias("id"), whole_text(named(text_col)).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    end_hash = np.uint64(0)
     id_type = rows.schema["id"].dataType.simpleString()
-    chunk_schema = f"ids array<{id_type}>, hashes binary, tokens binary, docs binary, words binary, times binary, part array<int>, part_words array<binary>, part_counts array<binary>"
+    chunk_schema = f"ids array<{id_type}>, hashes binary, sizes binary, texts binary, part array<int>, part_words array<binary>, part_counts array<binary>"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = lowered(batch.column("text"))
             learns = np.array(batch.column("training").to_pylist(), bool)
             for at, end in text_batches(texts, CHUNK_BYTES):
-                words, counts = word_hashes(texts[at:end])
-                words = np.maximum(words, np.uint64(1))
                 n = end - at
-                doc = np.concatenate((np.repeat(np.arange(n), counts), np.arange(n)))
-                words = np.concatenate((words, np.full(n, end_hash, np.uint64)))
-                distinct, word = np.unique(words, return_inverse=True)
-                pair, times = np.unique(word.astype(np.int64) * n + doc, return_counts=True)
+                _, doc, word, distinct, order, cuts = numbered_words(texts[at:end], parts)
                 train = np.bincount(word, learns[at + doc], len(distinct)).astype(np.int64)
-                # words in the order of their part, as the answers will come
-                part = (distinct % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 filled = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
                 ids = batch.column("id").slice(at, n).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([ids], pa.list_(batch.schema.field("id").type)), pa.array([np.array(batch.column("text_hash").slice(at, n).to_pylist(), np.int64).tobytes()], pa.binary()),
-                        pa.array([(counts + 1).astype(np.int64).tobytes()], pa.binary()), pa.array([(pair % n).astype(np.uint32).tobytes()], pa.binary()),
-                        pa.array([place[pair // n].astype(np.uint32).tobytes()], pa.binary()), pa.array([times.astype(np.uint32).tobytes()], pa.binary()),
+                        pa.array([np.array([len(t) for t in texts[at:end]], np.int64).tobytes()], pa.binary()), pa.array([zlib.compress(b"".join(texts[at:end]), 1)], pa.binary()),
                         pa.array([filled], pa.list_(pa.int32())),
                         pa.array([[distinct[order[cuts[p] : cuts[p + 1]]].tobytes() for p in filled]], pa.list_(pa.binary())),
                         pa.array([[train[order[cuts[p] : cuts[p + 1]]].tobytes() for p in filled]], pa.list_(pa.binary())),
                     ],
-                    names=["ids", "hashes", "tokens", "docs", "words", "times", "part", "part_words", "part_counts"],
+                    names=["ids", "hashes", "sizes", "texts", "part", "part_words", "part_counts"],
                 )
 
     folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/chunks-{uuid.uuid4().hex}"
@@ -514,20 +517,19 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, hashes, tokens, docs, words, times, found in zip(*(c.to_pylist() for c in batch.columns)):
-                totals = np.concatenate([np.frombuffer(a["totals"], np.int64) for a in found])
-                docs, words, times = (np.frombuffer(x, np.uint32).astype(np.int64) for x in (docs, words, times))
-                tokens = np.frombuffer(tokens, np.int64)
-                c = totals[words]
-                known = np.bincount(docs, times * (c > 0), len(ids)).astype(np.int64)
-                score = np.bincount(docs, times * np.log10(c + 0.1), len(ids)) - tokens * scale
+            for ids, hashes, sizes, texts, found in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens, doc, word, distinct, order, _ = numbered_words(parted(sizes, texts), parts)
+                c = np.empty(len(distinct), np.int64)
+                c[order] = np.concatenate([np.frombuffer(a["totals"], np.int64) for a in found])
+                known = np.bincount(doc, (c > 0)[word], len(ids)).astype(np.int64)
+                score = np.bincount(doc, np.log10(c + 0.1)[word], len(ids)) - tokens * scale
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, batch.schema.field("ids").type.value_type), pa.array(np.frombuffer(hashes, np.int64)), pa.array(tokens), pa.array(known), pa.array(np.full(len(ids), n_train)), pa.array(score)],
                     names=["id", "text_hash", "n_tokens", "n_known", "train_tokens", "base_score"],
                 )
 
-    joined = chunks.select("chunk", "ids", "hashes", "tokens", "docs", "words", "times").join(answers, "chunk")
-    return joined.select("ids", "hashes", "tokens", "docs", "words", "times", "answers").mapInArrow(finish, out_schema)
+    joined = chunks.select("chunk", "ids", "hashes", "sizes", "texts").join(answers, "chunk")
+    return joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(finish, out_schema)
 
 
 def scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
