@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared checkpoint folder."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that one of this package's operators wrote for itself."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table whose rows have been counted, if they are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

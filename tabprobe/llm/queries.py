@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprobe.llm import bpe, context_mixing, exact_dedup, html_extraction, language, mixing, ngram_jaccard, spotsigs, suffix_dedup, toxicity
+from tabprobe.llm import (
+    alignment, bpe, context_mixing, exact_dedup, html_extraction, language, mixing, ngram_jaccard, spelling, spotsigs, suffix_dedup, token_files, toxicity,
+)
+from tabprobe.llm.common import cut, remove, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +19,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +82,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = vocabulary_path("byte_bpe_50k.json"), vocabulary_path("piece_bpe_32k.model")
+    return alignment.align(read(spark, sf_dir, "documents"), a, b, carry=["doc_id"])
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "token-files")
+    try:
+        token_files.write_ids(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), folder)
+        return cut(token_files.read_documents(spark, folder))
+    finally:
+        remove(spark, folder)
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
@@ -90,6 +111,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling": op11_spelling,
+    "op12_alignment": op12_alignment,
+    "op13_token_files": op13_token_files,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -171,4 +195,30 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(n) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY n)""",
+    "op11_spelling": f"""
+        WITH RECURSIVE bits AS (
+            SELECT i AS start, i::BIGINT AS c, 0 AS k FROM range(256) r(i) UNION ALL
+            SELECT start, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY start) AS t FROM bits WHERE k = 8),
+        per AS (SELECT doc_id, run, count(*) AS k FROM (
+            SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY 1, 2),
+        bytes AS (SELECT run, k, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+            lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b FROM per),
+        hashed AS (SELECT run, k, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
+        counted AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM hashed GROUP BY 1),
+        v AS (SELECT word, n FROM counted WHERE n >= 5 AND length(word) >= 6),
+        gaps AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+        near AS (
+            SELECT a.word AS word, b.word AS near FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION
+            SELECT g.word, v.word FROM gaps g JOIN v ON g.rest = v.word UNION
+            SELECT v.word, g.word FROM gaps g JOIN v ON g.rest = v.word),
+        ranked AS (SELECT near.word, near, v.n AS near_n, row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, near) AS r, count(*) OVER (PARTITION BY near.word) AS n_near
+            FROM near JOIN v ON near.near = v.word),
+        formed AS (
+            SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n
+            FROM v LEFT JOIN ranked ON ranked.word = v.word AND r = 1),
+        walk AS (
+            SELECT word, word AS root, form AS next FROM formed UNION ALL
+            SELECT walk.word, formed.word, formed.form FROM walk JOIN formed ON walk.next = formed.word)
+        SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN walk ON walk.word = formed.word AND walk.next IS NULL""",
 }
