@@ -162,38 +162,44 @@ def _pieces(blocks: DataFrame) -> DataFrame:
     return blocks.select("part", "payload").mapInArrow(run, "part int, ordinal bigint, doc_id bigint, at bigint, n bigint, crc bigint")
 
 
-def joined_crc(first: int, second: int, length: int) -> int:
-    """crc32 of two byte strings in a row from theirs: the first one's, moved on by ``length`` zero bytes, with the second one's."""
-
-    def times(matrix: list[int], vector: int) -> int:
-        out, k = 0, 0
-        while vector:
-            if vector & 1:
-                out ^= matrix[k]
-            vector >>= 1
-            k += 1
-        return out
+def _zero_steps() -> np.ndarray:
+    """What 2^k zero bits make of each bit of a crc32, for k below 64: one zero bit shifts and folds, squaring doubles their number."""
+    steps = [[0xEDB88320, *[1 << k for k in range(31)]]]
+    for _ in range(63):
+        last = steps[-1]
+        steps.append([_applied(last, row) for row in last])
+    return np.array(steps, np.uint64)
+
+
+def _applied(matrix: list[int], vector: int) -> int:
+    out = 0
+    for k, row in enumerate(matrix):
+        out ^= row * (vector >> k & 1)
+    return out
+
+
+_ZEROS = _zero_steps()
+
 
-    # the effect of one zero bit; squaring doubles the number of zeros
-    matrix = [0xEDB88320, *[1 << k for k in range(31)]]
-    zeros = 8 * length
-    while zeros:
-        if zeros & 1:
-            first = times(matrix, first)
-        matrix = [times(matrix, row) for row in matrix]
-        zeros >>= 1
-    return first ^ second
+def joined_crcs(first: np.ndarray, second: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """crc32 of two byte strings in a row from theirs: the first one's, moved on by ``lengths`` zero bytes, with the second one's."""
+    first, zeros = first.astype(np.uint64), 8 * lengths.astype(np.int64)
+    for k in range(int(zeros.max(initial=0)).bit_length()):
+        rows = np.flatnonzero(zeros >> k & 1)
+        if len(rows):
+            bits = first[rows, None] >> np.arange(32, dtype=np.uint64) & np.uint64(1)
+            first[rows] = np.bitwise_xor.reduce(bits * _ZEROS[k], axis=1)
+    return first ^ second.astype(np.uint64)
 
 
 @F.pandas_udf(T.LongType())
 def _joined(crcs: pd.Series, lengths: pd.Series) -> pd.Series:
-    out = []
-    for some, sizes in zip(crcs, lengths):
-        whole = int(some[0])
-        for crc, n in zip(some[1:], sizes[1:]):
-            whole = joined_crc(whole, int(crc), 4 * int(n))
-        out.append(whole)
-    return pd.Series(out, dtype="int64")
+    whole = np.array([c[0] for c in crcs], np.uint64)
+    counts = np.array([len(c) for c in crcs], np.int64)
+    for k in range(1, int(counts.max(initial=0))):
+        rows = np.flatnonzero(counts > k)
+        whole[rows] = joined_crcs(whole[rows], np.array([crcs.iat[r][k] for r in rows], np.uint64), 4 * np.array([lengths.iat[r][k] for r in rows], np.int64))
+    return pd.Series(whole.astype(np.int64))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
