@@ -227,11 +227,15 @@ def open_places(keys: DataFrame) -> np.ndarray:
     blocks, width = 64, (1 << OPEN_BITS) // 64
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << OPEN_BITS, bool)
+        bits = np.zeros(1 << OPEN_BITS >> 3, np.uint8)
         for batch in batches:
-            bits[place_of(batch.column("key").to_numpy())] = True
-        parts = [(b, p) for b, p in enumerate(bits.reshape(blocks, width)) if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([np.packbits(p).tobytes() for _, p in parts], pa.binary())], names=["block", "bits"])
+            at = np.unique(place_of(batch.column("key").to_numpy()))
+            byte = at >> 3
+            first = np.flatnonzero(np.diff(byte, prepend=-1))
+            if len(first):
+                bits[byte[first]] |= np.add.reduceat(128 >> (at & 7), first).astype(np.uint8)
+        parts = [(b, p) for b, p in enumerate(bits.reshape(blocks, width // 8)) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names=["block", "bits"])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         every = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in frame["bits"]])
@@ -393,10 +397,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_representatives(docs: DataFrame, **how) -> DataFrame:
     """One document of each component, the one with the smallest id, with the columns it came with."""
-    def key(id_col, text_hash):
-        return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("null")), text_hash.cast("string")).alias("key")
-
-    kept = jaccard_components(docs, **how).where("stays").groupBy(key(F.col("id"), F.col("text_hash"))).agg(F.count("*").alias("stay"))
-    rows = docs.select(packed(docs).alias("row"), key(F.col("doc_id"), F.xxhash64("text")))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    return rows.join(kept, "key").withColumn("place", place).where("place <= stay").select(*unpacked("row", docs.columns, []))
+    found = jaccard_components(docs, **how)
+    # a row's text is found again by its id and hash; only where rows repeat both, and not all of them stay, are rows ranked
+    keys = cut(found.groupBy("id", "text_hash").agg(F.count("*").alias("rows"), F.count_if("stays").alias("stay")).where("stay > 0"))
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash"))
+    whole = rows.join(keys.where("rows = stay").select("id", "text_hash"), same, "left_semi").select("row")
+    place = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("own_hash"))
+    some = rows.join(keys.where("rows > stay"), same).withColumn("place", place).where("place <= stay").select("row")
+    return whole.unionByName(some).select(*unpacked("row", docs.columns, []))
