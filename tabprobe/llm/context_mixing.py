@@ -18,7 +18,6 @@ is, it crosses the network once per chunk each way.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import cut, named, shared_checkpoints, training_fold, whole_text
+from tabprobe.llm.common import cut, named, remove, shared_path, training_fold, whole_text
 from tabprobe.llm.ngram_jaccard import mix64, word_hashes
 
 #: Counters per order of a hashed table, for texts that are held in memory, as powers of two; order k looks at the last k bytes.
@@ -249,8 +248,8 @@ def parted(sizes: bytes, texts: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def model_chunks(rows: DataFrame, parts: int) -> DataFrame:
-    """Rows (id, text, text_hash, training) as chunks: the texts, and by partition the distinct strings with their training counts."""
+def model_chunks(rows: DataFrame, parts: int, folder: str) -> DataFrame:
+    """Rows (id, text, text_hash, training) as chunks below ``folder``: the texts, and by partition the distinct strings with their training counts."""
     spark = rows.sparkSession
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"ids array<{id_type}>, hashes binary, sizes binary, texts binary, part array<int>, part_keys array<binary>, part_times array<binary>"
@@ -281,8 +280,6 @@ def model_chunks(rows: DataFrame, parts: int) -> DataFrame:
                     names=["ids", "hashes", "sizes", "texts", "part", "part_keys", "part_times"],
                 )
 
-    shared_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/strings-{uuid.uuid4().hex}"
     rows.select("id", "text", "text_hash", "training").mapInArrow(build, schema).withColumn("chunk", F.monotonically_increasing_id()).write.parquet(folder)
     return spark.read.schema(schema + ", chunk long").parquet(folder)
 
@@ -382,6 +379,7 @@ def fit(counts: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarr
         return sum((mixer.hits(keys, times) for mixer, keys, times, _ in mixers(batches, weights)), np.zeros((2, 256, STEPS)))
 
     ones, every = over_all(refine, (2, 256, STEPS))
+    held.destroy()
     return weights, (ones + 200 * fresh.refine) / (every + 200)
 
 
@@ -390,7 +388,8 @@ def mixing_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(named(id_col).alias("id"), whole_text(named(text_col)).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    chunks = model_chunks(rows.withColumn("text_hash", F.xxhash64("text")), parts)
+    folder = shared_path(spark, "strings")
+    chunks = model_chunks(rows.withColumn("text_hash", F.xxhash64("text")), parts, folder)
     asked = chunks.select("chunk", F.explode(F.arrays_zip("part", "part_keys", "part_times")).alias("z")).select("z.part", "z.part_keys", "z.part_times", "chunk")
     counts = string_counts(asked, parts)
     low = low_counts(counts)
@@ -432,7 +431,10 @@ def mixing_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_
 
     joined = chunks.select("chunk", "ids", "hashes", "sizes", "texts").join(answers, "chunk")
     id_type = rows.schema["id"].dataType.simpleString()
-    return joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(finish, f"id {id_type}, text_hash long, bits double, n_bytes long")
+    found = cut(joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(finish, f"id {id_type}, text_hash long, bits double, n_bytes long"))
+    held.destroy()
+    remove(spark, folder)
+    return found
 
 
 def numbered_words(texts: list[bytes], parts: int) -> tuple[np.ndarray, ...]:
@@ -453,7 +455,6 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
     training tokens and V distinct ones, a token scores log10((c + 0.1) / (N + 0.1 * (V + 1))).
     """
     spark = df.sparkSession
-    shared_checkpoints(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(named(id_col).alias("id"), whole_text(named(text_col)).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
@@ -476,12 +477,12 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
                         pa.array([np.array([len(t) for t in texts[at:end]], np.int64).tobytes()], pa.binary()), pa.array([zlib.compress(b"".join(texts[at:end]), 1)], pa.binary()),
                         pa.array([filled], pa.list_(pa.int32())),
                         pa.array([[distinct[order[cuts[p] : cuts[p + 1]]].tobytes() for p in filled]], pa.list_(pa.binary())),
-                        pa.array([[train[order[cuts[p] : cuts[p + 1]]].tobytes() for p in filled]], pa.list_(pa.binary())),
+                        pa.array([[deflated(train[order[cuts[p] : cuts[p + 1]]]) for p in filled]], pa.list_(pa.binary())),
                     ],
                     names=["ids", "hashes", "sizes", "texts", "part", "part_words", "part_counts"],
                 )
 
-    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "chunks")
     rows.select("id", "text", "text_hash", "training").mapInArrow(build, chunk_schema).withColumn("chunk", F.monotonically_increasing_id()).write.parquet(folder)
     chunks = spark.read.schema(chunk_schema + ", chunk long").parquet(folder)
     asked = chunks.select("chunk", F.explode(F.arrays_zip("part", "part_words", "part_counts")).alias("z")).select("chunk", "z.part", "z.part_words", "z.part_counts")
@@ -490,14 +491,14 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
         held: dict[int, list] = {}
         for batch in batches:
             for chunk, part, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(part, []).append((chunk, np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)))
+                held.setdefault(part, []).append((chunk, np.frombuffer(words, np.uint64), inflated(counts, np.int64)))
         for part, pieces in held.items():
             distinct, back = np.unique(np.concatenate([p[1] for p in pieces]), return_inverse=True)
             total = np.zeros(len(distinct), np.int64)
             np.add.at(total, back, np.concatenate([p[2] for p in pieces]))
             at, told = 0, []
             for _, words, _ in pieces:
-                told.append(total[back[at : at + len(words)]].tobytes())
+                told.append(deflated(total[back[at : at + len(words)]]))
                 at += len(words)
             first = np.arange(len(pieces)) == 0
             yield pa.RecordBatch.from_arrays(
@@ -520,7 +521,7 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
             for ids, hashes, sizes, texts, found in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens, doc, word, distinct, order, _ = numbered_words(parted(sizes, texts), parts)
                 c = np.empty(len(distinct), np.int64)
-                c[order] = np.concatenate([np.frombuffer(a["totals"], np.int64) for a in found])
+                c[order] = np.concatenate([inflated(a["totals"], np.int64) for a in found])
                 known = np.bincount(doc, (c > 0)[word], len(ids)).astype(np.int64)
                 score = np.bincount(doc, np.log10(c + 0.1)[word], len(ids)) - tokens * scale
                 yield pa.RecordBatch.from_arrays(
@@ -529,7 +530,9 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
                 )
 
     joined = chunks.select("chunk", "ids", "hashes", "sizes", "texts").join(answers, "chunk")
-    return joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(finish, out_schema)
+    found = cut(joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(finish, out_schema))
+    remove(spark, folder)
+    return found
 
 
 def scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
