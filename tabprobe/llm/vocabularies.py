@@ -9,15 +9,15 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 
 from tabprobe.llm.bpe import byte_letters
 
-#: Parts that a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Parts that a task remembers before it lets go of those that it has not used since it last did so.
+REMEMBERED = 300_000
 
 
 class _Parts:
@@ -29,7 +29,8 @@ class _Parts:
         self.kind = np.dtype("<u2" if len(token_bytes) <= 1 << 16 else "<u4")
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
-        #: Parts whose tokens do not spell them.
+        self.older: dict[str, bytes] = {}
+        #: Parts whose tokens do not spell them: a few at most, if any.
         self.changed: set[str] = set()
 
     def split(self, text: str) -> list[str] | None:
@@ -46,32 +47,33 @@ class _Parts:
     def one_by_one(self, parts: list[str]) -> list[list[int]]:
         return self.library(parts)
 
-    def in_runs(self, parts: list[str]) -> list[list[int]] | None:
-        """Ids of joinable parts, encoded as one text and cut where their bytes end; None if that does not come out even."""
+    def in_runs(self, parts: list[str]) -> list[bytes] | None:
+        """Packed ids of joinable parts, encoded as one text and cut where their bytes end; None if that does not come out even."""
         text = "".join(parts)
-        ids = self.library([self.unseen(text)])[0]
-        ends, stops = np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in parts])
+        ids = np.array(self.library([self.unseen(text)])[0], self.kind)
+        ends = np.cumsum(self.lengths[ids])
+        stops = np.cumsum(list(map(len, parts)) if text.isascii() else [len(p.encode()) for p in parts])
         cuts = np.searchsorted(ends, stops)
-        if len(ends) and ends[-1] == stops[-1] and (ends[cuts] == stops).all() and self.spells(text, ids):
-            cuts = (cuts + 1).tolist()
-            return [ids[s:e] for s, e in zip([0, *cuts], cuts)]
+        if len(ends) and ends[-1] == stops[-1] and (ends[cuts] == stops).all() and self.spells(text, ids.tolist()):
+            data, bounds = ids.tobytes(), ((cuts + 1) * self.kind.itemsize).tolist()
+            return [data[s:e] for s, e in zip([0, *bounds], bounds)]
         return None
 
-    def encode_parts(self, parts: list[str]) -> Iterator[tuple[str, list[int], bool]]:
-        """Every part, its ids, and whether these spell it."""
-        rest = []
-        joined = []
-        for part in parts:
-            (joined if self.joinable(part) else rest).append(part)
+    def learn(self, parts: list[str]) -> None:
+        """Encode new parts, remember them, and note those whose ids do not spell them."""
+        joined = [p for p in parts if self.joinable(p)]
+        rest = [p for p in parts if not self.joinable(p)] if len(joined) < len(parts) else []
         for s in range(0, len(joined), 2000):
             run = joined[s : s + 2000]
             found = self.in_runs(run)
             if found is None:
                 rest += run
             else:
-                yield from zip(run, found, [True] * len(run))
+                self.known.update(zip(run, found))
         for part, ids in zip(rest, self.one_by_one(rest) if rest else []):
-            yield part, ids, self.spells(part, ids)
+            self.known[part] = np.array(ids, self.kind).tobytes()
+            if not self.spells(part, ids):
+                self.changed.add(part)
 
     def spelt(self, ids: Sequence[int]) -> bytes:
         return b"".join([self.token_bytes[i] for i in ids])
@@ -83,13 +85,15 @@ class _Parts:
         """Ids of all texts in a row, ids per text, and whether each text's tokens spell it byte by byte."""
         split = [self.split(t) for t in texts]
         if len(self.known) > self.remembered:
-            self.known, self.changed = {}, set()
-        new = list({p for parts in split if parts for p in parts} - self.known.keys())
-        code = "H" if self.kind.itemsize == 2 else "I"
-        for part, ids, right in self.encode_parts(new):
-            self.known[part] = struct.pack(f"<{len(ids)}{code}", *ids)
-            if not right:
-                self.changed.add(part)
+            # what is still in use moves over from the older half
+            self.older, self.known = self.known, {}
+        new = set(chain.from_iterable(p for p in split if p)) - self.known.keys()
+        if self.older:
+            used = new & self.older.keys()
+            self.known.update(zip(used, map(self.older.__getitem__, used)))
+            new -= used
+        if new:
+            self.learn(list(new))
         whole = [t for t, parts in zip(texts, split) if parts is None]
         whole_ids = iter(self.library(whole) if whole else [])
         out, exact = [], []
