@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import partial
+from functools import cache, partial
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
-from tabprobe.functions.formats import format_table
+from tabprobe.functions.formats import FORMATS, format_table
 from tabprobe.functions.text import fill, fill_count, strip, token_count
 
 
@@ -55,11 +55,18 @@ def _cases(value: Column, results: Mapping[str, Column], default: str | None = N
     return chain.otherwise(results[default]) if default else chain
 
 
-def example_table(fmt: Column, formats: Sequence[str]) -> Column:
-    """The worked example's table in the row's own format; only that branch runs."""
+@cache
+def _example_texts() -> dict[str, str]:
+    """The worked example's table in every format: evaluated once, then a literal."""
     header = F.array(*[F.lit(h) for h in fixed.EXAMPLE_HEADER])
     rows = F.array(*[F.array(*[F.lit(v) for v in row]) for row in fixed.EXAMPLE_ROWS])
-    return _cases(fmt, {name: format_table(name, header, rows) for name in formats})
+    one = SparkSession.active().range(1, numPartitions=1)
+    return one.select(*[format_table(name, header, rows).alias(name) for name in FORMATS]).first().asDict()
+
+
+def example_table(fmt: Column, formats: Sequence[str], shape: Callable[[Column], Column] = lambda c: c) -> Column:
+    """The worked example's table in the row's own format."""
+    return _cases(fmt, {name: shape(F.lit(_example_texts()[name])) for name in formats})
 
 
 def _example_part(task: Column, part: int, shape: Callable[[Column], Column] = lambda c: c) -> Column:
@@ -101,7 +108,7 @@ def one_shot_tokens(
     example = _by_kind(
         is_list,
         fill_count,
-        table_text=token_count(example_table(fmt, formats)),
+        table_text=example_table(fmt, formats, token_count),
         question=_example_part(task, 0, token_count),
     )
     answer = _example_part(task, 1, token_count)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabprobe.functions.text import UNICODE_SPACE, strip
-from tabprobe.operators.numbering import number_rows
+from tabprobe.operators.numbering import number_rows, number_source_rows
 
 _GRID = "array<array<string>>"
 
@@ -75,7 +75,7 @@ def _answers(schema: T.StructType) -> Column:
 
 def parse_tables(
     raw: DataFrame,
-    order_by: Sequence[str] = ("_file", "_block", "_seq"),
+    order_by: Sequence[str] | None = None,
     max_rows: int | None = None,
     max_cols: int | None = None,
 ) -> DataFrame:
@@ -83,8 +83,8 @@ def parse_tables(
 
     The nested ``table`` wins over top-level fields; empty lists fall through to the
     next alternative; records without header, rows or answers are dropped. ``pos`` is
-    the dense number of *accepted* records in the order of ``order_by``, and serves as
-    id where a record has none.
+    the dense number of *accepted* records, and serves as id where a record has none: in the
+    order of the source (``raw`` from ``numbering.source_order``), or of the columns ``order_by``, which costs a sort.
     """
     schema = raw.schema
     header = _first_filled(schema, None, ["table_column_names", "column_names"])
@@ -98,7 +98,7 @@ def parse_tables(
         rows = F.when(usable, inner_rows.cast(_GRID)).otherwise(rows.cast(_GRID))
     question = F.col("question").cast("string") if "question" in schema.names else F.lit("")
     parsed = raw.select(
-        *order_by,
+        *(["_file", "_block"] if order_by is None else order_by),
         (F.col("id").cast("string") if "id" in schema.names else F.lit(None).cast("string")).alias("_id"),
         strip(F.coalesce(question, F.lit(""))).alias("question"),
         _answers(schema).alias("answers"),
@@ -114,7 +114,8 @@ def parse_tables(
     accepted = cleaned.filter(
         (F.size("header") > 0) & (F.size("rows") > 0) & (F.size("answers") > 0)
     )
-    return number_rows(accepted, order_by).select(
+    numbered = number_source_rows(accepted) if order_by is None else number_rows(accepted, order_by)
+    return numbered.select(
         F.coalesce("_id", F.col("pos").cast("string")).alias("table_id"),
         "pos", "question", "answers", "header", "rows",
     )

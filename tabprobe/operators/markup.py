@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
 from tabprobe.functions import markup as M
-from tabprobe.functions.text import let, pipe_key
+from tabprobe.functions.text import pipe_key, row_key
 
 SEGMENT = 64
 ABSENT = "the prompt does not hold the table's text"
@@ -61,6 +63,58 @@ def overlapping_tokens(
     return pieces.join(marks, condition, "left_semi").select(*tokens.columns).distinct()
 
 
+#: Characters per stretch of a text that is swept on its own.
+STRETCH = 1 << 16
+
+
+def swept_tokens(
+    located: DataFrame, key: Sequence[str], tokens: str = "tokens", spans: str = "spans", stretch: int = STRETCH
+) -> DataFrame:
+    """Tokens (key, token_idx, start, end) that touch at least one span of the same row, each once.
+
+    ``located`` holds sorted arrays of tokens and spans per row, rows having different keys. Both become one stream of events: a span stands where
+    it starts, a token where it ends, tokens first where both are equal. A token touches a span exactly if some span before it in the stream
+    ends behind the token's start, so a running maximum of span ends answers for all of them: no join, nothing to make distinct, and no
+    exchange where the rows are dealt by their key already.
+
+    A text is swept in stretches of ``stretch`` characters, each a window of its own; a stretch begins with what the spans before it reach,
+    from a small table of ends by stretch built within the row.
+    """
+
+    def place(at: Column) -> Column:
+        return F.floor(at / stretch).cast("int")
+
+    def event(at: Column, segment: Column, kind: int, other: Column, index: Column) -> Column:
+        return F.struct(segment.alias("segment"), at.alias("at"), F.lit(kind).alias("kind"), other.alias("other"), index.cast("int").alias("index"))
+
+    nothing = F.lit(None).cast("int")
+    kept = F.filter(F.col(spans), lambda s: s["end"] > s["start"])
+    last = place(F.coalesce(F.array_max(F.transform(F.col(tokens), lambda t: t["end"])), F.lit(0)))
+    reach = F.when(
+        last > 0,
+        F.transform(
+            F.sequence(F.lit(1), last),
+            lambda k: event(
+                (k * stretch).cast("int"), k, -1,
+                F.array_max(F.transform(F.filter(kept, lambda s: s["start"] < k * stretch), lambda s: s["end"])).cast("int"), nothing,
+            ),
+        ),
+    )
+    events = F.concat(
+        F.filter(
+            F.transform(F.col(tokens), lambda t, i: F.when(t["end"] > t["start"], event(t["end"], place(t["end"]), 0, t["start"], i))),
+            lambda e: e.isNotNull(),
+        ),
+        F.transform(kept, lambda s: event(s["start"], place(s["start"]), 1, s["end"], nothing)),
+        F.coalesce(reach, F.array().cast("array<struct<segment:int,at:int,kind:int,other:int,index:int>>")),
+    )
+    stream = located.select(*key, F.explode_outer(events).alias("e")).select(*key, "e.*")
+    order = Window.partitionBy(*key, "segment").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = stream.withColumn("reached", F.max(F.when(F.col("kind") != 0, F.col("other"))).over(order))
+    touched = swept.filter((F.col("kind") == 0) & (F.col("reached") > F.col("other")))
+    return touched.select(*key, F.col("index").alias("token_idx"), F.col("other").alias("start"), F.col("at").alias("end"))
+
+
 def markup_budgets(touched: DataFrame, key: Sequence[str]) -> DataFrame:
     """Number of markup tokens per text: the size of a matching random control."""
     return touched.groupBy(*key).agg(F.count(F.lit(1)).alias("n_markup_tokens"))
@@ -71,11 +125,12 @@ def control_jobs(
     groups: Sequence[str] = (fixed.FORMAT_GROUP, fixed.RANDOM_GROUP),
     masks: int = fixed.RANDOM_MASKS,
     seed: int = 42,
+    keep: Callable[[Column], Column] = lambda jobs: jobs,
 ) -> DataFrame:
     """Every instance once per control: the markup one, and one per random mask.
 
-    ``random_seed`` is NULL for the markup control. Subtract finished work with
-    ``resume.pending`` on (key, patch_group, random_seed).
+    ``random_seed`` is NULL for the markup control. ``keep`` may leave jobs (g, s) out of a row's list; ``pending_controls`` leaves out
+    finished ones. Instances without jobs go.
     """
     known = {
         fixed.FORMAT_GROUP: F.array(
@@ -86,35 +141,87 @@ def control_jobs(
             lambda s: F.struct(F.lit(fixed.RANDOM_GROUP).alias("g"), s.cast("int").alias("s")),
         ),
     }
-    jobs = F.concat(*[known[g] for g in groups])
+    jobs = keep(F.concat(*[known[g] for g in groups]))
     return instances.withColumn("_job", F.explode(jobs)).withColumns(
         {"patch_group": F.col("_job.g"), "random_seed": F.col("_job.s")}
     ).drop("_job")
 
 
+#: Seeds whose state one word of a control mark holds.
+WORD_SEEDS = 62
+
+
+def control_marks(done: DataFrame, key: Sequence[str] = tuple(fixed.INSTANCE_KEY), seed: int = 42) -> DataFrame:
+    """One row per instance with finished controls: its key's digest and ``marks``, a map from group and word to a bitmap of finished seeds.
+
+    The markup control, whose seed is NULL, has a word of its own. Bitmaps are put together map-side, so repeated rows cost nothing, and
+    the result has one slim row per instance, whatever the number of masks. Seeds below ``seed`` are of another grid and ignored.
+    """
+    offset = F.col("random_seed") - seed
+    word = F.when(F.col("random_seed").isNull(), F.lit(-1)).otherwise(F.floor(offset / WORD_SEEDS).cast("int"))
+    bit = F.when(F.col("random_seed").isNull(), F.lit(0)).otherwise(offset % WORD_SEEDS).cast("int")
+    marked = done.filter(F.col("random_seed").isNull() | (offset >= 0)).select(
+        row_key(*[F.col(c) for c in key]).alias("_key"), "patch_group", word.alias("_word"), bit.alias("_bit")
+    )
+    words = marked.groupBy("_key", "patch_group", "_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    named = F.struct(F.concat_ws(":", "patch_group", F.col("_word").cast("string")), F.col("_bits"))
+    return words.groupBy("_key").agg(F.map_from_entries(F.collect_list(named)).alias("marks"))
+
+
+def pending_controls(
+    instances: DataFrame,
+    done: DataFrame,
+    groups: Sequence[str] = (fixed.FORMAT_GROUP, fixed.RANDOM_GROUP),
+    masks: int = fixed.RANDOM_MASKS,
+    seed: int = 42,
+    key: Sequence[str] = tuple(fixed.INSTANCE_KEY),
+) -> DataFrame:
+    """``control_jobs`` without those that ``done`` (key, patch_group, random_seed) has: one join of the instances, before they are multiplied.
+
+    What is finished is subtracted within the row, bit by bit. A row of ``done`` with an ``error`` is not finished.
+    """
+    if "error" in done.columns:
+        done = done.filter(F.col("error").isNull())
+    marks = control_marks(done, key, seed)
+    known = instances.withColumn("_key", row_key(*[F.col(c) for c in key])).join(marks, "_key", "left").drop("_key")
+
+    def open_jobs(jobs: Column) -> Column:
+        def unfinished(job: Column) -> Column:
+            offset = job["s"] - seed
+            word = F.when(job["s"].isNull(), F.lit(-1)).otherwise(F.floor(offset / WORD_SEEDS).cast("int"))
+            bit = F.when(job["s"].isNull(), F.lit(0)).otherwise(offset % WORD_SEEDS).cast("int")
+            bits = F.element_at(F.col("marks"), F.concat_ws(":", job["g"], word.cast("string")))
+            return F.coalesce(F.getbit(bits, bit), F.lit(0)) == 0
+
+        return F.filter(jobs, unfinished)
+
+    return control_jobs(known, groups, masks, seed, open_jobs).drop("marks")
+
+
 def random_positions(n: Column, count: Column, seed: Column, key: Column) -> Column:
     """Sorted positions: ``min(count, n)`` of 0 .. n-1, every choice as likely as any other, seeded per instance.
 
     Only as many numbers are drawn as positions are wanted. For each of the last ``count`` places p in turn, a place up to p
-    is drawn by sha256(seed:key:p); if it is taken already, p itself is.
+    is drawn by sha256(seed:key:p); if it is taken already, p itself is. A set per row tells what is taken, so the work is in proportion to ``count``.
     """
-    wanted = F.least(count, n).cast("int")
-
-    def chosen(prefix: Column) -> Column:
-        drawn = F.transform(
-            F.sequence((n - wanted).cast("int"), (n - 1).cast("int")),
-            lambda p: F.struct(
-                p.alias("p"),
-                (F.conv(F.substring(F.sha2(F.concat(prefix, p.cast("string")), 256), 1, 12), 16, 10).cast("long") % (p + 1)).cast("int").alias("t"),
-            ),
-        )
-        kept = F.aggregate(
-            drawn, F.array().cast("array<int>"), lambda s, d: F.array_append(s, F.when(F.array_contains(s, d["t"]), d["p"]).otherwise(d["t"]))
-        )
-        return F.sort_array(kept)
-
-    some = let(F.concat(seed.cast("string"), F.lit(":"), key, F.lit(":")), chosen)
-    return F.when(wanted > 0, some).when(wanted <= 0, F.array().cast("array<int>"))
+
+    @F.arrow_udf("array<int>")
+    def draw(lengths: pa.Array, counts: pa.Array, seeds: pa.Array, keys: pa.Array) -> pa.Array:
+        out = []
+        for length, wanted, seed, key in zip(lengths.to_pylist(), counts.to_pylist(), seeds.to_pylist(), keys.to_pylist()):
+            if length is None or wanted is None or seed is None or key is None:
+                out.append(None)
+                continue
+            prefix, taken = hashlib.sha256(f"{seed}:{key}:".encode()), set()
+            for p in range(length - max(min(wanted, length), 0), length):
+                digest = prefix.copy()
+                digest.update(b"%d" % p)
+                place = int(digest.hexdigest()[:12], 16) % (p + 1)
+                taken.add(p if place in taken else place)
+            out.append(sorted(taken))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return draw(n.cast("int"), count.cast("int"), seed.cast("long"), key)
 
 
 def instance_key() -> Column:

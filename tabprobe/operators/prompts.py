@@ -94,8 +94,9 @@ def external_prompts(
     )
 
 
-def choice_prompts(records: DataFrame, n: int = fixed.CHOICE_ROWS) -> DataFrame:
-    """Lettered multiple-choice texts of the first n records by pos."""
-    return records.orderBy("pos").limit(n).select(
+def choice_prompts(records: DataFrame, n: int | None = None) -> DataFrame:
+    """Lettered multiple-choice texts of all records, or of the first n by pos."""
+    kept = records if n is None else records.orderBy("pos").limit(n)
+    return kept.select(
         "pos", P.choice_prompt(F.col("question"), F.col("choices")).alias("text")
     )

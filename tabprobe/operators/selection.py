@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,6 +103,47 @@ def scanned_until(report: DataFrame, n: int) -> DataFrame:
     return report.filter(F.coalesce(F.col("pos") <= cut, F.lit(True)))
 
 
+#: Tables up to which the next stretch's end is looked up exactly, as a top-n of positions.
+EXACT_STRETCH = 1_000_000
+
+
+def _stretch_end(positions: DataFrame, size: int) -> int | None:
+    """The position that ends the next ``size`` tables; None if there are no more than these."""
+    if size <= EXACT_STRETCH:
+        found = positions.orderBy("pos").limit(size + 1).agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last")).first()
+        return None if found["n"] <= size else found["last"] - 1
+    total = positions.count()
+    return None if total <= size else positions.agg(F.percentile_approx("pos", size / total, 10_000)).first()[0]
+
+
+def scan_until(
+    tables: DataFrame, measure: Callable[[DataFrame], DataFrame], max_tokens: int, n: int, first: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Measure tables in corpus order until ``n`` of them fit: (report, sized) of all that were measured.
+
+    ``measure`` turns tables into sized prompts (table_id, task, fmt, prompt_tokens). Stretches of ``pos`` that double what has been looked at, one bounded job
+    each: at most about twice the tables needed are rendered, and no other. ``pos`` is filtered first, so stored tables are pruned at the scan.
+    What was measured is kept in slim rows in the shared checkpoint folder, for the report and for the diagnostics alike.
+    """
+    ensure_checkpoints(tables.sparkSession)
+    size, low, complete = max(first or n, 1), None, 0
+    reports, measured = [], []
+    while True:
+        left = tables if low is None else tables.filter(F.col("pos") > low)
+        high = _stretch_end(left.select("pos"), size)
+        some = left if high is None else left.filter(F.col("pos") <= high)
+        sized = measure(some).select("table_id", "task", "fmt", "prompt_tokens").checkpoint()
+        report = settle(budget_report(sized, max_tokens, some))
+        reports.append(report)
+        measured.append(sized)
+        complete += report.filter("all_complete").count()
+        if complete >= n or high is None:
+            break
+        # as many again as have been looked at
+        size, low = (size if low is None else 2 * size), high
+    return reduce(DataFrame.unionByName, reports), reduce(DataFrame.unionByName, measured)
+
+
 def diagnostics(report: DataFrame, prompts: DataFrame, max_tokens: int) -> DataFrame:
     """Report with the failing instances nested per table, for every table alike, ordered by task, format and size.
 

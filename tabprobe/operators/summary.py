@@ -70,29 +70,35 @@ def summarise_all(verdicts: DataFrame, digits: int | None = 4) -> DataFrame:
 
 #: Stands for a missing format in the names of pivoted columns.
 NO_FORMAT = "null"
+_ABSENT = "\0"
 
 
-def formats_of(verdicts: DataFrame) -> list[str]:
-    """Distinct formats, sorted; a handful, and refused beyond the session's pivot limit."""
+def formats_of(verdicts: DataFrame) -> list[str | None]:
+    """Distinct formats, sorted, a missing one last; a handful, and refused beyond the session's pivot limit."""
     limit = int(verdicts.sparkSession.conf.get("spark.sql.pivotMaxValues"))
     found = [r.fmt for r in verdicts.select("fmt").distinct().limit(limit + 1).collect()]
     if len(found) > limit:
         raise ValueError(f"More than {limit} formats; pass the list to pivot on")
-    return sorted({NO_FORMAT if f is None else f for f in found})
+    return sorted(found, key=lambda f: (f is None, f or ""))
 
 
-def summarise_pivot(
-    verdicts: DataFrame, formats: Sequence[str] | None = None, digits: int | None = 4
-) -> DataFrame:
-    """task, then {fmt}_{metric} metric by metric, formats sorted; absent pairs are NULL.
+def pivot_pairs(per_pair: DataFrame, formats: Sequence[str | None]) -> DataFrame:
+    """Summaries by (task, fmt) to one row per task, {fmt}_{metric} metric by metric.
 
-    Rows without a format have columns of their own, named ``null_{metric}``.
+    A missing format has columns named ``null_{metric}``, or ``null(missing)_{metric}`` beside a format of that name.
     """
-    formats = sorted(formats) if formats is not None else formats_of(verdicts)
-    per_pair = summarise(verdicts, ["task", "fmt"], digits).withColumn("fmt", F.coalesce("fmt", F.lit(NO_FORMAT)))
-    wide = per_pair.groupBy("task").pivot("fmt", list(formats)).agg(
+    formats = list(dict.fromkeys(formats))
+    names = {f: f if f is not None else NO_FORMAT + "(missing)" * (NO_FORMAT in formats) for f in formats}
+    keys = [_ABSENT if f is None else f for f in formats]
+    wide = per_pair.withColumn("fmt", F.coalesce("fmt", F.lit(_ABSENT))).groupBy("task").pivot("fmt", keys).agg(
         F.first("n").alias("n"), *[F.first(m).alias(m) for m in METRICS]
     )
-    return wide.select(
-        "task", *[F.col(f"`{f}_{m}`") for m in ["n", *METRICS] for f in formats]
-    )
+    return wide.select("task", *[F.col(f"`{k}_{m}`").alias(f"{names[f]}_{m}") for m in ["n", *METRICS] for f, k in zip(formats, keys)])
+
+
+def summarise_pivot(
+    verdicts: DataFrame, formats: Sequence[str | None] | None = None, digits: int | None = 4
+) -> DataFrame:
+    """task, then {fmt}_{metric} metric by metric, formats sorted; absent pairs are NULL. Names as in ``pivot_pairs``."""
+    formats = sorted(formats, key=lambda f: (f is None, f or "")) if formats is not None else formats_of(verdicts)
+    return pivot_pairs(summarise(verdicts, ["task", "fmt"], digits), formats)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.functions.extract import extract_list, extract_scalar
 from tabprobe.functions.formats import FORMATS
-from tabprobe.functions.markup import markup_length, markup_spans, markup_tokens, token_offsets
+from tabprobe.functions.markup import counted_tokens, markup_length, markup_spans, markup_tokens, token_offsets
 from tabprobe.functions.text import (
     escape_newlines,
     fill_dynamic,
@@ -30,14 +30,15 @@ from tabprobe.operators.numbering import number_rows
 from tabprobe.operators.serialise import (
     build_instances,
     generate_instances,
+    plan_instances,
     question_instances,
     serialise_tables,
 )
 from tabprobe.operators.tasks import generate_tasks, unique_values, value_positions
-from tabprobe.plans.jobs import judge
-from tabprobe.session import shared_folder
-from tabprobe.sources import corpus, results
-from tabprobe.streaming.incremental import arriving, incremental_score
+from tabprobe.plans.jobs import judge, run_predictions
+from tabprobe.session import ensure_checkpoints, shared_folder
+from tabprobe.sources import corpus, results, versions
+from tabprobe.streaming.incremental import arriving, incremental_score, incremental_summaries, summaries_now
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,11 +92,6 @@ def customer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.tables_from_rows(customers, "block", ["c_custkey"], customer_columns())
 
 
-def region_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = {"nation": F.col("n_nationkey"), "name": F.col("n_name")}
-    return ingest.tables_from_rows(read(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey"], columns)
-
-
 def conversation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {"turn": F.col("turn"), "role": F.col("role"), "text": F.col("text")}
     return ingest.tables_from_rows(
@@ -118,6 +114,19 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _kept(df: DataFrame, folder: str) -> DataFrame:
+    """What was read back from a query's own folder, settled, so that the folder can go."""
+    ensure_checkpoints(df.sparkSession)
+    try:
+        return df.checkpoint()
+    finally:
+        versions.remove(df.sparkSession, folder)
+
+
 def _shown(tables: DataFrame, *more: Column) -> DataFrame:
     return tables.select(
         "table_id",
@@ -139,7 +148,7 @@ def truncate_tables(spark, sf_dir):
 
 
 def parse_tables(spark, sf_dir):
-    """Records in the alternative shapes, some unusable, parsed back to tables."""
+    """Stored records in the alternative shapes, some unusable, parsed back to tables in the order of their files; the wanted split is missing."""
     t = order_tables(spark, sf_dir)
     kind = F.col("pos") % 5
     empty = F.array().cast("array<string>")
@@ -157,8 +166,26 @@ def parse_tables(spark, sf_dir):
         F.when(kind == 4, F.array(F.lit(" "))).otherwise(empty).alias("answer_text"),
         F.when(kind != 4, F.col("rows")[0][0]).alias("answer"),
     )
-    parsed = ingest.parse_tables(raw, ["seq"])
-    return _shown(parsed, F.col("pos"), F.col("question"), F.to_json("answers").alias("answers"))
+    folder = _folder(spark, "records")
+    raw.orderBy("seq").drop("seq").write.json(f"{folder}/split=train")
+    parsed = ingest.parse_tables(corpus.read_raw(spark, folder, "test", schema=raw.drop("seq").schema))
+    return _kept(_shown(parsed, F.col("pos"), F.col("question"), F.to_json("answers").alias("answers")), folder)
+
+
+def canonical_tables(spark, sf_dir):
+    """Table records as JSON lines, numbered in the order of their files."""
+    folder = _folder(spark, "canonical")
+    t = order_tables(spark, sf_dir).orderBy("pos")
+    t.select(F.concat(F.lit("t"), "table_id").alias("id"), F.lit("q").alias("question"), F.array(F.lit("a")).alias("answers"), "header", "rows").write.json(folder)
+    return _kept(_shown(corpus.read_tables(spark, folder), F.col("pos"), F.col("question"), F.to_json("answers").alias("answers")), folder)
+
+
+def task_records(spark, sf_dir):
+    """Task records as JSON lines, numbered per table in the order of their files, of urgent orders."""
+    folder = _folder(spark, "task-records")
+    generate_tasks(order_tables(spark, sf_dir)).drop("task_seq").write.json(folder)
+    urgent = read(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").cast("string").alias("table_id"))
+    return _kept(corpus.read_tasks(spark, folder, urgent), folder)
 
 
 def cells(spark, sf_dir):
@@ -229,36 +256,62 @@ def generate_tasks_mt19937(spark, sf_dir):
     return generate_tasks(order_tables(spark, sf_dir), sampler="mt19937")
 
 
-# --- prompts ----------------------------------------------------------------
-ZERO_SHOT_FORMATS = ["html", "json", "col_sep"]
-ONE_SHOT_FORMATS = ["row_obj", "prose"]
+def tasks_mt19937_checked(spark, sf_dir):
+    """Tasks drawn by the standard library's generator: how many of each kind a table has, and how many golds its cells bear out."""
+    tables = order_tables(spark, sf_dir)
+    drawn = generate_tasks(tables, sampler="mt19937").join(tables.select("table_id", "header", "rows"), "table_id")
+    header, rows, question, gold = F.col("header"), F.col("rows"), F.col("question"), F.col("gold")
+
+    def number(text: Column) -> Column:
+        return F.regexp_extract(text, "row ([0-9]+)", 1).cast("int")
+
+    def column(text: Column) -> Column:
+        return F.array_position(header, F.regexp_extract(text, "column '([^']*)'", 1)).cast("int")
+
+    value = F.regexp_extract(question, "the value '(.*)' appear", 1)
+    right = (
+        F.when(F.col("task") == "size_detection", gold == F.concat(F.size("rows").cast("string"), F.lit(" rows, "), F.size("header").cast("string"), F.lit(" columns")))
+        .when(F.col("task") == "cell_lookup", gold == F.get(F.get(rows, number(question) - 1), column(question) - 1))
+        .when(
+            F.col("task") == "reverse_lookup",
+            (F.get(F.get(rows, number(gold) - 1), column(gold) - 1) == value) & (F.size(F.filter(F.flatten(rows), lambda v: v == value)) == 1),
+        )
+        .when(F.col("task") == "row_retrieval", gold == F.array_join(F.get(rows, number(question) - 1), "\n"))
+        .otherwise(gold == F.array_join(F.transform(rows, lambda r: F.get(r, column(question) - 1)), "\n"))
+    )
+    kinds = ["size_detection", "cell_lookup", "reverse_lookup", "row_retrieval", "col_retrieval"]
+    return drawn.groupBy("table_id").agg(
+        *[F.count_if(F.col("task") == k).alias(f"n_{k}") for k in kinds], F.count_if(right).alias("n_right"), F.countDistinct("task", "question").alias("n_different")
+    )
 
 
-def _prompt_digest(df: DataFrame, *keys: str) -> DataFrame:
-    return df.select(
-        *keys, "is_list", "max_new_tokens", "prompt_tokens", F.md5("prompt").alias("prompt_md5")
-    )
+# --- prompts ----------------------------------------------------------------
+def _prompt_sums(df: DataFrame) -> DataFrame:
+    """Per table and format: how many prompts, their tokens and limits, and sums of 48-bit digests of prompts and of stop strings."""
 
+    def digest(text: Column) -> Column:
+        return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
-def _order_prompts(spark, sf_dir, kinds, formats, **options) -> DataFrame:
-    instances = generate_instances(order_tables(spark, sf_dir), formats, kinds=kinds)
-    return prompts.build_prompts(instances, formats=formats, **options)
+    return df.groupBy("table_id", "fmt").agg(
+        F.count(F.lit(1)).alias("n_prompts"), F.count_if("is_list").alias("n_lists"), F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("max_new_tokens").alias("max_new_tokens"), F.sum(digest(F.col("prompt"))).alias("prompt_digests"),
+        F.sum(digest(F.array_join("stop_strings", "|"))).alias("stop_digests"),
+    )
 
 
 def prompts_zero_shot(spark, sf_dir):
-    """Stored tasks joined to their tables."""
-    tables = order_tables(spark, sf_dir)
-    tasks = generate_tasks(tables, kinds=["size_detection", "row_retrieval"])
-    instances = build_instances(tasks, tables, ZERO_SHOT_FORMATS)
-    built = prompts.build_prompts(instances, formats=ZERO_SHOT_FORMATS)
-    return _prompt_digest(built, "table_id", "task_seq", "fmt")
+    """All kinds of stored tasks, joined to their stored tables, in all formats."""
+    folder = _folder(spark, "zero-shot")
+    order_tables(spark, sf_dir).write.parquet(f"{folder}/tables")
+    tables = spark.read.parquet(f"{folder}/tables")
+    generate_tasks(tables).write.parquet(f"{folder}/tasks")
+    built = prompts.build_prompts(build_instances(spark.read.parquet(f"{folder}/tasks"), tables, list(FORMATS)))
+    return _kept(_prompt_sums(built), folder)
 
 
 def prompts_one_shot(spark, sf_dir):
-    built = _order_prompts(
-        spark, sf_dir, ["size_detection", "row_retrieval"], ONE_SHOT_FORMATS, one_shot=True
-    )
-    return _prompt_digest(built, "table_id", "task_seq", "fmt")
+    """All kinds and formats straight from the tables, behind a worked example."""
+    return _prompt_sums(prompts.build_prompts(generate_instances(order_tables(spark, sf_dir), list(FORMATS)), one_shot=True))
 
 
 def prompts_questions(spark, sf_dir):
@@ -292,10 +345,10 @@ def template_fill(spark, sf_dir):
 
 
 def mcq_prompt(spark, sf_dir):
-    """The nations of a region as choices."""
-    records = region_tables(spark, sf_dir).select(
+    """The customers of a block of twenty as choices."""
+    records = customer_tables(spark, sf_dir).select(
         "pos",
-        F.concat(F.lit("Which nation is in region "), F.col("table_id"), F.lit("?")).alias("question"),
+        F.concat(F.lit("Which customer is in block "), F.col("table_id"), F.lit("?")).alias("question"),
         F.transform("rows", lambda r: r[1]).alias("choices"),
     )
     return prompts.choice_prompts(records)
@@ -355,13 +408,15 @@ SELECT_N = 150
 
 
 def select_until_n(spark, sf_dir):
-    """Tables scanned until 150 fit 700 tokens, with their report."""
-    tables = order_tables(spark, sf_dir)
-    sized = prompts.build_prompts(
-        generate_instances(tables, ["html", "col_sep"], kinds=["size_detection"])
-    )
-    report = selection.settle(selection.budget_report(sized, SELECT_BUDGET, tables))
-    return selection.scanned_until(report, SELECT_N)
+    """Stored tables scanned until 150 fit 700 tokens in all kinds and formats, with their report."""
+    folder = _folder(spark, "scan")
+    order_tables(spark, sf_dir).write.parquet(folder)
+
+    def measure(some: DataFrame) -> DataFrame:
+        return prompts.build_prompts(generate_instances(some, list(FORMATS)))
+
+    report, _ = selection.scan_until(spark.read.parquet(folder), measure, SELECT_BUDGET, SELECT_N)
+    return _kept(selection.scanned_until(report, SELECT_N), folder)
 
 
 def order_by_id_list(spark, sf_dir):
@@ -561,7 +616,7 @@ def judge_pending(spark, sf_dir):
 def stream_score(spark, sf_dir):
     """Documents as an arriving file, scored by an available-now stream."""
     schema = read(spark, sf_dir, "documents").schema
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = _folder(spark, "stream")
     stream = arriving(spark, sf_dir, schema, pathGlobFilter="documents.parquet")
 
     def score_lengths(batch: DataFrame) -> DataFrame:
@@ -569,7 +624,7 @@ def stream_score(spark, sf_dir):
         return scoring.score(sent, lambda: (lambda b: b["text"].str.len()), inputs=["text"]).drop("text")
 
     incremental_score(stream, score_lengths, f"{folder}/out", f"{folder}/log").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("doc_id", "raw", "error")
+    return _kept(spark.read.parquet(f"{folder}/out").select("doc_id", "raw", "error"), folder)
 
 
 # --- markup -----------------------------------------------------------------
@@ -598,17 +653,27 @@ def markup_spans_query(spark, sf_dir):
 
 
 def token_overlap(spark, sf_dir):
-    """Markup tokens of every table text, by the segment join."""
+    """Markup tokens of every table text, by the sweep over tokens and spans."""
     texts = serialise_tables(order_tables(spark, sf_dir), ["col_sep"])
     located = texts.select(
         "table_id",
         token_offsets(F.col("table_text")).alias("tokens"),
         markup_spans(F.col("table_text"), "col_sep").alias("spans"),
     )
+    return marks.swept_tokens(located, ["table_id"]).groupBy("table_id").agg(
+        F.count(F.lit(1)).alias("n_markup_tokens"), F.sum("token_idx").alias("sum_token_idx")
+    )
+
+
+def segment_overlap(spark, sf_dir):
+    """The same for tokens and spans that are rows of their own, by the segment join."""
+    texts = serialise_tables(order_tables(spark, sf_dir), ["col_sep"])
+    located = texts.select(
+        "table_id", token_offsets(F.col("table_text")).alias("tokens"), markup_spans(F.col("table_text"), "col_sep").alias("spans")
+    )
     tokens = marks.explode_spans(located, ["table_id"], "tokens", index="token_idx")
     spans = marks.explode_spans(located, ["table_id"], "spans")
-    touched = marks.overlapping_tokens(tokens, spans, ["table_id"])
-    return touched.groupBy("table_id").agg(
+    return marks.overlapping_tokens(tokens, spans, ["table_id"]).groupBy("table_id").agg(
         F.count(F.lit(1)).alias("n_markup_tokens"), F.sum("token_idx").alias("sum_token_idx")
     )
 
@@ -647,15 +712,29 @@ def random_positions(spark, sf_dir):
 
 
 def control_positions(spark, sf_dir):
-    """Markup tokens in whole prompts and one random control of the same size."""
-    built = _order_prompts(spark, sf_dir, ["size_detection"], ["col_sep"])
-    placed = marks.control_positions(built, "col_sep", jobs=lambda df: marks.control_jobs(df, masks=1))
+    """Markup tokens in whole prompts and twenty random controls of the same size."""
+    instances = generate_instances(order_tables(spark, sf_dir), ["col_sep"], kinds=["size_detection"])
+    built = prompts.build_prompts(instances, formats=["col_sep"])
+    placed = marks.control_positions(built, "col_sep")
     return placed.select(
-        "table_id", "patch_group", "patch_positions",
+        "table_id", "patch_group", F.col("random_seed").cast("string").alias("random_seed"), "patch_positions",
         F.md5(F.array_join(F.transform("positions", lambda p: p.cast("string")), ",")).alias("positions_md5"),
     )
 
 
+def control_resume(spark, sf_dir):
+    """Controls still to run: the markup one is done for even orders, the first (order modulo 20) masks for all, some of them failed."""
+    tables = order_tables(spark, sf_dir)
+    tasks = generate_tasks(tables, kinds=["row_retrieval", "col_retrieval"])
+    instances = plan_instances(tasks, ["col_sep", "html"]).withColumn("n", F.col("table_id").cast("long"))
+    jobs = marks.control_jobs(instances)
+    finished = F.when(F.col("random_seed").isNull(), F.col("n") % 2 == 0).otherwise(F.col("random_seed") - 42 < F.col("n") % 20)
+    error = F.when((F.col("n") + F.coalesce("random_seed", F.lit(0))) % 7 == 0, F.lit("failed")).alias("error")
+    done = jobs.filter(finished).select("table_id", "task", "fmt", "question", "patch_group", "random_seed", error)
+    left = marks.pending_controls(instances, done)
+    return left.groupBy("table_id", "task_seq", "fmt", "patch_group").agg(F.count(F.lit(1)).alias("n_left"), F.sum("random_seed").alias("sum_seeds"))
+
+
 def seeded_keys(spark, sf_dir):
     """Stable instance keys and their seeded digests."""
     p = _document_predictions(spark, sf_dir)
@@ -667,17 +746,14 @@ def seeded_keys(spark, sf_dir):
 
 
 # --- sources and sinks: written to the shared folder and read back -----------
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored_tables(spark, sf_dir):
     """Tables written with their manifest, and loaded again."""
     folder = _folder(spark, "tables")
     tables = order_tables(spark, sf_dir).withColumns({"question": F.lit("q"), "answers": F.array(F.lit("a"))})
     corpus.write_tables(tables, folder, {"seed": 42, "max_rows": None})
     manifest = spark.read.json(f"{folder}/manifest").select(F.col("n_tables").alias("n_stored"), "seed")
-    return _shown(corpus.load_tables(spark, folder), F.col("pos"), F.col("question")).join(F.broadcast(manifest), how="cross")
+    stored = manifest.first()  # one row
+    return _kept(_shown(corpus.load_tables(spark, folder), F.col("pos"), F.col("question"), *[F.lit(v).alias(c) for c, v in stored.asDict().items()]), folder)
 
 
 def stored_tasks(spark, sf_dir):
@@ -686,9 +762,9 @@ def stored_tasks(spark, sf_dir):
     corpus.write_tasks(generate_tasks(order_tables(spark, sf_dir)), folder, 42, sf_dir)
     schema = "table_id STRING, part BIGINT, tasks ARRAY<STRUCT<task_seq: INT, task: STRING, question: STRING, gold: STRING, n_rows: INT, n_cols: INT>>"
     objects = spark.read.schema(schema).json(f"{folder}/tasks_by_table")
-    return objects.select(
+    return _kept(objects.select(
         "table_id", "part", F.size("tasks").alias("n_tasks"), F.md5(F.array_join(F.transform("tasks", lambda t: F.concat(t["task"], F.lit("|"), t["gold"])), "\n")).alias("tasks_md5")
-    )
+    ), folder)
 
 
 def stored_selection(spark, sf_dir):
@@ -699,7 +775,7 @@ def stored_selection(spark, sf_dir):
     corpus.write_selection(chosen, chosen.select("table_id"), folder, "m", ["tsv"], 100, 10)
     listed = corpus.read_selection(spark, f"{folder}/selection")
     tables = selection.keep_listed(order_tables(spark, sf_dir).select("table_id", F.size("rows").alias("n_rows")), listed)
-    return selection.with_list_order(tables, listed)
+    return _kept(selection.with_list_order(tables, listed), folder)
 
 
 def stored_predictions(spark, sf_dir):
@@ -709,7 +785,7 @@ def stored_predictions(spark, sf_dir):
     results.append_predictions(rows, folder, "first")
     results.append_predictions(rows.withColumn("error", F.lit(None).cast("string")), folder, "second")
     found = results.read_predictions(spark, [f"{folder}/run_id=first", f"{folder}/run_id=second"])
-    return resume.judgeable(found).select("run_id", "table_id", "task", "fmt", F.md5("raw").alias("raw_md5"))
+    return _kept(resume.judgeable(found).select("run_id", "table_id", "task", "fmt", F.md5("raw").alias("raw_md5")), folder)
 
 
 def csv_predictions(spark, sf_dir):
@@ -721,7 +797,7 @@ def csv_predictions(spark, sf_dir):
     )
     results.write_predictions_csv(rows, folder)
     found = results.read_predictions_csv(spark, folder)
-    return found.select("table_id", "task", "fmt", "question", "gold", "prompt", "pred", F.md5("raw").alias("raw_md5"))
+    return _kept(found.select("table_id", "task", "fmt", "question", "gold", "prompt", "pred", F.md5("raw").alias("raw_md5")), folder)
 
 
 def stored_verdicts(spark, sf_dir):
@@ -730,15 +806,29 @@ def stored_verdicts(spark, sf_dir):
     results.append_verdicts(verdicts(spark, sf_dir).withColumn("table_id", F.col("doc_id").cast("string")), folder)
     found = spark.read.parquet(folder)
     texts = found.select("table_id", "task", "fmt", *[F.initcap(F.col(c).cast("string")).alias(c) for c in ("content_correct", "content_partial", "overinclusive")])
-    return summaries.verdicts_from_text(texts)
+    return _kept(summaries.verdicts_from_text(texts), folder)
 
 
 def stored_summaries(spark, sf_dir):
-    """The three summaries as CSV; the one by format, read back."""
+    """The three summaries as CSV, read back: by format, overall, and the wide one by task, a row per format again."""
     folder = _folder(spark, "summaries")
     written = results.write_summaries(verdicts(spark, sf_dir), folder)
-    found = spark.read.option("header", True).csv(written["fmt"])
-    return found.select("fmt", F.col("n").cast("bigint").alias("n"), *[F.col(m).cast("double").alias(m) for m in summaries.METRICS])
+    files = {level: spark.read.option("header", True).csv(path) for level, path in written.items()}
+    measures = ["n", *summaries.METRICS]
+
+    def rows(level: str, task: Column, fmt: Column, values: list[Column]) -> list[Column]:
+        kinds = ["bigint", *["double"] * len(summaries.METRICS)]
+        return [F.lit(level).alias("level"), task.alias("task"), fmt.alias("fmt"), *[v.cast(k).alias(m) for v, k, m in zip(values, kinds, measures)]]
+
+    none = F.lit(None).cast("string")
+    wide = files["task_fmt"]
+    names = [c.removesuffix("_n") for c in wide.columns if c.endswith("_n")]
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("fmt"), *[F.col(f"`{f}_{m}`").alias(m) for m in measures]) for f in names]))
+    tall = wide.select("task", cells.alias("c")).filter(F.col("c.n").isNotNull())
+    found = tall.select(rows("task_fmt", F.col("task"), F.col("c.fmt"), [F.col(f"c.{m}") for m in measures]))
+    found = found.unionByName(files["fmt"].select(rows("fmt", none, F.col("fmt"), [F.col(m) for m in measures])))
+    found = found.unionByName(files["overall"].select(rows("overall", none, none, [F.col(m) for m in measures])))
+    return _kept(found, folder)
 
 
 def stored_external(spark, sf_dir):
@@ -747,11 +837,79 @@ def stored_external(spark, sf_dir):
     documents = read(spark, sf_dir, "documents")
     old = documents.select(F.col("doc_id").cast("string").alias("id"), F.array("lang").alias("prediction_list"))
     new = documents.filter(F.col("doc_id") % 3 == 0).select(F.col("doc_id").cast("string").alias("id"), F.array("source").alias("prediction_list"))
-    results.write_external(results.merge_external(old, new), folder)
-    found = spark.read.schema("id STRING, prediction_list ARRAY<STRING>").json(folder)
+    kind = "id STRING, prediction_list ARRAY<STRING>"
+    results.write_external(old, folder)
+    results.write_external(results.merge_external(results.read_external_results(spark, folder, kind), new), folder)
+    found = results.read_external_results(spark, folder, kind)
     order = Window.partitionBy(F.input_file_name()).orderBy(F.monotonically_increasing_id())
     placed = found.withColumn("before", F.lag(F.col("id").cast("bigint")).over(order))
-    return placed.select("id", F.col("prediction_list")[0].alias("prediction"), F.coalesce(F.col("before") < F.col("id").cast("bigint"), F.lit(True)).alias("in_order"))
+    return _kept(
+        placed.select("id", F.col("prediction_list")[0].alias("prediction"), F.coalesce(F.col("before") < F.col("id").cast("bigint"), F.lit(True)).alias("in_order")), folder
+    )
+
+
+def external_records(spark, sf_dir):
+    """Records of an outside set, one task of two, read after their contract holds, with their prompts."""
+    folder = _folder(spark, "outside")
+    documents = read(spark, sf_dir, "documents")
+    word = F.substring("text", 1, 40)
+    documents.select(
+        F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.lit("wanted")).otherwise("other").alias("task_name"),
+        F.col("lang").alias("sub_task_name"), F.lit("read {context} then answer {question}").alias("instruction"),
+        F.array(F.concat(F.lit("who is "), "source")).alias("question_list"), F.array("source").alias("golden_answer_list"),
+        F.struct(F.concat(F.lit("h"), word).alias("context_html"), F.concat(F.lit("l"), word).alias("context_latex"), F.concat(F.lit("m"), word).alias("context_markdown")).alias("context"),
+    ).write.json(folder)
+    records = results.read_external(spark, folder, "wanted", expected_rows=None)
+    asked = prompts.external_prompts(records)
+    return _kept(asked.select("id", "sub_task_name", "fmt", F.col("golden_answer_list")[0].alias("gold"), F.md5("prompt").alias("prompt_md5")), folder)
+
+
+def _answering(answer: str):
+    def make():
+        return lambda batch: [answer] * len(batch)
+
+    return make
+
+
+def seeded_run(spark, sf_dir):
+    """A run over urgent orders, and one over all orders that begins with the first one's rows and asks only for the rest."""
+    folder = _folder(spark, "runs")
+    order_tables(spark, sf_dir).withColumns({"question": F.lit("q"), "answers": F.array(F.lit("a"), F.lit("b"))}).write.parquet(f"{folder}/tables")
+    tables = spark.read.parquet(f"{folder}/tables")
+    urgent = read(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").cast("string").alias("table_id"))
+    run_predictions(tables, ["tsv", "md"], _answering("first"), f"{folder}/out", "first", selected=urgent, max_tokens=0)
+    found = run_predictions(tables, ["tsv", "md"], _answering("second"), f"{folder}/out", "second", seed_path=f"{folder}/out/run_id=first", max_tokens=0)
+    return _kept(found.select("run_id", "table_id", "fmt", "gold", "answers", "pred", "raw"), folder)
+
+
+def plugged_tokens(spark, sf_dir):
+    """A tokenizer of one's own for counts and for offsets: runs of characters other than spaces."""
+
+    def make_counter():
+        return lambda texts: [len([w for w in t.split(" ") if w]) for t in texts]
+
+    def make_tokenizer():
+        import re
+
+        return lambda texts: [[m.span() for m in re.finditer("[^ ]+", t)] for t in texts]
+
+    documents = read(spark, sf_dir, "documents").select("doc_id", counted_tokens(F.col("text"), make_counter).alias("n_counted"), token_offsets(F.col("text"), make_tokenizer).alias("t"))
+    return documents.select(
+        "doc_id", "n_counted", F.size("t").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, t: a + t["end"] - t["start"]).alias("n_inside")
+    )
+
+
+def stream_summaries(spark, sf_dir):
+    """Summaries kept up to date over three arrivals of verdicts; the third replaces some, which are subtracted."""
+    folder = _folder(spark, "verdict-stream")
+    final = verdicts(spark, sf_dir).withColumn("version", F.col("doc_id") % 2)
+    third = F.col("doc_id") % 3
+    early = final.filter(third != 2).withColumns({"content_correct": ~F.coalesce("content_correct", F.lit(False)), "fmt": F.when(third == 1, F.col("fmt")).otherwise(F.lit("draft"))})
+    for arrival in (early, final.filter(third == 2), final.filter(third != 2)):
+        arrival.write.mode("append").parquet(f"{folder}/in")
+        stream = arriving(spark, f"{folder}/in", final.schema)
+        incremental_summaries(stream, f"{folder}/out", f"{folder}/log", ["doc_id"], ["version"]).awaitTermination()
+    return _kept(summaries_now(spark, f"{folder}/out", digits=None), folder)
 
 
 def sql_formats(spark, sf_dir):
@@ -774,10 +932,14 @@ QUERIES: dict[str, Query] = {
     "stored_verdicts": stored_verdicts,
     "stored_summaries": stored_summaries,
     "stored_external": stored_external,
+    "external_records": external_records,
+    "seeded_run": seeded_run,
     "sql_formats": sql_formats,
     "tables_from_rows": tables_from_rows,
     "truncate_tables": truncate_tables,
     "parse_tables": parse_tables,
+    "canonical_tables": canonical_tables,
+    "task_records": task_records,
     "cells": cells,
     "largest_tables": largest_tables,
     "first_tables": first_tables,
@@ -793,6 +955,7 @@ QUERIES: dict[str, Query] = {
     "task_row_col_retrieval": task_query(customer_tables, ["row_retrieval", "col_retrieval"]),
     "generate_tasks": generate_tasks_query,
     "generate_tasks_mt19937": generate_tasks_mt19937,
+    "tasks_mt19937_checked": tasks_mt19937_checked,
     "prompts_zero_shot": prompts_zero_shot,
     "prompts_one_shot": prompts_one_shot,
     "prompts_questions": prompts_questions,
@@ -827,12 +990,16 @@ QUERIES: dict[str, Query] = {
     "retry_failed": retry_failed,
     "judge_pending": judge_pending,
     "stream_score": stream_score,
+    "stream_summaries": stream_summaries,
     "markup_html": markup_html,
     "markup_json_colsep": markup_json_colsep,
     "markup_spans": markup_spans_query,
     "token_overlap": token_overlap,
+    "segment_overlap": segment_overlap,
+    "plugged_tokens": plugged_tokens,
     "token_positions": token_positions,
     "random_positions": random_positions,
     "control_positions": control_positions,
+    "control_resume": control_resume,
     "seeded_keys": seeded_keys,
 }

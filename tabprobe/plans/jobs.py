@@ -84,15 +84,19 @@ def select_tables(
     max_tokens: int = fixed.MAX_PROMPT_TOKENS,
     count_tokens: Callable[[Column], Column] = token_count,
 ) -> tuple[DataFrame, DataFrame]:
-    """(selected, diagnostics): the first tables all of whose prompts fit."""
-    instances = serialise.build_instances(
-        tasks, tables, formats, measure=count_tokens is token_count
-    )
-    sized = prompts.build_prompts(instances, count_tokens=count_tokens).select("table_id", "task", "fmt", "prompt_tokens")
-    report = selection.settle(selection.budget_report(sized, max_tokens, tables))
+    """(selected, diagnostics): the first tables all of whose prompts fit, and what was looked at to find them.
+
+    Tables are measured in corpus order and only until ``n_tables`` fit; both results read what was measured then.
+    """
+
+    def sized(some: DataFrame) -> DataFrame:
+        instances = serialise.build_instances(selection.keep_listed(tasks, some), some, formats, measure=count_tokens is token_count)
+        return prompts.build_prompts(instances, count_tokens=count_tokens)
+
+    report, measured = selection.scan_until(tables, sized, max_tokens, n_tables)
     scanned = selection.scanned_until(report, n_tables)
-    scanned = selection.diagnostics(scanned, selection.keep_listed(sized, scanned), max_tokens)
-    return selection.first_complete(report, n_tables), scanned
+    found = selection.diagnostics(scanned, selection.keep_listed(measured, scanned), max_tokens)
+    return selection.first_complete(report, n_tables), found
 
 
 def wanted_instances(

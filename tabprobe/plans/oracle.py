@@ -49,7 +49,6 @@ t AS (SELECT table_id, min(pos) AS pos, {names(header)} AS header,
 T_ORD = _corpus("l_orderkey", "lineitem", ORDER_SORT, ORDER_CELLS, ORDER_HEADER)
 T_NAT = _corpus("c_nationkey", "customer", "c_custkey", CUSTOMER_CELLS, CUSTOMER_HEADER)
 T_CUST = _corpus("c_custkey // 20", "customer", "c_custkey", CUSTOMER_CELLS, CUSTOMER_HEADER)
-T_REG = _corpus("n_regionkey", "nation", "n_nationkey", "[CAST(n_nationkey AS VARCHAR), n_name]", ["nation", "name"])
 T_CONV = _corpus(
     "conv_id", "conversations", "turn", "[CAST(turn AS VARCHAR), role, text]", CONVERSATION_HEADER
 )
@@ -254,35 +253,37 @@ def _body(text: str, question: str) -> str:
     )
 
 
-def _prompt_query(corpus: str, kinds: list[str], formats: list[str], prompt: str) -> str:
-    return f"""WITH {corpus}, {tasks(kinds)}, {texts(formats)},
-prompts AS (SELECT tasks.*, fmt, {prompt} AS prompt FROM tasks JOIN texts USING (table_id))
-SELECT table_id, task_seq, fmt, {_IS_LIST} AS is_list, CAST(CASE WHEN {_IS_LIST} THEN 256 ELSE 64 END AS INT) AS max_new_tokens,
-    {token_count('prompt')} AS prompt_tokens, md5(prompt) AS prompt_md5 FROM prompts"""
+def _prompt_query(corpus: str, prompt: str, more: str = "") -> str:
+    """Sums per table and format over all kinds and formats; ``more`` are CTEs that ``prompt`` reads, by format."""
+    stops = [quote("|".join(x)) for x in (fixed.STOP_STRINGS_LIST, fixed.STOP_STRINGS_QA)]
+
+    def digest(text: str) -> str:
+        return f"CAST(sum(CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)) AS BIGINT)"
+
+    return f"""WITH {corpus}, {tasks()}, {texts(list(FORMAT_SQL))}{more},
+prompts AS (SELECT tasks.*, fmt, {prompt} AS prompt FROM tasks JOIN texts USING (table_id){" JOIN examples USING (fmt)" if more else ""})
+SELECT table_id, fmt, count(*) AS n_prompts, count(*) FILTER (WHERE {_IS_LIST}) AS n_lists, CAST(sum({token_count('prompt')}) AS BIGINT) AS prompt_tokens,
+    CAST(sum(CASE WHEN {_IS_LIST} THEN 256 ELSE 64 END) AS BIGINT) AS max_new_tokens, {digest('prompt')} AS prompt_digests,
+    {digest(f"CASE WHEN {_IS_LIST} THEN {stops[0]} ELSE {stops[1]} END")} AS stop_digests
+FROM prompts GROUP BY table_id, fmt"""
 
 
 _ZERO_SHOT = _HEAD + _body("table_text", "question") + " || ' [/INST]'"
 
 
 def one_shot() -> str:
-    example = {
-        "row_obj": "Row 1 | Player=Messi | Club=Barcelona | Goals=91\nRow 2 | Player=Ronaldo | Club=Real Madrid | Goals=450",
-        "prose": "Row 1: Player is Messi, Club is Barcelona, Goals is 91. Row 2: Player is Ronaldo, Club is Real Madrid, Goals is 450.",
-    }
-    shown = f"CASE fmt WHEN 'row_obj' THEN {quote(example['row_obj'])} ELSE {quote(example['prose'])} END"
-    asked = (
-        f"CASE task WHEN 'size_detection' THEN {quote(fixed.SIZE_QUESTION)} "
-        "ELSE 'List all values in row 2, one value per line.' END"
-    )
-    answered = (
-        "CASE task WHEN 'size_detection' THEN 'Row 1 (Messi), Row 2 (Ronaldo) = 2 rows. Columns: Player, Club, Goals = 3 columns. 2 rows, 3 columns' "
-        "ELSE 'Ronaldo' || chr(10) || 'Real Madrid' || chr(10) || '450' END"
-    )
+    def by_task(part: int) -> str:
+        return "CASE task " + " ".join(f"WHEN '{k}' THEN {quote(qa[part])}" for k, qa in fixed.EXAMPLE_QA.items()) + " END"
+
+    rows = "[" + ", ".join(names(r) for r in fixed.EXAMPLE_ROWS) + "]"
+    shown = " UNION ALL ".join(f"SELECT '{f}' AS fmt, {sql} AS example FROM e" for f, sql in FORMAT_SQL.items())
     prompt = (
-        _HEAD + _body(shown, asked) + f" || ' ' || {answered} || chr(10) || chr(10) || "
+        _HEAD + _body("example", by_task(0)) + f" || ' ' || {by_task(1)} || chr(10) || chr(10) || "
         + _body("table_text", "question") + " || ' [/INST]'"
     )
-    return _prompt_query(T_ORD, ["size_detection", "row_retrieval"], ["row_obj", "prose"], prompt)
+    return _prompt_query(T_ORD, prompt, f""",
+e AS (SELECT {names(fixed.EXAMPLE_HEADER)} AS header, {rows} AS rows),
+examples AS ({shown})""")
 
 
 def questions() -> str:
@@ -309,10 +310,10 @@ TEMPLATE_FILL = """
 SELECT doc_id, md5(text || chr(10) || '{' || source || '} what does {context} ' || doc_id || ' say? {' || lang || '}') AS prompt_md5
 FROM documents"""
 
-MCQ = f"""WITH {T_REG}
-SELECT pos, 'Question: Which nation is in region ' || table_id || '?' || chr(10) || array_to_string(
+MCQ = f"""WITH {T_CUST}
+SELECT pos, 'Question: Which customer is in block ' || table_id || '?' || chr(10) || array_to_string(
     list_transform(rows, lambda r, i: chr(CAST(64 + i AS INT)) || '. ' || r[2]), chr(10)) || chr(10) || 'Answer:' AS text
-FROM t ORDER BY pos LIMIT 30"""
+FROM t"""
 
 _DOC_PREDICTIONS = """
 p AS (SELECT CAST(doc_id AS VARCHAR) AS table_id, lang AS task, source AS fmt, 'question ' || doc_id AS question,
@@ -345,9 +346,14 @@ MARK_LONG = f"""WITH {_DOC_PROMPTS} SELECT fmt, prompt_tokens,
 
 
 def select_until_n() -> str:
-    return f"""WITH {T_ORD}, {tasks(['size_detection'])}, {texts(['html', 'col_sep'])},
-p AS (SELECT table_id, {_ZERO_SHOT} AS prompt FROM tasks JOIN texts USING (table_id)),
-s AS (SELECT table_id, {token_count('prompt')} AS n FROM p),
+    """A prompt's tokens are those of its table, its question and the rest: blanks stand between them."""
+    kinds = ", ".join(f"('{k}')" for k in fixed.TASKS_PER_TABLE)
+    return f"""WITH {T_ORD}, {tasks()}, {texts(list(FORMAT_SQL))},
+x AS (SELECT table_id, fmt, {token_count('table_text')} AS nt FROM texts),
+q AS (SELECT table_id, task, {token_count('question')} AS nq FROM tasks),
+e AS (SELECT task, '' AS table_text, '' AS question FROM (VALUES {kinds}) v(task)),
+b AS (SELECT task, {token_count(_ZERO_SHOT)} AS nb FROM e),
+s AS (SELECT table_id, nt + nq + nb AS n FROM x JOIN q USING (table_id) JOIN b USING (task)),
 r AS (SELECT table_id, pos, max(n) AS max_prompt_tokens_seen, count(*) FILTER (WHERE n > 700) AS n_failing_instances,
     bool_and(n <= 700) AS all_complete FROM s JOIN t USING (table_id) GROUP BY table_id, pos),
 w AS (SELECT *, sum(CASE WHEN all_complete THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS complete FROM r)
@@ -465,17 +471,16 @@ SELECT table_id, count(*) AS n_markup_tokens, CAST(sum(i) AS BIGINT) AS sum_toke
 WHERE token IN ('<', 'COL', '>') GROUP BY table_id"""
 
 
-#: Positions drawn one by one from jobs q (table_id, key, random_seed, n, k), by recursion over the draws.
+#: Positions drawn one by one from jobs q (table_id, key, random_seed, n, k): a list of places is folded into the list of positions.
 _DRAWS = """
-f AS (SELECT table_id, key, random_seed, n, k, 0 AS i, CAST([] AS BIGINT[]) AS s FROM q
-    UNION ALL SELECT table_id, key, random_seed, n, k, i + 1, list_append(s, CASE WHEN list_contains(s, d) THEN n - k + i ELSE d END)
-    FROM (SELECT *, CAST('0x' || substr(sha256(random_seed || ':' || key || ':' || (n - k + i)), 1, 12) AS BIGINT) % (n - k + i + 1) AS d
-        FROM f WHERE i < k)),
-settled AS (SELECT * FROM f WHERE i = k)"""
+settled AS (SELECT table_id, key, random_seed, list_reduce(
+    list_concat([CAST([] AS BIGINT[])], list_transform(range(n - k, n), lambda p:
+        [p, CAST('0x' || substr(sha256(random_seed || ':' || key || ':' || p), 1, 12) AS BIGINT) % (p + 1)])),
+    lambda s, x: list_append(s, CASE WHEN list_contains(s, x[2]) THEN x[1] ELSE x[2] END)) AS s FROM q)"""
 
 
 def random_positions() -> str:
-    return f"""WITH RECURSIVE {T_ORD}, {_COL_SEP_TOKENS},
+    return f"""WITH {T_ORD}, {_COL_SEP_TOKENS},
 q AS (SELECT table_id, table_id AS key, CAST(len(tokens) AS BIGINT) AS n, least(n_rows, len(tokens)) AS k, CAST(unnest(range(42, 62)) AS INT) AS random_seed
     FROM tok JOIN t USING (table_id)), {_DRAWS},
 c AS (SELECT table_id, 'random10pct' AS patch_group, CAST(random_seed AS VARCHAR) AS random_seed, array_to_string(list_sort(s), ',') AS positions FROM settled)
@@ -483,7 +488,7 @@ SELECT * FROM c UNION ALL SELECT table_id, 'format_late', NULL, NULL FROM t"""
 
 
 def control_positions() -> str:
-    return f"""WITH RECURSIVE {T_ORD}, {tasks(['size_detection'])}, {texts(['col_sep'])},
+    return f"""WITH {T_ORD}, {tasks(['size_detection'])}, {texts(['col_sep'])},
 p AS (SELECT table_id, task, fmt, question, {_ZERO_SHOT} AS prompt FROM tasks JOIN texts USING (table_id)),
 tok AS (SELECT table_id, table_id || '|' || task || '|' || fmt || '|' || question AS key, regexp_extract_all(prompt, '{_TOKEN}') AS tokens FROM p),
 x AS (SELECT table_id, key, unnest(range(len(tokens))) AS i, unnest(tokens) AS token, len(tokens) AS n FROM tok),
@@ -491,11 +496,35 @@ x AS (SELECT table_id, key, unnest(range(len(tokens))) AS i, unnest(tokens) AS t
 y AS (SELECT *, token = 'COL' OR (token = '<' AND lead(token) OVER w = 'COL') OR (token = '>' AND lag(token) OVER w = 'COL') AS mark
     FROM x WINDOW w AS (PARTITION BY table_id ORDER BY i)),
 b AS (SELECT table_id, count(*) FILTER (WHERE mark) AS budget FROM y GROUP BY table_id),
-q AS (SELECT table_id, key, 42 AS random_seed, CAST(len(tokens) AS BIGINT) AS n, budget AS k FROM tok JOIN b USING (table_id)), {_DRAWS},
-z AS (SELECT table_id, 'format_late' AS patch_group, i FROM y WHERE mark
-    UNION ALL SELECT table_id, 'random10pct', unnest(s) FROM settled)
-SELECT table_id, patch_group, CAST(count(*) AS INT) AS patch_positions, md5(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i)) AS positions_md5
-FROM z GROUP BY table_id, patch_group"""
+q AS (SELECT table_id, key, CAST(unnest(range(42, 62)) AS INT) AS random_seed, CAST(len(tokens) AS BIGINT) AS n, budget AS k FROM tok JOIN b USING (table_id)), {_DRAWS},
+z AS (SELECT table_id, 'format_late' AS patch_group, CAST(NULL AS VARCHAR) AS random_seed, list(i ORDER BY i) AS s FROM y WHERE mark GROUP BY table_id
+    UNION ALL SELECT table_id, 'random10pct', CAST(random_seed AS VARCHAR), list_sort(s) FROM settled)
+SELECT table_id, patch_group, random_seed, CAST(len(s) AS INT) AS patch_positions, md5(array_to_string(s, ',')) AS positions_md5 FROM z"""
+
+
+def control_resume() -> str:
+    return f"""WITH {T_ORD}, {tasks(['row_retrieval', 'col_retrieval'])},
+j AS (SELECT tasks.table_id, CAST(table_id AS BIGINT) AS o, task_seq, fmt, patch_group, seed FROM tasks, (VALUES ('col_sep'), ('html')) f(fmt),
+    (SELECT 'random10pct' AS patch_group, CAST(unnest(range(42, 62)) AS INT) AS seed UNION ALL SELECT 'format_late', NULL)),
+d AS (SELECT *, CASE WHEN seed IS NULL THEN o % 2 = 0 ELSE seed - 42 < o % 20 END AND (o + coalesce(seed, 0)) % 7 <> 0 AS done FROM j)
+SELECT table_id, task_seq, fmt, patch_group, count(*) AS n_left, CAST(sum(seed) AS BIGINT) AS sum_seeds FROM d WHERE NOT done
+GROUP BY table_id, task_seq, fmt, patch_group"""
+
+
+def tasks_mt19937() -> str:
+    return f"""WITH {T_ORD}, {CELLS},
+u AS (SELECT table_id, count(*) FILTER (WHERE n = 1) AS n_unique FROM (SELECT table_id, v, count(*) AS n FROM cells GROUP BY table_id, v) GROUP BY table_id),
+k AS (SELECT table_id, 1 AS a, least(3, n_rows * n_cols) AS b, least(3, n_unique) AS c, least(2, n_rows) AS d, least(2, n_cols) AS e FROM t JOIN u USING (table_id))
+SELECT table_id, CAST(a AS BIGINT) AS n_size_detection, CAST(b AS BIGINT) AS n_cell_lookup, CAST(c AS BIGINT) AS n_reverse_lookup, CAST(d AS BIGINT) AS n_row_retrieval,
+    CAST(e AS BIGINT) AS n_col_retrieval, CAST(a + b + c + d + e AS BIGINT) AS n_right, CAST(a + b + c + d + e AS BIGINT) AS n_different FROM k"""
+
+
+def external_records() -> str:
+    contexts = " UNION ALL ".join(f"SELECT '{fmt}' AS fmt, '{field[8]}' AS mark" for fmt, field in fixed.EXTERNAL_CONTEXTS.items())
+    body = "'read ' || mark || substr(text, 1, 40) || ' then answer who is ' || source"
+    return f"""SELECT CAST(doc_id AS VARCHAR) AS id, lang AS sub_task_name, fmt, source AS gold,
+    md5('<s>[INST] <<SYS>>' || chr(10) || {quote(fixed.EXTERNAL_SYSTEM_PROMPT)} || chr(10) || '<</SYS>>' || chr(10) || chr(10) || {body} || ' [/INST]') AS prompt_md5
+    FROM documents, ({contexts}) c WHERE doc_id % 2 = 0"""
 
 
 _SHOWN = "table_id, CAST(len(rows) AS INT) AS n_rows, CAST(len(header) AS INT) AS n_cols, CAST(to_json(header) AS VARCHAR) AS header, CAST(to_json(rows) AS VARCHAR) AS rows"
@@ -513,7 +542,8 @@ ORACLE: dict[str, str] = {
         CAST(NULL AS VARCHAR) AS pred, md5(raw) AS raw_md5 FROM p""",
     "stored_verdicts": """SELECT CAST(doc_id AS VARCHAR) AS table_id, lang AS task, source AS fmt, quality = 1 AS content_correct,
         quality = 0 AS content_partial, toxic = 1 AS overinclusive FROM documents LEFT JOIN labels USING (doc_id)""",
-    "stored_summaries": f"WITH {_V} SELECT fmt, {_averages(True)} FROM m GROUP BY fmt",
+    "stored_summaries": f"""WITH {_V} SELECT CASE grouping(task, fmt) WHEN 0 THEN 'task_fmt' WHEN 2 THEN 'fmt' ELSE 'overall' END AS level,
+        task, fmt, {_averages(True)} FROM m GROUP BY GROUPING SETS ((task, fmt), (fmt), ())""",
     "stored_external": """SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN source ELSE lang END AS prediction,
         TRUE AS in_order FROM documents""",
     "sql_formats": f"WITH {T_ORD} SELECT table_id, " + ", ".join(f"md5({sql}) AS fmt_{fmt}" for fmt, sql in FORMAT_SQL.items()) + " FROM t",
@@ -525,6 +555,22 @@ ORACLE: dict[str, str] = {
         s AS (SELECT CASE WHEN pos % 5 = 3 THEN CAST(n AS VARCHAR) ELSE 't' || table_id END AS table_id, n AS pos,
             'order ' || table_id || '?' AS question, [rows[1][1]] AS answers, header, rows FROM a)
         SELECT {_SHOWN}, pos, question, CAST(to_json(answers) AS VARCHAR) AS answers FROM s""",
+    "canonical_tables": f"""WITH {T_ORD}, a AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS n FROM t),
+        s AS (SELECT 't' || table_id AS table_id, n AS pos, 'q' AS question, ['a'] AS answers, header, rows FROM a)
+        SELECT {_SHOWN}, pos, question, CAST(to_json(answers) AS VARCHAR) AS answers FROM s""",
+    "task_records": f"""WITH {T_ORD}, {tasks()} SELECT tasks.* FROM tasks
+        WHERE table_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT')""",
+    "tasks_mt19937_checked": tasks_mt19937(),
+    "external_records": external_records(),
+    "seeded_run": f"""WITH {T_ORD}, u AS (SELECT CAST(o_orderkey AS VARCHAR) AS table_id FROM orders WHERE o_orderpriority = '1-URGENT')
+        SELECT 'second' AS run_id, table_id, fmt, 'a' || chr(10) || 'b' AS gold, '["a","b"]' AS answers, answer AS pred, answer AS raw
+        FROM (SELECT table_id, CASE WHEN table_id IN (SELECT table_id FROM u) THEN 'first' ELSE 'second' END AS answer FROM t), (VALUES ('tsv'), ('md')) f(fmt)""",
+    "plugged_tokens": """SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS INT) AS n_counted,
+        CAST(len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS INT) AS n_tokens, CAST(length(replace(text, ' ', '')) AS BIGINT) AS n_inside FROM documents""",
+    "segment_overlap": token_overlap(),
+    "control_resume": control_resume(),
+    "stream_summaries": f"""WITH {_V} SELECT CASE grouping(task, fmt) WHEN 0 THEN 'task_fmt' WHEN 2 THEN 'fmt' ELSE 'overall' END AS level,
+        task, fmt, {_averages()} FROM m GROUP BY GROUPING SETS ((task, fmt), (fmt), ())""",
     "cells": f"""WITH {T_ORD}, {CELLS} SELECT table_id, CAST(r AS INT) AS row_idx, CAST(c AS INT) AS col_idx,
         {names(ORDER_HEADER)}[c + 1] AS col_name, v AS value FROM cells""",
     "largest_tables": f"""WITH {T_ORD} SELECT table_id, CAST(n_rows AS INT) AS n_rows, CAST(n_cols AS INT) AS n_cols
@@ -546,9 +592,7 @@ ORACLE: dict[str, str] = {
     "task_reverse_lookup": task_query(T_ORD, ["reverse_lookup"]),
     "task_row_col_retrieval": task_query(T_CUST, ["row_retrieval", "col_retrieval"]),
     "generate_tasks": task_query(T_ORD),
-    "prompts_zero_shot": _prompt_query(
-        T_ORD, ["size_detection", "row_retrieval"], ["html", "json", "col_sep"], _ZERO_SHOT
-    ),
+    "prompts_zero_shot": _prompt_query(T_ORD, _ZERO_SHOT),
     "prompts_one_shot": one_shot(),
     "prompts_questions": questions(),
     "chat_render": CHAT_RENDER,

@@ -11,22 +11,11 @@ from pyspark.sql import types as T
 from tabprobe import fixed_values as fixed
 from tabprobe import schemas
 from tabprobe.operators.ingest import first_tables
-from tabprobe.operators.numbering import number_rows
+from tabprobe.operators.numbering import number_source_rows, source_order
 from tabprobe.operators.selection import keep_listed
 from tabprobe.operators.tasks import tasks_by_table
 
 
-def _source_order(df: DataFrame) -> DataFrame:
-    """Columns that sort as the input does: file, position of the split, row in the split."""
-    return df.withColumns(
-        {
-            "_file": F.col("_metadata.file_path"),
-            "_block": F.col("_metadata.file_block_start"),
-            "_seq": F.monotonically_increasing_id(),
-        }
-    )
-
-
 def read_raw(
     spark: SparkSession,
     path: str,
@@ -48,7 +37,7 @@ def read_raw(
         folder = f"{path.rstrip('/')}/split={name}"
         hadoop_path = jvm.org.apache.hadoop.fs.Path(folder)
         if hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path):
-            return _source_order(reader.load(folder))
+            return source_order(reader.load(folder))
     raise FileNotFoundError(f"Neither split={split} nor split={fallback} below {path}")
 
 
@@ -56,10 +45,10 @@ def read_tables(
     spark: SparkSession, path: str, n_tables: int | None = None, multi_line: bool = False
 ) -> DataFrame:
     """Canonical table records (JSON lines, or one record per file) with ``pos``."""
-    raw = _source_order(
+    raw = source_order(
         spark.read.schema(schemas.TABLE_RECORD).option("multiLine", multi_line).json(path)
     )
-    tables = number_rows(raw, ["_file", "_block", "_seq"]).select(
+    tables = number_source_rows(raw).select(
         F.col("id").alias("table_id"), "pos", "question", "answers", "header", "rows"
     )
     return first_tables(tables, n_tables)
@@ -121,11 +110,12 @@ def save_bucketed(df: DataFrame, name: str, buckets: int, key: str = "table_id")
 
 def read_tasks(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
     """Task records (JSON lines), in source order, optionally only of known tables."""
-    raw = _source_order(spark.read.schema(schemas.TASKS).json(path))
-    kept = keep_listed(raw, ids) if ids is not None else raw
-    return number_rows(kept, ["_file", "_block", "_seq"], key=["table_id"], name="task_seq").select(
+    raw = source_order(spark.read.schema(schemas.TASKS).json(path))
+    tasks = number_source_rows(raw, key=["table_id"], name="task_seq").select(
         "table_id", F.col("task_seq").cast("int"), "task", "question", "gold", "n_rows", "n_cols"
     )
+    # a table is known or not as a whole, so its numbers do not change
+    return keep_listed(tasks, ids) if ids is not None else tasks
 
 
 def write_tasks(tasks: DataFrame, path: str, seed: int, source: str) -> None:
@@ -182,5 +172,5 @@ def write_selection(
 
 def read_choices(spark: SparkSession, path: str) -> DataFrame:
     """Multiple-choice records with ``pos`` in source order."""
-    raw = _source_order(spark.read.schema(schemas.CHOICES).json(path))
-    return number_rows(raw, ["_file", "_block", "_seq"]).select("pos", "question", "choices")
+    raw = source_order(spark.read.schema(schemas.CHOICES).json(path))
+    return number_source_rows(raw).select("pos", "question", "choices")

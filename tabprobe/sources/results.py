@@ -12,7 +12,9 @@ from tabprobe import schemas
 from tabprobe.functions.text import escape_newlines, unescape_newlines
 from tabprobe.operators import checks
 from tabprobe.operators.resume import merge_latest
-from tabprobe.operators.summary import summarise, summarise_pivot
+from tabprobe.operators.summary import formats_of, pivot_pairs, summarise_all
+from tabprobe.session import ensure_checkpoints
+from tabprobe.sources import versions
 
 PREDICTION_COLUMNS = [
     "table_id", "task", "fmt", "question", "gold", "answers", "n_rows", "n_cols", "prompt",
@@ -113,10 +115,14 @@ def write_summaries(
     }
     if not overwrite and all(exists(spark, p) for p in outputs.values()):
         return outputs
+    # one pass over the verdicts; its rows are as few as pairs of task and format
+    ensure_checkpoints(spark)
+    every = summarise_all(verdicts).checkpoint()
+    pairs, by_fmt = every.filter("level = 'task_fmt'"), every.filter("level = 'fmt'")
     frames = {
-        "task_fmt": summarise_pivot(verdicts, formats).orderBy("task"),
-        "fmt": summarise(verdicts, ["fmt"]).orderBy("fmt"),
-        "overall": summarise(verdicts),
+        "task_fmt": pivot_pairs(pairs, formats_of(by_fmt) if formats is None else sorted(formats)).orderBy("task"),
+        "fmt": by_fmt.drop("level", "task").orderBy("fmt"),
+        "overall": every.filter("level = 'overall'").drop("level", "task", "fmt"),
     }
     for name, frame in frames.items():
         frame.coalesce(1).write.mode("overwrite").option("header", True).csv(outputs[name])
@@ -144,5 +150,10 @@ def merge_external(existing: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def write_external(results: DataFrame, path: str) -> None:
-    """Sorted by integer id; the commit protocol makes the new folder appear at once."""
-    results.orderBy(F.col("id").cast("bigint")).write.mode("overwrite").json(path)
+    """Replace the results below ``path``, sorted by integer id; until the new ones are complete, readers see the old ones."""
+    versions.replace(results.orderBy(F.col("id").cast("bigint")), path, "json")
+
+
+def read_external_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The current results below ``path``."""
+    return versions.load(spark, path, schema, "json")

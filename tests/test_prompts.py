@@ -143,5 +143,7 @@ def test_copied_turns(spark):
     turns = spark.range(0, 5000, 1, 8).select(
         F.lit(1).alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text")
     )
-    parts = render_conversations(turns, renumber=True).orderBy("part").collect()
+    whole = render_conversations(turns, renumber=True).collect()
+    assert [p.prompt for p in whole] == ["<s>[INST] x [/INST]" * 5000]
+    parts = render_conversations(turns, renumber=True, part_turns=1024).orderBy("part").collect()
     assert len(parts) == 5 and "".join(p.prompt for p in parts) == "<s>[INST] x [/INST]" * 5000
