@@ -216,7 +216,7 @@ def random_positions(n: Column, count: Column, seed: Column, key: Column) -> Col
             for p in range(length - max(min(wanted, length), 0), length):
                 digest = prefix.copy()
                 digest.update(b"%d" % p)
-                place = int(digest.hexdigest()[:12], 16) % (p + 1)
+                place = int.from_bytes(digest.digest()[:6]) % (p + 1)
                 taken.add(p if place in taken else place)
             out.append(sorted(taken))
         return pa.array(out, pa.list_(pa.int32()))

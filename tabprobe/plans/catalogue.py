@@ -287,7 +287,7 @@ def tasks_mt19937_checked(spark, sf_dir):
 
 # --- prompts ----------------------------------------------------------------
 def _prompt_sums(df: DataFrame) -> DataFrame:
-    """Per table and format: how many prompts, their tokens and limits, and sums of 48-bit digests of prompts and of stop strings."""
+    """Per table and format: how many prompts, their tokens and limits, characters of stop strings, and a sum of the prompts' 48-bit digests."""
 
     def digest(text: Column) -> Column:
         return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
@@ -295,7 +295,7 @@ def _prompt_sums(df: DataFrame) -> DataFrame:
     return df.groupBy("table_id", "fmt").agg(
         F.count(F.lit(1)).alias("n_prompts"), F.count_if("is_list").alias("n_lists"), F.sum("prompt_tokens").alias("prompt_tokens"),
         F.sum("max_new_tokens").alias("max_new_tokens"), F.sum(digest(F.col("prompt"))).alias("prompt_digests"),
-        F.sum(digest(F.array_join("stop_strings", "|"))).alias("stop_digests"),
+        F.sum(F.length(F.array_join("stop_strings", "|"))).alias("stop_chars"),
     )
 
 
@@ -325,7 +325,7 @@ def prompts_questions(spark, sf_dir):
     built = prompts.build_prompts(question_instances(tables, ["tsv", "yaml"]))
     return built.select(
         "table_id", "task", "fmt", "gold", F.to_json("answers").alias("answers"), "n_rows", "n_cols",
-        "prompt_tokens", F.md5("prompt").alias("prompt_md5"),
+        "prompt_tokens", F.md5("prompt").alias("prompt_md5"), F.md5(F.array_join("stop_strings", "|")).alias("stop_md5"),
     )
 
 

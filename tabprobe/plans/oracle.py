@@ -255,7 +255,7 @@ def _body(text: str, question: str) -> str:
 
 def _prompt_query(corpus: str, prompt: str, more: str = "") -> str:
     """Sums per table and format over all kinds and formats; ``more`` are CTEs that ``prompt`` reads, by format."""
-    stops = [quote("|".join(x)) for x in (fixed.STOP_STRINGS_LIST, fixed.STOP_STRINGS_QA)]
+    stops = [len("|".join(x)) for x in (fixed.STOP_STRINGS_LIST, fixed.STOP_STRINGS_QA)]
 
     def digest(text: str) -> str:
         return f"CAST(sum(CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)) AS BIGINT)"
@@ -264,7 +264,7 @@ def _prompt_query(corpus: str, prompt: str, more: str = "") -> str:
 prompts AS (SELECT tasks.*, fmt, {prompt} AS prompt FROM tasks JOIN texts USING (table_id){" JOIN examples USING (fmt)" if more else ""})
 SELECT table_id, fmt, count(*) AS n_prompts, count(*) FILTER (WHERE {_IS_LIST}) AS n_lists, CAST(sum({token_count('prompt')}) AS BIGINT) AS prompt_tokens,
     CAST(sum(CASE WHEN {_IS_LIST} THEN 256 ELSE 64 END) AS BIGINT) AS max_new_tokens, {digest('prompt')} AS prompt_digests,
-    {digest(f"CASE WHEN {_IS_LIST} THEN {stops[0]} ELSE {stops[1]} END")} AS stop_digests
+    CAST(sum(CASE WHEN {_IS_LIST} THEN {stops[0]} ELSE {stops[1]} END) AS BIGINT) AS stop_chars
 FROM prompts GROUP BY table_id, fmt"""
 
 
@@ -293,7 +293,7 @@ q AS (SELECT table_id, 'wtq_qa' AS task, fmt, 'Which parts are in order ' || tab
 p AS (SELECT *, {_ZERO_SHOT} AS prompt FROM q)
 SELECT table_id, task, fmt, array_to_string(parts, chr(10)) AS gold, CAST(to_json(parts) AS VARCHAR) AS answers,
     CAST(n_rows AS INT) AS n_rows, CAST(n_cols AS INT) AS n_cols, {token_count('prompt')} AS prompt_tokens,
-    md5(prompt) AS prompt_md5 FROM p"""
+    md5(prompt) AS prompt_md5, md5({quote("|".join(fixed.STOP_STRINGS_QA))}) AS stop_md5 FROM p"""
 
 
 CHAT_RENDER = """
