@@ -179,20 +179,25 @@ class GramTable:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+#: Sets taken out of an Arrow batch at a time.
+SLICE_ROWS = 500
+
+
 def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar enough."""
     sets = table.select(F.col("tag").alias("u"), F.col("grams").alias("gu"))
     others = table.select(F.col("tag").alias("v"), F.col("grams").alias("gv"))
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def similar(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.sort(np.concatenate((x, y)))
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
-        return pd.Series(out, dtype=bool)
+        for at in range(0, len(a), SLICE_ROWS):  # sets leave the batch's buffers a few at a time
+            for x, y in zip(a.slice(at, SLICE_ROWS).to_pylist(), b.slice(at, SLICE_ROWS).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = np.sort(np.concatenate((x, y)))
+                common = int((both[1:] == both[:-1]).sum())
+                out.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
+        return pa.array(out, pa.bool_())
 
     return pairs.join(sets, "u").join(others, "v").where(similar("gu", "gv")).select("u", "v")
 
@@ -314,13 +319,14 @@ def boundary_of(classes: DataFrame, counters: np.ndarray) -> int:
     """
     mean = float(counters.mean())
 
-    @F.pandas_udf("double")
-    def scan(grams: pd.Series, n: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scan(grams: pa.Array, n: pa.Array) -> pa.Array:
         out = []
-        for g, k in zip(grams, n):
-            counts = ordered(g, counters)[1]
-            out.append(float(counts[: k - overlap_needed(k, -(-k * NUMERATOR // DENOMINATOR)) + 1].astype(float).clip(mean).sum() - mean * (k - overlap_needed(k, -(-k * NUMERATOR // DENOMINATOR)) + 1)))
-        return pd.Series(out, dtype=float)
+        for at in range(0, len(grams), SLICE_ROWS):
+            for g, k in zip(grams.slice(at, SLICE_ROWS).to_pylist(), n.slice(at, SLICE_ROWS).to_pylist()):
+                counts, front = ordered(g, counters)[1], k - overlap_needed(k, -(-k * NUMERATOR // DENOMINATOR)) + 1
+                out.append(float(counts[:front].astype(float).clip(mean).sum() - mean * front))
+        return pa.array(out, pa.float64())
 
     found = classes.where(F.col("n") <= 2 * LIGHT_MOST).withColumn("s", scan("grams", "n")).groupBy("n").agg(F.count("*").alias("k"), F.avg("s").alias("s")).collect()
     return best_boundary({r["n"]: r["k"] for r in found}, {r["n"]: r["s"] for r in found})
