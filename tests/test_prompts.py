@@ -100,7 +100,8 @@ def test_external_prompts(spark):
 
 def test_choices(spark):
     df = spark.createDataFrame([(i, f"q{i}", ["x", "y"]) for i in range(40)], "pos long, question string, choices array<string>")
-    rows = prompts.choice_prompts(df).collect()
+    assert prompts.choice_prompts(df).count() == 40
+    rows = prompts.choice_prompts(df, 30).collect()
     assert len(rows) == 30 and rows[3].text == "Question: q3\nA. x\nB. y\nAnswer:"
 
 

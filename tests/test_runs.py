@@ -236,7 +236,7 @@ def test_external_set(spark, tmp_path):
     html = done.filter("fmt = 'html'").drop("fmt")
     newer = html.filter("id = '9'").withColumn("prediction_list", F.array(F.lit("new")))
     results.write_external(results.merge_external(html, newer), str(tmp_path / "merged"))
-    merged = spark.read.json(str(tmp_path / "merged")).coalesce(1).collect()
+    merged = results.read_external_results(spark, str(tmp_path / "merged"), "id string, prediction_list array<string>").collect()
     assert {r.id: r.prediction_list for r in merged}["9"] == ["new"] and len(merged) == 3
 
 
