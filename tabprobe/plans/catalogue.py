@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabprobe import fixed_values as fixed
 from tabprobe.functions.extract import extract_list, extract_scalar
 from tabprobe.functions.formats import FORMATS
 from tabprobe.functions.markup import counted_tokens, markup_length, markup_spans, markup_tokens, token_offsets
@@ -26,6 +27,7 @@ from tabprobe.operators import checks, ingest, longform, prompts, resume, sampli
 from tabprobe.operators import markup as marks
 from tabprobe.operators import summary as summaries
 from tabprobe.operators.conversations import render_conversations
+from tabprobe.operators.distinct import evaluate_distinct
 from tabprobe.operators.numbering import number_rows
 from tabprobe.operators.serialise import (
     build_instances,
@@ -35,9 +37,10 @@ from tabprobe.operators.serialise import (
     serialise_tables,
 )
 from tabprobe.operators.tasks import generate_tasks, unique_values, value_positions
-from tabprobe.plans.jobs import judge, run_predictions
+from tabprobe.plans.jobs import judge, run_judge, run_predictions
 from tabprobe.session import ensure_checkpoints, shared_folder
 from tabprobe.sources import corpus, results, versions
+from tabprobe.sources.runs import CSV
 from tabprobe.streaming.incremental import arriving, incremental_score, incremental_summaries, summaries_now
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +208,12 @@ def hash_sample_tables(spark, sf_dir):
     return sampling.sample_tables(order_tables(spark, sf_dir), 300).select("table_id", "draw")
 
 
+def hash_sample_half(spark, sf_dir):
+    """Half of all tables, drawn exactly."""
+    half = read(spark, sf_dir, "lineitem").agg(F.count_distinct("l_orderkey")).first()[0] // 2
+    return sampling.sample_tables(order_tables(spark, sf_dir), half).select("table_id", "draw")
+
+
 def number_tables(spark, sf_dir):
     """Dense positions over a whole table, in value order."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
@@ -788,6 +797,23 @@ def stored_predictions(spark, sf_dir):
     return _kept(resume.judgeable(found).select("run_id", "table_id", "task", "fmt", F.md5("raw").alias("raw_md5")), folder)
 
 
+def judge_csv_runs(spark, sf_dir):
+    """Runs as CSV in two layouts and as Parquet by format, judged in one job; records without a whole number are set aside and counted."""
+    folder = _folder(spark, "mixed-runs")
+    rows = _document_predictions(spark, sf_dir).withColumns({"n_rows": F.lit(1), "error": F.lit(None).cast("string")})
+    share = F.col("table_id").cast("long") % 3
+    results.write_predictions_csv(rows.filter(share == 0), f"{folder}/plain.csv")
+    odd = F.when(F.col("table_id").cast("long") % 10 == 1, "many").otherwise("7.0")
+    other = rows.filter(share == 1).select(escape_newlines(F.col("raw")).alias("raw"), F.lit("x").alias("note"), *fixed.INSTANCE_KEY[::-1], "gold", odd.alias("n_rows"))
+    other.write.options(**CSV).option("emptyValue", '""').csv(f"{folder}/turned.csv")
+    results.append_predictions(rows.filter(share == 2), folder, "stored")
+    paths = [f"{folder}/plain.csv", f"{folder}/turned.csv", f"{folder}/run_id=stored"]
+    judged = run_judge(spark, paths, _quality_judge, f"{folder}/out", write_summary=False)
+    aside = versions.load(spark, f"{folder}/out_malformed").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_malformed"))
+    found = judged.join(F.broadcast(aside), "run_id", "left").select("run_id", "table_id", "task", "fmt", "content_correct", F.coalesce("n_malformed", F.lit(0)).alias("n_malformed"))
+    return _kept(found, folder)
+
+
 def csv_predictions(spark, sf_dir):
     """Predictions as interchange CSV and back, line ends and quotes included."""
     folder = _folder(spark, "csv")
@@ -899,6 +925,20 @@ def plugged_tokens(spark, sf_dir):
     )
 
 
+def counted_prompts(spark, sf_dir):
+    """Prompts of documents, many of them copies, through a tokenizer of one's own that sees each text once."""
+
+    def make_tokenizer():
+        import re
+
+        return lambda texts: [[m.span() for m in re.finditer("[^ ]+", t)] for t in texts]
+
+    asked = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Read this: "), F.col("text")).alias("prompt"))
+    found = evaluate_distinct(asked, "prompt", lambda text: token_offsets(text, make_tokenizer), "offsets", copies="n_copies")
+    inside = F.aggregate("offsets", F.lit(0).cast("long"), lambda a, t: a + t["end"] - t["start"])
+    return found.select("doc_id", F.size("offsets").alias("n_tokens"), inside.alias("n_inside"), "n_copies")
+
+
 def stream_summaries(spark, sf_dir):
     """Summaries kept up to date over three arrivals of verdicts; the third replaces some, which are subtracted."""
     folder = _folder(spark, "verdict-stream")
@@ -929,6 +969,9 @@ QUERIES: dict[str, Query] = {
     "stored_selection": stored_selection,
     "stored_predictions": stored_predictions,
     "csv_predictions": csv_predictions,
+    "judge_csv_runs": judge_csv_runs,
+    "counted_prompts": counted_prompts,
+    "hash_sample_half": hash_sample_half,
     "stored_verdicts": stored_verdicts,
     "stored_summaries": stored_summaries,
     "stored_external": stored_external,

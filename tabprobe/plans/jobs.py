@@ -17,7 +17,7 @@ from tabprobe.functions.text import strip, token_count
 from tabprobe.operators import checks, ingest, prompts, resume, sampling, scoring, selection, serialise
 from tabprobe.operators import summary as summaries
 from tabprobe.operators.tasks import generate_tasks
-from tabprobe.sources import corpus, results
+from tabprobe.sources import corpus, results, runs, versions
 
 Maker = Callable[[], Callable]
 
@@ -218,8 +218,13 @@ def run_judge(
     summary_prefix: str | None = None,
     **options,
 ) -> DataFrame:
-    """Judge many runs in one job: the judge is loaded once per worker for all of them."""
-    predictions = results.read_predictions(spark, prediction_paths, run_ids)
+    """Judge many runs, Parquet or CSV, in one job: the judge is loaded once per worker for all of them.
+
+    CSV records that are malformed are not judged; they are set aside, with run and file, below ``{output}_malformed``.
+    """
+    results.require(spark, prediction_paths)
+    predictions, malformed = runs.read_runs(spark, prediction_paths, run_ids)
+    versions.replace(malformed, f"{output}_malformed", "parquet")
     key = ["run_id", *fixed.INSTANCE_KEY]
     done = spark.read.parquet(output) if results.exists(spark, output) else None
     judged = judge(predictions, make_judge, done, key=key, **options)

@@ -458,6 +458,13 @@ def judge_pending() -> str:
     WHERE NOT EXISTS (SELECT 1 FROM labels WHERE CAST(labels.doc_id AS VARCHAR) = q.table_id)"""
 
 
+def judge_csv_runs() -> str:
+    prompt = judge_prompt("current").split("SELECT table_id, task, fmt, 'raw'")[0]
+    return f"""{prompt} SELECT CASE k % 3 WHEN 0 THEN 'plain' WHEN 1 THEN 'turned' ELSE 'stored' END AS run_id, table_id, task, fmt,
+    length(prompt) % 2 = 0 AS content_correct, CASE k % 3 WHEN 1 THEN (SELECT count(*) FROM documents WHERE doc_id % 3 = 1 AND doc_id % 10 = 1) ELSE 0 END AS n_malformed
+    FROM (SELECT *, CAST(table_id AS BIGINT) AS k FROM q) WHERE NOT (k % 3 = 1 AND k % 10 = 1)"""
+
+
 # --- markup -----------------------------------------------------------------
 _HTML = r"(?m)<[^>]+>|^[ \t]+|\n"
 _COL_SEP_TOKENS = f"""
@@ -636,6 +643,11 @@ ORACLE: dict[str, str] = {
         CASE WHEN n_chars <= 5000 AND length(text) = 7 THEN 'seven characters' END AS error FROM documents""",
     "retry_failed": "SELECT doc_id, CAST(length(text) AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS error FROM documents",
     "judge_pending": judge_pending(),
+    "judge_csv_runs": judge_csv_runs(),
+    "counted_prompts": """SELECT doc_id, CAST(len(list_filter(string_split('Read this: ' || text, ' '), lambda w: w <> '')) AS INT) AS n_tokens,
+        CAST(length(replace('Read this: ' || text, ' ', '')) AS BIGINT) AS n_inside, count(*) OVER (PARTITION BY text) AS n_copies FROM documents""",
+    "hash_sample_half": f"""WITH {T_ORD}, d AS (SELECT table_id, CAST(row_number() OVER (ORDER BY md5('42:' || table_id), table_id) - 1 AS INT) AS draw
+        FROM t) SELECT * FROM d WHERE draw < (SELECT count(*) // 2 FROM t)""",
     "stream_score": "SELECT doc_id, CAST(length(text) AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS error FROM documents",
     "markup_html": f"""SELECT page_id, CAST(length(html) AS INT) AS n_chars,
         CAST(length(html) - length(regexp_replace(html, '{_HTML}', '', 'g')) AS INT) AS n_markup_chars FROM pages""",

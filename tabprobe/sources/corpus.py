@@ -14,6 +14,7 @@ from tabprobe.operators.ingest import first_tables
 from tabprobe.operators.numbering import number_source_rows, source_order
 from tabprobe.operators.selection import keep_listed
 from tabprobe.operators.tasks import tasks_by_table
+from tabprobe.sources import idlists
 
 
 def read_raw(
@@ -137,13 +138,8 @@ def write_tasks(tasks: DataFrame, path: str, seed: int, source: str) -> None:
 
 
 def read_selection(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, table_id) from {"table_ids": [...]} or from a bare list."""
-    text = spark.read.text(path, wholetext=True)
-    is_list = F.ltrim(F.col("value"), F.lit(" \t\r\n")).startswith("[")
-    ids = F.when(is_list, F.from_json("value", "ARRAY<STRING>")).otherwise(
-        F.from_json("value", "table_ids ARRAY<STRING>")["table_ids"]
-    )
-    return text.select(F.posexplode(ids).alias("ord", "table_id"))
+    """(ord, table_id) from {"table_ids": [...]} or from a bare list, of any length; see ``idlists.read_ids``."""
+    return idlists.read_ids(spark, path)
 
 
 def write_selection(
@@ -155,18 +151,9 @@ def write_selection(
     max_prompt_tokens: int,
     n_tables_target: int,
 ) -> None:
-    """selection/ (one JSON object, at most n_tables_target ids) and diagnostics/ (one per table)."""
-    listed = selected.agg(
-        F.lit(model).alias("model"),
-        F.array(*[F.lit(f) for f in formats]).alias("formats"),
-        F.lit(max_prompt_tokens).alias("max_prompt_tokens"),
-        F.lit(n_tables_target).alias("n_tables_target"),
-        F.count(F.lit(1)).alias("n_tables_selected"),
-        F.sort_array(F.collect_list(F.struct("pos", "table_id"))).alias("_ids"),
-    )
-    listed.withColumn("table_ids", F.col("_ids.table_id")).drop("_ids").write.mode("overwrite").json(
-        f"{path}/selection"
-    )
+    """selection/ (one JSON object in ordered parts) and diagnostics/ (one object per table)."""
+    fields = {"model": model, "formats": list(formats), "max_prompt_tokens": max_prompt_tokens, "n_tables_target": n_tables_target}
+    idlists.write_ids(selected, f"{path}/selection", fields, "n_tables_selected")
     diagnostics.write.mode("overwrite").json(f"{path}/diagnostics")
 
 

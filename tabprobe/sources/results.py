@@ -15,6 +15,7 @@ from tabprobe.operators.resume import merge_latest
 from tabprobe.operators.summary import formats_of, pivot_pairs, summarise_all
 from tabprobe.session import ensure_checkpoints
 from tabprobe.sources import versions
+from tabprobe.sources.runs import CSV, read_runs
 
 PREDICTION_COLUMNS = [
     "table_id", "task", "fmt", "question", "gold", "answers", "n_rows", "n_cols", "prompt",
@@ -25,11 +26,6 @@ VERDICT_COLUMNS = [
     "table_id", "task", "fmt", "question", "gold", "target_field", "prediction_sent_to_judge",
     *fixed.VERDICT_FLAGS, "score", "reason", "raw_judge", *fixed.PASSTHROUGH_COLUMNS,
 ]
-_CSV = {
-    "header": "true", "multiLine": "true", "quote": '"', "escape": '"',
-    # Empty strings are written quoted; NULL has its own mark, as in database dumps.
-    "emptyValue": "", "nullValue": "\\N",
-}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -38,7 +34,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(context._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def _require(spark: SparkSession, paths: Sequence[str]) -> None:
+def require(spark: SparkSession, paths: Sequence[str]) -> None:
     missing = [p for p in paths if not exists(spark, p)]
     if missing:
         raise FileNotFoundError("Some prediction paths do not exist: " + ", ".join(missing))
@@ -47,35 +43,26 @@ def _require(spark: SparkSession, paths: Sequence[str]) -> None:
 def read_predictions(
     spark: SparkSession, paths: Sequence[str], run_ids: Sequence[str] | None = None
 ) -> DataFrame:
-    """All prediction data sets in one read; ``run_id`` tells the runs apart.
+    """All prediction data sets, Parquet or CSV, in one frame; ``run_id`` tells the runs apart. ``runs.read_runs`` also gives the malformed records.
 
     Without ``run_ids`` the last path element names the run, without the ``run_id=`` of a partition folder.
     """
-    _require(spark, paths)
-    if run_ids is not None and len(run_ids) != len(paths):
-        raise ValueError("run_ids must have the same length as paths")
-    names = list(run_ids) if run_ids is not None else [p.rstrip("/").split("/")[-1].removeprefix("run_id=") for p in paths]
-    frames = [
-        spark.read.parquet(path).withColumn("run_id", F.lit(name)) for path, name in zip(paths, names)
-    ]
-    merged = frames[0]
-    for frame in frames[1:]:
-        merged = merged.unionByName(frame, allowMissingColumns=True)
-    return merged
+    require(spark, paths)
+    return read_runs(spark, paths, run_ids)[0]
 
 
 def read_predictions_csv(
     spark: SparkSession, path: str, schema: str = schemas.PREDICTIONS, unescape: bool = True
 ) -> DataFrame:
     """Interchange CSV with an explicit schema: empty and NA-like texts stay texts."""
-    df = spark.read.options(**_CSV).schema(schema).csv(path)
+    df = spark.read.options(**CSV).schema(schema).csv(path)
     return df.withColumn("raw", unescape_newlines(F.col("raw"))) if unescape else df
 
 
 def write_predictions_csv(predictions: DataFrame, path: str) -> None:
     present = [c for c in PREDICTION_COLUMNS if c in predictions.columns]
     rows = predictions.select(*present).withColumn("raw", escape_newlines(F.col("raw")))
-    rows.write.options(**_CSV).option("emptyValue", '""').mode("overwrite").csv(path)
+    rows.write.options(**CSV).option("emptyValue", '""').mode("overwrite").csv(path)
 
 
 def append_predictions(
