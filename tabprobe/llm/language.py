@@ -28,6 +28,9 @@ BITS = 12
 CHUNK = 1 << 20
 #: Up to so many languages, every split of them into two is a bit.
 EXHAUSTIVE = 6
+#: Ranges into which the hashes of ids are counted.
+RANGE_BITS = 12
+RANGES = 1 << RANGE_BITS
 
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
@@ -124,12 +127,37 @@ def held_out(doc_id: Column) -> Column:
     return training_fold(doc_id, 4) == 2
 
 
+def smallest_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """Of each language, the n rows (doc_id, text, lang) whose ids have the smallest hashes; ties go by doc_id and the text's hash.
+
+    Counts per language and range of hashes say how far the n rows reach, so that no task gets a language: only rows up to there are ranked, without
+    their texts, and the texts of the n that stay are fetched last. Counts, ranges and keys are small: ``RANGES`` rows, one, and n per language.
+    """
+    mark = F.xxhash64("doc_id")
+    keys = rows.select("lang", "doc_id", mark.alias("mark"), F.shiftright(mark, 64 - RANGE_BITS).alias("range"), F.xxhash64("text").alias("content"))
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keys.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    reach = counts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("begin") < n)
+    reach = reach.groupBy("lang").agg(F.max("range").alias("last"))
+    order = ["mark", "doc_id", "content"]
+    near = keys.join(F.broadcast(reach), "lang").where(F.col("range") <= F.col("last"))
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= n)
+    chosen = first.select(F.col("lang").alias("c_lang"), F.col("doc_id").alias("c_doc_id"), F.col("content").alias("c_content")).distinct()
+    same = (F.col("lang") == F.col("c_lang")) & (F.xxhash64("text") == F.col("c_content")) & F.col("doc_id").eqNullSafe(F.col("c_doc_id"))
+    fetched = rows.join(F.broadcast(chosen), same, "left_semi")
+    # rows repeated beyond n count once each, as they would in one sort of all
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(mark, "doc_id", F.xxhash64("text")))
+    return fetched.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
 def fit(docs: DataFrame, *, fold: Column | None = None, per_language: int = 600, max_chars: int = 40_000) -> CodeModel:
-    """Fit on documents (doc_id, text, lang) for which ``fold`` holds. Null languages and texts without a letter teach nothing."""
+    """Fit on documents (doc_id, text, lang) for which ``fold`` holds. Null languages and texts without a letter teach nothing.
+
+    Repeated rows teach repeatedly; without any row there is a model without languages.
+    """
     rows = docs.select("doc_id", whole_text(F.col("text")).alias("text"), "lang").where(F.col("lang").isNotNull())
     rows = (rows if fold is None else rows.where(fold)).where((F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).drop("place")
+    sample = smallest_hashes(rows, per_language)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [b for b in batches if len(b)]
@@ -149,7 +177,8 @@ def fit(docs: DataFrame, *, fold: Column | None = None, per_language: int = 600,
 def identify(df: DataFrame, model: CodeModel, text_col: str = "text", *, carry: list[str] | None = None, margin: float = 0.6) -> DataFrame:
     """Add ``lang_pred``, ``score`` (share of the best language, 0 to 1) and ``ambiguous``; they replace input columns of the same name.
 
-    Null texts and texts without letters are ``und``, with score 0. Without languages to learn, all are. No shuffle.
+    Null texts and texts without letters are ``und``, with score 0. Without languages to learn, all are. Repeated rows stay, an empty
+    table stays empty, and of languages that cost the same the first by name is told. No shuffle.
     """
     carry = df.columns if carry is None else carry
 

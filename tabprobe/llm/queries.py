@@ -142,12 +142,17 @@ def spotsigs_sql(anchors: list[str]) -> str:
             JOIN c c1 ON c1.doc_id = k.doc_id AND c1.kind = k.kind AND c1.r = k.r + 1
             JOIN c c2 ON c2.doc_id = k.doc_id AND c2.kind = k.kind AND c2.r = k.r + 2
             WHERE k.anchor AND NOT k.next_anchor),
-        g AS (SELECT doc_id, kind, list(s) AS chains FROM s GROUP BY 1, 2),
+        g AS (SELECT doc_id, kind, list(DISTINCT s) AS chains FROM s GROUP BY 1, 2),
+        h AS (
+            SELECT w.doc_id, w.kind, w.text, ws, coalesce(chains, []) AS chains, list_filter(ws, lambda x: x NOT IN ({common})) AS content
+            FROM w LEFT JOIN g USING (doc_id, kind)),
         f AS (
-            SELECT w.doc_id, w.kind, w.text,
-                   list_sort(list_distinct(list_transform(CASE WHEN g.chains IS NOT NULL THEN g.chains WHEN w.text = '' THEN [] WHEN len(ws) > 0 THEN ws ELSE [w.text] END,
+            SELECT doc_id, kind, text,
+                   list_sort(list_distinct(list_transform(CASE WHEN text = '' THEN [] WHEN len(ws) = 0 THEN [text] ELSE list_concat(chains,
+                       list_filter(CASE WHEN len(content) > 0 THEN content ELSE ws END,
+                           lambda x: ('0x' || substr(md5(x), 1, 2))::INT * 64 < 256 * (64 - len(chains)))) END,
                        lambda x: substr(md5(x), 1, 16)))) AS p
-            FROM w LEFT JOIN g USING (doc_id, kind)),
+            FROM h),
         a AS (
             SELECT e.doc_id, e.n AS n_chars, sha256(y.text) AS edited_sha256, x.p AS p, y.p AS q, z.p AS r FROM e
             JOIN f x ON x.doc_id = e.doc_id AND x.kind = 0 JOIN f y ON y.doc_id = e.doc_id AND y.kind = 1 JOIN f z ON z.doc_id = e.next_id AND z.kind = 0)

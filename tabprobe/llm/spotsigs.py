@@ -1,7 +1,7 @@
 """Document fingerprints by SpotSigs, with DataFrame functions only.
 
 Signatures start at common words: an anchor with the chain of the next content words after it. Running text is full of
-them, while menus, lists and numbers have few. A fingerprint is the set of a document's signatures, and the likeness of two is the Jaccard
+them, while menus, lists and numbers have few, and are known by their words as well. A fingerprint is the set of a document's signatures, and the likeness of two is the Jaccard
 similarity of the sets. A join deals fingerprints by set length: sets that reach a similarity t have lengths within a
 factor t, so each meets its own length class and the next longer one, there only by a signature that stands at the front of both.
 """
@@ -9,6 +9,7 @@ factor t, so each meets its own length class and the next longer one, there only
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ ANCHORS = (
 OTHER = r"[^\p{L}\p{M}\p{N}]+"
 #: Hexadecimal digits of a signature's hash.
 DIGITS = 16
+#: Texts of fewer distinct chains have words as signatures, too.
+FEW = 64
 #: Documents to a stretch of the order by id, about, and quantiles by which ids are dealt to stretches.
 STRETCH, QUANTILES = 4096, 64
 
@@ -57,20 +60,33 @@ def chains(text: Column, anchors: list[str] = ANCHORS) -> Column:
     return F.regexp_extract_all(chained, F.lit("\n([^\r]*)\r"), F.lit(1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name a value for several uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_signatures(df: DataFrame, text_col: str, out: str, anchors: list[str] = ANCHORS) -> DataFrame:
     """Add a text's sorted distinct signatures, as hash prefixes in hexadecimal.
 
-    A text without any chain has its words as signatures, and without words itself; an empty text has none. Chains are a column
-    of their own, as a plan would else find them anew wherever they are named.
+    Texts of few chains have content words as signatures as well, the more the fewer chains they have: with c distinct chains, those words whose hash lies in
+    the first ``FEW`` - c of ``FEW`` equal parts, so with none all of them, and with ``FEW`` or more none. Two texts that differ by a chain
+    or two thus share nearly all words that they have in common, and no number of chains turns one kind of fingerprint into another. Without
+    content words all words stand for them, and without words the text itself; an empty text has none. Chains are a column of their
+    own, as a plan would else find them anew wherever they are named.
     """
     text, plain = F.col(text_col), plain_words(F.col(text_col))
     words = F.filter(F.split(plain, " "), lambda w: w != "")
+    content = F.filter(words, lambda w: ~w.isin(list(anchors)))
+    some = let(content, lambda c: F.when(F.size(c) > 0, c).otherwise(words))
+    # the first two digits of a word's hash tell its part
+    kept = F.filter(some, lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") * FEW < 256 * (FEW - F.col("_few")))
     found = (
-        F.when(F.size("_chains") > 0, F.col("_chains")).when(text == "", F.array().cast("array<string>"))
-        .when(F.trim(plain) != "", words).otherwise(F.array(text))
+        F.when(F.col("_few") >= FEW, F.col("_chains")).when(text == "", F.array().cast("array<string>"))
+        .when(F.trim(plain) != "", F.concat("_chains", kept)).otherwise(F.array(text))
     )
     hashed = F.array_sort(F.array_distinct(F.transform(found, lambda s: F.substring(F.md5(s), 1, DIGITS))))
-    return df.withColumn("_chains", chains(text, anchors)).withColumn(out, hashed).drop("_chains")
+    few = F.least(F.size("_chains"), F.lit(FEW))
+    return df.withColumn("_chains", F.array_distinct(chains(text, anchors))).withColumn("_few", few).withColumn(out, hashed).drop("_chains", "_few")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -121,7 +137,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, anchors: list[str] = ANCHORS) -> DataFrame:
-    """(id, text, signatures) of every row. Null texts count as empty."""
+    """(id, text, signatures) of every row. Null texts count as empty; repeated rows stay, an empty table gives none, and equal texts have equal signatures."""
     return df.select(named(id_col).alias("id"), whole_text(named(text_col)).alias("text")).transform(with_signatures, "text", "signatures", anchors)
 
 
@@ -130,7 +146,7 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     In the edited text, the last third of the code points (rounded down) is replaced by as many of the first of the next document, or all of them if it
     is shorter. The next document is the one with the next smaller id; after the smallest comes the largest. Rows that share an id follow
-    each other, by a hash of the text; null ids come last. One document alone is its own next. One exchange of the texts.
+    each other, by a hash of the text; null ids come last. An empty table gives none. One document alone is its own next. One exchange of the texts.
     """
     rows = with_next(df, id_col, text_col)
     order = Window.partitionBy("stretch").orderBy("far", F.col("key").desc(), "mark")

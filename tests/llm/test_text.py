@@ -192,6 +192,19 @@ def test_language_on_odd_rows(odd_docs, no_docs):
         assert language.identify(no_docs, model).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 7, 600])
+def test_language_sample(spark, n):
+    """Against one sort of all rows, with a hot language, ids and whole rows repeated, and null ids."""
+    from pyspark.sql import Window
+
+    rows = [(rng.choice([None, *range(150)]), rng.choice("abc"), rng.choice(["en"] * 9 + ["de", "fr"])) for _ in range(900)] + [(5, "x", "en")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).checkpoint()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    wanted = docs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
+    key = lambda r: (r.lang, -1 if r.doc_id is None else r.doc_id, r.text)
+    assert sorted(map(key, language.smallest_hashes(docs, n).collect())) == sorted(map(key, wanted.collect()))
+
+
 @tables
 def test_language_held_out(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "lang").collect()}
@@ -212,8 +225,11 @@ def brute_signatures(text):
             rest = [x for x in words[i + 1 :] if x not in common][:2]
             if len(rest) == 2:
                 found.append(" ".join([w, *rest]))
-    if not found:
-        found = words or ([text] if text else [])
+    plain = [w for w in words if w not in common] or words
+    room = 4 * (64 - len(set(found)))
+    found += [w for w in plain if int(hashlib.md5(w.encode()).hexdigest()[:2], 16) < room]
+    if not words and text:
+        found = [text]
     return sorted({hashlib.md5(s.encode()).hexdigest()[:16] for s in found})
 
 
@@ -228,6 +244,16 @@ def test_fingerprints(spark, odd_docs, no_docs):
     assert len(odd) == len(TEXTS) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in odd)
 
 
+def test_few_chains_do_not_hide_an_edit(spark):
+    """Texts of no, one, or some chains that gain or lose a few by the edit still resemble it; other texts do not."""
+    menu = "zebra lion tiger panther 1 2 3 4 5 6 7 8 9 10 11 12 13 14"
+    short = "the house stands lonely " + " ".join(f"word{i}" for i in range(30))
+    some = " ".join(f"the big{i} dog{i} and one{i} two{i}" for i in range(7)) + " " + " ".join(f"more{i}" for i in range(20))
+    rows = [(4, menu), (3, "the cat dog meets a bird house with old trees"), (2, short), (1, some), (0, "of gold silver " * 20)]
+    found = {r.id: r for r in spotsigs.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i].near_edited > 0.35 and found[i].near_next < 0.05 for i in (4, 2, 1))
+
+
 @pytest.mark.parametrize("stretch", [1, 3, 4096])
 def test_next_documents(spark, monkeypatch, stretch):
     monkeypatch.setattr(spotsigs, "STRETCH", stretch)
