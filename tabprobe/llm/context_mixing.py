@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from tabprobe.llm.common import cut, named, remove, shared_path, training_fold, whole_text
 from tabprobe.llm.ngram_jaccard import mix64, word_hashes
 
-#: Counters per order of a hashed table, for texts that are held in memory, as powers of two; order k looks at the last k bytes.
-ORDER_BITS = (8, 16, 18, 18, 19, 19)
+#: Predictors; order k looks at the last k bytes.
+ORDERS = 6
 START, END = 0xFF, 0xFF  # a byte that no UTF-8 text has
 #: Bytes scored, or documents' bytes turned into a chunk, in one go.
 CHUNK_BYTES, MODEL_CHUNK_BYTES = 2 << 20, 4 << 20
 STEPS = 33
-FRONT = len(ORDER_BITS) - 1
+FRONT = ORDERS - 1
 #: The largest order whose counts go to every task.
 LOW = 2
 #: Rates of the passes over all training strings.
@@ -73,33 +73,6 @@ def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], counts
 
 
-def slots(keys: np.ndarray, bit: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Per order, each string's counter for the given bit of its last byte (7 first), within one table of all orders."""
-    byte = keys & np.uint64(255)
-    node = (np.uint64(1) << np.uint64(7 - bit)) | (byte >> np.uint64(bit + 1))
-    base = 0
-    for order, bits in enumerate(ORDER_BITS):
-        context = (keys >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-        if order == 0:
-            yield base, node.astype(np.int64)
-        else:
-            yield base, base + (mix64((context << np.uint64(8) | node) * np.uint64(8) + np.uint64(order)) >> np.uint64(64 - bits)).astype(np.int64)
-        base += 1 << bits
-
-
-SLOTS = sum(1 << b for b in ORDER_BITS)
-
-
-def count_bits(keys: np.ndarray, times: np.ndarray, table: np.ndarray) -> None:
-    """Add strings to the counts of zeros and ones."""
-    for bit in range(7, -1, -1):
-        one = ((keys >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)
-        for (base, slot), bits in zip(slots(keys, bit), ORDER_BITS):
-            # bincount over one order's stretch of the table
-            n = 1 << bits
-            table[base : base + n] += np.bincount((slot - base) * 2 + one, times, 2 * n).reshape(n, 2).astype(np.int32)
-
-
 def summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and their total times, in 64 bits."""
     order = np.argsort(keys, kind="stable")
@@ -131,28 +104,21 @@ class Contexts:
 
 @dataclass
 class Mixer:
-    table: Contexts | np.ndarray  # or hashed: slots, 2
+    table: Contexts | None
     weights: np.ndarray  # gates, orders
     refine: np.ndarray  # 256, STEPS
 
     @staticmethod
-    def fresh(table: Contexts | np.ndarray) -> Mixer:
+    def fresh(table: Contexts | None) -> Mixer:
         grid = squash((np.arange(STEPS) - STEPS // 2) / 2.0)
-        return Mixer(table, np.full((8 * (len(ORDER_BITS) + 1), len(ORDER_BITS)), 0.3), np.tile(grid, (256, 1)))
-
-    def counts(self, keys: np.ndarray, bit: int) -> Iterator[np.ndarray]:
-        if isinstance(self.table, Contexts):
-            yield from self.table.counts(keys, bit)
-        else:
-            for _, slot in slots(keys, bit):
-                yield self.table[slot]
+        return Mixer(table, np.full((8 * (ORDERS + 1), ORDERS), 0.3), np.tile(grid, (256, 1)))
 
     def inputs(self, keys: np.ndarray, bit: int, without: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Stretched predictions of all orders, the gate and the true bit. ``without``: each occurrence is left out of its counts."""
         one = ((keys >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)
-        x = np.zeros((len(keys), len(ORDER_BITS)))
+        x = np.zeros((len(keys), ORDERS))
         longest = np.zeros(len(keys), np.int64)
-        for order, counts in enumerate(self.counts(keys, bit)):
+        for order, counts in enumerate(self.table.counts(keys, bit)):
             counts = counts.astype(float)
             if without:
                 counts[np.arange(len(keys)), one] = np.maximum(counts[np.arange(len(keys)), one] - 1, 0)
@@ -160,7 +126,7 @@ class Mixer:
             seen = total > 0
             x[:, order] = np.where(seen, stretch((counts[:, 1] + 0.05) / (total + 0.1)), 0.0)
             longest[seen] = order + 1
-        return x, bit * (len(ORDER_BITS) + 1) + longest, one
+        return x, bit * (ORDERS + 1) + longest, one
 
     def refined(self, mixed: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.clip(mixed * 2 + STEPS // 2, 0, STEPS - 1.001)
@@ -360,7 +326,7 @@ def fit(counts: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarr
         found = {r["block"]: r["sums"] for r in counts.mapInArrow(send, kinds).groupBy("block").applyInPandas(add, kinds).collect()}
         return np.concatenate([inflated(found[b], float) for b in range(blocks)]).reshape(shape) if found else np.zeros(shape)
 
-    fresh = Mixer.fresh(np.zeros((0, 2)))
+    fresh = Mixer.fresh(None)
     weights = fresh.weights
     for rate in RATES:
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabprobe.llm import bpe, context_mixing, html_extraction, language, mixing, spotsigs, toxicity
 from tabprobe.llm.html_blocks import blocks
+from tabprobe.llm.ngram_jaccard import mix64
 from tabprobe.llm.queries import QUERIES, vocabulary_path
 from tests.llm.conftest import TEXTS
 
@@ -54,6 +55,40 @@ def test_toxicity_on_odd_rows(spark, odd_docs, no_docs, odd_labels, no_labels):
     assert toxicity.keep_clean(odd_docs, odd_labels).columns == odd_docs.columns
 
 
+def test_toxicity_against_brute_force(spark, odd_docs, odd_labels):
+    """Scores and offending sentences from the fitted numbers, piece by piece and word by word."""
+    import re
+
+    fitted = toxicity.fit(odd_docs, odd_labels)
+    # large weights, so that pieces are on both sides
+    own = np.random.default_rng(3).normal(0, 1.5, 1 << toxicity.BITS).astype(np.float32)
+    for model in (fitted, toxicity.NoisyOr(-3.0, own)):
+        def chance(words, model=model):
+            z = model.bias
+            for w in set(words):
+                for part in ["=" + w, *["^" + w[:n] for n in (4, 5, 6) if len(w) >= n]]:
+                    z += float(model.weights[zlib.crc32(part.encode()) % (1 << 17)])
+            return 1 / (1 + math.exp(-z))
+
+        for r in toxicity.score(odd_docs, model).collect():
+            clean, offending = 1.0, []
+            pieces = []
+            for m in re.finditer(r"[^.!?\n]+", r.text or ""):
+                words = [(w.start(), w.end(), w[0].lower()) for w in re.finditer(r"\w+", m[0])]
+                if 0 < len(words) <= 40:
+                    pieces.append((m.start(), m.end(), [w for *_, w in words]))
+                for at in range(0, len(words) if len(words) > 40 else 0, 40):
+                    some = words[at : at + 40]
+                    pieces.append((m.start() + some[0][0], m.start() + some[-1][1], [w for *_, w in some]))
+            for a, b, words in pieces or [(0, len(r.text or ""), [])]:
+                p = chance(words)
+                clean *= 1 - p
+                offending += [(a, b, round(p, 5))] if p >= 0.5 else []
+            assert r.score == pytest.approx(1 - clean, abs=1e-5) and r.predicted == (r.score >= 0.7)
+            assert [(s["start"], s["end"]) for s in r.offending] == [o[:2] for o in offending]
+            assert [s["score"] for s in r.offending] == pytest.approx([o[2] for o in offending], abs=2e-5)
+
+
 def test_long_stretches_are_read_in_pieces():
     text = " ".join(["word"] * 1000)
     spans = list(toxicity.sentences(text))
@@ -192,6 +227,39 @@ def test_language_on_odd_rows(odd_docs, no_docs):
         assert language.identify(no_docs, model).count() == 0
 
 
+def test_language_against_brute_force(odd_docs):
+    """Features, losses of the bits, decoding and flags from the fitted numbers, a gram at a time."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        return int(mix64(np.array([x & mask], np.uint64))[0])
+
+    model = language.fit(odd_docs)
+    k = len(model.languages)
+    assert k == 5 and model.languages == sorted(model.languages)
+    # all splits of five languages in two, the first on one side
+    code = [[1 if split >> c & 1 else -1 for split in range(1, 1 << k, 2) if split != (1 << k) - 1] for c in range(k)]
+    for r in language.identify(odd_docs, model, margin=0.3).collect():
+        text = f" {(r.text or '').lower()} "
+        counts = Counter()
+        for n in (1, 2, 3):
+            for at in range(len(text) - n + 1):
+                gram = 0
+                for c in text[at : at + n]:
+                    gram = gram * 0x9E3779B97F4A7C15 + ord(c)
+                counts[mixed(gram + n) >> 52] += 1
+        norm = math.sqrt(sum(math.log1p(c) ** 2 for c in counts.values()))
+        f = [sum(math.log1p(c) / norm * float(model.weights[g, b]) for g, c in counts.items()) + float(model.weights[-1, b]) for b in range(len(code[0]))]
+        loss = [sum(float(t) * math.log1p(math.exp(-c * v)) for t, c, v in zip(model.trust[i], code[i], f)) for i in range(k)]
+        share = [math.exp(min(loss) - x) for x in loss]
+        share = [s / sum(share) for s in share]
+        best, second = sorted(share, reverse=True)[:2]
+        lettered = any(c.isalpha() for c in r.text or "")
+        assert r.score == pytest.approx(best if lettered else 0.0, abs=1e-4)
+        assert r.lang_pred == (model.languages[share.index(best)] if lettered else "und")
+        assert abs(best - second - 0.3) < 1e-3 or r.ambiguous == (not lettered or best - second < 0.3)
+
+
 @pytest.mark.parametrize("n", [1, 7, 600])
 def test_language_sample(spark, n):
     """Against one sort of all rows, with a hot language, ids and whole rows repeated, and null ids."""
@@ -306,10 +374,8 @@ def test_baseline_against_brute_force(spark, odd_docs, no_docs):
 
 def test_bits_are_probabilities():
     texts = [b"the cat sat on the mat", b"the dog sat on the log", b""] * 20
-    table = np.zeros((context_mixing.SLOTS, 2), np.int32)
     keys, times = np.unique(context_mixing.strings(texts)[0], return_counts=True)
-    context_mixing.count_bits(keys, times, table)
-    mixer = context_mixing.Mixer.fresh(table)
+    mixer = context_mixing.Mixer.fresh(context_mixing.Contexts(keys, times, *context_mixing.summed(context_mixing.tail(keys, 3), times)))
     mixer.learn(keys, times, 0.1)
     # the 256 bytes that may follow a context have probabilities that sum to one
     after = (np.uint64(keys[7]) >> np.uint64(8) << np.uint64(8)) + np.arange(256, dtype=np.uint64)
@@ -336,6 +402,49 @@ def test_counts_of_contexts_are_exact_and_wide():
                 assert (zeros, ones) == ((len(fits) - sum(fits)) << 31, sum(fits) << 31)
 
 
+def test_model_against_brute_force(spark, monkeypatch, odd_docs):
+    """Whole texts bit by bit, from counts in dictionaries, the fitted weights and the refinement."""
+    fitted, fit = [], context_mixing.fit
+    monkeypatch.setattr(context_mixing, "fit", lambda *given: fitted.append(fit(*given)) or fitted[-1])
+    found = context_mixing.scores(odd_docs, ~context_mixing.held_out(F.col("doc_id"))).collect()
+    (weights, refine), front = fitted[0], bytes([0xFF] * 5)
+    lower = {(i, t): front + (t or "").encode().lower() + b"\xff" for i, t, *_ in TEXTS}
+    # bits that followed the last 0 to 5 bytes and the bits of the byte so far
+    seen = Counter()
+    for i, t, *_ in TEXTS:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
+            text = lower[i, t]
+            for at in range(5, len(text)):
+                for order in range(6):
+                    for bit in range(7, -1, -1):
+                        seen[text[at - order : at], bit, text[at] >> (bit + 1), text[at] >> bit & 1] += 1
+
+    def bits(text):
+        total = 0.0
+        for at in range(5, len(text)):
+            for bit in range(7, -1, -1):
+                x, longest, true = [], 0, text[at] >> bit & 1
+                for order in range(6):
+                    zeros, ones = (seen[text[at - order : at], bit, text[at] >> (bit + 1), b] for b in (0, 1))
+                    share = (ones + 0.05) / (zeros + ones + 0.1)
+                    x.append(math.log(share / (1 - share)) if zeros + ones else 0.0)
+                    longest = order + 1 if zeros + ones else longest
+                mixed = sum(a * b for a, b in zip(x, weights[bit * 7 + longest]))
+                step = min(max(mixed * 2 + 16, 0), 31.999)
+                row, low = refine[text[at - 1]], int(step)
+                p = 0.5 / (1 + math.exp(-min(max(mixed, -25), 25))) + 0.5 * (row[low] + (step - low) * (row[low + 1] - row[low]))
+                p = min(max(p, 1e-5), 1 - 1e-5)
+                total -= math.log2(p if true else 1 - p)
+        return total
+
+    want = Counter((i, round(-bits(lower[i, t]) * math.log10(2), 1)) for i, t, *_ in TEXTS)
+    for r in found:
+        near = [k for k in want if k[0] == r.id and abs(k[1] - r.score) < 0.06 + 1e-5 * abs(r.score) and want[k]]
+        assert near, (r.id, r.score)
+        want[near[0]] -= 1
+    assert len(found) == len(TEXTS) and len({r.score for r in found}) > 8
+
+
 def test_weights_learn_from_all_occurrences(spark):
     keys = np.unique(np.random.default_rng(2).integers(0, 1 << 48, 30_000).astype(np.uint64))
     times = np.full(len(keys), 1000)
