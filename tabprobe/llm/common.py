@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a table whose size has been counted may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Bytes of an Arrow batch where rows hold long binary values.
+BATCH_BYTES = 8 << 20
 
 
 def named(name: str) -> Column:
@@ -81,3 +87,35 @@ def remove(spark: SparkSession, path: str) -> None:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a table whose rows have been counted, if they are few."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside hand rows to Python in Arrow batches of about ``BATCH_BYTES``, if the session's own limit is not less; it holds again after that.
+
+    A batch lies in memory several times, in the executor and in the worker; ten thousand rows, the usual batch, may hold very long values.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    size = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
+    if 0 < size <= BATCH_BYTES:
+        yield
+        return
+    spark.conf.set(setting, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same work for ``mapInArrow``, with free memory returned to the system at its end: Python workers live on, and others run beside them."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return run

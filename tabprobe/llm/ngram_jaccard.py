@@ -28,10 +28,11 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import cut, named, packed, small, unpacked
+from tabprobe.llm.common import cut, giving_back, named, packed, remove, shared_path, short_batches, small, unpacked
 from tabprobe.llm.graph import components
 
 N_GRAM, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -44,7 +45,7 @@ LIGHT_MOST = 14
 #: Bytes of text that are hashed in one go.
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch that are unpacked in one go.
-SLICE_ROWS = 1000
+SLICE_ROWS = 500
 #: Bits of the table that tells which lists still matter: its size is fixed, and only the amount shuffled depends on it.
 OPEN_BITS = 26
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -135,10 +136,14 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class GramTable:
-    """Sets of n-grams by a unique number, in a table bucketed by that number, so that joins on it move only the other side."""
+    """Sets of n-grams by a unique number, in a table bucketed by that number, so that joins on it move only the other side.
+
+    The table's files lie in the shared checkpoint folder, and go with the table.
+    """
 
     def __init__(self, rows: DataFrame, n: int, buckets: int):
         self.spark, self.name = rows.sparkSession, f"gram_sets_{uuid.uuid4().hex}"
+        self.folder = shared_path(self.spark, "gram-sets")
         id_type = rows.schema["id"].dataType.simpleString()
         schema = f"id {id_type}, text_hash long, n long, digest binary, grams binary, mins array<long>"
         salts = mix64(np.arange(1, MIN_HASHES + 1, dtype=np.uint64))
@@ -171,16 +176,17 @@ class GramTable:
                     names=["id", "text_hash", "n", "digest", "grams", "mins"],
                 )
 
-        made = rows.mapInArrow(build, schema).withColumn("tag", F.monotonically_increasing_id())
-        made.write.bucketBy(buckets, "tag").saveAsTable(self.name, format="parquet")
-        self.rows = self.spark.table(self.name)
+        made = rows.mapInArrow(giving_back(build), schema).withColumn("tag", F.monotonically_increasing_id())
+        try:
+            made.write.bucketBy(buckets, "tag").saveAsTable(self.name, format="parquet", path=self.folder)
+            self.rows = self.spark.table(self.name)
+        except Exception:
+            self.drop()
+            raise
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
-
-#: Sets taken out of an Arrow batch at a time.
-SLICE_ROWS = 500
+        remove(self.spark, self.folder)
 
 
 def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -220,7 +226,7 @@ def gram_counters(classes: DataFrame) -> np.ndarray:
         return pd.DataFrame({"block": frame["block"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     kinds = "block int, counts binary"
-    rows = classes.select("grams").mapInArrow(count, kinds).groupBy("block").applyInPandas(add, kinds).collect()
+    rows = classes.select("grams").mapInArrow(giving_back(count), kinds).groupBy("block").applyInPandas(add, kinds).collect()
     out = np.zeros((blocks, width), np.uint32)
     for row in rows:
         out[row["block"]] = np.frombuffer(row["counts"], np.uint32)
@@ -248,7 +254,7 @@ def open_places(keys: DataFrame) -> np.ndarray:
 
     kinds = "block int, bits binary"
     out = np.zeros((blocks, width // 8), np.uint8)
-    for row in keys.mapInArrow(mark, kinds).groupBy("block").applyInPandas(join, kinds).collect():
+    for row in keys.mapInArrow(giving_back(mark), kinds).groupBy("block").applyInPandas(join, kinds).collect():
         out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -265,14 +271,11 @@ def ordered(grams: bytes, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return values[order], counts[order]
 
 
-def postings(classes: DataFrame, counters: np.ndarray, boundary: int, wanted: np.ndarray | None = None) -> DataFrame:
+def postings(classes: DataFrame, held: Broadcast, boundary: int) -> DataFrame:
     """List entries (key, tag, root, n, place) of classes (tag, root, n, grams); place -1 marks a subset of a light set.
 
-    ``wanted``: a table of bits; entries whose key has none there are left out.
+    ``held``: the counters, and a table of bits or None; entries whose key has no bit there are left out.
     """
-    spark = classes.sparkSession.sparkContext
-    held = spark.broadcast((counters, wanted))
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, wanted = held.value
         for batch in slices(batches):
@@ -309,7 +312,7 @@ def postings(classes: DataFrame, counters: np.ndarray, boundary: int, wanted: np
                 names=["key", "tag", "root", "n", "place"],
             )
 
-    return classes.select("tag", "root", "n", "grams").mapInArrow(build, "key long, tag long, root long, n int, place int")
+    return classes.select("tag", "root", "n", "grams").mapInArrow(giving_back(build), "key long, tag long, root long, n int, place int")
 
 
 def boundary_of(classes: DataFrame, counters: np.ndarray) -> int:
@@ -348,10 +351,13 @@ def link_edges(classes: DataFrame, table: DataFrame) -> DataFrame:
     rooted = classes.join(roots.withColumnRenamed("node", "tag"), "tag", "left").withColumn("root", F.coalesce("root", "tag"))
     counters = gram_counters(classes)
     boundary = boundary_of(classes, counters)
-    entries = postings(rooted, counters, boundary)
-    open_keys = cut(entries.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"))
-    some = postings(rooted, counters, boundary, open_places(open_keys))
-    some = cut(some.join(small(open_keys, open_keys.count()), "key"))
+    context = classes.sparkSession.sparkContext
+    held = context.broadcast((counters, None))
+    open_keys = cut(postings(rooted, held, boundary).groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key"))
+    held.destroy()
+    held = context.broadcast((counters, open_places(open_keys)))
+    some = cut(postings(rooted, held, boundary).join(small(open_keys, open_keys.count()), "key"))
+    held.destroy()
     x, y = some.alias("x"), some.alias("y")
     needed = F.ceil((F.col("x.n") + F.col("y.n")).cast("long") * NUMERATOR / (NUMERATOR + DENOMINATOR))
     enough = (F.col("x.place") + needed <= F.col("x.n")) & (F.col("y.place") + needed <= F.col("y.n"))
@@ -367,18 +373,8 @@ def link_edges(classes: DataFrame, table: DataFrame) -> DataFrame:
     return cut(first.union(verified(candidates, table)))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = N_GRAM, buckets: int = 32) -> DataFrame:
-    """Components of documents whose n-gram sets have a Jaccard similarity of at least 0.8.
-
-    Words are runs without ASCII white space, with A-Z lower-cased. Returns one row per input row: ``id``, ``text_hash``, ``n_shingles``,
-    ``component_id`` (smallest id in the component), ``component_size`` (rows) and ``stays`` (true for one row of each component, the one with
-    its smallest id). Texts without words, null ones included, have empty sets and are linked with nothing, not with each other. Rows that
-    repeat an id or a whole row are documents of their own. Null ids rank last; a component of null ids has a null ``component_id``. An
-    empty table gives an empty table. ``buckets``: files by which a temporary table of sets is dealt; raise it with the input.
-    """
-    rows = df.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("text_hash"), named(text_col).alias("text"))
-    made = GramTable(rows, n, buckets)
-    table = made.rows
+def by_components(table: DataFrame) -> DataFrame:
+    """What ``jaccard_components`` returns, from the table of sets."""
     by_set = cut(
         table.groupBy("digest").agg(
             F.min(F.when(F.col("grams").isNotNull(), F.col("tag"))).alias("tag"), F.min(F.struct(F.col("id").isNull().alias("no"), "id", F.col("tag"))).alias("first"),
@@ -391,14 +387,30 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rooted = by_set.where("n > 0").join(roots.withColumnRenamed("node", "tag"), "tag", "left").withColumn("root", F.coalesce("root", "tag"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("size"))
     found = cut(rooted.select("digest", "root").join(groups, "root").select("digest", "best", "size"))
-    out = cut(
+    return cut(
         table.select("id", "text_hash", "n", "digest", "tag").join(found, "digest", "left").select(
             "id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.id")).otherwise(F.col("id")).alias("component_id"),
             F.coalesce("size", F.lit(1)).alias("component_size"), F.coalesce(F.col("best.tag") == F.col("tag"), F.lit(True)).alias("stays"),
         )
     )
-    made.drop()
-    return out
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = N_GRAM, buckets: int = 32) -> DataFrame:
+    """Components of documents whose n-gram sets have a Jaccard similarity of at least 0.8.
+
+    Words are runs without ASCII white space, with A-Z lower-cased. Returns one row per input row: ``id``, ``text_hash``, ``n_shingles``,
+    ``component_id`` (smallest id in the component), ``component_size`` (rows) and ``stays`` (true for one row of each component, the one with
+    its smallest id). Texts without words, null ones included, have empty sets and are linked with nothing, not with each other. Rows that
+    repeat an id or a whole row are documents of their own. Null ids rank last; a component of null ids has a null ``component_id``. An
+    empty table gives an empty table. ``buckets``: files by which a temporary table of sets is dealt; raise it with the input.
+    """
+    rows = df.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("text_hash"), named(text_col).alias("text"))
+    with short_batches(df.sparkSession):
+        made = GramTable(rows, n, buckets)
+        try:
+            return by_components(made.rows)
+        finally:
+            made.drop()
 
 
 def keep_representatives(docs: DataFrame, **how) -> DataFrame:
