@@ -21,22 +21,27 @@ from tabprobe.llm.common import shared_checkpoints
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the model, fitted on labels outside the held-out third, scores below 0.7. Null texts score like empty ones; repeated rows share their fate."""
     return toxicity.keep_clean(docs, queries.read(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for A-Z, the row with the largest id. Null and empty texts are equal; of rows that share that id, too, one stays."""
     return exact_dedup.keep_owners(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies, the row with the smallest id. Documents without words are no copies of each other."""
     return ngram_jaccard.keep_representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's budget takes it whole, possibly never. Rows that repeat id and text are taken equally often."""
     return mixing.mixed(docs, queries.read(spark, sf_dir, "labels"))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row; null texts count as empty."""
     return bpe.encode(docs, queries.vocabulary_path(), carry=["doc_id"], digests=True)
 
 

@@ -326,7 +326,10 @@ def fit_pages(htmls: list[str], *, layouts: int = 5, rounds: int = 10, seed: int
 
 
 def fit(pages: DataFrame, html_col: str = "html", *, sample_pages: int = 240, max_chars: int = 80_000) -> Labeller:
-    """Fit on at most ``sample_pages`` pages, chosen by a hash of their content, of at most ``max_chars`` characters each."""
+    """Fit on at most ``sample_pages`` pages, chosen by a hash of their content, of at most ``max_chars`` characters each.
+
+    Repeated pages teach repeatedly; null and empty ones teach nothing, and without any page the labeller is untrained.
+    """
     rows = pages.select(whole_text(named(html_col)).alias("html")).where((F.length("html") > 0) & (F.length("html") <= max_chars))
     sample = rows.orderBy(F.xxhash64("html"), "html").limit(sample_pages)
 
@@ -344,7 +347,8 @@ def fit(pages: DataFrame, html_col: str = "html", *, sample_pages: int = 240, ma
 
 def extract(df: DataFrame, model: Labeller, html_col: str = "html", *, carry: list[str] | None = None, threshold: float = 0.4) -> DataFrame:
     """Add ``text`` (main text: chosen blocks in page order, joined by a space), ``n_chars`` (code points) and ``n_blocks`` (chosen, of all); they replace
-    input columns of the same name. Null or empty pages have an empty text. Whole pages are read, however long. No shuffle.
+    input columns of the same name. Null or empty pages have an empty text, repeated rows stay, a probability equal to the threshold is chosen, and an empty table stays empty. Whole pages
+    are read, however long. No shuffle.
     """
     carry = df.columns if carry is None else carry
 

@@ -3,7 +3,8 @@
 Signatures start at common words: an anchor with the chain of the next content words after it. Running text is full of
 them, while menus, lists and numbers have few, and are known by their words as well. A fingerprint is the set of a document's signatures, and the likeness of two is the Jaccard
 similarity of the sets. A join deals fingerprints by set length: sets that reach a similarity t have lengths within a
-factor t, so each meets its own length class and the next longer one, there only by a signature that stands at the front of both.
+factor t, so each meets its own length class and the next longer one, there only by a rare signature that stands at the front of both. Its result
+is pairs between representatives, and for every row the one that stands for it.
 """
 
 from __future__ import annotations
@@ -162,22 +163,78 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (a, b, likeness) of different fingerprints that reach the threshold; a and b are the smallest ids that carry them.
+def print_classes(prints: DataFrame) -> DataFrame:
+    """(class, id, signatures): every different fingerprint of ``prints`` (id, signatures) once, with the smallest id that carries it.
 
-    ``prints`` has (id, signatures). Equal fingerprints are one, so copies make no pairs; empty ones make none.
+    Empty fingerprints and null ids make no class. ``class`` is a number of its own: rows may share an id and still differ.
     """
-    sets = cut(prints.where(F.size("signatures") > 0).groupBy("signatures").agg(F.min("id").alias("id")))
-    size = F.size("signatures")
-    level = F.floor(F.log(size.cast("double")) / -math.log(threshold) + 1e-9).cast("int")
-    front = F.slice("signatures", 1, size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
-    keyed = sets.select("id", size.alias("n"), level.alias("level"), F.explode(front).alias("key"))
-    longer = keyed.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "key", "level")
-    shorter = keyed.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "key", F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("level"))
+    known = prints.where((F.size("signatures") > 0) & F.col("id").isNotNull())
+    return cut(known.groupBy("signatures").agg(F.min("id").alias("id")).select(F.monotonically_increasing_id().alias("class"), "id", "signatures"))
+
+
+def rare_first(classes: DataFrame) -> DataFrame:
+    """(class, id, n, ranked): signatures in the order of how many classes have them, so that what is common stands at the end."""
+    every = classes.select("class", F.explode("signatures").alias("s"))
+    common = every.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
+    ranked = every.join(common, "s").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("k", "s"))).alias("r"))
+    return classes.select("class", "id", F.size("signatures").alias("n")).join(ranked, "class").select("class", "id", "n", F.col("r.s").alias("ranked"))
+
+
+def similar_classes(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs (a, b, class_a, class_b, likeness) of classes that reach the threshold; a and b are their ids, a the one of fewer signatures, or the smaller id.
+
+    Classes are dealt by level, the length's logarithm to the base 1 / threshold: what reaches the threshold lies in one level or in two that follow each other.
+    Within a level, two sets meet only by a signature among the first of both, rare ones first; the places where they meet tell how many more can follow.
+    """
+    placed = cut(rare_first(classes).withColumn("level", F.floor(F.log(F.col("n").cast("double")) / -math.log(threshold) + 1e-9).cast("int")))
+    front = F.slice("ranked", 1, F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1)
+    keyed = placed.select("class", "id", "n", "level", F.posexplode(front).alias("place", "key"))
+    longer = keyed.select(F.col("class").alias("class_b"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b"), "key", "level")
+    shorter = keyed.select(
+        F.col("class").alias("class_a"), F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), "key",
+        F.explode(F.array(F.col("level"), F.col("level") + 1)).alias("level"),
+    )
+
+    def order_of(x: str) -> Column:
+        return F.struct(F.col(f"n_{x}").alias("n"), F.col(x).alias("id"), F.col(f"class_{x}").alias("class"))
+
+    needed = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
     pruned = (
         shorter.join(longer, ["key", "level"])
-        .where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
-        .where(F.col("n_a") >= F.col("n_b") * threshold - 1e-9).select("a", "b").distinct()
+        .where(order_of("a") < order_of("b"))
+        .where(F.col("n_a") >= F.col("n_b") * threshold - 1e-9)
+        # no later meeting can make up for what went before the first one
+        .where(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed)
+        .select("a", "b", "class_a", "class_b").distinct()
     )
-    found = pruned.join(sets.select(F.col("id").alias("a"), F.col("signatures").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("signatures").alias("sb")), "b")
-    return found.withColumn("likeness", likeness(F.col("sa"), F.col("sb"))).where(F.col("likeness") >= threshold).select("a", "b", "likeness")
+    first, second = (classes.select(F.col("class").alias(f"class_{x}"), F.col("signatures").alias(f"s{x}")) for x in "ab")
+    found = pruned.join(first, "class_a").join(second, "class_b").withColumn("likeness", likeness(F.col("sa"), F.col("sb")))
+    return found.where(F.col("likeness") >= threshold - 1e-12).select("a", "b", "class_a", "class_b", "likeness")
+
+
+def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Pairs (a, b, likeness) of different fingerprints that reach the threshold; a and b are the smallest ids that carry them.
+
+    ``prints`` has (id, signatures). Equal fingerprints are one, so copies make no pairs: ``near_counts`` says which id stands for a row. Empty ones make none.
+    """
+    return similar_classes(print_classes(prints), threshold).select("a", "b", "likeness")
+
+
+def near_counts(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, class_id, n_equal, n_near) of every row of ``prints`` (id, signatures).
+
+    ``class_id`` is the smallest id with an equal fingerprint, ``n_equal`` the rows that have it, itself included, and ``n_near`` the rows with another one
+    that reaches the threshold. Empty fingerprints and null ids have a null class, no equals and none near.
+    """
+    classes = print_classes(prints)
+    pairs = cut(similar_classes(classes, threshold).select("class_a", "class_b"))
+    sizes = prints.where(F.col("id").isNotNull()).groupBy("signatures").agg(F.count(F.lit(1)).alias("n_equal"))
+    sized = cut(classes.join(sizes, "signatures").select("class", "n_equal"))
+    both = pairs.union(pairs.select("class_b", "class_a")).toDF("class", "other")
+    near = both.join(sized.toDF("other", "n_other"), "other").groupBy("class").agg(F.sum("n_other").alias("n_near"))
+    known = classes.join(sized, "class").join(near, "class", "left").select("signatures", F.col("id").alias("class_id"), "n_equal", F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    rows = prints.select("id", "signatures")
+    told = rows.where(F.col("id").isNotNull()).join(known, "signatures", "left")
+    bare = rows.where(F.col("id").isNull()).withColumns({"class_id": F.lit(None).cast(rows.schema["id"].dataType), "n_equal": F.lit(None).cast("long"), "n_near": F.lit(None).cast("long")})
+    every = told.select("id", "class_id", "n_equal", "n_near").unionByName(bare.select("id", "class_id", "n_equal", "n_near"))
+    return every.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_equal", "n_near")})

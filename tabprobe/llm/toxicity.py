@@ -198,7 +198,8 @@ def score(
     df: DataFrame, model: NoisyOr, text_col: str = "text", *, carry: list[str] | None = None, threshold: float = 0.7, offending: float = 0.5,
 ) -> DataFrame:
     """Add ``score``, ``predicted`` (1 from the threshold on) and ``offending``: (start, end, score) of each offending sentence,
-    in characters. They replace input columns of the same name. A null or empty text has the score of an empty sentence. No shuffle.
+    in characters. They replace input columns of the same name. A null or empty text has the score of an empty sentence, repeated rows stay and have equal
+    scores, a score equal to the threshold is over it, and an empty table stays empty. Sentences of more than ``PIECE_WORDS`` words are read in pieces. No shuffle.
     """
     carry = df.columns if carry is None else carry
     bias, weights = model.bias, model.weights

@@ -1,3 +1,7 @@
+import math
+import re
+import zlib
+
 import pytest
 from pyspark.sql.types import StructType
 
@@ -47,3 +51,28 @@ def no_labels(spark):
 @pytest.fixture(scope="session")
 def odd_labels(spark):
     return spark.createDataFrame([(1, 1, 0), (1, None, 1), (2, 0, None), (None, 1, 1), (7, 1, 0), (7, 1, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
+
+
+def plain_toxicity(model, text):
+    """Score and offending pieces (start, end, score), word by word from the fitted numbers."""
+
+    def chance(words):
+        z = model.bias
+        for w in set(words):
+            for part in ["=" + w, *["^" + w[:n] for n in (4, 5, 6) if len(w) >= n]]:
+                z += float(model.weights[zlib.crc32(part.encode()) % (1 << 17)])
+        return 1 / (1 + math.exp(-z))
+
+    clean, offending, pieces = 1.0, [], []
+    for m in re.finditer(r"[^.!?\n]+", text):
+        words = [(w.start(), w.end(), w[0].lower()) for w in re.finditer(r"\w+", m[0])]
+        if 0 < len(words) <= 40:
+            pieces.append((m.start(), m.end(), [w for *_, w in words]))
+        for at in range(0, len(words) if len(words) > 40 else 0, 40):
+            some = words[at : at + 40]
+            pieces.append((m.start() + some[0][0], m.start() + some[-1][1], [w for *_, w in some]))
+    for a, b, words in pieces or [(0, len(text), [])]:
+        p = chance(words)
+        clean *= 1 - p
+        offending += [(a, b, p)] if p >= 0.5 else []
+    return 1 - clean, offending

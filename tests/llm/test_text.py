@@ -15,7 +15,7 @@ from tabprobe.llm import bpe, context_mixing, html_extraction, language, mixing,
 from tabprobe.llm.html_blocks import blocks
 from tabprobe.llm.ngram_jaccard import mix64
 from tabprobe.llm.queries import QUERIES, vocabulary_path
-from tests.llm.conftest import TEXTS
+from tests.llm.conftest import TEXTS, plain_toxicity
 
 rng = random.Random(11)
 SF_DIR = "/root/testdata/sf0.01"
@@ -57,34 +57,13 @@ def test_toxicity_on_odd_rows(spark, odd_docs, no_docs, odd_labels, no_labels):
 
 def test_toxicity_against_brute_force(spark, odd_docs, odd_labels):
     """Scores and offending sentences from the fitted numbers, piece by piece and word by word."""
-    import re
-
     fitted = toxicity.fit(odd_docs, odd_labels)
     # large weights, so that pieces are on both sides
     own = np.random.default_rng(3).normal(0, 1.5, 1 << toxicity.BITS).astype(np.float32)
     for model in (fitted, toxicity.NoisyOr(-3.0, own)):
-        def chance(words, model=model):
-            z = model.bias
-            for w in set(words):
-                for part in ["=" + w, *["^" + w[:n] for n in (4, 5, 6) if len(w) >= n]]:
-                    z += float(model.weights[zlib.crc32(part.encode()) % (1 << 17)])
-            return 1 / (1 + math.exp(-z))
-
         for r in toxicity.score(odd_docs, model).collect():
-            clean, offending = 1.0, []
-            pieces = []
-            for m in re.finditer(r"[^.!?\n]+", r.text or ""):
-                words = [(w.start(), w.end(), w[0].lower()) for w in re.finditer(r"\w+", m[0])]
-                if 0 < len(words) <= 40:
-                    pieces.append((m.start(), m.end(), [w for *_, w in words]))
-                for at in range(0, len(words) if len(words) > 40 else 0, 40):
-                    some = words[at : at + 40]
-                    pieces.append((m.start() + some[0][0], m.start() + some[-1][1], [w for *_, w in some]))
-            for a, b, words in pieces or [(0, len(r.text or ""), [])]:
-                p = chance(words)
-                clean *= 1 - p
-                offending += [(a, b, round(p, 5))] if p >= 0.5 else []
-            assert r.score == pytest.approx(1 - clean, abs=1e-5) and r.predicted == (r.score >= 0.7)
+            score, offending = plain_toxicity(model, r.text or "")
+            assert r.score == pytest.approx(score, abs=1e-5) and r.predicted == (r.score >= 0.7)
             assert [(s["start"], s["end"]) for s in r.offending] == [o[:2] for o in offending]
             assert [s["score"] for s in r.offending] == pytest.approx([o[2] for o in offending], abs=2e-5)
 
@@ -352,6 +331,26 @@ def test_similar_pairs(spark):
     assert found == want
 
 
+def test_near_counts(spark):
+    """Copies, repeated ids, null ids, empty fingerprints and signatures that nearly all have."""
+    sets = [sorted({f"{rng.randrange(40):02d}" for _ in range(rng.randint(2, 20))} | {"zz"}) for _ in range(80)]
+    sets += [s[:-2] + s[-1:] for s in sets[:40]] + sets[:10] * 3 + [[], []]
+    rows = [(rng.choice([None, *range(60)]) if n % 7 == 0 else n, s) for n, s in enumerate(sets)]
+    found = spotsigs.near_counts(spark.createDataFrame(rows, "id long, signatures array<string>"), 0.75).collect()
+    known = [(i, tuple(s)) for i, s in rows if i is not None and s]
+
+    def expected(i, s):
+        if i is None or not s:
+            return (i, None, 0, 0)
+        near = [t for _, t in known if t != s and len(set(s) & set(t)) >= 0.75 * len(set(s) | set(t)) - 1e-12]
+        return (i, min(j for j, t in known if t == s), sum(t == s for _, t in known), len(near))
+
+    want = [expected(i, tuple(s)) for i, s in rows]
+    assert Counter(map(tuple, found)) == Counter(want) and sum(w[3] for w in want) > 50
+    none = spark.createDataFrame([], "id long, signatures array<string>")
+    assert spotsigs.near_counts(none).count() == 0 and spotsigs.similar_pairs(none).count() == 0
+
+
 # language-model scores
 
 def test_baseline_against_brute_force(spark, odd_docs, no_docs):
@@ -526,6 +525,49 @@ def test_gradients():
         assert (up - down) / 0.02 == pytest.approx(g[at], rel=0.05, abs=1e-3)
 
 
+@tables
+def test_extraction_against_brute_force(spark):
+    """Vectors of blocks, states of both directions, a step at a time, and chosen blocks, from the fitted weights."""
+    model = html_extraction.fit(spark.read.parquet(f"{SF_DIR}/pages.parquet"), sample_pages=12)
+    path, words, hidden = 64, 24, 20
+
+    def vector(page, i):
+        b, x = page[i], [0.0] * (path + words)
+        for name in b.path:
+            x[zlib.crc32(name.encode()) % path] = 1.0
+        every = b.text.lower().split()
+        for w in every:
+            x[path + zlib.crc32(w.encode()) % words] += 1.0
+        norm = max(1.0, math.sqrt(sum(v * v for v in x[path:])))
+        x[path:] = [v / norm for v in x[path:]]
+        n, marks = len(b.text), sum(b.text.count(m) for m in ".,!?")
+        x += [math.log1p(n) / 5, math.log1p(len(every)) / 4, b.linked / n, min(1.0, 10 * marks / n), float(b.text[-1] in ".!?\"”:;"), float(b.text[0].isupper())]
+        return x + [i / len(page), 1 - i / len(page), math.log1p(len(b.path)) / 3, n / max(1, len(every)) / 10]
+
+    def states(one, xs):
+        h, c, out = np.zeros(hidden), np.zeros(hidden), []
+        for x in xs:
+            g = np.array(x) @ one.wx.astype(float) + h @ one.wh.astype(float) + one.b
+            i, f, o = (1 / (1 + np.exp(-np.clip(g[k * hidden : (k + 1) * hidden], -30, 30))) for k in range(3))
+            c = f * c + i * np.tanh(g[3 * hidden :])
+            h = o * np.tanh(c)
+            out.append(h)
+        return out
+
+    rows = spark.read.parquet(f"{SF_DIR}/pages.parquet").orderBy("page_id").limit(25)
+    seen = 0
+    for r in html_extraction.extract(rows, model).collect():
+        page = blocks(r.html or "")
+        xs = [vector(page, i) for i in range(len(page))]
+        both = zip(states(model.ahead, xs), states(model.back, xs[::-1])[::-1])
+        p = [1 / (1 + math.exp(-float(np.concatenate(hs) @ model.out[:-1] + model.out[-1]))) for hs in both]
+        if all(abs(x - 0.4) > 1e-3 for x in p):
+            seen += 1
+            assert r.text == " ".join(b.text for b, x in zip(page, p) if x >= 0.4)
+            assert (r.n_blocks.chosen, r.n_blocks.all) == (sum(x >= 0.4 for x in p), len(page))
+    assert seen >= 20
+
+
 @tables
 def test_extraction(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
