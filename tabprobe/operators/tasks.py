@@ -16,9 +16,15 @@ from tabprobe.functions.text import fill
 _PICKS = "struct<cells:array<int>,values:array<int>,rows:array<int>,cols:array<int>>"
 
 
-def value_positions(cells: DataFrame) -> DataFrame:
-    """First position and number of positions of every distinct value of a table."""
-    return cells.groupBy("table_id", "value").agg(
+def value_positions(tables: DataFrame) -> DataFrame:
+    """First position and number of positions of every distinct value of a table.
+
+    Takes nested tables, or cells (table_id, row_idx, col_idx, value). A nested table's row knows the answer: sorting (value, row, column) puts equal
+    values side by side, the first of each run is its first position, and the run's length its count, so nothing is exchanged. Cells are grouped.
+    """
+    if "rows" in tables.columns:
+        return _positions_in_row(tables)
+    return tables.groupBy("table_id", "value").agg(
         F.min(F.struct("row_idx", "col_idx")).alias("first"),
         F.count(F.lit(1)).alias("n_pos"),
     ).select(
@@ -29,9 +35,34 @@ def value_positions(cells: DataFrame) -> DataFrame:
     )
 
 
-def unique_values(cells: DataFrame) -> DataFrame:
-    """Values that occur exactly once in their table."""
-    return value_positions(cells).filter(F.col("n_pos") == 1).drop("n_pos")
+def _positions_in_row(tables: DataFrame) -> DataFrame:
+    grid = F.flatten(
+        F.transform(
+            "rows",
+            lambda r, i: F.transform(r, lambda v, j: F.struct(v.alias("value"), i.alias("row_idx"), j.alias("col_idx"))),
+        )
+    )
+    ordered, starts = F.col("_ordered"), F.col("_starts")
+
+    def starts_run(k: Column) -> Column:
+        return (k == 0) | ~F.get(ordered, k - 1)["value"].eqNullSafe(F.get(ordered, k)["value"])
+
+    def run(k: Column, n: Column) -> Column:
+        x = F.get(ordered, k)
+        end = F.coalesce(F.get(starts, n + 1), F.size(ordered))
+        return F.struct(x["value"].alias("value"), x["row_idx"].alias("row_idx"), x["col_idx"].alias("col_idx"), (end - k).cast("long").alias("n_pos"))
+
+    return (
+        tables.select("table_id", F.sort_array(grid).alias("_ordered"))
+        .withColumn("_starts", F.filter(indexes(F.size(ordered)), starts_run))
+        .select("table_id", F.inline_outer(F.transform(starts, run)))
+        .filter(F.col("n_pos").isNotNull())
+    )
+
+
+def unique_values(tables: DataFrame) -> DataFrame:
+    """Values that occur exactly once in their table; tables or cells, as in ``value_positions``."""
+    return value_positions(tables).filter(F.col("n_pos") == 1).drop("n_pos")
 
 
 _BASE = ["table_id", "header", "rows", "n_rows", "n_cols"]

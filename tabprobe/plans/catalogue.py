@@ -230,24 +230,21 @@ def format_query(fmt: str) -> Query:
     return query
 
 
-LONG_CHECKED = ["tsv", "md", "csv", "row_obj", "html"]
-
-
 def serialise_long(spark, sf_dir):
-    """Whole customer lists per nation, in parts of 50 rows."""
+    """Whole customer lists per nation, in parts of 50 rows and all formats."""
     return longform.serialise_rows(
         read(spark, sf_dir, "customer"), "c_nationkey", ["c_custkey"], customer_columns(),
-        LONG_CHECKED, part_rows=50,
+        longform.LONG_FORMATS, part_rows=50,
     )
 
 
 # --- tasks ------------------------------------------------------------------
 def value_positions_query(spark, sf_dir):
-    return value_positions(ingest.cells(order_tables(spark, sf_dir)))
+    return value_positions(order_tables(spark, sf_dir))
 
 
 def unique_values_query(spark, sf_dir):
-    return unique_values(ingest.cells(order_tables(spark, sf_dir)))
+    return unique_values(order_tables(spark, sf_dir))
 
 
 def task_query(tables: Query, kinds: Sequence[str]) -> Query:

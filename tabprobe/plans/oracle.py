@@ -145,7 +145,22 @@ def serialise_long() -> str:
     header = names(CUSTOMER_HEADER)
     line_of = {
         "tsv": ("array_to_string(line, chr(9))", "chr(10)", "array_to_string(header, chr(9)) || chr(10)", "''"),
-        "csv": ("array_to_string(line, ',')", "chr(13) || chr(10)", "array_to_string(header, ',') || chr(13) || chr(10)", "''"),
+        "csv": (_csv_line(_MINIMAL, "line"), "chr(13) || chr(10)", _csv_line(_MINIMAL, "header") + " || chr(13) || chr(10)", "''"),
+        "csv_q": (_csv_line(_QUOTED, "line"), "chr(13) || chr(10)", _csv_line(_QUOTED, "header") + " || chr(13) || chr(10)", "''"),
+        "col_sep": ("array_to_string(line, ' <COL> ')", "chr(10)", "array_to_string(header, ' <COL> ') || chr(10)", "''"),
+        "sec_sep": ("array_to_string(line, ' § ')", "chr(10)", "array_to_string(header, ' § ') || chr(10)", "''"),
+        "prose": ("'Row ' || rn || ': ' || array_to_string(list_transform(line, lambda v, j: header[j] || ' is ' || v), ', ') || '.'", "' '", "''", "''"),
+        "json": (
+            "'  {' || chr(10) || array_to_string(list_transform(line, lambda v, j: '    ' || CAST(to_json(header[j]) AS VARCHAR) || ': ' || "
+            "CAST(to_json(v) AS VARCHAR)), ',' || chr(10)) || chr(10) || '  }'",
+            "',' || chr(10)", "'[' || chr(10)", "chr(10) || ']'",
+        ),
+        "yaml": ("'- ' || array_to_string(list_transform(line, lambda v, j: header[j] || ': ' || v), chr(10) || '  ')", "chr(10)", "''", "''"),
+        "xml": (
+            "'  <row id=\"' || rn || '\">' || chr(10) || array_to_string(list_transform(line, lambda v, j: '    <' || header[j] || '>' || v || '</' || "
+            "header[j] || '>'), chr(10)) || chr(10) || '  </row>'",
+            "chr(10)", "'<table>' || chr(10)", "chr(10) || '</table>'",
+        ),
         "row_obj": (
             "'Row ' || rn || ' | ' || array_to_string(list_transform(line, lambda v, j: header[j] || '=' || v), ' | ')",
             "chr(10)", "''", "''",

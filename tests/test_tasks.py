@@ -68,6 +68,18 @@ def test_hash_draws_differ_between_tables(spark):
     assert len(by_table["a"]) == 3 and by_table["a"] != by_table["b"]
 
 
+def test_positions_of_nested_tables_and_cells(spark):
+    tables = frame(
+        spark, t=(["a", "b"], [["x", "y"], ["y", "x", "z", "x"], ["z"], []]), u=(["a"], []), v=(["a"], [[""], ["é"], [""], [None], [None]]), w=([], [])
+    )
+    for function in (value_positions, unique_values):
+        assert sorted(map(tuple, function(tables).collect()), key=repr) == sorted(map(tuple, function(cells(tables)).collect()), key=repr)
+        assert function(tables).schema.simpleString() == function(cells(tables)).schema.simpleString()
+    found = {(r.table_id, r.value): (r.row_idx, r.col_idx, r.n_pos) for r in value_positions(tables).collect()}
+    assert found["t", "x"] == (0, 0, 3) and found["t", "z"] == (1, 2, 2) and found["v", None] == (3, 0, 2) and found["v", ""] == (0, 0, 2)
+    assert "Exchange" not in value_positions(tables)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_too_few_unique_values(spark):
     small = (["x", "y"], [["1", "1"], ["1", "2"]])
     for sampler in ("hash", "mt19937"):
