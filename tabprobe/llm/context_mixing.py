@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprobe.llm.common import cut, named, remove, shared_path, training_fold, whole_text
+from tabprobe.llm.common import cut, giving_back, named, remove, shared_path, short_batches, training_fold, whole_text
 from tabprobe.llm.ngram_jaccard import mix64, word_hashes
 
 #: Predictors; order k looks at the last k bytes.
@@ -227,8 +227,9 @@ def model_chunks(rows: DataFrame, parts: int, folder: str) -> DataFrame:
             for at, end in text_batches(texts, MODEL_CHUNK_BYTES):
                 n = end - at
                 keys, counts = strings(texts[at:end])
-                distinct = np.unique(keys)
                 learnt, times = np.unique(keys[np.repeat(learns[at:end], counts)], return_counts=True)
+                distinct = np.unique(keys)
+                del keys
                 train = np.zeros(len(distinct), np.int64)
                 train[np.searchsorted(distinct, learnt)] = times
                 part = part_of(distinct, parts)
@@ -246,7 +247,7 @@ def model_chunks(rows: DataFrame, parts: int, folder: str) -> DataFrame:
                     names=["ids", "hashes", "sizes", "texts", "part", "part_keys", "part_times"],
                 )
 
-    rows.select("id", "text", "text_hash", "training").mapInArrow(build, schema).withColumn("chunk", F.monotonically_increasing_id()).write.parquet(folder)
+    rows.select("id", "text", "text_hash", "training").mapInArrow(giving_back(build), schema).withColumn("chunk", F.monotonically_increasing_id()).write.parquet(folder)
     return spark.read.schema(schema + ", chunk long").parquet(folder)
 
 
@@ -265,7 +266,7 @@ def string_counts(asked: DataFrame, parts: int) -> DataFrame:
             names=["part", "part_keys", "part_times"],
         )
 
-    return cut(asked.select("part", "part_keys", "part_times").repartition(parts, "part").mapInArrow(total, "part int, part_keys binary, part_times binary"))
+    return cut(asked.select("part", "part_keys", "part_times").repartition(parts, "part").mapInArrow(giving_back(total), "part int, part_keys binary, part_times binary"))
 
 
 def low_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +288,7 @@ def low_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pd.DataFrame({"block": frame["block"].iloc[:1], "part_keys": [packed_keys(keys)], "part_times": [deflated(times)]})
 
     kinds = "block int, part_keys binary, part_times binary"
-    found = counts.select("part_keys", "part_times").mapInArrow(send, kinds).groupBy("block").applyInPandas(add, kinds).collect()
+    found = counts.select("part_keys", "part_times").mapInArrow(giving_back(send), kinds).groupBy("block").applyInPandas(add, kinds).collect()
     if not found:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return summed(np.concatenate([unpacked_keys(r["part_keys"]) for r in found]), np.concatenate([inflated(r["part_times"], np.int64) for r in found]))
@@ -323,7 +324,7 @@ def fit(counts: DataFrame, low: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarr
             return pd.DataFrame({"block": frame["block"].iloc[:1], "sums": [deflated(sum(inflated(s, float) for s in rows))]})
 
         kinds = "block int, sums binary"
-        found = {r["block"]: r["sums"] for r in counts.mapInArrow(send, kinds).groupBy("block").applyInPandas(add, kinds).collect()}
+        found = {r["block"]: r["sums"] for r in counts.mapInArrow(giving_back(send), kinds).groupBy("block").applyInPandas(add, kinds).collect()}
         return np.concatenate([inflated(found[b], float) for b in range(blocks)]).reshape(shape) if found else np.zeros(shape)
 
     fresh = Mixer.fresh(None)
@@ -380,7 +381,7 @@ def mixing_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int64()), pa.array([part] * len(pieces), pa.int32()), pa.array(told, pa.binary())], names=["chunk", "part", "costs"])
 
     everything = asked.withColumn("part_times", F.lit(None).cast("binary")).unionByName(counts.withColumn("chunk", F.lit(None).cast("long")))
-    told = everything.select("part", "part_keys", "part_times", "chunk").repartition(parts, "part").mapInArrow(answer, "chunk long, part int, costs binary")
+    told = everything.select("part", "part_keys", "part_times", "chunk").repartition(parts, "part").mapInArrow(giving_back(answer), "chunk long, part int, costs binary")
     answers = told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "costs"))).alias("answers"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +398,7 @@ def mixing_scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_
 
     joined = chunks.select("chunk", "ids", "hashes", "sizes", "texts").join(answers, "chunk")
     id_type = rows.schema["id"].dataType.simpleString()
-    found = cut(joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(finish, f"id {id_type}, text_hash long, bits double, n_bytes long"))
+    found = cut(joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(giving_back(finish), f"id {id_type}, text_hash long, bits double, n_bytes long"))
     held.destroy()
     remove(spark, folder)
     return found
@@ -449,7 +450,7 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
                 )
 
     folder = shared_path(spark, "chunks")
-    rows.select("id", "text", "text_hash", "training").mapInArrow(build, chunk_schema).withColumn("chunk", F.monotonically_increasing_id()).write.parquet(folder)
+    rows.select("id", "text", "text_hash", "training").mapInArrow(giving_back(build), chunk_schema).withColumn("chunk", F.monotonically_increasing_id()).write.parquet(folder)
     chunks = spark.read.schema(chunk_schema + ", chunk long").parquet(folder)
     asked = chunks.select("chunk", F.explode(F.arrays_zip("part", "part_words", "part_counts")).alias("z")).select("chunk", "z.part", "z.part_words", "z.part_counts")
 
@@ -475,7 +476,7 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
                 names=["chunk", "part", "totals", "n", "v"],
             )
 
-    told = cut(asked.repartition(parts, "part").mapInArrow(answer, "chunk long, part int, totals binary, n long, v long"))
+    told = cut(asked.repartition(parts, "part").mapInArrow(giving_back(answer), "chunk long, part int, totals binary, n long, v long"))
     sums = told.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, distinct = sums["n"] or 0, sums["v"] or 0
     scale = float(np.log10(n_train + 0.1 * (distinct + 1)))
@@ -496,7 +497,7 @@ def baseline_scores(df: DataFrame, training: Column, id_col: str = "doc_id", tex
                 )
 
     joined = chunks.select("chunk", "ids", "hashes", "sizes", "texts").join(answers, "chunk")
-    found = cut(joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(finish, out_schema))
+    found = cut(joined.select("ids", "hashes", "sizes", "texts", "answers").mapInArrow(giving_back(finish), out_schema))
     remove(spark, folder)
     return found
 
@@ -508,8 +509,9 @@ def scores(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: st
     stay as many as they are. Without training rows, all counts are zero and predictions are even. An empty table gives an empty table.
     """
     slim = df.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
-    base = baseline_scores(slim, training)
-    model = mixing_scores(slim, training).groupBy("id", "text_hash").agg(F.first("bits").alias("bits"), F.first("n_bytes").alias("n_bytes"))
+    with short_batches(df.sparkSession):
+        base, bits = baseline_scores(slim, training), mixing_scores(slim, training)
+    model = bits.groupBy("id", "text_hash").agg(F.first("bits").alias("bits"), F.first("n_bytes").alias("n_bytes"))
     key = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("text_hash").cast("string"))
     joined = base.withColumn("key", key).join(model.withColumn("key", key).select("key", "bits", "n_bytes"), "key")
     return joined.select(
