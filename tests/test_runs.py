@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
 from tabprobe.operators import checks, resume, scoring, selection
-from tabprobe.plans import jobs
+from tabprobe.plans import catalogue, jobs
 from tabprobe.sources import corpus, results
 from tabprobe.streaming.incremental import arriving, incremental_score
 from tests.test_tasks import CLUBS
@@ -259,6 +259,19 @@ def test_streaming_leaves_no_duplicates(spark, tmp_path):
     assert run() == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_of_one_file_or_of_a_folder(spark, tmp_path, parts):
+    rows = [(i, "x" * i, "en", "web", i) for i in range(7)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(parts)
+    documents.write.parquet(str(tmp_path / "all"))
+    if parts == 1:
+        next((tmp_path / "all").glob("part-*")).rename(tmp_path / "documents.parquet")
+    else:
+        (tmp_path / "all").rename(tmp_path / "documents.parquet")
+    found = catalogue.stream_score(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.raw, r.error) for r in found) == [(i, str(i), None) for i in range(7)]
+
+
 def test_csv_interchange_keeps_texts(spark, tmp_path):
     values = ["", "NA", "N/A", "None", 'q"uote', "a,b", "line\nbreak", None]
     df = spark.createDataFrame(
