@@ -93,6 +93,15 @@ def test_sweep_needs_no_further_exchange(spark):
     assert swept._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_sweep_sorts_no_stream(spark):
+    kind = "array<struct<start:int,end:int>>"
+    rows = spark.createDataFrame([(1, [(0, 2), (2, 4), (5, 6), (8, 9)], [(0, 1), (0, 6), (2, 3)]), (2, [(3, 4), (0, 1)], [(3, 9), (3, 4)])], f"k int, tokens {kind}, spans {kind}")
+    swept = markup.swept_tokens(rows, ["k"])
+    assert sorted(tuple(r) for r in swept.collect()) == [(1, 0, 0, 2), (1, 1, 2, 4), (1, 2, 5, 6), (2, 0, 3, 4)]
+    plan = swept._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Window", "Sort ", "Exchange"))
+
+
 @pytest.mark.parametrize("masks", [20, 150])
 def test_control_grid(spark, masks):
     key = ["table_id", "task", "fmt", "question"]
