@@ -197,6 +197,25 @@ def test_controls(spark):
     assert few.first().p == [0, 1, 2]
 
 
+def test_scans_hold_few_texts_at_once(spark):
+    def make_tokenizer():
+        def tokenize(texts):
+            assert sum(map(len, texts)) <= max(1 << 18, max(map(len, texts))), "too many texts at once"
+            return [[(0, len(t))] for t in texts]
+
+        return tokenize
+
+    sizes = [100_000, None, 200_000, 0, 400_000, 3, 100_000, 100_000]
+    rows = [(i, None if n is None else "<b>" * (n // 3) + "x" * (n % 3)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "i int, t string").coalesce(1)
+    text = F.col("t")
+    found = df.select("i", token_offsets(text, make_tokenizer).alias("tokens"), F.size(markup_spans(text, "html")).alias("n")).orderBy("i").collect()
+    assert [None if r.tokens is None else r.tokens[0].end for r in found] == sizes
+    assert [r.n for r in found if r.tokens is not None] == [n // 3 for n in sizes if n is not None]
+    places = df.select("i", markup_tokens(text, F.lit(0), F.length(text), "html", make_tokenizer).alias("m")).orderBy("i").collect()
+    assert [r.m.positions for r in places] == [None if n is None else [0] if n >= 3 else [] for n in sizes]
+
+
 def test_unsupported_markup(spark):
     with pytest.raises(ValueError):
         markup_length(F.lit("x"), "tsv")
