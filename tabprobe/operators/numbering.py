@@ -60,7 +60,7 @@ def source_order(df: DataFrame) -> DataFrame:
     return df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")})
 
 
-def number_source_rows(df: DataFrame, key: Sequence[str] = (), name: str = "pos") -> DataFrame:
+def number_source_rows(df: DataFrame, key: Sequence[str] = (), name: str = "pos", source: DataFrame | None = None) -> DataFrame:
     """Add a zero-based position, overall or per key, in the order of the files (by path) and of the rows in them.
 
     ``df`` comes from ``source_order``, filters included; ``_file`` and ``_block`` are dropped. Rows stay where they were read: a row's place in its split is known
@@ -68,15 +68,16 @@ def number_source_rows(df: DataFrame, key: Sequence[str] = (), name: str = "pos"
     scan has tasks. So there is no sort, no exchange of rows, no checkpoint, and no job before the result is asked for;
     counting reads only the columns that earlier filters need.
 
-    With ``key``, places are counted per key and split, so that a hot key is spread over its splits.
+    With ``key``, places are counted per key and split, so that a hot key is spread over its splits. There ``df`` may be what is left of ``source`` (which
+    ``source_order`` gave) after whole keys were left out, with ``_seq``, the scan's ``monotonically_increasing_id``, added before: then only what is left is exchanged.
     """
     split = ["_file", "_block"]
     key = list(key)
     if key:
         # ids rise within a task, and a task reads a split from its start to its end
-        marked = df.withColumn("_seq", F.monotonically_increasing_id())
+        marked = df.withColumn("_seq", F.monotonically_increasing_id()) if source is None else df
         placed = marked.withColumn("_place", F.row_number().over(Window.partitionBy(*key, *split).orderBy("_seq")) - 1)
-        counts = df.groupBy(*key, *split).agg(F.count(F.lit(1)).alias("_n"))
+        counts = (df if source is None else source).groupBy(*key, *split).agg(F.count(F.lit(1)).alias("_n"))
         before = Window.partitionBy(*key).orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*[F.col(c).alias(f"_g{c}") for c in [*key, *split]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
         same = [F.col(c).eqNullSafe(F.col(f"_g{c}")) for c in [*key, *split]]
@@ -87,4 +88,5 @@ def number_source_rows(df: DataFrame, key: Sequence[str] = (), name: str = "pos"
         before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*split, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
         joined = placed.join(F.broadcast(offsets), split)
-    return joined.select(*[c for c in df.columns if c not in (*split, name)], (F.col("_place") + F.col("_offset")).alias(name))
+    own = [c for c in df.columns if c not in (*split, name) and (source is None or c != "_seq")]
+    return joined.select(*own, (F.col("_place") + F.col("_offset")).alias(name))

@@ -112,11 +112,14 @@ def save_bucketed(df: DataFrame, name: str, buckets: int, key: str = "table_id")
 def read_tasks(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
     """Task records (JSON lines), in source order, optionally only of known tables."""
     raw = source_order(spark.read.schema(schemas.TASKS).json(path))
-    tasks = number_source_rows(raw, key=["table_id"], name="task_seq").select(
-        "table_id", F.col("task_seq").cast("int"), "task", "question", "gold", "n_rows", "n_cols"
-    )
-    # a table is known or not as a whole, so its numbers do not change
-    return keep_listed(tasks, ids) if ids is not None else tasks
+    if ids is None:
+        numbered = number_source_rows(raw, key=["table_id"], name="task_seq")
+    else:
+        # A table is known or not as a whole, so its numbers do not change: what is unknown goes before rows are sorted.
+        # The ids are the side that is hashed.
+        placed = raw.withColumn("_seq", F.monotonically_increasing_id())
+        numbered = number_source_rows(keep_listed(placed, ids.hint("shuffle_hash")), key=["table_id"], name="task_seq", source=raw)
+    return numbered.select("table_id", F.col("task_seq").cast("int"), "task", "question", "gold", "n_rows", "n_cols")
 
 
 def write_tasks(tasks: DataFrame, path: str, seed: int, source: str) -> None:

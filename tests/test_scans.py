@@ -9,7 +9,7 @@ from tabprobe.functions.markup import counted_tokens
 from tabprobe.operators import markup, prompts, resume, selection, summary
 from tabprobe.operators.numbering import number_source_rows, source_order
 from tabprobe.operators.serialise import generate_instances
-from tabprobe.sources import results, versions
+from tabprobe.sources import corpus, results, versions
 from tabprobe.streaming.incremental import arriving, incremental_summaries, summaries_now
 
 
@@ -32,6 +32,18 @@ def test_rows_keep_the_order_of_their_files(spark, tmp_path):
     assert "rangepartitioning" not in plan and kept.columns == ["v", "k", "pos"]
 
 
+def test_unknown_tables_go_before_tasks_are_sorted(spark, tmp_path):
+    rows = [(f"t{i % 7}" if i % 11 else None, "cell_lookup", f"q{i}", "g", 1, 2) for i in range(600)]
+    tasks = spark.createDataFrame(rows, "table_id string, task string, question string, gold string, n_rows int, n_cols int")
+    tasks.coalesce(1).write.option("maxRecordsPerFile", 90).json(str(tmp_path / "tasks"))
+    ids = spark.createDataFrame([("t1",), ("t1",), ("t5",), (None,), ("t9",)], "table_id string")
+    known = corpus.read_tasks(spark, str(tmp_path / "tasks"), ids)
+    everything = corpus.read_tasks(spark, str(tmp_path / "tasks"))
+    assert sorted(map(tuple, known.collect())) == sorted(tuple(r) for r in everything.collect() if r.table_id in ("t1", "t5"))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window [row_number") < plan.index("LeftSemi")
+
+
 def test_empty_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text("")
     raw = spark.read.schema("v long").json(str(tmp_path))
