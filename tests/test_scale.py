@@ -181,6 +181,16 @@ def test_overlap_join(spark, segment):
     assert sum(budgets.values()) == len(expected)
 
 
+def test_overlap_join_sorts_no_tokens(spark):
+    tokens = spark.createDataFrame([(1, 0, 0, 70), (1, 0, 0, 70), (1, 1, 70, 71), (1, 1, 70, 71), (1, 2, 64, 200), (2, 0, 0, 64), (None, 0, 0, 9)], "k int, i int, start int, end int")
+    spans = spark.createDataFrame([(1, 60, 71), (1, 63, 64), (1, 63, 64), (1, 130, 131), (3, 0, 9), (None, 0, 9)], "k int, start int, end int")
+    touched = markup.overlapping_tokens(tokens, spans, ["k"])
+    assert sorted((r.k, r.i) for r in touched.collect()) == [(1, 0), (1, 1), (1, 2)]
+    assert sorted((r.k, r.i) for r in markup.overlapping_tokens(tokens, spans, ["k"], 1000).collect()) == [(1, 0), (1, 1), (1, 2)]
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortAggregate", "Sort")
+
+
 def test_controls(spark):
     text = "a <COL> b\nc <COL> d"
     df = spark.createDataFrame(
