@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tabprobe.fixed_values import EXTERNAL_SYSTEM_PROMPT, STOP_STRINGS_LIST, STOP_STRINGS_QA, SYSTEM_PROMPT
 from tabprobe.functions.formats import FORMATS
 from tabprobe.functions.markup import counted_tokens
+from tabprobe.functions.prompts import bracket_chat
 from tabprobe.functions.text import fill, fill_dynamic, token_count
 from tabprobe.operators import prompts
 from tabprobe.operators.conversations import render_conversations
@@ -52,6 +53,19 @@ def test_added_counts_equal_counting_the_prompt(spark, one_shot):
     assert built.select("fmt").distinct().count() == 12
 
 
+@pytest.mark.parametrize("one_shot", [False, True])
+def test_framed_bodies_are_not_stripped(spark, one_shot):
+    odd = ([" ", "a "], [["\t", " x"], ["", "\n"]])
+    instances = generate_instances(frame(spark, a=CLUBS, b=odd), ["tsv", "yaml"])
+    built = prompts.build_prompts(instances, one_shot=one_shot)
+    stripped = prompts.build_prompts(instances, one_shot=one_shot, chat=lambda body: bracket_chat(body))
+    keys = ["table_id", "task_seq", "fmt", "prompt", "prompt_tokens"]
+    assert sorted(built.select(keys).collect()) == sorted(stripped.select(keys).collect())
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert "trim(" not in plan
+    assert "question_tokens" in plan and not {"question_tokens", "text_tokens"} & set(built.columns)
+
+
 def test_token_count(spark):
     cases = {"": 0, "a": 1, " a_1  b.c ": 4, "né 名前!": 3, "...": 3, "\n\t": 0, "x-y": 3}
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, n int")
