@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
 from tabprobe.functions.picks import indexes, pick, ranked
-from tabprobe.functions.text import fill
+from tabprobe.functions.text import fill, let
 
 _PICKS = "struct<cells:array<int>,values:array<int>,rows:array<int>,cols:array<int>>"
 
@@ -71,8 +71,8 @@ _BASE = ["table_id", "header", "rows", "n_rows", "n_cols"]
 def _with_cells(tables: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Slots (row * n_cols + col) that exist, and which of them start or are a value.
 
-    Sorting (value, slot) puts equal values side by side, so first and only
-    occurrences show by looking at the neighbours. Cells beyond the header have no
+    Sorting (value, slot) puts equal values side by side: the first of each run is a first occurrence, and that of a run of one
+    the only one. Cells beyond the header have no
     column to ask about and are left out.
     """
     n_cols = F.col("n_cols")
@@ -85,24 +85,43 @@ def _with_cells(tables: DataFrame, keep: Sequence[str]) -> DataFrame:
             ),
         )
     )
-    by_value = F.col("_by_value")
+    # in the order of rows and columns, without a sort
+    slots = F.flatten(
+        F.transform(
+            "rows",
+            lambda r, i: F.when(F.size(r) >= n_cols, F.sequence(i * n_cols, (i + 1) * n_cols - 1)).otherwise(
+                F.transform(r, lambda _, j: i * n_cols + j)
+            ),
+        )
+    )
 
-    def differs(x: Column, j: Column) -> Column:
-        return F.coalesce(F.get(by_value, j)["v"] != x["v"], F.lit(True))
+    # Within one expression the sorted array stays as it is; as a column, each look into it would read it from its row again.
+    def runs(by_value: Column) -> Column:
+        def starts_run(k: Column) -> Column:
+            return (k == 0) | F.coalesce(F.get(by_value, k - 1)["v"] != F.get(by_value, k)["v"], F.lit(True))
+
+        def slots_of(starts: Column) -> Column:
+            return F.transform(starts, lambda k: F.get(by_value, k)["slot"])
+
+        def single(starts: Column) -> Column:
+            return F.filter(starts, lambda k, n: F.coalesce(F.get(starts, n + 1), F.size(by_value)) == k + 1)
+
+        return let(
+            F.filter(indexes(F.size(by_value)), starts_run),
+            lambda starts: F.struct(slots_of(starts).alias("firsts"), slots_of(single(starts)).alias("uniques")),
+        )
 
-    firsts = F.filter(by_value, lambda x, j: differs(x, j - 1))
-    uniques = F.filter(by_value, lambda x, j: differs(x, j - 1) & differs(x, j + 1))
     return (
         tables.select(
             *keep, "table_id", "header", "rows",
             F.size("rows").alias("n_rows"), F.size("header").alias("n_cols"),
         )
-        .withColumn("_by_value", F.sort_array(grid))
+        .withColumns({"_runs": let(F.sort_array(grid), runs), "_slots": F.when(n_cols > 0, slots).otherwise(F.array().cast("array<int>"))})
         .select(
             *keep, *_BASE,
-            F.sort_array(F.col("_by_value.slot")).alias("_slots"),
-            F.sort_array(F.transform(firsts, lambda x: x["slot"])).alias("_firsts"),
-            F.sort_array(F.transform(uniques, lambda x: x["slot"])).alias("_uniques"),
+            "_slots",
+            F.sort_array(F.col("_runs.firsts")).alias("_firsts"),
+            F.sort_array(F.col("_runs.uniques")).alias("_uniques"),
         )
     )
 

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from tabprobe.fixed_values import TASKS_PER_TABLE
 from tabprobe.operators.ingest import cells
+from tabprobe.functions.picks import indexes, pick, ranked
 from tabprobe.operators.serialise import build_instances, generate_instances, plan_instances
-from tabprobe.operators.tasks import generate_tasks, tasks_by_table, unique_values, value_positions
+from tabprobe.operators.tasks import _with_cells, generate_tasks, tasks_by_table, unique_values, value_positions
 
 SCHEMA = "table_id string, pos long, header array<string>, rows array<array<string>>"
 
@@ -140,3 +141,19 @@ def test_many_tasks_of_one_table(spark):
     assert built.count() == 20000 and built.select("table_text").distinct().count() == 1
     copies = tasks.withColumn("task_seq", F.lit(1))
     assert build_instances(copies, tables, ["tsv"], measure=False).count() == 20000
+
+
+def test_slots_and_runs_of_ragged_tables(spark):
+    """Slots in order without a sort, also of short and long rows; first and only occurrences; picks like a full ranking."""
+    grid = [["b", "a", "x"], ["a"], [], ["c", "b"]]
+    found = _with_cells(frame(spark, t=(["h", "k"], grid), u=([], [["a"]]), v=(["h"], [])), [])
+    rows = {r.table_id: (r._slots, r._firsts, r._uniques) for r in found.collect()}
+    assert rows == {"t": ([0, 1, 2, 6, 7], [0, 1, 6], [6]), "u": ([], [], []), "v": ([], [], [])}
+    assert "sort_array" not in found.select("_slots")._jdf.queryExecution().optimizedPlan().toString()
+    items = spark.range(50).select(F.col("id").cast("string").alias("table_id"), indexes(F.col("id").cast("int")).alias("items"))
+    both = items.select(
+        pick(7, F.col("table_id"), "cell", F.col("items"), 4).alias("few"),
+        F.slice(ranked(7, F.col("table_id"), "cell", F.col("items")), 1, 4).alias("ranked"),
+    )
+    assert both.filter("few != ranked").count() == 0
+    assert both.filter("size(few) = 4").count() == 46
