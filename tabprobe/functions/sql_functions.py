@@ -81,8 +81,8 @@ def _json() -> str:
 
 
 def _html_block(cells: str, tag: str) -> str:
-    inner = f"transform({cells}, v -> concat('    <{tag}>', v, '</{tag}>'))"
-    return f"concat(array('  <tr>'), {inner}, array('  </tr>'))"
+    inner = f"concat('  <tr>\\n    <{tag}>', array_join({cells}, '</{tag}>\\n    <{tag}>'), '</{tag}>\\n  </tr>')"
+    return f"CASE WHEN {cells} IS NULL THEN NULL WHEN exists({cells}, v -> v IS NOT NULL) THEN {inner} ELSE '  <tr>\\n  </tr>' END"
 
 
 _WIDTHS = (
@@ -110,8 +110,8 @@ BODIES = {
     "sec_sep": _delimited(SECTION_SEPARATOR),
     "json": _json(),
     "html": (
-        f"array_join(concat(array('<table>'), {_html_block('header', 'th')}, "
-        f"flatten(transform(body, r -> {_html_block('r', 'td')})), array('</table>')), '\\n')"
+        f"if(exists(body, r -> r IS NULL) OR header IS NULL, NULL, array_join(concat(array('<table>', {_html_block('header', 'th')}), "
+        f"transform(body, r -> {_html_block('r', 'td')}), array('</table>')), '\\n'))"
     ),
     "yaml": (
         "array_join(flatten(transform(body, r -> transform(slice(r, 1, size(header)), "
