@@ -6,9 +6,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabprobe.functions.formats import FORMATS, format_table, json_string
+from tabprobe.functions.formats import FORMATS, SUMMED_TOKENS, format_table, json_string
 from tabprobe.functions.sql_functions import register_formats
-from tabprobe.operators.serialise import serialise_tables
+from tabprobe.functions.text import token_count
+from tabprobe.operators.serialise import question_instances, serialise_tables
 
 SCHEMA = "table_id string, pos long, header array<string>, rows array<array<string>>"
 HEADER = ["Name", "Size (m)"]
@@ -135,3 +136,30 @@ def test_sql_functions_give_the_same_texts(spark):
         sql = spark.sql(f"SELECT table_id, fmt_{fmt}(header, rows) AS t FROM some_tables").collect()
         built = df.select("table_id", format_table(fmt, F.col("header"), F.col("rows"))).collect()
         assert [tuple(r) for r in sql] == [tuple(r) for r in built], fmt
+
+
+def test_summed_tokens_equal_counting_the_text(spark):
+    """Cells counted once give the count of every text, for whole tables as for ragged, empty and odd ones."""
+    odd = [("é x", "", "a_b"), ("𠀀b", "1.5 <td>", "\n")]
+    tables = spark.createDataFrame(
+        [
+            ("one", ["h"], [["x"]]), ("whole", list(odd[0]), [list(r) for r in odd]), ("names", ["", "- "], [["a-b", "| c"], ["", "d\te"]]),
+            ("ragged", ["a", "b"], [["1"], ["1", "2", "3"], []]), ("bare", ["a"], []), ("none", [], [["a"], []]),
+        ],
+        "table_id string, header array<string>, rows array<array<string>>",
+    ).withColumns({"question": F.lit("q"), "answers": F.array(F.lit("a"))})
+    built = question_instances(tables, list(FORMATS))
+    assert built.filter(~F.col("text_tokens").eqNullSafe(token_count(F.col("table_text")))).count() == 0
+    assert set(SUMMED_TOKENS) <= set(FORMATS) and built.count() == 6 * 12
+    plan = question_instances(tables, ["tsv", "yaml"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten(rows" in plan
+
+
+def test_html_rows_are_joined_not_built_cell_by_cell(spark):
+    df = spark.createDataFrame([(["h", "k"], [["a", ""], [], ["b", None], [None]])], "header array<string>, rows array<array<string>>")
+    register_formats(spark)
+    both = df.select(format_table("html", F.col("header"), F.col("rows")).alias("built"), F.expr("fmt_html(header, rows)").alias("sql"))
+    head = "<table>\n  <tr>\n    <th>h</th>\n    <th>k</th>\n  </tr>\n  <tr>\n    <td>a</td>\n    <td></td>\n  </tr>\n  <tr>\n  </tr>\n"
+    text = head + "  <tr>\n    <td>b</td>\n  </tr>\n  <tr>\n  </tr>\n</table>"
+    assert tuple(both.first()) == (text, text)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("</td>\n    <td>") == 2
