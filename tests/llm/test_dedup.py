@@ -219,3 +219,27 @@ def test_copies_and_common_passages_are_handled_once(spark):
         t = dict(rows)[r.id]
         gone = {k + j for k in range(len(t) - 49) if min(windows[t[k : k + 50]]) < (2**63 - 1 if r.id is None else r.id) for j in range(50)}
         assert r.n_removed == len(gone) and bytes(r.kept) == "".join(c for k, c in enumerate(t) if k not in gone).encode()
+
+
+def test_group_of_near_copies_is_not_paired_in_full(spark, monkeypatch):
+    """Copies of one text with up to three words changed, many pairs of them just below the threshold: few pairs are verified."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 250):
+        mine = list(words)
+        for k in rng.sample(range(4, 146), rng.randint(1, 3)):
+            mine[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(mine)))
+    tried = []
+    verified = ngram_jaccard.verified
+
+    def counting(pairs, table):
+        tried.append(pairs.count())
+        return verified(pairs, table)
+
+    monkeypatch.setattr(ngram_jaccard, "verified", counting)
+    monkeypatch.setattr(ngram_jaccard, "MIN_HASHES", 1)
+    found = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), buckets=4).collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in found), key=repr) == brute_components(rows)[0]
+    assert sum(tried) < 8 * len(rows)
