@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tabprobe.functions import markup as functions
 from tabprobe.functions.formats import FORMATS
 from tabprobe.functions.markup import markup_length, markup_spans, markup_tokens, token_offsets
 from tabprobe.operators import ingest, longform, markup, resume, sampling
@@ -272,3 +273,14 @@ def test_drawn_positions_are_those_of_one_number_at_a_time(spark):
     assert found[::2] == [None] * len(rows) and found[1::2] == [drawn(*r) for r in rows]
     df = spark.createDataFrame([*rows, (None, 1, 1, "k"), (3, 1, 1, None)], "n int, c int, s long, k string")
     assert [r.p for r in df.select(markup.random_positions(*map(F.col, "ncsk")).alias("p")).collect()] == [*[drawn(*r) for r in rows], None, None]
+
+
+def test_separators_of_all_texts_at_once_are_the_pattern_s():
+    parts = [" <COL> ", "<COL> ", " <COL>", "<", "\n", " ", "a", "é", "𝄞", "\0", ""]
+    draw = random.Random(5)
+    texts = [None if draw.random() < 0.1 else "".join(draw.choices(parts, k=draw.randint(0, 20))) for _ in range(800)]
+    starts = [draw.randint(0, 9) for _ in texts]
+    found = functions._packed_spans("col_sep", texts, starts).to_pylist()
+    for text, at, spans in zip(texts, starts, found):
+        wanted = None if text is None else [(m.start() + at, m.end() + at) for m in re.finditer(" <COL> |\n", text)]
+        assert wanted == (None if spans is None else [(s["start"], s["end"]) for s in spans])
