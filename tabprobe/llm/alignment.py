@@ -4,6 +4,7 @@ Both tokenizers cut the same bytes. Where tokens of both end, a group ends; an A
 byte ranges overlap. Since both sequences cover the bytes without gaps, every stretch between two neighbouring ends, of
 either kind, is exactly one link.
 
+0. Every text is encoded once; its ids, packed and compressed, are kept in the shared checkpoint folder for the passes.
 1. First pass: each task aligns its documents and keeps, per different id pair, in how many of them it is linked; sorted
    pairs and counts leave the task dealt by A id.
 2. Per shard of A ids, a minimal perfect hash over the distinct pairs. A shard's pairs are bounded by its A ids times the
@@ -37,8 +38,11 @@ SHARDS = 128
 FAN = 32
 #: Pairs of one slice of the lookup table: 16 bytes each for key and count, about 64 MB.
 SLICE_PAIRS = 4_000_000
-#: Characters aligned at a time, and pairs that a task gathers before it lets go of them.
-BATCH_CHARS, HELD_PAIRS = 1_000_000, 4_000_000
+#: Characters encoded at a time, ids aligned at a time, and pairs that a task gathers before it lets go of them.
+BATCH_CHARS, BATCH_IDS, HELD_PAIRS = 1_000_000, 1_000_000, 4_000_000
+#: How a document's ids are compressed.
+CODEC = "zstd"
+CODED = "n_a long, n_b long, ids binary"
 
 
 class Aligned:
@@ -87,15 +91,29 @@ class Aligner:
         self.width = max(len(self.a.token_bytes), len(self.b.token_bytes))
         self.names = np.array([f"{i}{end}".encode() for end in ",|;" for i in range(self.width)], object)
 
-    def align(self, texts: list[str]) -> tuple[Aligned, np.ndarray]:
-        """The links of texts that both tokenizers spell byte by byte, and which texts those are."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Per text the number of A's and of B's ids, and these ids, packed; none for texts that not both tokenizers spell byte by byte."""
         a, n_a, good_a = self.a.encode([" " + t if t else "" for t in texts])
         b, n_b, good_b = self.b.encode(texts)
         good = good_a & good_b & np.array([bool(t) for t in texts], bool)
-        if not good.all():
-            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
-            n_a, n_b = n_a[good], n_b[good]
-        return Aligned(a.astype(np.int64), n_a, b.astype(np.int64), n_b, self.a.lengths, self.b.lengths), good
+        a, b = a.tobytes(), b.tobytes()
+        a_stops, b_stops = np.cumsum(n_a * self.a.kind.itemsize).tolist(), np.cumsum(n_b * self.b.kind.itemsize).tolist()
+        bounds = zip([0, *a_stops], a_stops, [0, *b_stops], b_stops, good.tolist())
+        ids = [pa.compress(a[sa:ea] + b[sb:eb], codec=CODEC, asbytes=True) if fine else b"" for sa, ea, sb, eb, fine in bounds]
+        return n_a * good, n_b * good, ids
+
+    def align(self, n_a: np.ndarray, n_b: np.ndarray, ids: list[bytes]) -> tuple[Aligned, np.ndarray]:
+        """The links of encoded texts that have ids, and which texts those are."""
+        good = n_a > 0
+        size_a, size_b = self.a.kind.itemsize, self.b.kind.itemsize
+        a, b = [], []
+        for x, n, m in zip(ids, n_a.tolist(), n_b.tolist()):
+            if n:
+                whole = pa.decompress(x, decompressed_size=n * size_a + m * size_b, codec=CODEC, asbytes=True)
+                a.append(whole[: n * size_a])
+                b.append(whole[n * size_a :])
+        a, b = np.frombuffer(b"".join(a), self.a.kind).astype(np.int64), np.frombuffer(b"".join(b), self.b.kind).astype(np.int64)
+        return Aligned(a, n_a[good], b, n_b[good], self.a.lengths, self.b.lengths), good
 
     def keys(self, links: Aligned) -> np.ndarray:
         return links.link_a * len(self.b.token_bytes) + links.link_b
@@ -124,6 +142,34 @@ def batches(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[list[
         yield batch
 
 
+def coded_batches(n_a: np.ndarray, n_b: np.ndarray, ids: list[bytes], most: int = BATCH_IDS) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Consecutive encoded texts, about ``most`` ids at a time; a longer text comes alone."""
+    start, held = 0, 0
+    for k, n in enumerate((n_a + n_b).tolist()):
+        if k > start and held + n > most:
+            yield n_a[start:k], n_b[start:k], ids[start:k]
+            start, held = k, 0
+        held += n
+    if start < len(ids):
+        yield n_a[start:], n_b[start:], ids[start:]
+
+
+def encoded(df: DataFrame, a_path: str, b_path: str, text: str) -> DataFrame:
+    """The rows with the ids of column ``text`` in its place (``CODED``), computed once and kept in the shared folder."""
+
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        aligner = worker_aligner(a_path, b_path)
+        for texts in series:
+            found = [aligner.encode(batch) for batch in batches(texts.tolist())]
+            yield pd.DataFrame({
+                "n_a": np.concatenate([np.zeros(0, np.int64), *[n for n, _, _ in found]]), "n_b": np.concatenate([np.zeros(0, np.int64), *[n for _, n, _ in found]]),
+                "ids": pd.Series([x for _, _, ids in found for x in ids], dtype=object),
+            })
+
+    others = [named(c) for c in df.columns if c != text]
+    return cut(df.select(*others, F.pandas_udf(run, CODED)(named(text)).alias("coded")))
+
+
 class PairCounts:
     """Distinct keys with summed counts, merged whenever as much again has been added."""
 
@@ -152,8 +198,8 @@ def shard_of(a_ids: np.ndarray, shards: int) -> np.ndarray:
     return (mixed(a_ids, 77) % np.uint64(shards)).astype(np.int64)
 
 
-def document_counts(texts: DataFrame, a_path: str, b_path: str, shards: int) -> DataFrame:
-    """Rows (shard, slot, keys, counts): per task and shard, its distinct pairs in ascending order and how many of its documents hold them."""
+def document_counts(coded: DataFrame, a_path: str, b_path: str, shards: int) -> DataFrame:
+    """Rows (shard, slot, keys, counts) from encoded texts: per task and shard, its distinct pairs in ascending order and how many of its documents hold them."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, held, slot = worker_aligner(a_path, b_path), PairCounts(), TaskContext.get().partitionId()
@@ -172,8 +218,8 @@ def document_counts(texts: DataFrame, a_path: str, b_path: str, shards: int) ->
             })
 
         for part in parts:
-            for batch in batches(part.column(0).to_pylist()):
-                links, _ = aligner.align(batch)
+            for batch in coded_batches(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_pylist()):
+                links, _ = aligner.align(*batch)
                 doc = np.repeat(np.arange(len(links.n_a)), links.n_links())
                 # once per document
                 pairs = np.unique(aligner.keys(links) | doc << 40) & (1 << 40) - 1
@@ -183,7 +229,7 @@ def document_counts(texts: DataFrame, a_path: str, b_path: str, shards: int) ->
                     held = PairCounts()
         yield from flush()
 
-    return texts.mapInArrow(run, "shard int, slot int, keys binary, counts binary")
+    return coded.select("coded.*").mapInArrow(run, "shard int, slot int, keys binary, counts binary")
 
 
 def hashes(contributions: DataFrame) -> DataFrame:
@@ -296,7 +342,12 @@ def pair_counts(df: DataFrame, a_path: str, b_path: str, text_col: str = "text",
 
     A key is A id * size of B's vocabulary + B id. Repeated rows count as several documents; an empty table gives no rows.
     """
-    contributions = cut(document_counts(df.select(named(text_col).alias("text")), a_path, b_path, shards))
+    texts = df.select(whole_text(named(text_col)).alias("text"))
+    return _pair_counts(encoded(texts, a_path, b_path, "text"), a_path, b_path, shards, fan)
+
+
+def _pair_counts(coded: DataFrame, a_path: str, b_path: str, shards: int, fan: int) -> DataFrame:
+    contributions = cut(document_counts(coded, a_path, b_path, shards))
     hashed = cut(hashes(contributions))
     return cut(hashed.join(summed(contributions, hashed, fan), "shard").select("shard", F.expr("length(keys) div 8").alias("n"), "sizes", "words", "keys", "counts"))
 
@@ -313,9 +364,10 @@ def align(
     does not spell byte by byte have zeros and ''. Repeated rows count and come back as often as they occur; an empty table stays empty.
     """
     spark = df.sparkSession
-    table = pair_counts(df, a_path, b_path, text_col, shards=shards)
     own = OWN + ["groups"] * groups
     carry = df.columns if carry is None else carry
+    rows = encoded(df.select(packed(df, carry).alias("row"), whole_text(named(text_col)).alias("text")), a_path, b_path, "text")
+    table = _pair_counts(rows, a_path, b_path, shards, FAN)
     sizes = sorted((r.shard, r.n) for r in table.select("shard", "n").collect())
     slices: list[list[int]] = [[]]
     held = 0
@@ -325,17 +377,16 @@ def align(
             held = 0
         slices[-1].append(shard)
         held += n
-    rows = df.select(packed(df, carry).alias("row"), whole_text(named(text_col)).alias("text"))
     zero = F.lit(0).cast("long")
-    rows = rows.select("row", "text", F.struct(*[(F.lit("") if c in OWN[6:] + ["groups"] else zero).alias(c) for c in own]).alias("found"))
+    rows = rows.select("row", "coded", F.struct(*[(F.lit("") if c in OWN[6:] + ["groups"] else zero).alias(c) for c in own]).alias("found"))
     run_name = uuid.uuid4().hex
     for k, shard_ids in enumerate(slices):
         found = table.where(F.col("shard").isin(shard_ids)).select("shard", "sizes", "words", "keys", "counts").collect()
         held_table = spark.sparkContext.broadcast([tuple(r) for r in found])
         looked = F.pandas_udf(_lookup(a_path, b_path, held_table, f"{run_name}-{k}", shards, groups), ", ".join(f"{c} {'string' if c in ('groups', 'groups_sha256') else 'long'}" for c in own))
-        rows = rows.withColumn("now", looked("text"))
+        rows = rows.withColumn("now", looked("coded.n_a", "coded.n_b", "coded.ids"))
         add = [(F.col(f"found.{c}") + F.col(f"now.{c}") if c in ("n_best", "count_sum") else F.col(f"now.{c}")).alias(c) for c in own]
-        rows = rows.select("row", "text", F.struct(*add).alias("found"))
+        rows = rows.select("row", "coded", F.struct(*add).alias("found"))
         if k + 1 < len(slices):
             rows = cut(rows)
             held_table.unpersist()
@@ -346,7 +397,7 @@ _TABLES: dict[str, CountTable] = {}
 
 
 def _lookup(a_path: str, b_path: str, held_table, table_name: str, shards: int, groups: bool):
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(series: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         from collections import namedtuple
 
         aligner = worker_aligner(a_path, b_path)
@@ -355,10 +406,10 @@ def _lookup(a_path: str, b_path: str, held_table, table_name: str, shards: int,
             _TABLES.clear()
             _TABLES[table_name] = CountTable([kind(*r) for r in held_table.value], shards, width, len(aligner.a.token_bytes))
         table = _TABLES[table_name]
-        for texts in series:
+        for n_a, n_b, ids in series:
             out: dict[str, list[np.ndarray]] = {c: [] for c in OWN + ["groups"] * groups}
-            for batch in batches(texts.tolist()):
-                links, good = aligner.align(batch)
+            for batch in coded_batches(n_a.to_numpy(), n_b.to_numpy(), ids.tolist()):
+                links, good = aligner.align(*batch)
                 keys, back = np.unique(aligner.keys(links), return_inverse=True)
                 counts = table.counts(keys)
                 # links of other slices have count 0 and are no best ones
@@ -369,11 +420,11 @@ def _lookup(a_path: str, b_path: str, held_table, table_name: str, shards: int,
                 digests = [hashlib.sha256(g).hexdigest() for g in named_groups]
                 values = [links.n_a, links.n_b, links.n_groups(), links.n_links(), *sums, digests]
                 for name, value in zip(out, values + [[g.decode() for g in named_groups]] * groups):
-                    whole = np.full(len(batch), "", object) if name in ("groups", "groups_sha256") else np.zeros(len(batch), np.int64)
+                    whole = np.full(len(good), "", object) if name in ("groups", "groups_sha256") else np.zeros(len(good), np.int64)
                     whole[good] = value
                     out[name].append(whole)
             yield pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
 
     # pandas_udf reads the types of an iterator function from its signature
-    run.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    run.__annotations__ = {"series": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     return run

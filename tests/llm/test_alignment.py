@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabprobe.llm import alignment
@@ -89,6 +90,19 @@ def test_alignment_of_nothing(spark, no_docs):
     assert {tuple(r[c] for c in alignment.OWN) for r in alignment.align(nulls, A_PATH, B_PATH).collect()} == {(0, 0, 0, 0, 0, 0, "")}
 
 
+def test_texts_are_encoded_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(doc_id):
+        read.add(1)
+        return f"the cat {doc_id} sat"
+
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), text.asNondeterministic()("id").alias("text"))
+    assert alignment.align(docs, A_PATH, B_PATH, carry=["doc_id"], shards=4, slice_pairs=5).count() == 30
+    assert read.value == 30
+
+
 def test_tree_of_several_levels(spark):
     texts = spark.createDataFrame([(f"the cat number {i} sat",) for i in range(60)], "text string").repartition(30)
     wide = alignment.pair_counts(texts, A_PATH, B_PATH, shards=2, fan=3).collect()
