@@ -45,6 +45,8 @@ STAR_ROUNDS, STAR_PAIRS = 12, 4
 COUNTER_BITS = 20
 #: Largest set that may count as light.
 LIGHT_MOST = 14
+#: N-grams from which a set's top bytes are stored as steps.
+STEPPED_FROM = 64
 #: Bytes of text that are hashed in one go.
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch that are unpacked in one go.
@@ -104,6 +106,29 @@ def gram_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
+def stored(grams: np.ndarray) -> bytes:
+    """Sorted hashes as bytes. In longer sets the top bytes, which only rise, are a line of bits: a one per hash, a zero per step."""
+    n = len(grams)
+    if n < STEPPED_FROM:
+        return b"\0" + grams.astype("<u8").tobytes()
+    whole = grams.astype(">u8").view(np.uint8).reshape(n, 8)
+    line = np.zeros(n + 256, np.uint8)
+    line[whole[:, 0].astype(np.int64) + np.arange(n)] = 1
+    return b"\1" + np.packbits(line).tobytes() + whole[:, 1:].tobytes()
+
+
+def restored(data: bytes) -> np.ndarray:
+    """The hashes that ``stored`` was given."""
+    if data[0] == 0:
+        return np.frombuffer(data, "<u8", offset=1).astype(np.uint64, copy=False)
+    n = (8 * (len(data) - 1) - 256) // 57
+    flat = np.frombuffer(data, np.uint8, offset=1)
+    whole = np.empty((n, 8), np.uint8)
+    whole[:, 0] = np.flatnonzero(np.unpackbits(flat[: -7 * n], count=n + 256)) - np.arange(n)
+    whole[:, 1:] = flat[-7 * n :].reshape(n, 7)
+    return whole.view(">u8").reshape(n).astype(np.uint64)
+
+
 def overlap_needed(a, b):
     """Least common n-grams of linked sets of a and b n-grams: t / (1 + t) of their sum, rounded up."""
     return -(-(a + b) * NUMERATOR // (NUMERATOR + DENOMINATOR))
@@ -169,7 +194,7 @@ class GramTable:
                     first = d not in seen and len(s) > 0
                     if first and len(seen) < 2_000_000:
                         seen.add(d)
-                    grams.append(s.tobytes() if first else None)
+                    grams.append(stored(s) if first else None)
                     mins.append(mix64(s[None, :] ^ salts[:, None]).min(axis=1).view(np.int64).tolist() if first else None)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -202,7 +227,7 @@ def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
         out = []
         for at in range(0, len(a), SLICE_ROWS):  # sets leave the batch's buffers a few at a time
             for x, y in zip(a.slice(at, SLICE_ROWS).to_pylist(), b.slice(at, SLICE_ROWS).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = restored(x), restored(y)
                 both = np.sort(np.concatenate((x, y)))
                 common = int((both[1:] == both[:-1]).sum())
                 out.append(DENOMINATOR * common >= NUMERATOR * (len(x) + len(y) - common))
@@ -218,7 +243,7 @@ def gram_counters(classes: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in slices(batches):
-            every = np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint64)
+            every = np.concatenate([np.zeros(0, np.uint64), *map(restored, batch.column("grams").to_pylist())])
             total += np.bincount((every >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS).astype(np.uint32)
         # what a task counts beyond 65,535 changes nothing in the order
         parts = np.minimum(total, 65_535).astype(np.uint16).reshape(blocks, width)
@@ -268,7 +293,7 @@ def place_of(keys: np.ndarray) -> np.ndarray:
 
 def ordered(grams: bytes, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A set from rare to common, with the counters' values."""
-    values = np.frombuffer(grams, np.uint64)
+    values = restored(grams)
     counts = counters[(values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
     order = np.lexsort((values, counts))
     return values[order], counts[order]

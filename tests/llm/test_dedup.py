@@ -243,3 +243,12 @@ def test_group_of_near_copies_is_not_paired_in_full(spark, monkeypatch):
     found = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), buckets=4).collect()
     assert sorted(((r.id, r.n_shingles, r.component_id) for r in found), key=repr) == brute_components(rows)[0]
     assert sum(tried) < 8 * len(rows)
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 600, 20_000])
+def test_stored_sets_are_whole_and_smaller(n):
+    for grams in (np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64, endpoint=False) if n > 1 else np.array([1 << 63], np.uint64)),
+                  np.arange(n, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(n, dtype=np.uint64)[::-1]):
+        data = ngram_jaccard.stored(grams)
+        assert (ngram_jaccard.restored(data) == grams).all() and len(ngram_jaccard.restored(data)) == len(grams)
+        assert n < 600 or len(data) < 0.92 * grams.nbytes
