@@ -131,6 +131,28 @@ def test_control_grid(spark, masks):
     assert markup.control_marks(finished, key).count() <= 8
 
 
+def test_control_grid_of_nulls_and_repeated_instances(spark):
+    key = ["table_id", "task", "fmt", "question"]
+    rows = [(None, "t", "f", "q", 1), (None, "t", "f", "q", 2), (None, None, None, None, 3), ("a", "t", "f", "q", 4), ("a", "t", "f", "q", 4), ("a", None, "f", "q", 5), ("b", "t", "f", None, 6)]
+    instances = spark.createDataFrame(rows, "table_id string, task string, fmt string, question string, n int")
+    jobs = markup.control_jobs(instances, masks=70)
+    done = jobs.filter("n <> 6 AND coalesce(random_seed, 0) % 3 = n % 3").select(*key, "patch_group", "random_seed")
+    left = markup.pending_controls(instances, done.unionByName(done.limit(5)), masks=70)
+    wanted = resume.pending(jobs, done, [*key, "patch_group", "random_seed"])
+    assert left.schema == jobs.schema
+    assert sorted(map(str, left.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_control_grid_stays_where_tables_are_dealt(spark):
+    dealt = spark.range(60).groupBy((F.col("id") % 7).cast("string").alias("table_id")).agg(F.collect_list("id").alias("_ids"))
+    instances = dealt.select("table_id", F.lit("t").alias("task"), F.lit("f").alias("fmt"), F.explode(F.col("_ids").cast("array<string>")).alias("question"))
+    done = markup.control_jobs(instances).filter("random_seed % 2 = 0")
+    left = markup.pending_controls(instances, done).groupBy("table_id", "question").count()
+    # the deal of the tables, once for either side
+    assert left._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert {r["count"] for r in left.collect()} == {11}
+
+
 def test_replacement_survives_a_crash(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "set")
     assert versions.current(spark, path) is None
