@@ -285,10 +285,19 @@ def generate_tasks(
     )
 
 
+_TASK_FIELDS = ["task_seq", "task", "question", "gold", "n_rows", "n_cols"]
+
+
 def tasks_by_table(tasks: DataFrame, part_tasks: int | None = None) -> DataFrame:
     """(table_id, part, tasks): a table's tasks in order, in part 0; or, if ``part_tasks`` is given, at most so many per part."""
-    fields = ["task_seq", "task", "question", "gold", "n_rows", "n_cols"]
+    fields = _TASK_FIELDS
     part = (F.lit(0).cast("long") if part_tasks is None else F.floor(F.col("task_seq") / part_tasks)).alias("part")
     return tasks.groupBy("table_id", part).agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("tasks")
     )
+
+
+def packed_by_table(packed: DataFrame, tasks: str) -> DataFrame:
+    """The same, in part 0, from rows that hold all tasks of a table as an array of structs already; map-only."""
+    kept = F.transform(tasks, lambda t: F.struct(*[t[c].alias(c) for c in _TASK_FIELDS]))
+    return packed.select("table_id", F.lit(0).cast("long").alias("part"), F.sort_array(kept).alias("tasks"))

@@ -13,8 +13,8 @@ from tabprobe import schemas
 from tabprobe.operators.ingest import first_tables
 from tabprobe.operators.numbering import number_source_rows, source_order
 from tabprobe.operators.selection import keep_listed
-from tabprobe.operators.tasks import tasks_by_table
-from tabprobe.sources import idlists
+from tabprobe.operators.tasks import packed_by_table
+from tabprobe.sources import idlists, versions
 
 
 def read_raw(
@@ -122,19 +122,29 @@ def read_tasks(spark: SparkSession, path: str, ids: DataFrame | None = None) ->
     return numbered.select("table_id", F.col("task_seq").cast("int"), "task", "question", "gold", "n_rows", "n_cols")
 
 
-def write_tasks(tasks: DataFrame, path: str, seed: int, source: str) -> None:
-    """tasks/ (Parquet), tasks_by_table/ (JSON, one object per table) and manifest/."""
+def write_tasks(tasks: DataFrame, path: str, seed: int, source: str, compression: str | None = None) -> None:
+    """tasks/ (Parquet), tasks_by_table/ (JSON, one object per table, plain unless ``compression`` is named) and manifest/.
+
+    Tasks are packed by table once, before anything is written: tasks that are dealt by their table, as ``generate_tasks`` leaves them, are not exchanged.
+    The packs are stored beside the results while those are written from them.
+    """
     spark = tasks.sparkSession
-    tasks.write.mode("overwrite").parquet(f"{path}/tasks")
-    written = spark.read.parquet(f"{path}/tasks")
-    tasks_by_table(written).write.mode("overwrite").json(f"{path}/tasks_by_table")
+    packs = f"{path}/_packs"
+    rest = [c for c in tasks.columns if c != "table_id"]
+    tasks.groupBy("table_id").agg(F.collect_list(F.struct(*rest)).alias("_tasks")).write.mode("overwrite").parquet(packs)
+    try:
+        packed = spark.read.parquet(packs)
+        packed.select("table_id", F.inline("_tasks")).select(*tasks.columns).write.mode("overwrite").parquet(f"{path}/tasks")
+        packed_by_table(packed, "_tasks").write.mode("overwrite").json(f"{path}/tasks_by_table", compression=compression)
+    finally:
+        versions.remove(spark, packs)
     write_manifest(
         spark,
         f"{path}/manifest",
         {
             "source": source,
             "seed": seed,
-            "n_task_rows": written.count(),
+            "n_task_rows": spark.read.parquet(f"{path}/tasks").count(),
             "tasks_per_table": fixed.TASKS_PER_TABLE,
         },
     )

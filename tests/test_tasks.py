@@ -7,6 +7,7 @@ from tabprobe.operators.ingest import cells
 from tabprobe.functions.picks import indexes, pick, ranked
 from tabprobe.operators.serialise import build_instances, generate_instances, plan_instances
 from tabprobe.operators.tasks import _with_cells, generate_tasks, tasks_by_table, unique_values, value_positions
+from tabprobe.sources import corpus
 
 SCHEMA = "table_id string, pos long, header array<string>, rows array<array<string>>"
 
@@ -157,3 +158,16 @@ def test_slots_and_runs_of_ragged_tables(spark):
     )
     assert both.filter("few != ranked").count() == 0
     assert both.filter("size(few) = 4").count() == 46
+
+
+def test_tasks_written_in_both_forms(spark, tmp_path):
+    tasks = generate_tasks(frame(spark, a=CLUBS, b=(["x"], [["1"], ["2"]]))).withColumn("note", F.col("task_seq") % 2)
+    corpus.write_tasks(tasks, str(tmp_path), 42, "here", compression="gzip")
+    stored = spark.read.parquet(f"{tmp_path}/tasks")
+    assert stored.columns == tasks.columns and sorted(map(str, stored.collect())) == sorted(map(str, tasks.collect()))
+    wanted = tasks_by_table(tasks)
+    objects = spark.read.schema(wanted.schema).json(f"{tmp_path}/tasks_by_table")
+    assert sorted(map(str, objects.collect())) == sorted(map(str, wanted.collect()))
+    assert spark.read.json(f"{tmp_path}/manifest").first().n_task_rows == tasks.count()
+    files = [p.name for p in (tmp_path / "tasks_by_table").iterdir() if p.name.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files) and not (tmp_path / "_packs").exists()
