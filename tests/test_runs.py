@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
+from tabprobe.functions.text import row_key
 from tabprobe.operators import checks, resume, scoring, selection
 from tabprobe.plans import catalogue, jobs
 from tabprobe.sources import corpus, results
@@ -26,6 +27,12 @@ def test_pending_is_null_safe_and_exact(spark):
     assert resume.carry_over(done, target, keep_stale=True).count() == 9
 
 
+def test_keys_are_digests_of_32_bytes(spark):
+    rows = spark.createDataFrame([("a", "bc"), ("ab", "c"), ("a", None), ("a", ""), (None, "a"), (None, None)], "x string, y string")
+    keys = [bytes(r.k) for r in rows.select(row_key(F.col("x"), F.col("y")).alias("k")).collect()]
+    assert len(set(keys)) == 6 and {len(k) for k in keys} == {32}
+
+
 def test_merge_latest(spark):
     rows = [("a", 1, "x"), ("a", 3, "y"), ("a", 3, "z"), ("b", 0, None)] + [("hot", i, str(i)) for i in range(500)]
     df = spark.createDataFrame(rows, "id string, version int, v string")
