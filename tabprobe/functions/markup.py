@@ -15,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabprobe import fixed_values as fixed
+from tabprobe.functions.picks import indexes
+from tabprobe.functions.text import TOKEN_PATTERN, let
 
 SPAN_TYPE = "array<struct<start:int,end:int>>"
 MARKUP_FORMATS = ("col_sep", "html", "json")
@@ -217,6 +219,45 @@ def token_offsets(text: Column, make_tokenizer: Callable[[], Callable] | None =
     return offsets(text)
 
 
+def _starts(line: Column, sizes: Column) -> Column:
+    """Spans that begin at each ``x`` of a line of one letter per character, with the i-th of ``sizes`` as the i-th one's length."""
+
+    def found(letters: Column) -> Column:
+        return F.filter(indexes(F.length(letters)), lambda i: F.substring(letters, i + 1, 1) == F.lit(b"x"))
+
+    def placed(lengths: Column) -> Column:
+        return F.transform(let(line.cast("binary"), found), lambda s, i: F.struct(s.alias("start"), (s + F.get(lengths, i)).alias("end")))
+
+    return let(sizes, placed)
+
+
+def _matched(text: Column, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
+
+
+def token_offsets_in_place(text: Column) -> Column:
+    """Token offsets by ``TOKEN_PATTERN``, by built-in functions: rows stay dealt as they are, which Spark doesn't see behind a Python function.
+
+    What goes on with a word becomes blank, so that what is visible begins a token; the places of it are read from the line, in proportion to its length.
+    """
+    # java.util.regex looks behind by UTF-16 units, so words are made of one letter first
+    words = F.regexp_replace(text, r"[\p{L}\p{N}_]", "w")
+    begun = F.regexp_replace(F.regexp_replace(words, "(?<=w)w", " "), r"\S", "x")
+    return F.when(text.isNotNull(), _starts(begun, _matched(text, TOKEN_PATTERN)))
+
+
+def separator_spans_in_place(text: Column) -> Column:
+    """Markup spans of a text in the format ``col_sep``, by built-in functions as in ``token_offsets_in_place``."""
+    separator = re.escape(fixed.COL_SEPARATOR)
+    mark = "x" + "0" * (len(fixed.COL_SEPARATOR) - 1)
+
+    def drawn(line: Column) -> Column:
+        return F.array_join(F.transform(F.split(line, separator), lambda c: F.repeat(F.lit("0"), F.length(c))), mark)
+
+    begun = F.array_join(F.transform(F.split(text, "\n"), drawn), "x")
+    return F.when(text.isNotNull(), _starts(begun, _matched(text, separator + r"|\n")))
+
+
 def overlapping(tokens: pa.ListArray, spans: pa.ListArray) -> pa.Array:
     """Per row, the indexes of tokens that touch a span; spans sorted and disjoint.
 
@@ -300,7 +341,9 @@ __all__ = [
     "markup_spans",
     "markup_tokens",
     "overlapping",
+    "separator_spans_in_place",
     "shift_spans",
     "token_offsets",
+    "token_offsets_in_place",
     "word_offsets",
 ]

@@ -192,6 +192,17 @@ def test_overlap_join_sorts_no_tokens(spark):
     assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortAggregate", "Sort")
 
 
+def test_overlap_of_dealt_sides(spark):
+    generator = random.Random(8)
+    rows = [(generator.choice([None, 1, 2, 3]), generator.randrange(9), a := generator.randrange(90), a + generator.randrange(-1, 80)) for _ in range(400)]
+    tokens = spark.createDataFrame(rows + rows[:50], "k int, i int, start int, end int")
+    spans = spark.createDataFrame([(k, a, b) for k, _, a, b in rows[300:340]], "k int, start int, end int")
+    for segment in (1, 5, 64, 100):
+        joined = markup.overlapping_tokens(tokens, spans, ["k"], segment).collect()
+        grouped = markup.overlapping_tokens(tokens, spans, ["k"], segment, dealt=True)
+        assert grouped.columns == tokens.columns and sorted(map(tuple, grouped.collect())) == sorted(map(tuple, joined))
+
+
 def test_controls(spark):
     text = "a <COL> b\nc <COL> d"
     df = spark.createDataFrame(
@@ -227,6 +238,27 @@ def test_scans_hold_few_texts_at_once(spark):
     assert [r.m.positions for r in places] == [None if n is None else [0] if n >= 3 else [] for n in sizes]
 
 
+def test_overlap_stays_where_texts_are_dealt(spark):
+    letters = " \t\n\x0b\f\r\x1c\x85 ab1_.<>é中𝔘😀²٣-"
+    generator = random.Random(5)
+    texts = ["".join(generator.choice(letters) for _ in range(generator.randrange(200))) for _ in range(60)]
+    texts += [" <COL> <COL> \n <COL> a\n\n", " <COL> " * 3, "", None, "\n", " <COL>", "a <COL>  <COL> b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").groupBy("k").agg(F.max("t").alias("t"))
+    text = F.col("t")
+    found = rows.select(
+        token_offsets(text).alias("a"), functions.token_offsets_in_place(text).alias("b"),
+        markup_spans(text, "col_sep").alias("c"), functions.separator_spans_in_place(text).alias("d"),
+    ).collect()
+    assert [(r.a, r.c) for r in found] == [(r.b, r.d) for r in found]
+    tokens = markup.explode_spans(rows.select("k", functions.token_offsets_in_place(text).alias("o")), ["k"], "o", index="i")
+    spans = markup.explode_spans(rows.select("k", functions.separator_spans_in_place(text).alias("o")), ["k"], "o")
+    touched = markup.overlapping_tokens(tokens, spans, ["k"], 8, dealt=True)
+    # the deal of the texts, once for either side
+    assert touched._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    swept = rows.select("k", token_offsets(text).alias("tokens"), markup_spans(text, "col_sep").alias("spans"))
+    assert sorted((r.k, r.i) for r in touched.collect()) == sorted((r.k, r.token_idx) for r in markup.swept_tokens(swept, ["k"]).collect())
+
+
 def test_unsupported_markup(spark):
     with pytest.raises(ValueError):
         markup_length(F.lit("x"), "tsv")
