@@ -195,7 +195,7 @@ def _mt_picks(
         n_rows: pd.Series, n_cols: pd.Series,
     ) -> pd.DataFrame:
         picks = [
-            _draw(seed, t, list(c), list(f), list(u), int(r), int(k), counts)
+            _draw(seed, t, c.tolist(), f.tolist(), u.tolist(), int(r), int(k), counts)
             for t, c, f, u, r, k in zip(table_id, cells, firsts, uniques, n_rows, n_cols)
         ]
         return pd.DataFrame(picks, columns=["cells", "values", "rows", "cols"])

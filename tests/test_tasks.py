@@ -7,6 +7,7 @@ from tabprobe.operators.ingest import cells
 from tabprobe.functions.picks import indexes, pick, ranked
 from tabprobe.operators.serialise import build_instances, generate_instances, plan_instances
 from tabprobe.operators.tasks import _with_cells, generate_tasks, tasks_by_table, unique_values, value_positions
+from tabprobe.plans import catalogue
 from tabprobe.sources import corpus
 
 SCHEMA = "table_id string, pos long, header array<string>, rows array<array<string>>"
@@ -171,3 +172,17 @@ def test_tasks_written_in_both_forms(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/manifest").first().n_task_rows == tasks.count()
     files = [p.name for p in (tmp_path / "tasks_by_table").iterdir() if p.name.startswith("part-")]
     assert files and all(f.endswith(".json.gz") for f in files) and not (tmp_path / "_packs").exists()
+
+
+def test_checked_draws_search_a_question_once(spark, tmp_path):
+    line = spark.range(40).select(
+        (F.col("id") % 5).alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber"), (F.col("id") % 3).alias("l_partkey"), (F.col("id") % 2).alias("l_suppkey"),
+        *[F.col("id").cast("double").alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+        F.lit("N").alias("l_returnflag"), F.lit("it's").alias("l_linestatus"), F.lit("2020-01-02").cast("date").alias("l_shipdate"),
+    )
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    checked = catalogue.tasks_mt19937_checked(spark, str(tmp_path))
+    # a value that each cell is compared with is found outside of the comparison
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("the value '(.*)' appear") == 1
+    rows = checked.collect()
+    assert len(rows) == 5 and all((r.n_size_detection, r.n_cell_lookup, r.n_reverse_lookup, r.n_row_retrieval, r.n_col_retrieval, r.n_right, r.n_different) == (1, 3, 3, 2, 2, 11, 11) for r in rows)
